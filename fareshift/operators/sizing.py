@@ -1,0 +1,22 @@
+"""Broadcast only behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension side (rule codes, report headers, control totals) is broadcast
+# when it has at most this many rows; beyond it the join stays a shuffle join.
+DEFAULT_MAX_BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``.
+
+    The check reads at most ``max_rows + 1`` rows (a limited count), so it is
+    cheap for a small side and bounded for a large one. Beyond the bound the
+    caller's join falls back to a sort-merge join (and AQE may still switch to
+    a broadcast from runtime statistics).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
