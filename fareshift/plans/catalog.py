@@ -125,3 +125,277 @@ def asof_backward(spark, sf_dir):
     m = match_positions(ridership_only(td, rules), pos)
     return m.select("txn_id", "vehicle_id", "service_day", "txn_time", "pos_time", "avl_history_id",
                     "latitude", "gps_status", "maxtime")
+
+
+# ---------------------------------------------------------------- ridership rules
+
+@register("ridership_used", sql("SELECT * FROM used"))
+def ridership_used(spark, sf_dir):
+    """FLT-1 / JOI-10: transactions whose description is a rule code, or transfers."""
+    from fareshift.operators.ridership import ridership_only
+    td, _, rules = _inputs(spark, sf_dir)
+    return ridership_only(td, rules)
+
+
+@register("ridership_unused", sql("""
+SELECT * FROM td WHERE NOT (description IN (SELECT code FROM rules) OR type LIKE '%118%')"""))
+def ridership_unused(spark, sf_dir):
+    """JOI-9 / SET-5 / DOM-2: the rest, by a null-safe anti join on all columns."""
+    from fareshift.operators.ridership import unused_transactions
+    td, _, rules = _inputs(spark, sf_dir)
+    return unused_transactions(td, rules, method="anti_join")
+
+
+@register("used_unused_counts", sql("""
+SELECT COUNT(*) AS n_all,
+       COUNT(*) FILTER (WHERE description IN (SELECT code FROM rules) OR type LIKE '%118%') AS n_used,
+       COUNT(*) FILTER (WHERE NOT (description IN (SELECT code FROM rules) OR type LIKE '%118%')) AS n_unused,
+       COUNT(*) FILTER (WHERE description IN (SELECT code FROM rules) OR type LIKE '%118%')
+         + COUNT(*) FILTER (WHERE NOT (description IN (SELECT code FROM rules) OR type LIKE '%118%'))
+         = COUNT(*) AS counts_agree
+FROM td"""))
+def used_unused_counts(spark, sf_dir):
+    """AGG-3 / DOM-2: used + unused = all, in one aggregate."""
+    from fareshift.operators.ridership import used_unused_counts as f
+    td, _, rules = _inputs(spark, sf_dir)
+    return f(td, rules)
+
+
+@register("unused_by_description", sql("""
+SELECT description, COUNT(*) AS n FROM td
+WHERE NOT (description IN (SELECT code FROM rules) OR type LIKE '%118%') GROUP BY 1"""))
+def unused_by_description(spark, sf_dir):
+    """AGG-1: what is left out, counted by description."""
+    from fareshift.operators.ridership import unused_by
+    td, _, rules = _inputs(spark, sf_dir)
+    return unused_by(td, rules, "description")
+
+
+@register("route_family_fleet", sql("""
+SELECT txn_id, CASE WHEN vehicle_id = '0' THEN '1970' ELSE vehicle_id END AS vehicle_id, route, service_day
+FROM used_d
+WHERE regexp_matches(route, '^90')
+  AND (TRY_CAST(vehicle_id AS BIGINT) IN (149) OR TRY_CAST(vehicle_id AS BIGINT) BETWEEN 0 AND 139)"""))
+def route_family_fleet(spark, sf_dir):
+    """FLT-2 route family '^90', FLT-4 fleet (one id plus a range), FIX-1 vehicle repair, PRJ-1..3."""
+    from fareshift.plans.period import used_transactions
+    td, _, rules = _inputs(spark, sf_dir)
+    t = used_transactions(td, rules, route_pattern="^90", fleet=([149], [(0, 139)]), repair={"0": "1970"})
+    return t.select("txn_id", "vehicle_id", "route", "service_day")
+
+
+# ---------------------------------------------------------------- date and time
+
+@register("service_day_counts", sql("""
+SELECT service_day, COUNT(*) AS n FROM used_d
+WHERE service_day >= DATE '2024-01-01' AND service_day < DATE '2024-01-31' GROUP BY 1"""))
+def service_day_counts(spark, sf_dir):
+    """DT-1/DT-3 service day, FLT-5 half-open period, AGG-1 count by day."""
+    from fareshift.operators.matching import transactions_in_period
+    from fareshift.operators.ridership import count_by, ridership_only
+    td, _, rules = _inputs(spark, sf_dir)
+    t = transactions_in_period(ridership_only(td, rules), "2024-01-01", "2024-01-31")
+    return count_by(t, "service_day")
+
+
+@register("service_seconds", sql("""
+SELECT txn_id, service_day,
+       date_diff('microsecond', CAST(service_day AS TIMESTAMP), txn_time) / 1e6 AS service_seconds,
+       strftime(txn_time, '%H:%M:%S') AS clock, hour(txn_time) AS clock_hour
+FROM used_d"""))
+def service_seconds(spark, sf_dir):
+    """DT-4 seconds since the service day's midnight (past 86,400 after midnight), DT-5 clock text and hour."""
+    from fareshift.functions.timefns import clock_text, service_day, service_seconds as secs
+    from fareshift.operators.ridership import ridership_only
+    td, _, rules = _inputs(spark, sf_dir)
+    t = ridership_only(td, rules).withColumn("service_day", service_day("txn_time"))
+    return t.select("txn_id", "service_day", secs("txn_time", "service_day").alias("service_seconds"),
+                    clock_text("txn_time").alias("clock"), F.hour("txn_time").alias("clock_hour"))
+
+
+@register("clock_hour_counts", sql("""
+SELECT monthname(service_day) AS month, month(service_day) AS month_number, hour(txn_time) AS clock_hour,
+       COUNT(*) AS n
+FROM used_d GROUP BY 1, 2, 3"""))
+def clock_hour_counts(spark, sf_dir):
+    """DT-5: counts by month name, month number and clock hour."""
+    from fareshift.functions.timefns import month_name, service_day
+    from fareshift.operators.ridership import ridership_only
+    td, _, rules = _inputs(spark, sf_dir)
+    t = ridership_only(td, rules).withColumn("service_day", service_day("txn_time"))
+    return t.groupBy(month_name("service_day").alias("month"), F.month("service_day").alias("month_number"),
+                     F.hour("txn_time").alias("clock_hour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+HOLIDAY_NAMES_SQL = """
+dyrs AS (SELECT DISTINCT CAST(year(CAST(txn_time - INTERVAL 3 HOUR AS DATE)) AS INTEGER) AS y FROM td),
+dhol AS (
+  SELECT make_date(y, 1, 1) AS holiday_date, 'New Year''s Day' AS holiday, 'Sunday' AS service, y AS year FROM dyrs
+  UNION ALL SELECT make_date(y, 1, 1) + CAST((8 - isodow(make_date(y, 1, 1))) % 7 + 14 AS INTEGER),
+                   'Martin Luther King Jr. Day', 'Saturday', y FROM dyrs
+  UNION ALL SELECT make_date(y, 5, 25) + CAST((8 - isodow(make_date(y, 5, 25))) % 7 AS INTEGER),
+                   'Memorial Day', 'Sunday', y FROM dyrs
+  UNION ALL SELECT make_date(y, 7, 4), 'Independence Day', 'Sunday', y FROM dyrs
+  UNION ALL SELECT make_date(y, 9, 1) + CAST((8 - isodow(make_date(y, 9, 1))) % 7 AS INTEGER),
+                   'Labor Day', 'Sunday', y FROM dyrs
+  UNION ALL SELECT make_date(y, 11, 1) + CAST((11 - isodow(make_date(y, 11, 1))) % 7 + 21 AS INTEGER),
+                   'Thanksgiving Day', 'Sunday', y FROM dyrs
+  UNION ALL SELECT make_date(y, 12, 25), 'Christmas Day', 'Sunday', y FROM dyrs)
+"""
+
+
+@register("holiday_calendar", sql("SELECT * FROM dhol", HOLIDAY_NAMES_SQL))
+def holiday_calendar_q(spark, sf_dir):
+    """DT-6 / DT-10: the holiday calendar for every year the transactions' service days touch."""
+    from fareshift.functions.calendar import holiday_calendar
+    from fareshift.functions.timefns import service_day
+    td, _, _ = _inputs(spark, sf_dir)
+    years = td.select(F.year(service_day("txn_time")).alias("year"))
+    return holiday_calendar(spark, years=years)
+
+
+@register("service_type_counts", sql("""
+SELECT u.service_day,
+       CASE WHEN h.hs = 'Saturday' THEN 'Saturday' WHEN h.hs = 'Sunday' THEN 'Sunday'
+            WHEN isodow(u.service_day) BETWEEN 1 AND 5 THEN 'Weekday' ELSE dayname(u.service_day) END AS service_type,
+       dayname(u.service_day) AS weekday, COUNT(*) AS n
+FROM used_d u LEFT JOIN hol1 h ON u.service_day = h.holiday_date GROUP BY 1, 2, 3"""))
+def service_type_counts(spark, sf_dir):
+    """CLS-2 service type (holidays, weekdays), DT-7 weekday name, AGG-1."""
+    from fareshift.functions.calendar import with_service_type
+    from fareshift.functions.timefns import service_day, weekday_name
+    from fareshift.operators.ridership import ridership_only
+    td, _, rules = _inputs(spark, sf_dir)
+    t = ridership_only(td, rules).withColumn("service_day", service_day("txn_time"))
+    t = with_service_type(t, "service_day", **YEARS)
+    return t.groupBy("service_day", "service_type", weekday_name("service_day").alias("weekday")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- as-of joins
+
+MATCH_COLS = ("txn_id", "vehicle_id", "service_day", "txn_time", "pos_time", "avl_history_id", "latitude",
+              "gps_status")
+
+FIRSTP_SQL = """
+firstp AS (
+  SELECT * FROM (
+    SELECT p.*, row_number() OVER (PARTITION BY vehicle_id, service_day ORDER BY pos_time, avl_history_id DESC) AS rn
+    FROM pos_d p) WHERE rn = 1)
+"""
+
+
+@register("asof_roll_ends", sql("""
+SELECT m.txn_id, m.vehicle_id, m.service_day, m.txn_time,
+       CASE WHEN m.pos_time IS NULL THEN f.pos_time ELSE m.pos_time END AS pos_time,
+       CASE WHEN m.pos_time IS NULL THEN f.avl_history_id ELSE m.avl_history_id END AS avl_history_id,
+       CASE WHEN m.pos_time IS NULL THEN f.latitude ELSE m.latitude END AS latitude,
+       CASE WHEN m.pos_time IS NULL THEN f.gps_status ELSE m.gps_status END AS gps_status
+FROM matched0 m LEFT JOIN firstp f ON m.vehicle_id = f.vehicle_id AND m.service_day = f.service_day""", FIRSTP_SQL))
+def asof_roll_ends(spark, sf_dir):
+    """JOI-2: as JOI-1, but a transaction before the vehicle-day's first position takes that first one."""
+    from fareshift.operators.matching import match_positions
+    from fareshift.operators.ridership import ridership_only
+    td, pos, rules = _inputs(spark, sf_dir)
+    m = match_positions(ridership_only(td, rules), pos, roll_ends=True, last_time=None)
+    return m.select(*MATCH_COLS)
+
+
+@register("asof_forward_tolerance", sql("""
+SELECT u.txn_id, u.vehicle_id, u.service_day, u.txn_time, p.pos_time, p.avl_history_id, p.latitude, p.gps_status
+FROM used_d u ASOF JOIN pos_d p
+  ON u.vehicle_id = p.vehicle_id AND u.service_day = p.service_day AND u.txn_time <= p.pos_time
+WHERE p.pos_time <= u.txn_time + INTERVAL 3600 SECOND"""))
+def asof_forward_tolerance(spark, sf_dir):
+    """JOI-3: next position within 3,600 s (exact), inner: unmatched transactions dropped."""
+    from fareshift.operators.asof import asof_join
+    from fareshift.operators.matching import with_service_day
+    from fareshift.operators.ridership import ridership_only
+    td, pos, rules = _inputs(spark, sf_dir)
+    left = with_service_day(ridership_only(td, rules), "txn_time")
+    right = with_service_day(pos, "pos_time")
+    m = asof_join(left, right, by=["vehicle_id", "service_day"], left_time="txn_time", right_time="pos_time",
+                  right_cols=["avl_history_id", "latitude", "gps_status"], tie="avl_history_id",
+                  direction="forward", tolerance=3600, how="inner")
+    return m.select(*MATCH_COLS)
+
+
+TIES_SQL = """
+td2 AS (SELECT o_orderkey AS txn_id, o_orderdate AS txn_time, o_custkey AS vehicle_id FROM orders),
+positions2 AS (
+  SELECT o_custkey AS vehicle_id, l_shipdate AS pos_time, l_orderkey * 10 + l_linenumber AS avl_history_id,
+         MAX(l_quantity) AS latitude
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
+p2last AS (
+  SELECT vehicle_id, pos_time, MAX(avl_history_id) AS avl_history_id, arg_max(latitude, avl_history_id) AS latitude
+  FROM positions2 GROUP BY 1, 2),
+p2t AS (SELECT DISTINCT vehicle_id, pos_time FROM positions2)
+"""
+
+
+def _ties_join(spark, sf_dir, ties):
+    from fareshift.operators.asof import asof_join
+    t2, p2 = roles.td2(spark, sf_dir), roles.positions2(spark, sf_dir)
+    return asof_join(t2, p2, by=["vehicle_id"], left_time="txn_time", right_time="pos_time",
+                     right_cols=["avl_history_id", "latitude"], tie="avl_history_id", ties=ties,
+                     bucket_unit="day")
+
+
+@register("asof_ties_last", sql("""
+SELECT t.txn_id, t.txn_time, t.vehicle_id, p.pos_time, p.avl_history_id, p.latitude
+FROM td2 t ASOF LEFT JOIN p2last p ON t.vehicle_id = p.vehicle_id AND t.txn_time >= p.pos_time""", TIES_SQL))
+def asof_ties_last(spark, sf_dir):
+    """JOI-1 with ties: of several positions at the matched time, the one with the largest id."""
+    return _ties_join(spark, sf_dir, "last")
+
+
+@register("asof_ties_all", sql("""
+SELECT m.txn_id, m.txn_time, m.vehicle_id, p.pos_time, p.avl_history_id, p.latitude
+FROM (SELECT t.*, q.pos_time AS mt FROM td2 t ASOF LEFT JOIN p2t q
+        ON t.vehicle_id = q.vehicle_id AND t.txn_time >= q.pos_time) m
+LEFT JOIN positions2 p ON m.vehicle_id = p.vehicle_id AND m.mt = p.pos_time""", TIES_SQL))
+def asof_ties_all(spark, sf_dir):
+    """JOI-2 'mult=all': every position at the matched time."""
+    return _ties_join(spark, sf_dir, "all")
+
+
+@register("asof_comparison", sql("""
+SELECT COUNT(*) FILTER (WHERE latitude > 60.0 OR latitude < 20.0) AS local_exact_match,
+       (SELECT COUNT(*) FROM used_d u ASOF JOIN pos_d p
+          ON u.vehicle_id = p.vehicle_id AND u.service_day = p.service_day AND u.txn_time <= p.pos_time
+        WHERE p.pos_time <= u.txn_time + INTERVAL 120 SECOND AND (p.latitude > 60.0 OR p.latitude < 20.0))
+         AS local_fuzzy_match,
+       COUNT(*) AS n_exact,
+       (SELECT COUNT(*) FROM used_d u ASOF JOIN pos_d p
+          ON u.vehicle_id = p.vehicle_id AND u.service_day = p.service_day AND u.txn_time <= p.pos_time
+        WHERE p.pos_time <= u.txn_time + INTERVAL 120 SECOND) AS n_fuzzy
+FROM matched0"""))
+def asof_comparison(spark, sf_dir):
+    """DOM-10: local counts by the exact backward match and by the 120 s forward match."""
+    from fareshift.operators.matching import asof_comparison as f
+    from fareshift.operators.ridership import ridership_only
+    td, pos, rules = _inputs(spark, sf_dir)
+    return f(ridership_only(td, rules), pos, 120.0, NORTH, SOUTH)
+
+
+@register("match_count_check", sql("""
+SELECT r.vehicle_id, r.service_day, r.roll_count, t.td_count, t.td_count - r.roll_count AS diff
+FROM (SELECT vehicle_id, service_day, COUNT(*) AS roll_count FROM matched GROUP BY 1, 2) r
+LEFT JOIN (SELECT vehicle_id, service_day, COUNT(*) AS td_count FROM used_d GROUP BY 1, 2) t
+  ON r.vehicle_id IS NOT DISTINCT FROM t.vehicle_id AND r.service_day = t.service_day"""))
+def match_count_check(spark, sf_dir):
+    """QLT-5 / JOI-8: per vehicle-day the as-of join keeps every transaction (diff = 0)."""
+    from fareshift.operators.matching import match_count_check as f, match_positions
+    from fareshift.operators.ridership import ridership_only
+    td, pos, rules = _inputs(spark, sf_dir)
+    used = ridership_only(td, rules)
+    return f(match_positions(used, pos), used)
+
+
+@register("last_position", sql("SELECT * FROM maxt"))
+def last_position_q(spark, sf_dir):
+    """AGG-2: latest position time per vehicle and service day."""
+    from fareshift.operators.asof import last_position
+    from fareshift.operators.matching import with_service_day
+    _, pos, _ = _inputs(spark, sf_dir)
+    return last_position(with_service_day(pos, "pos_time"))
