@@ -399,3 +399,429 @@ def last_position_q(spark, sf_dir):
     from fareshift.operators.matching import with_service_day
     _, pos, _ = _inputs(spark, sf_dir)
     return last_position(with_service_day(pos, "pos_time"))
+
+
+# ---------------------------------------------------------------- summaries
+
+@register("local_by_day_wide", sql("""
+SELECT service_day, NULLIF(COUNT(*) FILTER (WHERE local_route = '901'), 0) AS ridership_901,
+       NULLIF(COUNT(*) FILTER (WHERE local_route = '902'), 0) AS ridership_902
+FROM typed WHERE local_route <> '90' GROUP BY 1"""))
+def local_by_day_wide(spark, sf_dir):
+    """RSH-2: day x local route, absent cells null."""
+    from fareshift.operators.summary import LOCAL_ROUTES, local_wide
+    return local_wide(_matched(spark, sf_dir), ["service_day"], "local_route", LOCAL_ROUTES, "ridership_")
+
+
+@register("local_by_type_long", sql("""
+SELECT service_type, local_route, COUNT(*) AS ridership FROM typed WHERE local_route <> '90' GROUP BY 1, 2"""))
+def local_by_type_long(spark, sf_dir):
+    """DOM-5: local ridership by service type and local route (long)."""
+    from fareshift.operators.summary import local_counts
+    return local_counts(_matched(spark, sf_dir), ["service_type", "local_route"])
+
+
+@register("local_by_type_wide", sql("""
+SELECT local_route, NULLIF(COUNT(*) FILTER (WHERE service_type = 'Weekday'), 0) AS "Weekday",
+       NULLIF(COUNT(*) FILTER (WHERE service_type = 'Saturday'), 0) AS "Saturday",
+       NULLIF(COUNT(*) FILTER (WHERE service_type = 'Sunday'), 0) AS "Sunday"
+FROM typed WHERE local_route <> '90' GROUP BY 1"""))
+def local_by_type_wide(spark, sf_dir):
+    """RSH-2: local route x service type (Weekday, Saturday, Sunday)."""
+    from fareshift.operators.summary import SERVICE_TYPES, local_wide
+    return local_wide(_matched(spark, sf_dir), ["local_route"], "service_type", SERVICE_TYPES)
+
+
+@register("local_by_month", sql("""
+SELECT monthname(service_day) AS month, COUNT(*) AS ridership FROM typed WHERE local_route <> '90' GROUP BY 1"""))
+def local_by_month(spark, sf_dir):
+    """DOM-5 / FLT-7: ridership outside the corridor per month."""
+    from fareshift.operators.summary import local_by_month as f
+    return f(_matched(spark, sf_dir))
+
+
+DAILY_SQL = """
+daily AS (SELECT service_day, service_type, local_route, COUNT(*) AS ridership
+          FROM typed WHERE local_route <> '90' GROUP BY 1, 2, 3)
+"""
+
+
+@register("service_summary", sql("""
+SELECT service_type, monthname(service_day) AS month, local_route,
+       CAST(SUM(ridership) AS BIGINT) AS total_ridership, COUNT(*) AS service_days,
+       round_even(AVG(ridership), 0) AS average_daily_ridership
+FROM daily GROUP BY 1, 2, 3""", DAILY_SQL))
+def service_summary_q(spark, sf_dir):
+    """AGG-5 / NUM-1: daily counts, then total, days and half-even mean per type, month, route."""
+    from fareshift.functions.timefns import month_name
+    from fareshift.operators.summary import daily_series, service_summary
+    d = daily_series(_matched(spark, sf_dir), ["service_day", "service_type", "local_route"])
+    return service_summary(d.withColumn("month", month_name("service_day")),
+                           ["service_type", "month", "local_route"])
+
+
+@register("service_summary_distinct", sql("""
+SELECT service_type, local_route, COUNT(*) AS total_ridership, COUNT(DISTINCT service_day) AS service_days,
+       round_even(COUNT(*) / COUNT(DISTINCT service_day), 0) AS average_daily_ridership
+FROM typed WHERE local_route <> '90' GROUP BY 1, 2"""))
+def service_summary_distinct_q(spark, sf_dir):
+    """AGG-6: rows over distinct days, half-even."""
+    from fareshift.operators.summary import service_summary_distinct
+    return service_summary_distinct(_matched(spark, sf_dir))
+
+
+SEASON_SQL = """
+ctl AS (
+  SELECT d.service_day,
+         CASE WHEN h.hs = 'Saturday' THEN 'Saturday' WHEN h.hs = 'Sunday' THEN 'Sunday'
+              WHEN isodow(d.service_day) BETWEEN 1 AND 5 THEN 'Weekday' ELSE dayname(d.service_day) END AS service_type,
+         d.ridership
+  FROM daily_totals d LEFT JOIN hol1 h ON d.service_day = h.holiday_date
+  WHERE d.service_day < DATE '2024-01-16'),
+own AS (
+  SELECT service_day, service_type, COUNT(*) AS ridership FROM typed
+  WHERE local_route <> '90' AND service_day >= DATE '2024-01-16' AND service_day < DATE '2024-01-31' GROUP BY 1, 2),
+comb AS (SELECT * FROM ctl UNION ALL SELECT * FROM own)
+"""
+
+
+def _season_series(spark, sf_dir):
+    """SET-2: control series before the matched period, matched series after."""
+    from fareshift.functions.calendar import with_service_type
+    from fareshift.operators.summary import daily_series
+    ctl = roles.daily_totals(spark, sf_dir).where(F.col("service_day") < F.lit("2024-01-16").cast("date"))
+    ctl = with_service_type(ctl, "service_day", **YEARS).select("service_day", "service_type", "ridership")
+    own = daily_series(_matched(spark, sf_dir, start="2024-01-16", end="2024-01-31"))
+    return ctl.unionByName(own)
+
+
+@register("season_summary", sql("""
+SELECT service_type, CAST(SUM(ridership) AS BIGINT) AS total_ridership, COUNT(*) AS service_days,
+       round_even(AVG(ridership), 0) AS average_daily_ridership
+FROM comb WHERE service_day <= DATE '2024-01-25' GROUP BY 1""", SEASON_SQL))
+def season_summary_q(spark, sf_dir):
+    """DOM-6: summary over control + matched daily series up to a date (FLT-6 inclusive end)."""
+    from fareshift.operators.summary import season_summary
+    return season_summary(_season_series(spark, sf_dir), ["service_type"], until="2024-01-25")
+
+
+@register("monthly_summary", sql("""
+SELECT monthname(service_day) AS month, service_type, CAST(SUM(ridership) AS BIGINT) AS total_ridership,
+       COUNT(*) AS service_days, round_even(AVG(ridership), 0) AS average_daily_ridership
+FROM comb GROUP BY 1, 2""", SEASON_SQL))
+def monthly_summary_q(spark, sf_dir):
+    """DOM-6: the per-month copies of the summary as one grouped query."""
+    from fareshift.functions.timefns import month_name
+    from fareshift.operators.summary import service_summary
+    s = _season_series(spark, sf_dir).withColumn("month", month_name("service_day"))
+    return service_summary(s, ["month", "service_type"])
+
+
+@register("missing_days", sql("""
+SELECT CAST(d AS DATE) AS service_day FROM generate_series(TIMESTAMP '2023-12-31', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) g(d)
+WHERE CAST(d AS DATE) NOT IN (SELECT service_day FROM typed WHERE local_route <> '90')"""))
+def missing_days_q(spark, sf_dir):
+    """DT-9: days of the range without local ridership (date spine + anti join)."""
+    from fareshift.functions.calendar import missing_days
+    from fareshift.operators.summary import daily_series
+    return missing_days(daily_series(_matched(spark, sf_dir), ["service_day"]), "2023-12-31", "2024-01-31")
+
+
+# ---------------------------------------------------------------- quality
+
+FLAGS_SQL = """
+flags AS (
+  SELECT txn_id, date_diff('microsecond', pos_time, txn_time) / 1e6 AS timediffs,
+         COALESCE(txn_time > maxtime, FALSE) AS after_last,
+         COALESCE(txn_time < maxtime AND date_diff('microsecond', pos_time, txn_time) / 1e6 > 90.0, FALSE) AS in_gap,
+         (gps_status IS NULL OR gps_status <> 2) AS bad_gps,
+         COALESCE(pos_time > txn_time, FALSE) AS before_first
+  FROM matched)
+"""
+
+
+def _flags(spark, sf_dir):
+    from fareshift.operators.quality import quality_flags
+    return quality_flags(_matched(spark, sf_dir))
+
+
+@register("quality_flags", sql("SELECT * FROM flags", FLAGS_SQL))
+def quality_flags_q(spark, sf_dir):
+    """QLT-2/3, FLT-8, DT-8: per transaction the gap in seconds and the fault flags."""
+    return _flags(spark, sf_dir).select("txn_id", "timediffs", "after_last", "in_gap", "bad_gps", "before_first")
+
+
+@register("questionable_pct", sql("""
+SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE after_last) AS n_after_last,
+       COUNT(*) FILTER (WHERE in_gap) AS n_in_gap, COUNT(*) FILTER (WHERE bad_gps) AS n_bad_gps,
+       SUM(CAST(after_last AS BIGINT) + CAST(in_gap AS BIGINT) + CAST(bad_gps AS BIGINT)) / COUNT(*) * 100.0
+         AS questionable_pct,
+       COUNT(*) FILTER (WHERE after_last OR in_gap OR bad_gps) / COUNT(*) * 100.0 AS questionable_pct_distinct
+FROM flags""", FLAGS_SQL))
+def questionable_pct_q(spark, sf_dir):
+    """QLT-4 / SET-4: faults per row (counted once per fault, and once per row)."""
+    from fareshift.operators.quality import questionable_pct
+    return questionable_pct(_flags(spark, sf_dir))
+
+
+@register("quality_report", sql("""
+SELECT round_even((SELECT COUNT(*) FILTER (WHERE gps_status IS NULL OR gps_status <> 2) FROM positions)
+                  / (SELECT COUNT(*) FROM positions) * 100, 3) AS bad_vmh_pct,
+       (SELECT COUNT(*) FROM positions) AS count_vmh,
+       round_even(COUNT(*) FILTER (WHERE bad_gps) / COUNT(*) * 100, 3) AS bad_td_pct,
+       round_even(SUM(CAST(after_last AS BIGINT) + CAST(in_gap AS BIGINT) + CAST(bad_gps AS BIGINT)) / COUNT(*) * 100, 3)
+         AS questionable_td_pct,
+       COUNT(*) AS count_td
+FROM flags""", FLAGS_SQL))
+def quality_report_q(spark, sf_dir):
+    """AGG-9 / QLT-1: one-row report over positions and matched transactions."""
+    from fareshift.operators.quality import quality_report
+    _, pos, _ = _inputs(spark, sf_dir)
+    return quality_report(pos, _flags(spark, sf_dir))
+
+
+@register("bad_gps_by_month", sql("""
+SELECT monthname(service_day) AS month,
+       COUNT(*) FILTER (WHERE gps_status IS NULL OR gps_status <> 2) / (SELECT COUNT(*) FROM matched) * 100
+         AS bad_td_gps_pct
+FROM matched GROUP BY 1"""))
+def bad_gps_by_month_q(spark, sf_dir):
+    """AGG-4: bad-GPS share per month over the whole table's rows."""
+    from fareshift.operators.quality import bad_gps_by_month
+    return bad_gps_by_month(_matched(spark, sf_dir))
+
+
+@register("gps_by_trip", sql("""
+SELECT service_day, trip, CAST(SUM(CASE WHEN gps_status = 0 THEN 0 ELSE 1 END) AS BIGINT) AS missingcount
+FROM pos_d GROUP BY 1, 2"""))
+def gps_by_trip_q(spark, sf_dir):
+    """AGG-8 / CLS-4: positions whose GPS status is not 0, per day and trip."""
+    from fareshift.operators.matching import with_service_day
+    from fareshift.operators.quality import gps_by_trip
+    _, pos, _ = _inputs(spark, sf_dir)
+    return gps_by_trip(with_service_day(pos, "pos_time"))
+
+
+@register("gps_profile", sql("SELECT gps_status, COUNT(*) AS n FROM positions GROUP BY 1"))
+def gps_profile_q(spark, sf_dir):
+    """AGG-1 by GPS status."""
+    from fareshift.operators.quality import gps_profile
+    _, pos, _ = _inputs(spark, sf_dir)
+    return gps_profile(pos)
+
+
+# ---------------------------------------------------------------- reconciliation
+
+@register("reconcile", sql("""
+SELECT m.route, m.ridership_td, r.ridership, m.ridership_td - r.ridership AS ridership_diff,
+       round_even((m.ridership_td - r.ridership) / r.ridership * 100, 3) AS percent_disagree
+FROM (SELECT route, COUNT(*) AS ridership_td FROM used GROUP BY 1) m JOIN routesum r ON m.route = r.route"""))
+def reconcile_q(spark, sf_dir):
+    """DOM-1 / JOI-5: own count per route against RouteSum."""
+    from fareshift.operators.ridership import reconcile
+    td, _, rules = _inputs(spark, sf_dir)
+    return reconcile(td, rules, roles.routesum(spark, sf_dir))
+
+
+@register("reconcile_outer", sql("""
+SELECT m.route, m.ridership_td, r.ridership, m.ridership_td - r.ridership AS ridership_diff,
+       round_even((m.ridership_td - r.ridership) / r.ridership * 100, 3) AS percent_disagree
+FROM (SELECT route, COUNT(*) AS ridership_td FROM used GROUP BY 1) m LEFT JOIN routesum r ON m.route = r.route"""))
+def reconcile_outer_q(spark, sf_dir):
+    """JOI-6: every route of the transactions, null control where RouteSum has none."""
+    from fareshift.operators.ridership import reconcile
+    td, _, rules = _inputs(spark, sf_dir)
+    return reconcile(td, rules, roles.routesum(spark, sf_dir), how="left")
+
+
+@register("reconcile_transfers", sql("""
+SELECT m.route, m.ridership_mine, m.mine_xfer, m.transfers, r.ridership,
+       m.ridership_mine - r.ridership AS ridership_diff, m.mine_xfer - r.ridership AS xfer_diff,
+       (m.mine_xfer - r.ridership) <> 0 AS nonzero_xfer_diff
+FROM (SELECT route,
+             COUNT(*) FILTER (WHERE description IN (SELECT code FROM rules)) AS ridership_mine,
+             COUNT(*) FILTER (WHERE description IN (SELECT code FROM rules) OR type LIKE '%118%') AS mine_xfer,
+             COUNT(*) FILTER (WHERE type LIKE '%118%') AS transfers
+      FROM td GROUP BY 1) m JOIN routesum r ON m.route = r.route"""))
+def reconcile_transfers_q(spark, sf_dir):
+    """DOM-3 / FLT-9: rules only vs rules + transfers against the control."""
+    from fareshift.operators.ridership import reconcile_transfers
+    td, _, rules = _inputs(spark, sf_dir)
+    return reconcile_transfers(td, rules, roles.routesum(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- control totals
+
+CMP_SQL = """
+cmp AS (
+  SELECT COALESCE(a.service_day, b.service_day) AS service_day, a.n, b.ridership, a.n - b.ridership AS diff,
+         round_even((a.n - b.ridership) / b.ridership * 100, 3) AS pct_diff
+  FROM (SELECT service_day, COUNT(*) AS n FROM used_d WHERE regexp_matches(route, '^90') GROUP BY 1) a
+  FULL JOIN daily_totals b ON a.service_day = b.service_day)
+"""
+
+
+def _compare(spark, sf_dir):
+    from fareshift.operators.control import compare_daily
+    from fareshift.operators.ridership import count_by
+    from fareshift.plans.period import used_transactions
+    td, _, rules = _inputs(spark, sf_dir)
+    daily = count_by(used_transactions(td, rules, route_pattern="^90"), "service_day", out="n")
+    return compare_daily(daily, roles.daily_totals(spark, sf_dir))
+
+
+@register("compare_daily", sql("SELECT * FROM cmp", CMP_SQL))
+def compare_daily_q(spark, sf_dir):
+    """DOM-7 / JOI-11 by key: daily count against the control series (full outer)."""
+    return _compare(spark, sf_dir)
+
+
+@register("compare_daily_overall", sql("""
+SELECT CAST(SUM(diff) AS BIGINT) AS sum_diff, CAST(SUM(ridership) AS BIGINT) AS sum_ridership,
+       SUM(diff) / SUM(ridership) AS overall_ratio
+FROM cmp WHERE diff IS NOT NULL""", CMP_SQL))
+def compare_daily_overall_q(spark, sf_dir):
+    """DOM-7 / AGG-7: overall ratio of differences to control."""
+    from fareshift.operators.control import compare_daily_overall
+    return compare_daily_overall(_compare(spark, sf_dir))
+
+
+SCALE_SQL = """
+lw AS (SELECT service_day, COUNT(*) FILTER (WHERE local_route = '901') AS r1,
+              COUNT(*) FILTER (WHERE local_route = '902') AS r2
+       FROM typed WHERE local_route <> '90' AND regexp_matches(route, '^90') GROUP BY 1),
+sc AS (
+  SELECT l.service_day, l.r1 AS ridership_901, l.r2 AS ridership_902, l.r1 + l.r2 AS ridershiprj, d.ridership,
+         CASE WHEN l.r1 + l.r2 < d.ridership
+              THEN COALESCE(CAST(trunc(l.r1 / NULLIF(l.r1 + l.r2, 0) * (d.ridership - (l.r1 + l.r2)) + l.r1) AS BIGINT), l.r1)
+              ELSE l.r1 END AS final_901,
+         CASE WHEN l.r1 + l.r2 < d.ridership
+              THEN COALESCE(CAST(trunc(l.r2 / NULLIF(l.r1 + l.r2, 0) * (d.ridership - (l.r1 + l.r2)) + l.r2) AS BIGINT), l.r2)
+              ELSE l.r2 END AS final_902
+  FROM lw l JOIN daily_totals d ON l.service_day = d.service_day),
+sct AS (
+  SELECT s.*, CASE WHEN h.hs = 'Saturday' THEN 'Saturday' WHEN h.hs = 'Sunday' THEN 'Sunday'
+                   WHEN isodow(s.service_day) BETWEEN 1 AND 5 THEN 'Weekday' ELSE dayname(s.service_day) END AS service_type
+  FROM sc s LEFT JOIN hol1 h ON s.service_day = h.holiday_date),
+per_a AS (
+  SELECT service_type, '901' AS local_route, CAST(SUM(final_901) AS BIGINT) AS ridership FROM sct
+  WHERE service_day < DATE '2024-01-16' GROUP BY 1
+  UNION ALL
+  SELECT service_type, '902', CAST(SUM(final_902) AS BIGINT) FROM sct WHERE service_day < DATE '2024-01-16' GROUP BY 1),
+per_b AS (
+  SELECT service_type, local_route, COUNT(*) AS ridership FROM typed
+  WHERE local_route <> '90' AND regexp_matches(route, '^90') AND service_day >= DATE '2024-01-16' GROUP BY 1, 2),
+comb_t AS (
+  SELECT local_route, service_type, CAST(SUM(ridership) AS BIGINT) AS ridership
+  FROM (SELECT * FROM per_a UNION ALL SELECT * FROM per_b) GROUP BY 1, 2)
+"""
+
+
+def _matched90(spark, sf_dir):
+    return _matched(spark, sf_dir, route_pattern="^90")
+
+
+def _scaled(spark, sf_dir):
+    from fareshift.operators.control import scale_to_control
+    from fareshift.operators.summary import LOCAL_ROUTES, local_wide
+    wide = local_wide(_matched90(spark, sf_dir), ["service_day"], "local_route", LOCAL_ROUTES, "ridership_")
+    return scale_to_control(wide, roles.daily_totals(spark, sf_dir))
+
+
+@register("scale_to_control", sql("SELECT * FROM sc", SCALE_SQL))
+def scale_to_control_q(spark, sf_dir):
+    """DOM-8 / NUM-2 / NUM-3 / CND-1: proportional scale-up of 901/902 to the daily control."""
+    return _scaled(spark, sf_dir)
+
+
+def _scaled_by_type(spark, sf_dir, until=None):
+    from fareshift.functions.calendar import with_service_type
+    from fareshift.operators.control import scaled_by_service_type
+    s = _scaled(spark, sf_dir)
+    if until is not None:
+        s = s.where(F.col("service_day") < F.lit(until).cast("date"))
+    return scaled_by_service_type(with_service_type(s, "service_day", **YEARS))
+
+
+@register("scale_by_service_type", sql("""
+SELECT service_type, '901' AS local_route, CAST(SUM(final_901) AS BIGINT) AS ridership FROM sct GROUP BY 1
+UNION ALL
+SELECT service_type, '902', CAST(SUM(final_902) AS BIGINT) FROM sct GROUP BY 1""", SCALE_SQL))
+def scale_by_service_type_q(spark, sf_dir):
+    """RSH-3 / AGG-7: scaled totals per service type, unpivoted to (type, local route)."""
+    return _scaled_by_type(spark, sf_dir)
+
+
+def _combined(spark, sf_dir):
+    from fareshift.operators.control import combine_totals
+    from fareshift.operators.summary import local_counts
+    a = _scaled_by_type(spark, sf_dir, until="2024-01-16")
+    b = local_counts(_matched90(spark, sf_dir).where(F.col("service_day") >= F.lit("2024-01-16").cast("date")),
+                     ["service_type", "local_route"])
+    return combine_totals(a, b)
+
+
+@register("combine_totals", sql("SELECT * FROM comb_t", SCALE_SQL))
+def combine_totals_q(spark, sf_dir):
+    """DOM-9: scaled first period + matched second period, per (local route, service type)."""
+    return _combined(spark, sf_dir)
+
+
+@register("combine_totals_wide", sql("""
+SELECT local_route, CAST(SUM(ridership) FILTER (WHERE service_type = 'Weekday') AS BIGINT) AS "Weekday",
+       CAST(SUM(ridership) FILTER (WHERE service_type = 'Saturday') AS BIGINT) AS "Saturday",
+       CAST(SUM(ridership) FILTER (WHERE service_type = 'Sunday') AS BIGINT) AS "Sunday"
+FROM comb_t GROUP BY 1""", SCALE_SQL))
+def combine_totals_wide_q(spark, sf_dir):
+    """DOM-9 / RSH-2: wide, columns Weekday, Saturday, Sunday."""
+    from fareshift.operators.control import combine_totals_wide
+    return combine_totals_wide(_combined(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- pass mix
+
+PASS_SQL = """
+pm0 AS (
+  SELECT u.service_day,
+         CASE WHEN x.d2 = 'Free' THEN 'Free Key'
+              WHEN x.d2 IN ('Single Ride Full Fare', 'Single Ride Half Fare', 'LA2 Single Full', 'RA2 Single Half',
+                            'RA3 UnderPayment', '*1 COURTESY ISSUED') THEN 'Single Ride'
+              WHEN x.d2 IN ('31 HALF', '31 FULL', '7 DAY FULL', 'ALL DAY FULL', '7 DAY HALF', 'ALL DAY HALF',
+                            '31 DAY S PASS', 'Comp Day Pass', 'Comp 31 day pass', 'LA1 Issue Day Pass',
+                            'RA1 Issue Day Half') THEN 'Period Pass'
+              WHEN x.d2 IN ('10 TRIP FULL', 'Comp 10 Trip Pass') THEN 'Stored Ride' END AS pass_type
+  FROM used_d u
+  LEFT JOIN (SELECT code, MAX(description) AS rdesc FROM rules GROUP BY 1) r ON u.description = r.code
+  CROSS JOIN LATERAL (SELECT CASE WHEN u.type LIKE '%118%' THEN 'Transfer' ELSE r.rdesc END AS d2) x),
+pm AS (
+  SELECT service_day, pass_type, COUNT(*) AS number_of_passes,
+         CAST(SUM(COUNT(*)) OVER (PARTITION BY service_day) AS BIGINT) AS daily_sum,
+         COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY service_day) AS share
+  FROM pm0 WHERE pass_type IS NOT NULL GROUP BY 1, 2)
+"""
+
+
+def _pass_mix(spark, sf_dir):
+    from fareshift.operators.summary import pass_mix
+    from fareshift.plans.period import used_transactions
+    td, _, rules = _inputs(spark, sf_dir)
+    return pass_mix(used_transactions(td, rules), rules)
+
+
+@register("pass_mix", sql("SELECT * FROM pm", PASS_SQL))
+def pass_mix_q(spark, sf_dir):
+    """DOM-11 / CLS-3 / FIX-2 / WIN-2 / WIN-3: pass-type count and share of the day."""
+    return _pass_mix(spark, sf_dir)
+
+
+@register("pass_mix_wide", sql("""
+SELECT service_day,
+       CAST(SUM(number_of_passes) FILTER (WHERE pass_type = 'Single Ride') AS BIGINT) AS single_ride,
+       CAST(SUM(number_of_passes) FILTER (WHERE pass_type = 'Period Pass') AS BIGINT) AS period_pass,
+       CAST(SUM(number_of_passes) FILTER (WHERE pass_type = 'Stored Ride') AS BIGINT) AS stored_ride,
+       CAST(SUM(number_of_passes) FILTER (WHERE pass_type = 'Free Key') AS BIGINT) AS free_key
+FROM pm GROUP BY 1""", PASS_SQL))
+def pass_mix_wide_q(spark, sf_dir):
+    """RSH-2: pass types as columns per day."""
+    from fareshift.operators.summary import pass_mix_wide
+    return pass_mix_wide(_pass_mix(spark, sf_dir))
