@@ -825,3 +825,77 @@ def pass_mix_wide_q(spark, sf_dir):
     """RSH-2: pass types as columns per day."""
     from fareshift.operators.summary import pass_mix_wide
     return pass_mix_wide(_pass_mix(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- readers and positions
+
+@register("transactions_from_report", sql("""
+SELECT upper('TRANSACTION DETAIL ' || monthname(txn_time) || ' ' || CAST(year(txn_time) AS VARCHAR) || '.csv') AS file,
+       type, date_trunc('second', txn_time) AS txn_time, vehicle_id, route, '1' AS run, '0' AS driver, description,
+       CAST(1.75 AS DOUBLE) AS value, CAST(1.75 AS DOUBLE) AS amount,
+       CAST(NULL AS DOUBLE) AS longitude, CAST(NULL AS DOUBLE) AS latitude,
+       upper(monthname(txn_time)) || ' ' || CAST(year(txn_time) AS VARCHAR) AS period
+FROM td"""))
+def transactions_from_report(spark, sf_dir):
+    """SRC-8 / SRC-3 / DT-1 / PRJ-3: parse transaction-detail text (header by name, footer skipped)."""
+    from fareshift.sources.reports import parse_transactions, with_period
+    return with_period(parse_transactions(roles.td_report_lines(spark, sf_dir)))
+
+
+@register("rules_from_report", sql("""
+SELECT DISTINCT 'MONTHLY SUMMARY ' || monthname(txn_time) || ' ' || CAST(year(txn_time) AS VARCHAR) || '.txt' AS file,
+       description AS code, 'Fare ' || description || ', full' AS description
+FROM td"""))
+def rules_from_report(spark, sf_dir):
+    """SRC-5 / WIN-1 / RSH-1 / RSH-4 / STR-4: rules text sliced between markers, tokens paired."""
+    from fareshift.sources.reports import parse_rules
+    return parse_rules(roles.rules_report_lines(spark, sf_dir))
+
+
+@register("routesum_from_report", sql("""
+SELECT 'EVENT SUMMARY (' || monthname(txn_time) || ' ' || CAST(year(txn_time) AS VARCHAR) || ').txt' AS file,
+       route, COUNT(*) AS ridership, substring(monthname(txn_time), 1, 3) AS period
+FROM td GROUP BY 1, 2, 4"""))
+def routesum_from_report(spark, sf_dir):
+    """SRC-6 / SRC-3 / WIN-4: route rows between 'Ridership By Route' and TOTAL, three-letter period."""
+    from fareshift.sources.reports import parse_routesum, with_period
+    return with_period(parse_routesum(roles.routesum_report_lines(spark, sf_dir)), letters=3)
+
+
+@register("daily_totals_from_report", sql("""
+SELECT 'Local Route 90 ' || monthname(service_day) || ' ' || CAST(year(service_day) AS VARCHAR) || '.txt' AS file,
+       service_day, ridership
+FROM daily_totals"""))
+def daily_totals_from_report(spark, sf_dir):
+    """SRC-7 / DT-1 date only: daily rows kept where the date parses."""
+    from fareshift.sources.reports import parse_daily_totals
+    return parse_daily_totals(roles.daily_report_lines(spark, sf_dir))
+
+
+POS_SQL = """
+vmh AS (
+  SELECT event_id AS avl_history_id, ts AS time,
+         CASE event_id % 5 WHEN 0 THEN '90' WHEN 1 THEN '901' WHEN 2 THEN '902' WHEN 3 THEN '8' ELSE '25' END AS route,
+         user_id AS vehicle_id, CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS trip
+  FROM events WHERE event_type IN ('view', 'click', 'error')),
+avl AS (
+  SELECT event_id AS avl_history_id, value AS latitude,
+         CASE CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) % 10 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 2 END AS gps_status
+  FROM events WHERE event_type IN ('view', 'click'))
+"""
+
+
+@register("positions_union", sql("""
+SELECT a.time AS pos_time, a.route, a.trip, CAST(a.vehicle_id AS VARCHAR) AS vehicle_id, b.latitude, b.gps_status
+FROM vmh a LEFT JOIN avl b ON a.avl_history_id = b.avl_history_id
+WHERE a.route LIKE '9%' AND a.time >= TIMESTAMP '2023-12-31 03:00:00' AND a.time < TIMESTAMP '2024-02-01 03:00:00'
+UNION
+SELECT a.time, a.route, a.trip, CAST(a.vehicle_id AS VARCHAR), b.latitude, b.gps_status
+FROM vmh a LEFT JOIN avl b ON a.avl_history_id = b.avl_history_id
+WHERE a.vehicle_id >= 100 AND a.vehicle_id <= 129
+  AND a.time >= TIMESTAMP '2023-12-31 03:00:00' AND a.time < TIMESTAMP '2024-02-01 03:00:00'""", POS_SQL))
+def positions_union(spark, sf_dir):
+    """SRC-9 / JOI-4 / SET-3 / FLT-4: messages left-join positions; route '9%' OR fleet range; distinct."""
+    from fareshift.sources.positions import read_positions
+    return read_positions(roles.vmh(spark, sf_dir), roles.avl(spark, sf_dir), "2023-12-31", "2024-01-31",
+                          route_like="9%", vehicle_range=(100, 129))

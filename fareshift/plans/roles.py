@@ -137,3 +137,87 @@ def positions2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (j.groupBy(F.col("o_custkey").alias("vehicle_id"), F.col("l_shipdate").alias("pos_time"),
                       (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("avl_history_id"))
             .agg(F.max("l_quantity").alias("latitude")))
+
+
+# ------------------------------------------------------------------ report text
+# The readers parse farebox report text. These builders print the role
+# tables as report lines (one "file" per month), so the readers run on text
+# whose volume grows with the tables. They only format rows; the parsing,
+# slicing and typing are the readers' work.
+
+TD_HEADER = ("Type,Date and Time,Bus,Route,Run,Driver,Description,Value,Amount,Direction,Fareset,Stop,Trip,"
+             "Longitude,Latitude")
+
+
+def _month_file(prefix: str, day, suffix: str):
+    return F.concat(F.lit(prefix), F.date_format(day, "MMMM"), F.lit(" "), F.date_format(day, "yyyy"),
+                    F.lit(suffix))
+
+
+def td_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transaction detail report text: (file, line), no line numbers."""
+    t = td(spark, sf_dir).withColumn(
+        "file", F.upper(_month_file("TRANSACTION DETAIL ", F.col("txn_time"), ".csv")))
+    body = t.select("file", F.concat_ws(
+        ",", "type", F.date_format("txn_time", "M/d/yyyy H:mm:ss"), "vehicle_id", "route", F.lit("1"), F.lit("0"),
+        "description", F.lit("1.75"), F.lit("1.75"), F.lit(""), F.lit("1"), F.lit(""), F.lit(""), F.lit(""),
+        F.lit("")).alias("line"))
+    files = t.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    frame = files.select("file", F.explode(F.array(
+        F.lit("Transaction Detail Report"), F.concat(F.lit("Printed for "), F.col("file")), F.lit(TD_HEADER),
+        F.concat(F.lit("Number of Transactions: "), F.col("n").cast("string")))).alias("line"))
+    return body.unionByName(frame)
+
+
+def rules_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules report text per month: every fare code seen that month, described."""
+    t = td(spark, sf_dir).select(_month_file("MONTHLY SUMMARY ", F.col("txn_time"), ".txt").alias("file"),
+                                 F.col("description").alias("code")).distinct()
+    from pyspark.sql import Window
+    w = Window.partitionBy("file").orderBy("code")
+    rows = t.select("file", (F.row_number().over(w) + 1).alias("line_no"),
+                    F.concat(F.lit('"'), F.col("code"), F.lit('","Fare '), F.col("code"), F.lit(', full",""'))
+                    .alias("line"))
+    files = t.select("file").distinct()
+    frame = files.select("file", F.inline(F.array(
+        F.struct(F.lit(0).alias("line_no"), F.lit("Monthly Summary").alias("line")),
+        F.struct(F.lit(1).alias("line_no"), F.lit("Ridership is defined as the following:").alias("line")),
+        F.struct(F.lit(1_000_000).alias("line_no"), F.lit("All other fares are excluded.").alias("line")))))
+    return rows.unionByName(frame)
+
+
+def routesum_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route summary text per month: transactions per route, then TOTAL."""
+    t = td(spark, sf_dir).withColumn("file", _month_file("EVENT SUMMARY (", F.col("txn_time"), ").txt"))
+    g = t.groupBy("file", "route").agg(F.count(F.lit(1)).alias("n"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("file").orderBy("route")
+    rows = g.select("file", (F.row_number().over(w) + 2).alias("line_no"),
+                    F.concat_ws(",", "route", F.col("n").cast("string"), F.lit("0"), F.lit("0"), F.lit("0"),
+                                F.lit("")).alias("line"))
+    tot = g.groupBy("file").agg(F.sum("n").alias("n"))
+    frame = tot.select("file", F.inline(F.array(
+        F.struct(F.lit(0).alias("line_no"), F.lit("Event Summary").alias("line")),
+        F.struct(F.lit(1).alias("line_no"), F.lit("Ridership By Route").alias("line")),
+        F.struct(F.lit(2).alias("line_no"),
+                 F.lit("Route,Ridership,Token Count,Ticket Count,Preset Preset1,X").alias("line")),
+        F.struct(F.lit(1_000_000).alias("line_no"),
+                 F.concat(F.lit("TOTAL,"), F.col("n").cast("string"), F.lit(",0,0,0,")).alias("line")))))
+    return rows.unionByName(frame)
+
+
+def daily_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily totals text per month ("Local Route" report): one row per service day."""
+    d = daily_totals(spark, sf_dir).withColumn("file", _month_file("Local Route 90 ", F.col("service_day"), ".txt"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("file").orderBy("service_day")
+    rows = d.select("file", (F.row_number().over(w) + 2).alias("line_no"),
+                    F.concat_ws(",", F.date_format("service_day", "M/d/yyyy"), F.col("ridership").cast("string"))
+                    .alias("line"))
+    tot = d.groupBy("file").agg(F.sum("ridership").alias("n"))
+    frame = tot.select("file", F.inline(F.array(
+        F.struct(F.lit(1).alias("line_no"), F.lit("Ridership By Route").alias("line")),
+        F.struct(F.lit(2).alias("line_no"), F.lit("Date,Ridership").alias("line")),
+        F.struct(F.lit(999_999).alias("line_no"), F.lit("Weekday Average,0").alias("line")),
+        F.struct(F.lit(1_000_000).alias("line_no"), F.concat(F.lit("TOTAL,"), F.col("n").cast("string")).alias("line")))))
+    return rows.unionByName(frame)
