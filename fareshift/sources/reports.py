@@ -69,7 +69,9 @@ def report_files(spark: SparkSession, directory: str, kind: str, period: str | N
     whole = (kind != "transactions") if whole is None else whole
     df = (spark.read.option("pathGlobFilter", f"*{marker}*").option("recursiveFileLookup", "true")
           .text(directory, wholetext=whole))
-    df = df.select("value", F.col("_metadata.file_name").alias("file"))
+    # the file name comes percent-encoded; decode it (a literal '+' stays '+')
+    name = F.url_decode(F.regexp_replace(F.col("_metadata.file_name"), r"\+", "%2B"))
+    df = df.select("value", name.alias("file"))
     if period:
         df = df.where(F.lower("file").contains(str(period).lower()))
     if year:
