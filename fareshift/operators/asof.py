@@ -12,9 +12,10 @@ Plan, for keys ``by`` (e.g. vehicle and service day):
    bucket (last right row at or before the left row for ``backward``, first at
    or after it for ``forward``). A hot key (one vehicle-day holding a third of
    all rows) is thus split over up to 1,440 buckets instead of one task.
-2. One row per ``(by, bucket)`` summarises the bucket: its last and first right
-   row, its latest right time and whether it holds left rows. The aggregate
-   runs on data already hashed by ``(by, bucket)``.
+2. One row per ``(by, bucket)`` of the right side summarises the bucket: its
+   last and first right row and its latest right time (partial aggregation,
+   so only one row per bucket and map task is shuffled); the left side
+   contributes the distinct ``(by, bucket)`` keys it occupies.
 3. A window over those summaries per ``by``, ordered by bucket, gives each
    bucket the carry-in from earlier (or later) buckets, the first right row of
    the key (rolled ends) and the latest right time (``last_time``). A window
@@ -109,17 +110,25 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         m1 = u.withColumn("_m", F.last("_r", ignorenulls=True).over(w1))
 
-    # 2. one summary row per (by, bucket), on data already hashed by those keys.
-    is_r = F.col("_s") == _RIGHT
-    summary = m1.groupBy(*by, "_b").agg(
-        F.max_by("_r", F.when(is_r, F.struct(F.col("_t"), F.col("_k")))).alias("_last"),
-        F.min_by("_r", F.when(is_r, F.struct(F.col("_t"), -F.col("_k")))).alias("_first"),
-        F.max(F.when(is_r, F.col("_t"))).alias("_tmax"),
-        F.max(F.when(~is_r, F.lit(1))).alias("_has_left"),
-    )
-
-    # 3. carry-in per bucket from the other buckets of the same key.
-    w2 = Window.partitionBy(*by).orderBy("_b")
+    # 2. bucket summaries. Right buckets: last and first right row and the
+    #    latest right time (a partial aggregate before the shuffle, so only
+    #    one row per bucket and map task moves). Left buckets: a hash distinct
+    #    of the bucket keys. The level-1 window's output is not reused here:
+    #    Catalyst would prune it back to these inputs anyway.
+    rb = r.withColumn("_b", F.date_trunc(bucket_unit, F.col("_t")))
+    right_summary = rb.groupBy(*by, "_b").agg(
+        F.max_by("_r", F.struct(F.col("_t"), F.col("_k"))).alias("_last"),
+        F.min_by("_r", F.struct(F.col("_t"), -F.col("_k"))).alias("_first"),
+        F.max("_t").alias("_tmax")).withColumn("_kind", F.lit(_RIGHT))
+    left_buckets = (lft.select(*by, F.date_trunc(bucket_unit, F.col("_t")).alias("_b")).distinct()
+                    .withColumn("_kind", F.lit(_LEFT)))
+    summary = left_buckets.unionByName(right_summary, allowMissingColumns=True)
+
+    # 3. carry-in per left bucket from the other buckets of the same key. Within
+    #    one bucket the right summary must not count as carry: backward puts
+    #    it after the left row ('R' > 'L'), forward before it.
+    kind_order = F.col("_kind").desc() if forward else F.col("_kind").asc()
+    w2 = Window.partitionBy(*by).orderBy(F.col("_b"), kind_order)
     whole = w2.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     if forward:
         carry = F.first("_first", ignorenulls=True).over(w2.rowsBetween(1, Window.unboundedFollowing))
@@ -130,11 +139,12 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
         carry_cols.append(F.first("_first", ignorenulls=True).over(whole).alias("_key_first"))
     if last_time:
         carry_cols.append(F.max("_tmax").over(whole).alias("_key_tmax"))
-    carry_tbl = (summary.select(*by, "_b", "_has_left", *carry_cols)
-                 .where(F.col("_has_left") == 1).drop("_has_left"))
+    carry_tbl = (summary.select(*by, "_b", "_kind", *carry_cols)
+                 .where(F.col("_kind") == _LEFT).drop("_kind"))
 
     # 4. left rows take the in-bucket match, else the carry-in.
-    res = m1.where(~is_r).select(*by, "_b", "_t", "_l", "_m").join(carry_tbl, on=[*by, "_b"], how="left")
+    res = m1.where(F.col("_s") == _LEFT).select(*by, "_b", "_t", "_l", "_m") \
+        .join(carry_tbl, on=[*by, "_b"], how="left")
     match = F.coalesce(F.col("_m"), F.col("_carry"))
     if roll_ends:
         match = F.coalesce(match, F.col("_key_first"))

@@ -8,15 +8,29 @@ from pyspark.sql import functions as F
 # A dimension side (rule codes, report headers, control totals) is broadcast
 # when it has at most this many rows; beyond it the join stays a shuffle join.
 DEFAULT_MAX_BROADCAST_ROWS = 100_000
+DEFAULT_MAX_BROADCAST_BYTES = 8 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Return ``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``.
+def _estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of ``df`` (an upper bound for filters and
+    aggregates without cost-based statistics), or None where unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # e.g. a Spark Connect session
+        return None
 
-    The check reads at most ``max_rows + 1`` rows (a limited count), so it is
-    cheap for a small side and bounded for a large one. Beyond the bound the
-    caller's join falls back to a sort-merge join (and AQE may still switch to
-    a broadcast from runtime statistics).
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                       max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Return ``broadcast(df)`` when ``df`` is provably small, else ``df``.
+
+    First the optimizer's size estimate is checked (no job runs); when it is
+    not below ``max_bytes``, a limited count reads at most ``max_rows + 1``
+    rows. Beyond the bound the caller's join stays a sort-merge join (and
+    AQE may still switch to a broadcast from runtime statistics).
     """
+    est = _estimated_bytes(df)
+    if est is not None and est <= max_bytes:
+        return F.broadcast(df)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

@@ -52,7 +52,6 @@ TD_COLUMNS = {  # header name -> output column
 TD_TEXT = ("type", "vehicle_id", "route", "run", "driver", "description")
 TD_NUMBERS = ("value", "amount", "longitude", "latitude")
 PERIOD_PATTERN = r"([A-Za-z]{3,}\s\d{1,4})"
-MAX_FIELDS = 32
 
 # ------------------------------------------------------------------ files
 
@@ -104,12 +103,26 @@ def _first_line_no(lines: DataFrame, marker: str, name: str, after: str | None =
     return src.where(cond).groupBy("file").agg(F.min("line_no").alias(name))
 
 
+# a comma followed by an even number of quotes up to the end of the line
+# is a field separator (commas inside quoted fields are not)
+_CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
 def _fields(line: Column) -> Column:
-    """CSV fields of a line as an array of strings (quoted commas kept)."""
-    schema = ", ".join(f"c{i} STRING" for i in range(MAX_FIELDS))
-    parsed = F.from_csv(line, schema, {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true",
-                                       "ignoreTrailingWhiteSpace": "true"})
-    return F.array(*[parsed[f"c{i}"] for i in range(MAX_FIELDS)])
+    """CSV fields of a line as an array of strings (quoted commas kept).
+
+    One regular-expression split per line, then each field is trimmed,
+    unquoted ('""' inside quotes becomes '"') and empty fields become null.
+    (A ``from_csv`` per field would be rewritten by the optimizer into one
+    CSV parse per extracted field.)
+    """
+    def clean(x: Column) -> Column:
+        t = F.trim(x)
+        inner = F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"'))
+        quoted = t.startswith('"') & t.endswith('"') & (F.length(t) >= 2)
+        v = F.when(quoted, inner).otherwise(t)
+        return F.when(v != "", v)
+    return F.transform(F.split(line, _CSV_SPLIT), clean)
 
 
 def _norm(name: Column) -> Column:
