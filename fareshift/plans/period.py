@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fareshift.functions.calendar import DEFAULT_FIRST_YEAR, DEFAULT_LAST_YEAR, with_service_type
 from fareshift.functions.classify import (NORTH_BOUNDARY, SOUTH_BOUNDARY, in_fleet, repair_vehicle,
@@ -61,9 +60,50 @@ def matched_table(td: DataFrame, positions: DataFrame, rules: DataFrame, *, star
     return with_local_route(m, "latitude", north, south)
 
 
-def year_span(first_year: int, last_year: int) -> dict:
-    return {"first_year": first_year, "last_year": last_year}
+def materialize(df: DataFrame, name: str, partition_by: str | None = "service_day") -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
+    This cuts the lineage of an expensive intermediate that several sinks
+    read (the matched table): each sink then scans the written files
+    instead of re-running the as-of join, and a lost executor costs a
+    re-read, not a recomputation. The folder is the cluster's
+    ``spark.checkpoint.dir`` (set locally only when absent).
+    """
+    import uuid
+
+    from fareshift.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/fareshift/{name}-{uuid.uuid4().hex}"
+    w = df.write.mode("overwrite")
+    if partition_by and partition_by in df.columns:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
+    return spark.read.parquet(path)
+
+
+def run_period(td: DataFrame, positions: DataFrame, rules: DataFrame, out_dir: str, *, start, end,
+               inclusive: bool = True, label: str = "period", **kw) -> dict[str, DataFrame]:
+    """Entry point for one analysis period: match once, then every summary.
+
+    The matched table is written once (``materialize``); the quality share,
+    the three local-route summaries of the period (by day, by service type
+    long and wide) are computed from the written table and saved as CSV
+    (SNK-1) under ``out_dir``. Returns the summaries (lazy, read from disk).
+    """
+    from fareshift.operators.quality import quality_flags, questionable_pct
+    from fareshift.operators.summary import SERVICE_TYPES, local_counts, local_wide
+    from fareshift.sources.sinks import write_summary
 
-def local_only(matched: DataFrame) -> DataFrame:
-    return matched.where(F.col("local_route") != "90")
+    matched = matched_table(td, positions, rules, start=start, end=end, inclusive=inclusive, **kw)
+    matched = materialize(quality_flags(matched), f"{label}-matched")
+    outputs = {
+        "questionable": questionable_pct(matched),
+        "by_day": local_wide(matched, ["service_day"], "local_route", ("901", "902"), "ridership_"),
+        "by_type_wide": local_wide(matched, ["local_route"], "service_type", SERVICE_TYPES),
+        "by_type_long": local_counts(matched, ["service_type", "local_route"]),
+    }
+    for name, df in outputs.items():
+        write_summary(df, f"{out_dir.rstrip('/')}/{label}_{name}")
+    return outputs

@@ -34,8 +34,18 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_TABLE_CACHE: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One lazy parquet read per (session, table): file listing and footer
+    reading happen once, not in every query built on the table."""
+    key = (id(spark), sf_dir.rstrip("/"), name)
+    df = _TABLE_CACHE.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        _TABLE_CACHE[key] = df
+    return df
 
 
 def _route_of(event_id):
@@ -57,10 +67,12 @@ def td(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    """Ridership rules: code, description ('purchase-2' is deliberately absent)."""
-    return spark.createDataFrame(
-        [("purchase-0", "Single Ride Full Fare"), ("purchase-1", "31 FULL")],
-        "code string, description string")
+    """Ridership rules: code, description ('purchase-2' is deliberately absent).
+
+    An in-plan VALUES list, so the optimizer knows its exact size.
+    """
+    return spark.sql("SELECT * FROM VALUES ('purchase-0', 'Single Ride Full Fare'), ('purchase-1', '31 FULL') "
+                     "AS r(code, description)")
 
 
 def _props_number(props):

@@ -46,3 +46,14 @@ def test_query_matches_oracle(spark, duck, name):
     idx = [ocols.index(c) for c in cols]
     exp = sorted((tuple(_norm(r[i]) for i in idx) for r in cur.fetchall()), key=repr)
     assert got == exp
+
+
+def test_run_period_writes_summaries(spark, tmp_path):
+    from fareshift.plans import roles
+    from fareshift.plans.period import run_period
+    td, pos, rules = roles.td(spark, SF), roles.positions(spark, SF), roles.rules(spark)
+    out = run_period(td, pos, rules, str(tmp_path), start="2024-01-01", end="2024-01-30",
+                     north=60.0, south=20.0, first_year=2023, last_year=2024, label="jan")
+    assert sorted(out) == ["by_day", "by_type_long", "by_type_wide", "questionable"]
+    back = spark.read.csv(str(tmp_path / "jan_by_type_long"), header=True)
+    assert back.count() == out["by_type_long"].count() > 0
