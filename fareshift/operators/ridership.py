@@ -12,32 +12,35 @@ from fareshift.operators.sizing import broadcast_if_small
 
 
 def _rule_codes(rules: DataFrame) -> DataFrame:
-    # Distinct first, or a code listed twice would multiply transactions.
-    return broadcast_if_small(rules.select(F.col("code").alias("_rule_code")).where(
-        F.col("_rule_code").isNotNull()).distinct())
+    # A small dimension: broadcast behind a size check.
+    return broadcast_if_small(rules.select(F.col("code")).where(F.col("code").isNotNull()))
 
 
-def with_ridership_flag(td: DataFrame, rules: DataFrame, out: str = "is_ridership",
-                        description_col: str = "description", type_col: str = "type",
-                        with_transfers: bool = True) -> DataFrame:
-    """Flag a transaction that counts as ridership.
+def is_ridership(rules: DataFrame, description_col: str = "description", type_col: str = "type",
+                 with_transfers: bool = True):
+    """FLT-1 as a Column: the description is one of the rule codes, or (with
+    transfers) the Type contains '118'. Never null.
 
-    FLT-1: its description is one of the rule codes, or (``with_transfers``)
-    its Type contains '118'. Never null. The rule codes are a small dimension
-    joined by a size-checked broadcast hash join.
+    ``description IN (rule codes)`` is an IN subquery; Spark plans it as an
+    existence join, so a code listed twice cannot multiply transactions and
+    no distinct is needed.
     """
-    codes = _rule_codes(rules)
-    j = td.join(codes, F.col(description_col) == F.col("_rule_code"), "left")
-    flag = F.col("_rule_code").isNotNull()
+    flag = F.coalesce(F.col(description_col).isin(_rule_codes(rules)), F.lit(False))
     if with_transfers:
         flag = flag | is_transfer(type_col)
-    return j.withColumn(out, flag).drop("_rule_code")
+    return flag
+
+
+def with_ridership_flag(td: DataFrame, rules: DataFrame, out: str = "is_ridership",
+                        description_col: str = "description", type_col: str = "type",
+                        with_transfers: bool = True) -> DataFrame:
+    """Add the FLT-1 flag as a column."""
+    return td.withColumn(out, is_ridership(rules, description_col, type_col, with_transfers))
 
 
 def ridership_only(td: DataFrame, rules: DataFrame, with_transfers: bool = True, **kw) -> DataFrame:
     """FLT-1: keep the transactions that count as ridership."""
-    return (with_ridership_flag(td, rules, "_used", with_transfers=with_transfers, **kw)
-            .where("_used").drop("_used"))
+    return td.where(is_ridership(rules, with_transfers=with_transfers, **kw))
 
 
 def unused_transactions(td: DataFrame, rules: DataFrame, method: str = "filter",
@@ -51,7 +54,7 @@ def unused_transactions(td: DataFrame, rules: DataFrame, method: str = "filter",
     cross-check.
     """
     if method == "filter":
-        return with_ridership_flag(td, rules, "_used").where(~F.col("_used")).drop("_used")
+        return td.where(~is_ridership(rules))
     used = ridership_only(td, rules)
     cols = list(key) if key else td.columns
     cond = None
@@ -72,8 +75,7 @@ def used_unused_counts(td: DataFrame, rules: DataFrame) -> DataFrame:
 
 def unused_by(td: DataFrame, rules: DataFrame, by: str = "description") -> DataFrame:
     """AGG-1: count the unused transactions by description (or type)."""
-    f = with_ridership_flag(td, rules, "_used").where(~F.col("_used"))
-    return f.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    return td.where(~is_ridership(rules)).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def count_by(df: DataFrame, *keys: str, out: str = "n") -> DataFrame:
