@@ -91,9 +91,14 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
     r = (right.where(keys_present & F.col(right_time).isNotNull())
          .select(*[F.col(k) for k in by], F.col(right_time).alias("_t"), tie_expr.alias("_k"),
                  F.lit(_RIGHT).alias("_s"), F.struct(*carried).alias("_r")))
+    reserved = {"_t", "_k", "_s", "_r", "_b", "_m", "_carry", "_key_first", "_key_tmax", "_match", "_mt", "_ra"}
+    if reserved & set(left.columns):
+        raise ValueError(f"left columns use reserved names: {sorted(reserved & set(left.columns))}")
+    # Left columns stay top-level (not packed), so Catalyst prunes the ones
+    # no consumer reads all the way down to the scan.
+    lcols = [c for c in left.columns if c not in by]
     lft = left.select(*[F.col(k) for k in by], F.col(left_time).alias("_t"),
-                      F.lit(0).cast("long").alias("_k"), F.lit(_LEFT).alias("_s"),
-                      F.struct(*left.columns).alias("_l"))
+                      F.lit(0).cast("long").alias("_k"), F.lit(_LEFT).alias("_s"), *lcols)
     u = (lft.unionByName(r, allowMissingColumns=True)
          .withColumn("_b", F.date_trunc(bucket_unit, F.col("_t"))))
 
@@ -143,7 +148,7 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
                  .where(F.col("_kind") == _LEFT).drop("_kind"))
 
     # 4. left rows take the in-bucket match, else the carry-in.
-    res = m1.where(F.col("_s") == _LEFT).select(*by, "_b", "_t", "_l", "_m") \
+    res = m1.where(F.col("_s") == _LEFT).select(*by, "_b", "_t", *lcols, "_m") \
         .join(carry_tbl, on=[*by, "_b"], how="left")
     match = F.coalesce(F.col("_m"), F.col("_carry"))
     if roll_ends:
@@ -166,7 +171,7 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
         src = F.coalesce(F.col("_ra"), F.col("_match"))
     else:
         src = F.col("_match")
-    return res.select("_l.*", *[src[c].alias(c) for c in carried], *extra)
+    return res.select(*left.columns, *[src[c].alias(c) for c in carried], *extra)
 
 
 def last_position(positions: DataFrame, by: Sequence[str] = ("vehicle_id", "service_day"),

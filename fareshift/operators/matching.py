@@ -69,7 +69,7 @@ def asof_comparison(td: DataFrame, positions: DataFrame, tolerance_seconds: floa
     """
     left = with_service_day(td, "txn_time")
     right = with_service_day(positions, "pos_time")
-    cols = [c for c in POSITION_COLS if c in right.columns and c not in by]
+    cols = ["latitude"]
     exact = asof_join(left, right, by=list(by), left_time="txn_time", right_time="pos_time",
                       right_cols=cols, tie="avl_history_id")
     fuzzy = asof_join(left, right, by=list(by), left_time="txn_time", right_time="pos_time",

@@ -103,6 +103,11 @@ def _matched(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     return matched_table(td, pos, rules, **GEO, **YEARS, **kw)
 
 
+def _located(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    """The matched table for location summaries: only the latitude is carried."""
+    return _matched(spark, sf_dir, position_cols=("latitude",), **kw)
+
+
 # ---------------------------------------------------------------- queries
 
 @register("local_by_day", sql("""
@@ -111,7 +116,7 @@ FROM typed WHERE local_route <> '90' GROUP BY 1, 2"""))
 def local_by_day(spark, sf_dir):
     """DOM-5 flagship: ridership of the local routes by service day."""
     from fareshift.operators.summary import local_counts
-    return local_counts(_matched(spark, sf_dir), ["service_day", "local_route"])
+    return local_counts(_located(spark, sf_dir), ["service_day", "local_route"])
 
 
 @register("asof_backward", sql("""
@@ -410,7 +415,7 @@ FROM typed WHERE local_route <> '90' GROUP BY 1"""))
 def local_by_day_wide(spark, sf_dir):
     """RSH-2: day x local route, absent cells null."""
     from fareshift.operators.summary import LOCAL_ROUTES, local_wide
-    return local_wide(_matched(spark, sf_dir), ["service_day"], "local_route", LOCAL_ROUTES, "ridership_")
+    return local_wide(_located(spark, sf_dir), ["service_day"], "local_route", LOCAL_ROUTES, "ridership_")
 
 
 @register("local_by_type_long", sql("""
@@ -418,7 +423,7 @@ SELECT service_type, local_route, COUNT(*) AS ridership FROM typed WHERE local_r
 def local_by_type_long(spark, sf_dir):
     """DOM-5: local ridership by service type and local route (long)."""
     from fareshift.operators.summary import local_counts
-    return local_counts(_matched(spark, sf_dir), ["service_type", "local_route"])
+    return local_counts(_located(spark, sf_dir), ["service_type", "local_route"])
 
 
 @register("local_by_type_wide", sql("""
@@ -429,7 +434,7 @@ FROM typed WHERE local_route <> '90' GROUP BY 1"""))
 def local_by_type_wide(spark, sf_dir):
     """RSH-2: local route x service type (Weekday, Saturday, Sunday)."""
     from fareshift.operators.summary import SERVICE_TYPES, local_wide
-    return local_wide(_matched(spark, sf_dir), ["local_route"], "service_type", SERVICE_TYPES)
+    return local_wide(_located(spark, sf_dir), ["local_route"], "service_type", SERVICE_TYPES)
 
 
 @register("local_by_month", sql("""
@@ -437,7 +442,7 @@ SELECT monthname(service_day) AS month, COUNT(*) AS ridership FROM typed WHERE l
 def local_by_month(spark, sf_dir):
     """DOM-5 / FLT-7: ridership outside the corridor per month."""
     from fareshift.operators.summary import local_by_month as f
-    return f(_matched(spark, sf_dir))
+    return f(_located(spark, sf_dir))
 
 
 DAILY_SQL = """
@@ -455,7 +460,7 @@ def service_summary_q(spark, sf_dir):
     """AGG-5 / NUM-1: daily counts, then total, days and half-even mean per type, month, route."""
     from fareshift.functions.timefns import month_name
     from fareshift.operators.summary import daily_series, service_summary
-    d = daily_series(_matched(spark, sf_dir), ["service_day", "service_type", "local_route"])
+    d = daily_series(_located(spark, sf_dir), ["service_day", "service_type", "local_route"])
     return service_summary(d.withColumn("month", month_name("service_day")),
                            ["service_type", "month", "local_route"])
 
@@ -467,7 +472,7 @@ FROM typed WHERE local_route <> '90' GROUP BY 1, 2"""))
 def service_summary_distinct_q(spark, sf_dir):
     """AGG-6: rows over distinct days, half-even."""
     from fareshift.operators.summary import service_summary_distinct
-    return service_summary_distinct(_matched(spark, sf_dir))
+    return service_summary_distinct(_located(spark, sf_dir))
 
 
 SEASON_SQL = """
@@ -491,7 +496,7 @@ def _season_series(spark, sf_dir):
     from fareshift.operators.summary import daily_series
     ctl = roles.daily_totals(spark, sf_dir).where(F.col("service_day") < F.lit("2024-01-16").cast("date"))
     ctl = with_service_type(ctl, "service_day", **YEARS).select("service_day", "service_type", "ridership")
-    own = daily_series(_matched(spark, sf_dir, start="2024-01-16", end="2024-01-31"))
+    own = daily_series(_located(spark, sf_dir, start="2024-01-16", end="2024-01-31"))
     return ctl.unionByName(own)
 
 
@@ -524,7 +529,7 @@ def missing_days_q(spark, sf_dir):
     """DT-9: days of the range without local ridership (date spine + anti join)."""
     from fareshift.functions.calendar import missing_days
     from fareshift.operators.summary import daily_series
-    return missing_days(daily_series(_matched(spark, sf_dir), ["service_day"]), "2023-12-31", "2024-01-31")
+    return missing_days(daily_series(_located(spark, sf_dir), ["service_day"]), "2023-12-31", "2024-01-31")
 
 
 # ---------------------------------------------------------------- quality
@@ -542,7 +547,7 @@ flags AS (
 
 def _flags(spark, sf_dir):
     from fareshift.operators.quality import quality_flags
-    return quality_flags(_matched(spark, sf_dir))
+    return quality_flags(_matched(spark, sf_dir, position_cols=("latitude", "gps_status")))
 
 
 @register("quality_flags", sql("SELECT * FROM flags", FLAGS_SQL))
@@ -588,7 +593,7 @@ FROM matched GROUP BY 1"""))
 def bad_gps_by_month_q(spark, sf_dir):
     """AGG-4: bad-GPS share per month over the whole table's rows."""
     from fareshift.operators.quality import bad_gps_by_month
-    return bad_gps_by_month(_matched(spark, sf_dir))
+    return bad_gps_by_month(_matched(spark, sf_dir, position_cols=("latitude", "gps_status")))
 
 
 @register("gps_by_trip", sql("""
@@ -718,7 +723,7 @@ comb_t AS (
 
 
 def _matched90(spark, sf_dir):
-    return _matched(spark, sf_dir, route_pattern="^90")
+    return _located(spark, sf_dir, route_pattern="^90")
 
 
 def _scaled(spark, sf_dir):

@@ -44,9 +44,15 @@ def matched_table(td: DataFrame, positions: DataFrame, rules: DataFrame, *, star
                   repair: dict[str, str] | None = None, roll_ends: bool = False,
                   north: float = NORTH_BOUNDARY, south: float = SOUTH_BOUNDARY,
                   first_year: int = DEFAULT_FIRST_YEAR, last_year: int = DEFAULT_LAST_YEAR,
-                  bucket_unit: str = "minute") -> DataFrame:
+                  bucket_unit: str = "minute",
+                  position_cols: tuple[str, ...] = ("avl_history_id", "latitude", "gps_status", "trip"),
+                  ) -> DataFrame:
     """The matched table: every used transaction with its position, the
     vehicle-day's last position time (``maxtime``), service type and local route.
+
+    ``position_cols`` names the position columns carried through the match;
+    a summary that needs only the latitude passes ``("latitude",)`` so the
+    other position columns are neither read nor shuffled.
     """
     used = used_transactions(td, rules, start=start, end=end, inclusive=inclusive,
                              route_pattern=route_pattern, fleet=fleet, repair=repair)
@@ -55,7 +61,7 @@ def matched_table(td: DataFrame, positions: DataFrame, rules: DataFrame, *, star
         # Positions bounded by service day too (not by calendar midnight), so
         # the tail of the last service day is kept.
         pos = transactions_in_period(pos, start, end, inclusive, time_col="pos_time")
-    m = match_positions(used, pos, roll_ends=roll_ends, bucket_unit=bucket_unit)
+    m = match_positions(used, pos, roll_ends=roll_ends, bucket_unit=bucket_unit, position_cols=position_cols)
     m = with_service_type(m, "service_day", first_year=first_year, last_year=last_year)
     return with_local_route(m, "latitude", north, south)
 
