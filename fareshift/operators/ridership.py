@@ -124,3 +124,14 @@ def reconcile_transfers(td: DataFrame, rules: DataFrame, routesum: DataFrame,
 def sort_route_numeric(df: DataFrame, route_col: str = "route") -> DataFrame:
     """SRT-1: sort text routes by their number (text routes without a number last)."""
     return df.orderBy(F.col(route_col).try_cast("int").asc_nulls_last(), F.col(route_col))
+
+
+def largest_differences(reconciled: DataFrame, n: int = 6, diff_col: str = "ridership_diff",
+                        route_col: str = "route") -> DataFrame:
+    """LIM-1 / SRT-2: the ``n`` routes with the largest difference (a top-k
+    report; ties broken by route so the rows are deterministic).
+
+    Spark plans ``orderBy().limit()`` as TakeOrderedAndProject: each task keeps
+    its own top ``n`` and only those reach the final merge.
+    """
+    return reconciled.orderBy(F.col(diff_col).desc_nulls_last(), F.col(route_col)).limit(n)

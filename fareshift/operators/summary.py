@@ -11,6 +11,7 @@ from fareshift.functions.calendar import SATURDAY, SUNDAY, WEEKDAY
 from fareshift.functions.classify import (LOCAL_NORTH, LOCAL_SOUTH, NORTH_BOUNDARY, SOUTH_BOUNDARY,
                                           TRUNK, label_transfers, local_route, pass_type)
 from fareshift.functions.timefns import month_name
+from fareshift.operators.sizing import broadcast_if_small
 
 LOCAL_ROUTES = (LOCAL_NORTH, LOCAL_SOUTH)
 SERVICE_TYPES = (WEEKDAY, SATURDAY, SUNDAY)
@@ -93,7 +94,7 @@ def pass_mix(td_used: DataFrame, rules: DataFrame, day_col: str = "service_day")
     windows run over the aggregated (day, type) rows.
     """
     r = rules.select(F.col("code").alias("_code"), F.col("description").alias("_rule_description"))
-    r = r.groupBy("_code").agg(F.max("_rule_description").alias("_rule_description"))
+    r = broadcast_if_small(r.groupBy("_code").agg(F.max("_rule_description").alias("_rule_description")))
     j = td_used.join(r, F.col("description") == F.col("_code"), "left")
     typed = j.withColumn("pass_type", pass_type(label_transfers("_rule_description", "type")))
     g = (typed.where(F.col("pass_type").isNotNull())
@@ -110,3 +111,12 @@ def pass_mix_wide(mix: DataFrame, day_col: str = "service_day") -> DataFrame:
     """RSH-2: one row per day, one count column per pass type (null when absent)."""
     p = mix.groupBy(day_col).pivot("pass_type", list(PASS_TYPES)).agg(F.sum("number_of_passes"))
     return p.select(day_col, *[F.col(f"`{v}`").alias(v.lower().replace(" ", "_")) for v in PASS_TYPES])
+
+
+def order_for_report(df: DataFrame, *keys: str) -> DataFrame:
+    """SRT-2: report order, service type as text descending (Weekday, Sunday,
+    Saturday) as the reference's ``order(-Service_Type)``, then ``keys``.
+    Apply at the sink only; no operator depends on row order.
+    """
+    cols = [F.col("service_type").desc()] if "service_type" in df.columns else []
+    return df.orderBy(*cols, *keys)

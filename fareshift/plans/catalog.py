@@ -639,6 +639,18 @@ def reconcile_outer_q(spark, sf_dir):
     return reconcile(td, rules, roles.routesum(spark, sf_dir), how="left")
 
 
+@register("reconcile_top", sql("""
+SELECT m.route, m.ridership_td, r.ridership, m.ridership_td - r.ridership AS ridership_diff,
+       round_even((m.ridership_td - r.ridership) / r.ridership * 100, 3) AS percent_disagree
+FROM (SELECT route, COUNT(*) AS ridership_td FROM used GROUP BY 1) m JOIN routesum r ON m.route = r.route
+ORDER BY ridership_diff DESC, m.route LIMIT 3"""))
+def reconcile_top_q(spark, sf_dir):
+    """LIM-1 / SRT-2: the three routes with the largest difference (a top-k report)."""
+    from fareshift.operators.ridership import largest_differences, reconcile
+    td, _, rules = _inputs(spark, sf_dir)
+    return largest_differences(reconcile(td, rules, roles.routesum(spark, sf_dir)), 3)
+
+
 @register("reconcile_transfers", sql("""
 SELECT m.route, m.ridership_mine, m.mine_xfer, m.transfers, r.ridership,
        m.ridership_mine - r.ridership AS ridership_diff, m.mine_xfer - r.ridership AS xfer_diff,

@@ -94,3 +94,24 @@ def test_questionable_counts_per_fault(spark):
         "txn_time timestamp_ntz, pos_time timestamp_ntz, maxtime timestamp_ntz, gps_status int")
     r = questionable_pct(quality_flags(m)).first()
     assert (r.questionable_pct, r.questionable_pct_distinct) == (50.0, 25.0)
+
+
+def test_top_differences_and_report_order(spark):
+    from fareshift.operators.ridership import largest_differences
+    from fareshift.operators.summary import order_for_report
+    rec = spark.createDataFrame([("1", 5), ("2", 9), ("3", 9), ("4", -1)], "route string, ridership_diff long")
+    assert [r.route for r in largest_differences(rec, 2).collect()] == ["2", "3"]
+    st = spark.createDataFrame([("Saturday", 1), ("Weekday", 2), ("Sunday", 3)], "service_type string, n long")
+    assert [r.service_type for r in order_for_report(st).collect()] == ["Weekday", "Sunday", "Saturday"]
+
+
+def test_iso_parse_and_last_position_join(spark):
+    from fareshift.functions.timefns import parse_iso_timestamp
+    from fareshift.operators.asof import with_last_position
+    df = spark.createDataFrame([("2019-12-03T05:01:02",), ("2019-12-03 05:01:02",), ("junk",)], "s string")
+    got = [r[0] for r in df.select(parse_iso_timestamp("s")).collect()]
+    assert got == [T(2019, 12, 3, 5, 1, 2), T(2019, 12, 3, 5, 1, 2), None]
+    pos = spark.createDataFrame([("1", D(2019, 12, 3), T(2019, 12, 3, 5)), ("1", D(2019, 12, 3), T(2019, 12, 3, 9))],
+                                "vehicle_id string, service_day date, pos_time timestamp_ntz")
+    td = spark.createDataFrame([("1", D(2019, 12, 3)), ("2", D(2019, 12, 3))], "vehicle_id string, service_day date")
+    assert rows(with_last_position(td, pos), "vehicle_id", "maxtime") == [("1", T(2019, 12, 3, 9)), ("2", None)]

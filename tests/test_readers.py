@@ -115,3 +115,15 @@ def test_write_summary_roundtrip(spark):
     write_summary(df, out, mode="append")
     back = spark.read.csv(out, header=True, schema="local_route string, ridership long")
     assert back.count() == 4
+
+
+def test_read_delimited_and_write_detail(spark):
+    from fareshift.sources.reports import read_delimited
+    from fareshift.sources.sinks import write_detail
+    tmp = tempfile.mkdtemp(prefix="fareshift-test-")
+    _write(tmp, "vmh.csv", "Time,Vehicle_ID\n2019-12-03 05:00:00,1976\n2019-12-03 06:00:00,1977\n")
+    df = read_delimited(spark, os.path.join(tmp, "vmh.csv"), "time timestamp_ntz, vehicle_id string")
+    assert df.count() == 2 and dict(df.dtypes)["time"] == "timestamp_ntz"
+    out = os.path.join(tmp, "detail")
+    write_detail(df.withColumn("service_day", F.to_date("time")), out)
+    assert spark.read.parquet(out).where(F.col("service_day") == "2019-12-03").count() == 2
