@@ -79,18 +79,35 @@ def service_type_of(day, holiday_service) -> Column:
             .otherwise(weekday_name(d)))
 
 
+_PER_DAY_CACHE: dict = {}
+
+
+def holiday_service_by_day(spark: SparkSession, first_year: int = DEFAULT_FIRST_YEAR,
+                           last_year: int = DEFAULT_LAST_YEAR, calendar: DataFrame | None = None) -> DataFrame:
+    """(holiday_date, _holiday_service): one row per holiday date, a Saturday
+    holiday winning over a Sunday one. Built once per session and year range
+    (DataFrames are immutable, so the lazy plan is reused)."""
+    def build(cal: DataFrame) -> DataFrame:
+        return cal.groupBy("holiday_date").agg(F.min("service").alias("_holiday_service"))  # 'Saturday' < 'Sunday'
+    if calendar is not None:
+        return build(calendar)
+    key = (id(spark), first_year, last_year)
+    hit = _PER_DAY_CACHE.get(key)
+    if hit is None or hit.sparkSession is not spark:
+        hit = build(holiday_calendar(spark, first_year, last_year))
+        _PER_DAY_CACHE[key] = hit
+    return hit
+
+
 def with_service_type(df: DataFrame, day_col: str = "service_day", out: str = "service_type",
                       first_year: int = DEFAULT_FIRST_YEAR, last_year: int = DEFAULT_LAST_YEAR,
                       calendar: DataFrame | None = None) -> DataFrame:
     """CLS-2: add the service type of ``day_col``.
 
-    The calendar is reduced to one row per date (a Saturday holiday wins over a
-    Sunday one) and broadcast: its size is bounded by seven rows per year.
+    The calendar is reduced to one row per date and broadcast: its size is
+    bounded by seven rows per year.
     """
-    spark = df.sparkSession
-    cal = calendar if calendar is not None else holiday_calendar(spark, first_year, last_year)
-    per_day = (cal.groupBy("holiday_date")
-               .agg(F.min("service").alias("_holiday_service")))  # 'Saturday' < 'Sunday'
+    per_day = holiday_service_by_day(df.sparkSession, first_year, last_year, calendar)
     joined = df.join(F.broadcast(per_day), as_col(day_col) == F.col("holiday_date"), "left")
     return (joined.withColumn(out, service_type_of(day_col, "_holiday_service"))
             .drop("holiday_date", "_holiday_service"))

@@ -48,11 +48,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def _memo(fn):
+    """Build a role frame once per (session, folder): the frames are immutable
+    lazy plans, so every query can share them."""
+    cache: dict = {}
+
+    def wrapper(spark: SparkSession, *args):
+        key = (id(spark), *args)
+        hit = cache.get(key)
+        if hit is None or hit.sparkSession is not spark:
+            hit = fn(spark, *args)
+            cache[key] = hit
+        return hit
+    wrapper.__doc__ = fn.__doc__
+    wrapper.__name__ = fn.__name__
+    return wrapper
+
+
 def _route_of(event_id):
     return (F.when(event_id % 5 == 0, "90").when(event_id % 5 == 1, "901")
             .when(event_id % 5 == 2, "902").when(event_id % 5 == 3, "8").otherwise("25"))
 
 
+@_memo
 def td(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions: txn_id, type, txn_time, vehicle_id, route, description."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "signup"))
@@ -66,6 +84,7 @@ def td(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def rules(spark: SparkSession) -> DataFrame:
     """Ridership rules: code, description ('purchase-2' is deliberately absent).
 
@@ -79,6 +98,7 @@ def _props_number(props):
     return F.regexp_extract(props, "[0-9]+", 0).cast("int")
 
 
+@_memo
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions: avl_history_id, pos_time, vehicle_id, latitude, gps_status, trip."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click", "error"))
@@ -93,12 +113,14 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def routesum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Control totals per route: every transaction the farebox counted, by route."""
     t = td(spark, sf_dir).where(F.col("route") != "25")
     return t.groupBy("route").agg(F.count(F.lit(1)).alias("ridership"))
 
 
+@_memo
 def daily_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Control totals per service day: every route-90-family transaction that day."""
     t = td(spark, sf_dir).where(F.col("route").rlike("^90"))
@@ -106,6 +128,7 @@ def daily_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("ridership")))
 
 
+@_memo
 def vmh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Message history: avl_history_id, time, route, vehicle_id (number), trip."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click", "error"))
@@ -118,6 +141,7 @@ def vmh(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def avl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position history: avl_history_id, time, latitude, gps_status (views and clicks only)."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
@@ -130,6 +154,7 @@ def avl(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def td2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as transactions: txn_id, txn_time, vehicle_id (customer)."""
     o = table(spark, sf_dir, "orders")
@@ -137,6 +162,7 @@ def td2(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("o_custkey").alias("vehicle_id"))
 
 
+@_memo
 def positions2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipped lines as positions: vehicle_id, pos_time, avl_history_id, latitude.
 
