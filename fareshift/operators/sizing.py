@@ -28,6 +28,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
     not below ``max_bytes``, a limited count reads at most ``max_rows + 1``
     rows. Beyond the bound the caller's join stays a sort-merge join (and
     AQE may still switch to a broadcast from runtime statistics).
+
+    Meant for dimension inputs (rule lists, control totals) whose sources
+    are small: the count runs the side's plan once. A side whose size follows
+    from metadata (one row per listed file) should be bounded by that instead.
     """
     est = _estimated_bytes(df)
     if est is not None and est <= max_bytes:

@@ -95,14 +95,6 @@ def numbered_lines(whole: DataFrame) -> DataFrame:
     return whole.select("file", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("line_no", "line"))
 
 
-def _first_line_no(lines: DataFrame, marker: str, name: str, after: str | None = None) -> DataFrame:
-    cond = F.col("line").contains(marker)
-    src = lines
-    if after is not None:
-        cond = cond & (F.col("line_no") > F.col(after))
-    return src.where(cond).groupBy("file").agg(F.min("line_no").alias(name))
-
-
 # a comma followed by an even number of quotes up to the end of the line
 # is a field separator (commas inside quoted fields are not)
 _CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -157,10 +149,13 @@ def parse_rules(lines: DataFrame, version: int = 2) -> DataFrame:
     outer characters. A rules section is one report page, so the per-file
     window is small.
     """
-    start = _first_line_no(lines, RULES_START, "_start")
-    end = _first_line_no(lines.join(start, "file"), RULES_END, "_end", after="_start")
-    sec = (lines.join(start, "file").join(end, "file")
-           .where((F.col("line_no") > F.col("_start")) & (F.col("line_no") < F.col("_end"))))
+    by_file = Window.partitionBy("file")
+    sec = lines.withColumn("_start", F.min(F.when(F.col("line").contains(RULES_START), F.col("line_no")))
+                           .over(by_file))
+    sec = sec.withColumn("_end", F.min(F.when(F.col("line").contains(RULES_END)
+                                              & (F.col("line_no") > F.col("_start")), F.col("line_no")))
+                         .over(by_file))
+    sec = sec.where((F.col("line_no") > F.col("_start")) & (F.col("line_no") < F.col("_end")))
     if version == 2:
         tok = sec.select("file", "line_no", F.posexplode(F.split("line", '","')).alias("pos", "tok"))
         tok = tok.where(~F.col("tok").isin('""', "", '"'))
@@ -186,19 +181,31 @@ def read_rules(spark: SparkSession, directory: str, period: str | None = None, v
 # ------------------------------------------------------------------ route summary
 
 
-def _summary_section(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Header fields and body lines between 'Ridership By Route' and 'TOTAL'."""
-    start = _first_line_no(lines, ROUTESUM_START, "_start")
-    total = _first_line_no(lines.join(start, "file"), ROUTESUM_END, "_total", after="_start")
-    bounds = start.join(total, "file", "left")
-    j = lines.join(bounds, "file")
-    header = (j.where(F.col("line_no") == F.col("_start") + 1)
-              .select("file", _header_norm(_fields(F.col("line"))).alias("_hdr")))
-    body = j.where((F.col("line_no") > F.col("_start") + 1)
+def _summary_bounds(lines: DataFrame) -> DataFrame:
+    """Mark each line with its file's 'Ridership By Route' line (``_start``),
+    first 'TOTAL' line after it (``_total``) and header text (``_hline``).
+
+    Window functions per file, no joins: these reports are read whole, one
+    file per task, and are a page or two long.
+    """
+    by_file = Window.partitionBy("file")
+    b = lines.withColumn("_start", F.min(F.when(F.col("line").contains(ROUTESUM_START), F.col("line_no")))
+                         .over(by_file))
+    return (b.withColumn("_total", F.min(F.when(F.col("line").contains(ROUTESUM_END)
+                                                 & (F.col("line_no") > F.col("_start")), F.col("line_no")))
+                         .over(by_file))
+            .withColumn("_hline", F.max(F.when(F.col("line_no") == F.col("_start") + 1, F.col("line")))
+                        .over(by_file)))
+
+
+def _summary_section(lines: DataFrame) -> DataFrame:
+    """Body lines between the header and 'TOTAL', with parsed fields and header."""
+    b = _summary_bounds(lines)
+    body = b.where((F.col("line_no") > F.col("_start") + 1)
                    & (F.col("_total").isNull() | (F.col("line_no") < F.col("_total")))
                    & (F.trim("line") != ""))
-    body = body.join(header, "file").withColumn("_f", _fields(F.col("line")))
-    return header, body
+    return body.select("file", _fields(F.col("line")).alias("_f"),
+                       _header_norm(_fields(F.col("_hline"))).alias("_hdr"))
 
 
 def parse_routesum(lines: DataFrame) -> DataFrame:
@@ -208,7 +215,7 @@ def parse_routesum(lines: DataFrame) -> DataFrame:
     reads it as a separate control value). Token, ticket, preset and unnamed
     columns are not carried.
     """
-    _, body = _summary_section(lines)
+    body = _summary_section(lines)
     return body.select("file", F.trim(_pick(F.col("_f"), F.col("_hdr"), "Route")).alias("route"),
                        _count_text(_pick(F.col("_f"), F.col("_hdr"), "Ridership")).alias("ridership")) \
         .where(F.col("route").isNotNull())
@@ -216,14 +223,9 @@ def parse_routesum(lines: DataFrame) -> DataFrame:
 
 def routesum_total(lines: DataFrame) -> DataFrame:
     """The TOTAL row of each route summary: (file, total_ridership)."""
-    start = _first_line_no(lines, ROUTESUM_START, "_start")
-    total = _first_line_no(lines.join(start, "file"), ROUTESUM_END, "_total", after="_start")
-    j = lines.join(start.join(total, "file"), "file")
-    header = (j.where(F.col("line_no") == F.col("_start") + 1)
-              .select("file", _header_norm(_fields(F.col("line"))).alias("_hdr")))
-    row = j.where(F.col("line_no") == F.col("_total")).join(header, "file")
-    return row.select("file", _count_text(_pick(_fields(F.col("line")), F.col("_hdr"), "Ridership"))
-                      .alias("total_ridership"))
+    row = _summary_bounds(lines).where(F.col("line_no") == F.col("_total"))
+    return row.select("file", _count_text(_pick(_fields(F.col("line")), _header_norm(_fields(F.col("_hline"))),
+                                                "Ridership")).alias("total_ridership"))
 
 
 def read_routesum(spark: SparkSession, directory: str, period: str | None = None,
@@ -238,7 +240,7 @@ def parse_daily_totals(lines: DataFrame) -> DataFrame:
 
     Rows whose date does not parse (trailing totals, averages) are dropped.
     """
-    _, body = _summary_section(lines)
+    body = _summary_section(lines)
     out = body.select("file", parse_report_date(_pick(F.col("_f"), F.col("_hdr"), "Date")).alias("service_day"),
                       _count_text(_pick(F.col("_f"), F.col("_hdr"), "Ridership")).alias("ridership"))
     return out.where(F.col("service_day").isNotNull())
@@ -252,19 +254,30 @@ def read_daily_totals(spark: SparkSession, directory: str, period: str | None =
 # ------------------------------------------------------------------ transaction detail
 
 
-def _td_headers(lines: DataFrame) -> DataFrame:
+MAX_BROADCAST_FILES = 1_000_000
+
+
+def _td_headers(lines: DataFrame, n_files: int | None = None) -> DataFrame:
+    """One header row per report file, broadcast to the body lines.
+
+    The table has exactly one row per ``file``. When the lines come straight
+    from a file listing, ``n_files`` (from ``inputFiles()``, no job) bounds
+    it and it is broadcast; otherwise the size check decides. Without a
+    broadcast the join on ``file`` would hash every line of a file to one task.
+    """
     cond = F.lit(True)
     for m in TD_HEADER_MARKERS:
         cond = cond & F.col("line").contains(m)
     hdr = lines.where(cond).groupBy("file").agg(F.min("line").alias("_hline"))
     hdr = hdr.select("file", _header_norm(_fields(F.col("_hline"))).alias("_hdr"),
                      (F.size(F.split("_hline", ",")) - 1).alias("_hcommas"))
-    # one row per file: a small side, broadcast behind a size check
+    if n_files is not None and n_files <= MAX_BROADCAST_FILES:
+        return F.broadcast(hdr)
     return broadcast_if_small(hdr)
 
 
-def _td_candidates(lines: DataFrame) -> DataFrame:
-    hdr = _td_headers(lines)
+def _td_candidates(lines: DataFrame, n_files: int | None = None) -> DataFrame:
+    hdr = _td_headers(lines, n_files)
     j = lines.join(hdr, "file")
     is_header = F.col("line").contains(TD_HEADER_MARKERS[0]) & F.col("line").contains(TD_HEADER_MARKERS[1])
     j = j.where(~is_header & (F.trim("line") != "") & ~F.col("line").contains(TD_FOOTER))
@@ -272,14 +285,14 @@ def _td_candidates(lines: DataFrame) -> DataFrame:
     return j.withColumn("txn_time", parse_report_timestamp(_pick(F.col("_f"), F.col("_hdr"), "Date and Time")))
 
 
-def parse_transactions(lines: DataFrame) -> DataFrame:
+def parse_transactions(lines: DataFrame, n_files: int | None = None) -> DataFrame:
     """SRC-8: (file, line) rows of transaction reports -> typed transactions.
 
     Columns are picked by header name; Direction, Fareset, Stop and Trip are
     not carried; six columns stay text (PRJ-3), amounts and coordinates are
     doubles. A body row is one whose date parses.
     """
-    c = _td_candidates(lines).where(F.col("txn_time").isNotNull())
+    c = _td_candidates(lines, n_files).where(F.col("txn_time").isNotNull())
     cols = [F.col("file")]
     for header, name in TD_COLUMNS.items():
         if name == "txn_time":
@@ -290,10 +303,10 @@ def parse_transactions(lines: DataFrame) -> DataFrame:
     return c.select(*cols)
 
 
-def rejected_transactions(lines: DataFrame) -> DataFrame:
+def rejected_transactions(lines: DataFrame, n_files: int | None = None) -> DataFrame:
     """Rows shaped like data (at least the header's field count) whose date
     does not parse, per file: (file, rejected)."""
-    c = _td_candidates(lines)
+    c = _td_candidates(lines, n_files)
     bad = c.where(F.col("txn_time").isNull() & ((F.size(F.split("line", ",")) - 1) >= F.col("_hcommas")))
     return bad.groupBy("file").agg(F.count(F.lit(1)).alias("rejected"))
 
@@ -303,7 +316,8 @@ def read_transactions(spark: SparkSession, directory: str, period: str | None =
     """SRC-8 from files (line by line, splittable), with the period."""
     lines = report_files(spark, directory, "transactions", period=period, year=year, whole=False) \
         .withColumnRenamed("value", "line")
-    return with_period(parse_transactions(lines))
+    # ``file`` is the physical file here, so the listing bounds the header table
+    return with_period(parse_transactions(lines, n_files=len(lines.inputFiles())))
 
 
 def read_delimited(spark: SparkSession, path: str, schema, header: bool = True, sep: str = ",") -> DataFrame:
