@@ -14,7 +14,6 @@ from fareshift.functions import as_col
 # The service day starts at 03:00 (a clock time before 03:00:00
 # belongs to the previous day), and the report date-time layouts.
 SERVICE_DAY_START_HOUR = 3
-REPORT_TIMESTAMP_FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm")
 REPORT_DATE_FORMAT = "M/d/yyyy"
 
 
@@ -64,24 +63,43 @@ def time_gap_seconds(txn_time, pos_time, clock: bool = False) -> Column:
     return elapsed_seconds(pos_time, txn_time)
 
 
+_REPORT_TS = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([AaPp][Mm])?\s*$"
+_ISO_TS = r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})[ T](\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?\s*$"
+
+
+def _part(text: Column, pattern: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
 def parse_report_timestamp(text) -> Column:
     """DT-1: month-day-year report text to TIMESTAMP_NTZ; bad text gives null.
 
-    24-hour and AM/PM layouts are both accepted.
+    24-hour ('11/2/2019 13:05:09') and AM/PM ('11/2/2019 1:05:09 PM') layouts
+    are accepted; seconds are optional. The parts are assembled with
+    ``try_make_timestamp_ntz``, so the wall-clock text is kept as written in
+    any session time zone, and impossible dates give null.
     """
-    c = F.trim(as_col(text))
-    parsed = [F.try_to_timestamp(c, F.lit(fmt)) for fmt in REPORT_TIMESTAMP_FORMATS]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    c = as_col(text)
+    num = lambda g: _part(c, _REPORT_TS, g).try_cast("int")
+    hour = num(4)
+    ampm = F.upper(_part(c, _REPORT_TS, 7))
+    hour24 = (F.when(ampm.isNull(), hour)
+              .when(hour.between(1, 12), hour % 12 + F.when(ampm == "PM", 12).otherwise(0)))
+    secs = F.coalesce(num(6), F.lit(0)).cast("decimal(16,6)")
+    return F.try_make_timestamp_ntz(num(3), num(1), num(2), hour24, num(5), secs)
 
 
 def parse_report_date(text) -> Column:
     """DT-1 (date only): ``M/d/yyyy`` text to DATE; bad text gives null."""
-    return F.try_to_timestamp(F.trim(as_col(text)), F.lit(REPORT_DATE_FORMAT)).cast("date")
+    return F.try_to_date(F.trim(as_col(text)), REPORT_DATE_FORMAT)
 
 
 def parse_iso_timestamp(text) -> Column:
-    """DT-2: ISO text (space or ``T`` separator) to TIMESTAMP_NTZ."""
-    return F.try_to_timestamp(F.regexp_replace(as_col(text), "T", " ")).cast("timestamp_ntz")
+    """DT-2: ISO text (space or ``T`` separator) to TIMESTAMP_NTZ; bad text gives null."""
+    c = as_col(text)
+    num = lambda g: _part(c, _ISO_TS, g).try_cast("int")
+    secs = F.coalesce(_part(c, _ISO_TS, 6).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
+    return F.try_make_timestamp_ntz(num(1), num(2), num(3), num(4), num(5), secs)
 
 
 def clock_text(ts) -> Column:

@@ -39,6 +39,16 @@ from pyspark.sql import functions as F
 _RIGHT, _LEFT = "R", "L"
 
 
+_UNITS = {"second": "SECOND", "minute": "MINUTE", "hour": "HOUR", "day": "DAY"}
+
+
+def _bucket(t: Column, unit: str) -> Column:
+    """Whole ``unit``s since 1970-01-01 on the wall clock (pure TIMESTAMP_NTZ
+    arithmetic, so the session time zone never moves a bucket)."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff(_UNITS[unit], epoch, t)
+
+
 def _interval_seconds(seconds: float) -> Column:
     return F.make_dt_interval(secs=F.lit(float(seconds)).cast("decimal(18,6)"))
 
@@ -77,6 +87,8 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
         raise ValueError("ties must be 'last' or 'all'")
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
+    if bucket_unit not in _UNITS:
+        raise ValueError(f"bucket_unit must be one of {sorted(_UNITS)}")
     by = list(by)
     carried = [right_time] + [c for c in right_cols if c != right_time and c not in by]
     clash = set(carried) & set(left.columns)
@@ -100,7 +112,7 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
     lft = left.select(*[F.col(k) for k in by], F.col(left_time).alias("_t"),
                       F.lit(0).cast("long").alias("_k"), F.lit(_LEFT).alias("_s"), *lcols)
     u = (lft.unionByName(r, allowMissingColumns=True)
-         .withColumn("_b", F.date_trunc(bucket_unit, F.col("_t"))))
+         .withColumn("_b", _bucket(F.col("_t"), bucket_unit)))
 
     # 1. match inside (by, bucket). Backward: rights sort before lefts at equal
     #    times ('R' > 'L' so descending), ties ascending so the last is largest.
@@ -120,12 +132,12 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
     #    one row per bucket and map task moves). Left buckets: a hash distinct
     #    of the bucket keys. The level-1 window's output is not reused here:
     #    Catalyst would prune it back to these inputs anyway.
-    rb = r.withColumn("_b", F.date_trunc(bucket_unit, F.col("_t")))
+    rb = r.withColumn("_b", _bucket(F.col("_t"), bucket_unit))
     right_summary = rb.groupBy(*by, "_b").agg(
         F.max_by("_r", F.struct(F.col("_t"), F.col("_k"))).alias("_last"),
         F.min_by("_r", F.struct(F.col("_t"), -F.col("_k"))).alias("_first"),
         F.max("_t").alias("_tmax")).withColumn("_kind", F.lit(_RIGHT))
-    left_buckets = (lft.select(*by, F.date_trunc(bucket_unit, F.col("_t")).alias("_b")).distinct()
+    left_buckets = (lft.select(*by, _bucket(F.col("_t"), bucket_unit).alias("_b")).distinct()
                     .withColumn("_kind", F.lit(_LEFT)))
     summary = left_buckets.unionByName(right_summary, allowMissingColumns=True)
 

@@ -66,3 +66,21 @@ def test_service_type_cases(spark):
 def test_missing_days(spark):
     df = spark.createDataFrame([(D(2020, 1, 1),), (D(2020, 1, 3),)], "service_day date")
     assert rows(missing_days(df, "2020-01-01", "2020-01-04")) == [(D(2020, 1, 2),), (D(2020, 1, 4),)]
+
+
+def test_wall_clock_kept_in_any_session_zone(spark):
+    from fareshift.operators.asof import asof_join
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Indiana/Indianapolis")
+    try:
+        df = spark.createDataFrame([("3/10/2024 2:30:00",), ("11/3/2024 1:30:00 AM",)], "s string")
+        got = [r[0] for r in df.select(parse_report_timestamp("s")).collect()]
+        assert got == [T(2024, 3, 10, 2, 30), T(2024, 11, 3, 1, 30)]
+        # a position inside the spring-forward hour still matches by wall clock
+        p = spark.createDataFrame([("1", T(2024, 3, 10, 2, 30), 1)], "vehicle_id string, pos_time timestamp_ntz, a long")
+        t = spark.createDataFrame([(1, "1", T(2024, 3, 10, 2, 45)), (2, "1", T(2024, 3, 10, 2, 15))],
+                                  "txn_id long, vehicle_id string, txn_time timestamp_ntz")
+        m = asof_join(t, p, by=["vehicle_id"], left_time="txn_time", right_time="pos_time", right_cols=["a"])
+        assert rows(m, "txn_id", "a") == [(1, 1), (2, None)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
