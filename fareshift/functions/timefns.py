@@ -103,8 +103,10 @@ def parse_iso_timestamp(text) -> Column:
 
 
 def clock_text(ts) -> Column:
-    """DT-5: ``HH:mm:ss`` clock text."""
-    return F.date_format(as_col(ts), "HH:mm:ss")
+    """DT-5: ``HH:mm:ss`` clock text, from the wall-clock fields (``date_format``
+    would route a TIMESTAMP_NTZ through the session time zone)."""
+    c = as_col(ts)
+    return F.format_string("%02d:%02d:%02d", F.hour(c), F.minute(c), F.second(c))
 
 
 def month_name(day) -> Column:

@@ -17,14 +17,14 @@ def compare_daily(daily: DataFrame, totals: DataFrame, day_col: str = "service_d
     """
     j = daily.select(day_col, count_col).join(totals.select(day_col, "ridership"), on=day_col, how="full")
     return (j.withColumn("diff", F.col(count_col) - F.col("ridership"))
-            .withColumn("pct_diff", F.bround(F.col("diff") / F.col("ridership") * 100, digits)))
+            .withColumn("pct_diff", F.bround(F.try_divide(F.col("diff"), F.col("ridership")) * 100, digits)))
 
 
 def compare_daily_overall(compared: DataFrame) -> DataFrame:
     """DOM-7 overall: sum of differences over sum of control (days on both sides)."""
     both = compared.where(F.col("diff").isNotNull())
     return both.agg(F.sum("diff").alias("sum_diff"), F.sum("ridership").alias("sum_ridership"),
-                    (F.sum("diff") / F.sum("ridership")).alias("overall_ratio"))
+                    F.try_divide(F.sum("diff"), F.sum("ridership")).alias("overall_ratio"))
 
 
 def scale_to_control(local_daily: DataFrame, totals: DataFrame, day_col: str = "service_day",

@@ -32,14 +32,16 @@ def quality_flags(matched: DataFrame, *, txn_time: str = "txn_time", pos_time: s
     """
     diff = time_gap_seconds(txn_time, pos_time, clock=clock)
     t, lt = F.col(txn_time), F.col(last_time)
-    gap = F.coalesce((t < lt) & (F.col("timediffs") > F.lit(gap_seconds)), F.lit(False))
+    gap = F.coalesce((t < lt) & (diff > F.lit(gap_seconds)), F.lit(False))
     if null_is_gap:
-        gap = gap | F.col("timediffs").isNull()
-    return (matched.withColumn("timediffs", diff)
-            .withColumn("after_last", F.coalesce(t > lt, F.lit(False)))
-            .withColumn("in_gap", gap)
-            .withColumn("bad_gps", bad_gps(gps_col))
-            .withColumn("before_first", F.coalesce(F.col(pos_time) > t, F.lit(False))))
+        gap = gap | diff.isNull()
+    return matched.withColumns({
+        "timediffs": diff,
+        "after_last": F.coalesce(t > lt, F.lit(False)),
+        "in_gap": gap,
+        "bad_gps": bad_gps(gps_col),
+        "before_first": F.coalesce(F.col(pos_time) > t, F.lit(False)),
+    })
 
 
 def questionable_pct(flagged: DataFrame, scale: float = 100.0) -> DataFrame:
@@ -58,8 +60,8 @@ def questionable_pct(flagged: DataFrame, scale: float = 100.0) -> DataFrame:
         F.count(F.when(F.col("after_last"), 1)).alias("n_after_last"),
         F.count(F.when(F.col("in_gap"), 1)).alias("n_in_gap"),
         F.count(F.when(F.col("bad_gps"), 1)).alias("n_bad_gps"),
-        (F.sum(faults) / n * scale).alias("questionable_pct"),
-        (F.count(F.when(anyf, 1)) / n * scale).alias("questionable_pct_distinct"))
+        (F.try_divide(F.sum(faults), n) * scale).alias("questionable_pct"),
+        (F.try_divide(F.count(F.when(anyf, 1)), n) * scale).alias("questionable_pct_distinct"))
 
 
 def quality_report(positions: DataFrame, flagged: DataFrame, gps_col: str = "gps_status",
@@ -79,10 +81,10 @@ def quality_report(positions: DataFrame, flagged: DataFrame, gps_col: str = "gps
     n_v = F.count(F.when(is_v, 1))
     n_t = F.count(F.when(is_t, 1))
     return u.agg(
-        F.bround(F.count(F.when(is_v & F.col("_bad"), 1)) / n_v * 100, digits).alias("bad_vmh_pct"),
+        F.bround(F.try_divide(F.count(F.when(is_v & F.col("_bad"), 1)), n_v) * 100, digits).alias("bad_vmh_pct"),
         n_v.alias("count_vmh"),
-        F.bround(F.count(F.when(is_t & F.col("_bad"), 1)) / n_t * 100, digits).alias("bad_td_pct"),
-        F.bround(F.sum(F.when(is_t, F.col("_faults"))) / n_t * 100, digits).alias("questionable_td_pct"),
+        F.bround(F.try_divide(F.count(F.when(is_t & F.col("_bad"), 1)), n_t) * 100, digits).alias("bad_td_pct"),
+        F.bround(F.try_divide(F.sum(F.when(is_t, F.col("_faults"))), n_t) * 100, digits).alias("questionable_td_pct"),
         n_t.alias("count_td"))
 
 
@@ -97,9 +99,9 @@ def pct_of_rows(df: DataFrame, cond, by: Sequence[str] = (), out: str = "pct") -
     by = list(by)
     g = df.groupBy(*by).agg(F.count(F.when(cond, 1)).alias("_hit"), F.count(F.lit(1)).alias("_n"))
     if not by:
-        return g.select((F.col("_hit") / F.col("_n") * 100).alias(out))
+        return g.select((F.try_divide(F.col("_hit"), F.col("_n")) * 100).alias(out))
     total = F.sum("_n").over(Window.partitionBy())  # one row per group: small
-    return g.select(*by, (F.col("_hit") / total * 100).alias(out))
+    return g.select(*by, (F.try_divide(F.col("_hit"), total) * 100).alias(out))
 
 
 def bad_gps_by_month(matched: DataFrame, day_col: str = "service_day", gps_col: str = "gps_status") -> DataFrame:

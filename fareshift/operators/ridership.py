@@ -99,7 +99,7 @@ def reconcile(td: DataFrame, rules: DataFrame, routesum: DataFrame, by: Sequence
     j = mine.join(ctl, on=by, how=how)
     return (j.withColumn("ridership_diff", F.col("ridership_td") - F.col("ridership"))
             .withColumn("percent_disagree",
-                        F.bround(F.col("ridership_diff") / F.col("ridership") * 100, digits)))
+                        F.bround(F.try_divide(F.col("ridership_diff"), F.col("ridership")) * 100, digits)))
 
 
 def reconcile_transfers(td: DataFrame, rules: DataFrame, routesum: DataFrame,

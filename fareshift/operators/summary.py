@@ -70,7 +70,7 @@ def service_summary_distinct(matched: DataFrame, by: Sequence[str] = ("service_t
     g = _local(matched).groupBy(*by).agg(F.count(F.lit(1)).alias("total_ridership"),
                                          F.countDistinct(day_col).alias("service_days"))
     return g.withColumn("average_daily_ridership",
-                        F.bround(F.col("total_ridership") / F.col("service_days"), 0))
+                        F.bround(F.try_divide(F.col("total_ridership"), F.col("service_days")), 0))
 
 
 def season_summary(daily: DataFrame, by: Sequence[str] = ("service_type",), until=None,
@@ -101,7 +101,7 @@ def pass_mix(td_used: DataFrame, rules: DataFrame, day_col: str = "service_day")
          .groupBy(day_col, "pass_type").agg(F.count(F.lit(1)).alias("number_of_passes")))
     w = Window.partitionBy(day_col)
     return (g.withColumn("daily_sum", F.sum("number_of_passes").over(w))
-            .withColumn("share", F.col("number_of_passes") / F.col("daily_sum")))
+            .withColumn("share", F.try_divide(F.col("number_of_passes"), F.col("daily_sum"))))
 
 
 PASS_TYPES = ("Single Ride", "Period Pass", "Stored Ride", "Free Key")

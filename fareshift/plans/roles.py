@@ -188,8 +188,14 @@ TD_HEADER = ("Type,Date and Time,Bus,Route,Run,Driver,Description,Value,Amount,D
 
 
 def _month_file(prefix: str, day, suffix: str):
-    return F.concat(F.lit(prefix), F.date_format(day, "MMMM"), F.lit(" "), F.date_format(day, "yyyy"),
-                    F.lit(suffix))
+    d = F.to_date(day)
+    return F.concat(F.lit(prefix), F.date_format(d, "MMMM"), F.lit(" "), F.year(d).cast("string"), F.lit(suffix))
+
+
+def _report_time_text(t):
+    """'M/d/yyyy H:mm:ss' from the wall-clock fields (no session-zone cast)."""
+    return F.format_string("%d/%d/%d %d:%02d:%02d", F.month(t), F.dayofmonth(t), F.year(t),
+                           F.hour(t), F.minute(t), F.second(t))
 
 
 def td_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +203,7 @@ def td_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = td(spark, sf_dir).withColumn(
         "file", F.upper(_month_file("TRANSACTION DETAIL ", F.col("txn_time"), ".csv")))
     body = t.select("file", F.concat_ws(
-        ",", "type", F.date_format("txn_time", "M/d/yyyy H:mm:ss"), "vehicle_id", "route", F.lit("1"), F.lit("0"),
+        ",", "type", _report_time_text(F.col("txn_time")), "vehicle_id", "route", F.lit("1"), F.lit("0"),
         "description", F.lit("1.75"), F.lit("1.75"), F.lit(""), F.lit("1"), F.lit(""), F.lit(""), F.lit(""),
         F.lit("")).alias("line"))
     files = t.groupBy("file").agg(F.count(F.lit(1)).alias("n"))

@@ -115,3 +115,13 @@ def test_iso_parse_and_last_position_join(spark):
                                 "vehicle_id string, service_day date, pos_time timestamp_ntz")
     td = spark.createDataFrame([("1", D(2019, 12, 3)), ("2", D(2019, 12, 3))], "vehicle_id string, service_day date")
     assert rows(with_last_position(td, pos), "vehicle_id", "maxtime") == [("1", T(2019, 12, 3, 9)), ("2", None)]
+
+
+def test_empty_and_zero_denominators_give_null(spark):
+    from fareshift.operators.control import compare_daily
+    empty = spark.createDataFrame([], "txn_time timestamp_ntz, pos_time timestamp_ntz, maxtime timestamp_ntz, gps_status int")
+    r = questionable_pct(quality_flags(empty)).first()
+    assert r.n_rows == 0 and r.questionable_pct is None
+    daily = spark.createDataFrame([(D(2020, 1, 1), 5)], "service_day date, n long")
+    totals = spark.createDataFrame([(D(2020, 1, 1), 0)], "service_day date, ridership long")
+    assert compare_daily(daily, totals).first().pct_diff is None

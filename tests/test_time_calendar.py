@@ -76,6 +76,9 @@ def test_wall_clock_kept_in_any_session_zone(spark):
         df = spark.createDataFrame([("3/10/2024 2:30:00",), ("11/3/2024 1:30:00 AM",)], "s string")
         got = [r[0] for r in df.select(parse_report_timestamp("s")).collect()]
         assert got == [T(2024, 3, 10, 2, 30), T(2024, 11, 3, 1, 30)]
+        from fareshift.functions.timefns import clock_text
+        c = spark.createDataFrame([(T(2024, 3, 10, 2, 30, 5),)], "t timestamp_ntz").select(clock_text("t")).first()[0]
+        assert c == "02:30:05"
         # a position inside the spring-forward hour still matches by wall clock
         p = spark.createDataFrame([("1", T(2024, 3, 10, 2, 30), 1)], "vehicle_id string, pos_time timestamp_ntz, a long")
         t = spark.createDataFrame([(1, "1", T(2024, 3, 10, 2, 45)), (2, "1", T(2024, 3, 10, 2, 15))],
