@@ -100,30 +100,30 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
     keys_present = F.lit(True)
     for k in by:
         keys_present = keys_present & F.col(k).isNotNull()
+    left_cols = left.columns
+    reserved = {"_t", "_k", "_s", "_r", "_b", "_m", "_kind", "_carry", "_key_first", "_key_tmax", "_mt", "_ra"}
+    if reserved & set(left_cols):
+        raise ValueError(f"left columns use reserved names: {sorted(reserved & set(left_cols))}")
     r = (right.where(keys_present & F.col(right_time).isNotNull())
-         .select(*[F.col(k) for k in by], F.col(right_time).alias("_t"), tie_expr.alias("_k"),
-                 F.lit(_RIGHT).alias("_s"), F.struct(*carried).alias("_r")))
-    reserved = {"_t", "_k", "_s", "_r", "_b", "_m", "_carry", "_key_first", "_key_tmax", "_match", "_mt", "_ra"}
-    if reserved & set(left.columns):
-        raise ValueError(f"left columns use reserved names: {sorted(reserved & set(left.columns))}")
+         .select(*by, F.col(right_time).alias("_t"), tie_expr.alias("_k"), F.lit(_RIGHT).alias("_s"),
+                 F.struct(*carried).alias("_r"), _bucket(F.col(right_time), bucket_unit).alias("_b")))
     # Left columns stay top-level (not packed), so Catalyst prunes the ones
     # no consumer reads all the way down to the scan.
-    lcols = [c for c in left.columns if c not in by]
-    lft = left.select(*[F.col(k) for k in by], F.col(left_time).alias("_t"),
-                      F.lit(0).cast("long").alias("_k"), F.lit(_LEFT).alias("_s"), *lcols)
-    u = (lft.unionByName(r, allowMissingColumns=True)
-         .withColumn("_b", _bucket(F.col("_t"), bucket_unit)))
+    lcols = [c for c in left_cols if c not in by]
+    lft = left.select(*by, F.col(left_time).alias("_t"), F.lit(0).cast("long").alias("_k"),
+                      F.lit(_LEFT).alias("_s"), _bucket(F.col(left_time), bucket_unit).alias("_b"), *lcols)
+    u = lft.unionByName(r, allowMissingColumns=True)
 
     # 1. match inside (by, bucket). Backward: rights sort before lefts at equal
     #    times ('R' > 'L' so descending), ties ascending so the last is largest.
     #    Forward: lefts first, ties descending so the first is the largest.
     part = Window.partitionBy(*by, "_b")
     if forward:
-        w1 = (part.orderBy(F.col("_t"), F.col("_s").asc(), F.col("_k").desc())
+        w1 = (part.orderBy("_t", F.col("_s").asc(), F.col("_k").desc())
               .rowsBetween(Window.currentRow, Window.unboundedFollowing))
         m1 = u.withColumn("_m", F.first("_r", ignorenulls=True).over(w1))
     else:
-        w1 = (part.orderBy(F.col("_t"), F.col("_s").desc(), F.col("_k").asc())
+        w1 = (part.orderBy("_t", F.col("_s").desc(), F.col("_k").asc())
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         m1 = u.withColumn("_m", F.last("_r", ignorenulls=True).over(w1))
 
@@ -132,20 +132,18 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
     #    one row per bucket and map task moves). Left buckets: a hash distinct
     #    of the bucket keys. The level-1 window's output is not reused here:
     #    Catalyst would prune it back to these inputs anyway.
-    rb = r.withColumn("_b", _bucket(F.col("_t"), bucket_unit))
-    right_summary = rb.groupBy(*by, "_b").agg(
-        F.max_by("_r", F.struct(F.col("_t"), F.col("_k"))).alias("_last"),
+    right_summary = r.groupBy(*by, "_b").agg(
+        F.max_by("_r", F.struct("_t", "_k")).alias("_last"),
         F.min_by("_r", F.struct(F.col("_t"), -F.col("_k"))).alias("_first"),
-        F.max("_t").alias("_tmax")).withColumn("_kind", F.lit(_RIGHT))
-    left_buckets = (lft.select(*by, _bucket(F.col("_t"), bucket_unit).alias("_b")).distinct()
-                    .withColumn("_kind", F.lit(_LEFT)))
+        F.max("_t").alias("_tmax"), F.lit(_RIGHT).alias("_kind"))
+    left_buckets = lft.select(*by, "_b", F.lit(_LEFT).alias("_kind")).distinct()
     summary = left_buckets.unionByName(right_summary, allowMissingColumns=True)
 
     # 3. carry-in per left bucket from the other buckets of the same key. Within
     #    one bucket the right summary must not count as carry: backward puts
     #    it after the left row ('R' > 'L'), forward before it.
     kind_order = F.col("_kind").desc() if forward else F.col("_kind").asc()
-    w2 = Window.partitionBy(*by).orderBy(F.col("_b"), kind_order)
+    w2 = Window.partitionBy(*by).orderBy("_b", kind_order)
     whole = w2.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     if forward:
         carry = F.first("_first", ignorenulls=True).over(w2.rowsBetween(1, Window.unboundedFollowing))
@@ -156,34 +154,29 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
         carry_cols.append(F.first("_first", ignorenulls=True).over(whole).alias("_key_first"))
     if last_time:
         carry_cols.append(F.max("_tmax").over(whole).alias("_key_tmax"))
-    carry_tbl = (summary.select(*by, "_b", "_kind", *carry_cols)
-                 .where(F.col("_kind") == _LEFT).drop("_kind"))
+    carry_tbl = summary.select(*by, "_b", "_kind", *carry_cols).where(F.col("_kind") == _LEFT)
 
     # 4. left rows take the in-bucket match, else the carry-in.
-    res = m1.where(F.col("_s") == _LEFT).select(*by, "_b", "_t", *lcols, "_m") \
-        .join(carry_tbl, on=[*by, "_b"], how="left")
+    res = m1.where(F.col("_s") == _LEFT).join(carry_tbl.drop("_kind"), on=[*by, "_b"], how="left")
     match = F.coalesce(F.col("_m"), F.col("_carry"))
     if roll_ends:
         match = F.coalesce(match, F.col("_key_first"))
-    res = res.withColumn("_match", match)
     if tolerance is not None:
-        mt = F.col("_match")[right_time]
+        mt = match[right_time]
         ok = (mt <= F.col("_t") + _interval_seconds(tolerance)) if forward else \
              (mt >= F.col("_t") - _interval_seconds(tolerance))
-        res = res.withColumn("_match", F.when(ok, F.col("_match")))
+        match = F.when(ok, match)
     if how == "inner":
-        res = res.where(F.col("_match").isNotNull())
+        res = res.where(match.isNotNull())
 
     extra = [F.col("_key_tmax").alias(last_time)] if last_time else []
     if ties == "all":
         # every right row at the matched time: an equi join on (by, time).
         allr = r.select(*by, F.col("_t").alias("_mt"), F.col("_r").alias("_ra"))
-        res = res.withColumn("_mt", F.col("_match")[right_time])
+        res = res.select("*", match.alias("_match"), match[right_time].alias("_mt"))
         res = res.join(allr, on=[*by, "_mt"], how="left")
-        src = F.coalesce(F.col("_ra"), F.col("_match"))
-    else:
-        src = F.col("_match")
-    return res.select(*left.columns, *[src[c].alias(c) for c in carried], *extra)
+        match = F.coalesce(F.col("_ra"), F.col("_match"))
+    return res.select(*left_cols, *[match[c].alias(c) for c in carried], *extra)
 
 
 def last_position(positions: DataFrame, by: Sequence[str] = ("vehicle_id", "service_day"),
