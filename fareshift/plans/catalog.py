@@ -176,6 +176,16 @@ def unused_by_description(spark, sf_dir):
     return unused_by(td, rules, "description")
 
 
+@register("unused_by_type", sql("""
+SELECT type, COUNT(*) AS n FROM td
+WHERE NOT (description IN (SELECT code FROM rules) OR type LIKE '%118%') GROUP BY 1"""))
+def unused_by_type(spark, sf_dir):
+    """AGG-1: what is left out, counted by Type."""
+    from fareshift.operators.ridership import unused_by
+    td, _, rules = _inputs(spark, sf_dir)
+    return unused_by(td, rules, "type")
+
+
 @register("route_family_fleet", sql("""
 SELECT txn_id, CASE WHEN vehicle_id = '0' THEN '1970' ELSE vehicle_id END AS vehicle_id, route, service_day
 FROM used_d
@@ -569,6 +579,20 @@ def questionable_pct_q(spark, sf_dir):
     return questionable_pct(_flags(spark, sf_dir))
 
 
+@register("questionable_fraction", sql("""
+SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE after_last) AS n_after_last,
+       COUNT(*) FILTER (WHERE in_gap2) AS n_in_gap, COUNT(*) FILTER (WHERE bad_gps) AS n_bad_gps,
+       SUM(CAST(after_last AS BIGINT) + CAST(in_gap2 AS BIGINT) + CAST(bad_gps AS BIGINT)) / COUNT(*) * 1.0
+         AS questionable_pct,
+       COUNT(*) FILTER (WHERE after_last OR in_gap2 OR bad_gps) / COUNT(*) * 1.0 AS questionable_pct_distinct
+FROM (SELECT *, in_gap OR timediffs IS NULL AS in_gap2 FROM flags)""", FLAGS_SQL))
+def questionable_fraction_q(spark, sf_dir):
+    """QLT-3/4 variant of the parameterised run: a missing gap counts as a gap, share as a fraction."""
+    from fareshift.operators.quality import quality_flags, questionable_pct
+    m = _matched(spark, sf_dir, position_cols=("latitude", "gps_status"))
+    return questionable_pct(quality_flags(m, null_is_gap=True), scale=1.0)
+
+
 @register("quality_report", sql("""
 SELECT round_even((SELECT COUNT(*) FILTER (WHERE gps_status IS NULL OR gps_status <> 2) FROM positions)
                   / (SELECT COUNT(*) FROM positions) * 100, 3) AS bad_vmh_pct,

@@ -127,3 +127,20 @@ def test_read_delimited_and_write_detail(spark):
     out = os.path.join(tmp, "detail")
     write_detail(df.withColumn("service_day", F.to_date("time")), out)
     assert spark.read.parquet(out).where(F.col("service_day") == "2019-12-03").count() == 2
+
+
+def test_read_positions_options(spark):
+    import datetime as dt
+    from fareshift.sources.positions import read_positions
+    T = dt.datetime
+    vmh = spark.createDataFrame(
+        [(1, T(2020, 1, 1, 2, 0), "90", 1976, 7), (2, T(2020, 1, 1, 4, 0), "8", 1980, 7),
+         (3, T(2020, 1, 1, 5, 0), "8", 12, 7), (4, T(2020, 1, 2, 2, 30), "901", 5, 8),
+         (5, T(2020, 1, 2, 2, 30), "901", 5, 8)],
+        "avl_history_id long, time timestamp_ntz, route string, vehicle_id long, trip int")
+    avl = spark.createDataFrame([(1, 39.9, 2), (2, 39.8, 0)], "avl_history_id long, latitude double, gps_status int")
+    by_day = read_positions(vmh, avl, "2020-01-01", "2020-01-01")
+    # service day 2020-01-01 runs from 03:00 to 03:00 next day; route 9% or bus 1970-1999
+    assert sorted(r.vehicle_id for r in by_day.collect()) == ["1980", "5"]  # duplicates 4/5 collapse
+    midnight = read_positions(vmh, avl, "2020-01-01", "2020-01-01", by_service_day=False, distinct=False)
+    assert sorted(r.vehicle_id for r in midnight.collect()) == ["1976", "1980"]
