@@ -19,6 +19,10 @@ from fareshift.operators.ridership import ridership_only
 from fareshift.operators.summary import with_local_route
 
 
+# Transaction columns dropped before matching.
+TD_NOT_CARRIED = ("driver", "value", "amount", "longitude", "latitude")
+
+
 def used_transactions(td: DataFrame, rules: DataFrame, *, start=None, end=None, inclusive: bool = False,
                       route_pattern: str | None = None, fleet: tuple[Iterable[int], Iterable[tuple[int, int]]] | None = None,
                       repair: dict[str, str] | None = None) -> DataFrame:
@@ -29,6 +33,9 @@ def used_transactions(td: DataFrame, rules: DataFrame, *, start=None, end=None,
     (FIX-1) fixes vehicle ids before matching.
     """
     t = ridership_only(td, rules)
+    # the reference's clean step: farebox amounts and the farebox's own
+    # coordinates are not carried into the match (positions supply them)
+    t = t.drop(*[c for c in TD_NOT_CARRIED if c in t.columns])
     if route_pattern:
         t = t.where(route_like("route", route_pattern))
     if fleet is not None:

@@ -144,3 +144,21 @@ def test_read_positions_options(spark):
     assert sorted(r.vehicle_id for r in by_day.collect()) == ["1980", "5"]  # duplicates 4/5 collapse
     midnight = read_positions(vmh, avl, "2020-01-01", "2020-01-01", by_service_day=False, distinct=False)
     assert sorted(r.vehicle_id for r in midnight.collect()) == ["1976", "1980"]
+
+
+def test_reports_to_matched_table(spark):
+    """Report files -> readers -> ridership -> as-of match -> local route, end to end."""
+    import datetime as dt
+    from fareshift.plans.period import matched_table
+    tmp = tempfile.mkdtemp(prefix="fareshift-test-")
+    _write(tmp, "MONTHLY SUMMARY December 2019.txt", RULES)
+    os.makedirs(os.path.join(tmp, "TD"))
+    _write(os.path.join(tmp, "TD"), "TRANSACTION DETAIL DECEMBER 1, 2019.csv", TD)
+    rules = read_rules(spark, tmp)
+    td = read_transactions(spark, os.path.join(tmp, "TD"))
+    pos = spark.createDataFrame(
+        [(10, dt.datetime(2019, 12, 3, 5, 0), "1976", 39.95, 2), (11, dt.datetime(2019, 12, 3, 23, 0), "1970", 39.60, 2)],
+        "avl_history_id long, pos_time timestamp_ntz, vehicle_id string, latitude double, gps_status int")
+    m = matched_table(td, pos, rules, route_pattern="^90", repair={"0": "1970"}, first_year=2019, last_year=2019)
+    got = rows(m, "vehicle_id", "avl_history_id", "local_route", "service_type")
+    assert got == [("1970", 11, "902", "Weekday"), ("1976", 10, "901", "Weekday")]
