@@ -216,7 +216,7 @@ def service_day_counts(spark, sf_dir):
 @register("service_seconds", sql("""
 SELECT txn_id, service_day,
        date_diff('microsecond', CAST(service_day AS TIMESTAMP), txn_time) / 1e6 AS service_seconds,
-       strftime(txn_time, '%H:%M:%S') AS clock, hour(txn_time) AS clock_hour
+       strftime(txn_time, '%H:%M:%S') AS clock, CAST(hour(txn_time) AS INTEGER) AS clock_hour
 FROM used_d"""))
 def service_seconds(spark, sf_dir):
     """DT-4 seconds since the service day's midnight (past 86,400 after midnight), DT-5 clock text and hour."""
@@ -229,7 +229,8 @@ def service_seconds(spark, sf_dir):
 
 
 @register("clock_hour_counts", sql("""
-SELECT monthname(service_day) AS month, month(service_day) AS month_number, hour(txn_time) AS clock_hour,
+SELECT monthname(service_day) AS month, CAST(month(service_day) AS INTEGER) AS month_number,
+       CAST(hour(txn_time) AS INTEGER) AS clock_hour,
        COUNT(*) AS n
 FROM used_d GROUP BY 1, 2, 3"""))
 def clock_hour_counts(spark, sf_dir):

@@ -20,6 +20,10 @@ def test_every_query_has_an_oracle():
     assert set(E.queries()) == set(E.oracle_sql())
 
 
+_DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+               "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
 def _norm(v):
     if isinstance(v, float):
         return round(v, 9)
@@ -43,6 +47,9 @@ def test_query_matches_oracle(spark, duck, name):
     cur = duck.execute(E.oracle_sql()[name])
     ocols = [d[0] for d in cur.description]
     assert sorted(ocols) == cols
+    otypes = {d[0]: str(d[1]) for d in cur.description}
+    for c, t in df.dtypes:
+        assert _DUCK_TYPES.get(t, t) == otypes[c], (c, t, otypes[c])
     idx = [ocols.index(c) for c in cols]
     exp = sorted((tuple(_norm(r[i]) for i in idx) for r in cur.fetchall()), key=repr)
     assert got == exp
