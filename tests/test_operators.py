@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from fareshift.functions.classify import in_fleet, local_route, pass_type, repair_vehicle
 from fareshift.operators.control import combine_totals, combine_totals_wide, scale_to_control

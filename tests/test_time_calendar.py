@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from fareshift.functions.calendar import holiday_calendar, missing_days, with_service_type
 from fareshift.functions.timefns import (between_days, parse_report_date, parse_report_timestamp,
