@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _RIGHT, _LEFT = "R", "L"
+_NULL_TIE = -(2 ** 62)
 
 
 _UNITS = {"second": "SECOND", "minute": "MINUTE", "hour": "HOUR", "day": "DAY"}
@@ -96,7 +97,9 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
         raise ValueError(f"right columns clash with left columns: {sorted(clash)}")
     forward = direction == "forward"
 
-    tie_expr = F.col(tie).cast("long") if tie else F.lit(0).cast("long")
+    # a null tie ranks below every real tie value, in the windows and in the
+    # summaries alike (negation of the floor cannot overflow)
+    tie_expr = F.coalesce(F.col(tie).cast("long"), F.lit(_NULL_TIE)) if tie else F.lit(0).cast("long")
     keys_present = F.lit(True)
     for k in by:
         keys_present = keys_present & F.col(k).isNotNull()

@@ -102,3 +102,17 @@ def test_bad_arguments(spark):
     t, p = _frames(spark, [], [])
     with pytest.raises(ValueError):
         asof_join(t, p, by=["vehicle_id"], left_time="txn_time", right_time="pos_time", direction="sideways")
+
+
+def test_null_tie_ranks_lowest(spark):
+    d = T(2019, 12, 3, 10, 0)
+    p = spark.createDataFrame([("1", d, None, 1.0), ("1", d, 4, 2.0)],
+                              "vehicle_id string, pos_time timestamp_ntz, avl_history_id long, latitude double")
+    t = spark.createDataFrame([(1, "1", T(2019, 12, 3, 10, 1)), (2, "1", T(2019, 12, 3, 9, 0))],
+                              "txn_id long, vehicle_id string, txn_time timestamp_ntz")
+    kw = dict(by=["vehicle_id"], left_time="txn_time", right_time="pos_time", right_cols=["latitude"],
+              tie="avl_history_id")
+    assert rows(asof_join(t, p, **kw), "txn_id", "latitude") == [(1, 2.0), (2, None)]
+    assert rows(asof_join(t, p, roll_ends=True, **kw), "txn_id", "latitude") == [(1, 2.0), (2, 2.0)]
+    fwd = asof_join(t, p, direction="forward", **kw)
+    assert rows(fwd, "txn_id", "latitude") == [(1, None), (2, 2.0)]
