@@ -97,24 +97,26 @@ def numbered_lines(whole: DataFrame) -> DataFrame:
 
 # a comma followed by an even number of quotes up to the end of the line
 # is a field separator (commas inside quoted fields are not)
-_CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+_CSV_SPLIT = r',(?=(?:[^"]*+"[^"]*+")*+[^"]*+$)'  # possessive: no backtracking
 
 
 def _fields(line: Column) -> Column:
-    """CSV fields of a line as an array of strings (quoted commas kept).
-
-    One regular-expression split per line, then each field is trimmed,
-    unquoted ('""' inside quotes becomes '"') and empty fields become null.
-    (A ``from_csv`` per field would be rewritten by the optimizer into one
-    CSV parse per extracted field.)
+    """Raw CSV fields of a line (quoted commas kept): one regular-expression
+    split per line. Fields are cleaned only when picked (``_clean``), so the
+    array stays a plain expression that code generation computes once.
+    (A ``from_csv`` per field would be rewritten by the optimizer into one CSV
+    parse per extracted field.)
     """
-    def clean(x: Column) -> Column:
-        t = F.trim(x)
-        inner = F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"'))
-        quoted = t.startswith('"') & t.endswith('"') & (F.length(t) >= 2)
-        v = F.when(quoted, inner).otherwise(t)
-        return F.when(v != "", v)
-    return F.transform(F.split(line, _CSV_SPLIT), clean)
+    return F.when(line.contains('"'), F.split(line, _CSV_SPLIT)).otherwise(F.split(line, ","))
+
+
+def _clean(x: Column) -> Column:
+    """Trim, unquote ('""' inside quotes becomes '"'), empty -> null."""
+    t = F.trim(x)
+    inner = F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"'))
+    quoted = t.startswith('"') & t.endswith('"') & (F.length(t) >= 2)
+    v = F.when(quoted, inner).otherwise(t)
+    return F.when(v != "", v)
 
 
 def _norm(name: Column) -> Column:
@@ -122,14 +124,15 @@ def _norm(name: Column) -> Column:
 
 
 def _pick(fields: Column, header_norm: Column, name: str) -> Column:
-    """The field under header ``name`` (matched ignoring case, spaces, dots)."""
+    """The cleaned field under header ``name`` (matched ignoring case, spaces, dots)."""
     key = "".join(ch for ch in name.lower() if ch.isalnum())
     pos = F.array_position(header_norm, F.lit(key)).cast("int")
-    return F.when(pos > 0, F.try_element_at(fields, pos))
+    return _clean(F.when(pos > 0, F.try_element_at(fields, pos)))
 
 
 def _header_norm(fields: Column) -> Column:
-    return F.transform(fields, lambda x: _norm(F.coalesce(x, F.lit(""))))
+    """Header names normalised for matching (computed once per file)."""
+    return F.transform(fields, lambda x: _norm(F.coalesce(_clean(x), F.lit(""))))
 
 
 def _count_text(c: Column) -> Column:
@@ -216,7 +219,7 @@ def parse_routesum(lines: DataFrame) -> DataFrame:
     columns are not carried.
     """
     body = _summary_section(lines)
-    return body.select("file", F.trim(_pick(F.col("_f"), F.col("_hdr"), "Route")).alias("route"),
+    return body.select("file", _pick(F.col("_f"), F.col("_hdr"), "Route").alias("route"),
                        _count_text(_pick(F.col("_f"), F.col("_hdr"), "Ridership")).alias("ridership")) \
         .where(F.col("route").isNotNull())
 
@@ -277,12 +280,23 @@ def _td_headers(lines: DataFrame, n_files: int | None = None) -> DataFrame:
 
 
 def _td_candidates(lines: DataFrame, n_files: int | None = None) -> DataFrame:
+    """Non-header, non-footer lines with their fields picked by header name
+    (text) and the parsed ``txn_time`` (null when the date does not parse).
+
+    The field array and the parsed time come out of one-element generators
+    (``explode``). A filter on a generator's output cannot be pushed below
+    it, so the body-row filter does not copy the whole split-pick-parse chain
+    into a filter (where code generation would evaluate every copy); each
+    line is split once and its date parsed once.
+    """
     hdr = _td_headers(lines, n_files)
     j = lines.join(hdr, "file")
     is_header = F.col("line").contains(TD_HEADER_MARKERS[0]) & F.col("line").contains(TD_HEADER_MARKERS[1])
     j = j.where(~is_header & (F.trim("line") != "") & ~F.col("line").contains(TD_FOOTER))
-    j = j.withColumn("_f", _fields(F.col("line")))
-    return j.withColumn("txn_time", parse_report_timestamp(_pick(F.col("_f"), F.col("_hdr"), "Date and Time")))
+    j = j.select("file", "line", "_hdr", "_hcommas", F.explode(F.array(_fields(F.col("line")))).alias("_f"))
+    picked = [_pick(F.col("_f"), F.col("_hdr"), header).alias(f"_txt_{name}") for header, name in TD_COLUMNS.items()]
+    j = j.select("file", "line", "_hcommas", *picked)
+    return j.select("*", F.explode(F.array(parse_report_timestamp(F.col("_txt_txn_time")))).alias("txn_time"))
 
 
 def parse_transactions(lines: DataFrame, n_files: int | None = None) -> DataFrame:
@@ -294,11 +308,11 @@ def parse_transactions(lines: DataFrame, n_files: int | None = None) -> DataFram
     """
     c = _td_candidates(lines, n_files).where(F.col("txn_time").isNotNull())
     cols = [F.col("file")]
-    for header, name in TD_COLUMNS.items():
+    for name in TD_COLUMNS.values():
         if name == "txn_time":
             cols.append(F.col("txn_time"))
             continue
-        v = F.trim(_pick(F.col("_f"), F.col("_hdr"), header))
+        v = F.col(f"_txt_{name}")
         cols.append((v.try_cast("double") if name in TD_NUMBERS else v.cast("string")).alias(name))
     return c.select(*cols)
 
