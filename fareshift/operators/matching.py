@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -50,6 +51,9 @@ def match_positions(td: DataFrame, positions: DataFrame, *, by: Sequence[str] =
     position of the vehicle-day, JOI-7) without a second join. The row count
     equals the transaction count.
     """
+    if "service_day" not in by:
+        warnings.warn("matching without service_day: each key's whole history forms one carry-in "
+                      "window group; pass a coarser bucket_unit for long histories", stacklevel=2)
     left = with_service_day(td, txn_time) if "service_day" in by else td
     right = with_service_day(positions, pos_time) if "service_day" in by else positions
     cols = [c for c in position_cols if c in right.columns and c not in by]

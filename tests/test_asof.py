@@ -116,3 +116,14 @@ def test_null_tie_ranks_lowest(spark):
     assert rows(asof_join(t, p, roll_ends=True, **kw), "txn_id", "latitude") == [(1, 2.0), (2, 2.0)]
     fwd = asof_join(t, p, direction="forward", **kw)
     assert rows(fwd, "txn_id", "latitude") == [(1, None), (2, 2.0)]
+
+
+def test_match_without_service_day_warns(spark):
+    import warnings
+    d = T(2019, 12, 3, 10, 0)
+    t, p = _frames(spark, [("1", d, 1, 1.0)], [(1, "1", T(2019, 12, 3, 10, 1))])
+    with warnings.catch_warnings(record=True) as w:
+        warnings.simplefilter("always")
+        m = match_positions(t, p, by=("vehicle_id",), position_cols=("avl_history_id",))
+    assert any("service_day" in str(x.message) for x in w)
+    assert rows(m, "txn_id", "avl_history_id") == [(1, 1)]
