@@ -60,7 +60,10 @@ def main(argv=None, spark=None) -> dict:
     kw = dict(north=a.north, south=a.south, first_year=a.first_year, last_year=a.last_year)
     if a.run == "period":
         from fareshift.plans.period import run_period
-        return run_period(td, positions, rules, a.out, start=a.start, end=a.end, label=a.run, **kw)
+        from fareshift.sources.reports import read_routesum
+        routesum = read_routesum(spark, a.reports, period=a.period)
+        return run_period(td, positions, rules, a.out, start=a.start, end=a.end, label=a.run,
+                          routesum=routesum, **kw)
     control = read_daily_totals(spark, a.reports)
     if a.run == "season":
         from fareshift.plans.season import run_season

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fareshift.functions.calendar import DEFAULT_FIRST_YEAR, DEFAULT_LAST_YEAR, with_service_type
 from fareshift.functions.classify import (NORTH_BOUNDARY, SOUTH_BOUNDARY, in_fleet, repair_vehicle,
@@ -97,13 +98,16 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = "service_da
 
 
 def run_period(td: DataFrame, positions: DataFrame, rules: DataFrame, out_dir: str, *, start, end,
-               inclusive: bool = True, label: str = "period", **kw) -> dict[str, DataFrame]:
+               inclusive: bool = True, label: str = "period", routesum: DataFrame | None = None,
+               **kw) -> dict[str, DataFrame]:
     """Entry point for one analysis period: match once, then every summary.
 
     The matched table is written once (``materialize``); the quality share,
     the three local-route summaries of the period (by day, by service type
     long and wide) are computed from the written table and saved as CSV
-    (SNK-1) under ``out_dir``. Returns the summaries (lazy, read from disk).
+    (SNK-1) under ``out_dir``. With a ``routesum`` (route, ridership), the
+    route reconciliation of the period's transactions is written too.
+    Returns the summaries (lazy, read from disk).
     """
     from fareshift.operators.quality import quality_flags, questionable_pct
     from fareshift.operators.summary import SERVICE_TYPES, local_counts, local_wide
@@ -117,6 +121,10 @@ def run_period(td: DataFrame, positions: DataFrame, rules: DataFrame, out_dir: s
         "by_type_wide": local_wide(matched, ["local_route"], "service_type", SERVICE_TYPES),
         "by_type_long": local_counts(matched, ["service_type", "local_route"]),
     }
+    if routesum is not None:
+        from fareshift.operators.ridership import reconcile
+        outputs["reconcile"] = reconcile(transactions_in_period(td, start, end, inclusive), rules,
+                                         routesum.groupBy("route").agg(F.sum("ridership").alias("ridership")))
     for name, df in outputs.items():
         write_summary(df, f"{out_dir.rstrip('/')}/{label}_{name}")
     return outputs

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 
 from fareshift.functions.classify import in_fleet, local_route, pass_type, repair_vehicle
 from fareshift.operators.control import combine_totals, combine_totals_wide, scale_to_control
@@ -124,3 +126,13 @@ def test_empty_and_zero_denominators_give_null(spark):
     daily = spark.createDataFrame([(D(2020, 1, 1), 5)], "service_day date, n long")
     totals = spark.createDataFrame([(D(2020, 1, 1), 0)], "service_day date, ridership long")
     assert compare_daily(daily, totals).first().pct_diff is None
+
+
+def test_reconcile_pairs_months_by_key(spark):
+    td = spark.createDataFrame(
+        [("Dec", 1, "A1", "90"), ("Dec", 2, "A1", "90"), ("Jan", 3, "A1", "90"), ("Jan", 4, "A1", "901")],
+        "period string, txn_id long, description string, route string").withColumn("type", F.lit("100 FARE"))
+    rules = spark.createDataFrame([("A1", "x")], "code string, description string")
+    rs = spark.createDataFrame([("Jan", "90", 4), ("Dec", "90", 2)], "period string, route string, ridership long")
+    got = rows(reconcile(td, rules, rs, by=("period", "route")), "period", "route", "ridership_td", "ridership_diff")
+    assert got == [("Dec", "90", 2, 0), ("Jan", "90", 1, -3)]

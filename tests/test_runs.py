@@ -56,6 +56,7 @@ def test_command_line(spark, tmp_path):
     _write_lines(td_lines.withColumn("line_no", order), os.path.join(reports, "TD"), numbered=True)
     _write_lines(roles.rules_report_lines(spark, SF), reports, numbered=True)
     _write_lines(roles.daily_report_lines(spark, SF), reports, numbered=True)
+    _write_lines(roles.routesum_report_lines(spark, SF), reports, numbered=True)
     pos_path = str(tmp_path / "positions")
     roles.positions(spark, SF).write.parquet(pos_path)
     common = ["--reports", reports, "--positions", pos_path, "--north", "60", "--south", "20",
@@ -63,6 +64,8 @@ def test_command_line(spark, tmp_path):
     out = main(["period", "--start", "2024-01-01", "--end", "2024-01-30", "--out", str(tmp_path / "p")] + common,
                spark=spark)
     assert out["by_type_long"].count() > 0
+    rec = {r.route: r for r in out["reconcile"].collect()}
+    assert rec and all(r.ridership_td <= r.ridership for r in rec.values())
     out = main(["scaleup", "--start", "2024-01-01", "--end", "2024-01-31", "--out", str(tmp_path / "s")] + common,
                spark=spark)
     assert out["scaled_daily"].count() > 0
