@@ -97,10 +97,21 @@ def _inputs(spark: SparkSession, sf_dir: str):
     return roles.td(spark, sf_dir), roles.positions(spark, sf_dir), roles.rules(spark)
 
 
+_MATCHED: dict = {}
+
+
 def _matched(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    """The matched table of the role inputs. Several queries share one plan:
+    it is built once per session and parameter set (a lazy, immutable plan;
+    every query still runs it in full)."""
     from fareshift.plans.period import matched_table
-    td, pos, rules = _inputs(spark, sf_dir)
-    return matched_table(td, pos, rules, **GEO, **YEARS, **kw)
+    key = (id(spark), sf_dir, tuple(sorted(kw.items())))
+    hit = _MATCHED.get(key)
+    if hit is None or hit.sparkSession is not spark:
+        td, pos, rules = _inputs(spark, sf_dir)
+        hit = matched_table(td, pos, rules, **GEO, **YEARS, **kw)
+        _MATCHED[key] = hit
+    return hit
 
 
 def _located(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
