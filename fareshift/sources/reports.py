@@ -90,6 +90,13 @@ def with_period(df: DataFrame, file_col: str = "file", out: str = "period",
     return df.withColumn(out, p)
 
 
+def with_month_key(df: DataFrame, period_col: str = "period", out: str = "month") -> DataFrame:
+    """SET-1 / Q-7: a month key shared by all report kinds: 'DECEMBER 1' and
+    'DECEMBER 16' (half-month transaction files) and 'Dec' (route summary)
+    all become 'Dec', so months are paired by key, never by list position."""
+    return df.withColumn(out, F.initcap(F.substring(F.col(period_col), 1, 3)))
+
+
 def numbered_lines(whole: DataFrame) -> DataFrame:
     """(file, value) whole-file rows -> (file, line_no, line), line_no from 0."""
     return whole.select("file", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("line_no", "line"))

@@ -162,3 +162,20 @@ def test_reports_to_matched_table(spark):
     m = matched_table(td, pos, rules, route_pattern="^90", repair={"0": "1970"}, first_year=2019, last_year=2019)
     got = rows(m, "vehicle_id", "avl_history_id", "local_route", "service_type")
     assert got == [("1970", 11, "902", "Weekday"), ("1976", 10, "901", "Weekday")]
+
+
+def test_half_month_files_reconcile_by_month_key(spark):
+    from fareshift.operators.ridership import reconcile
+    from fareshift.sources.reports import with_month_key
+    tmp = tempfile.mkdtemp(prefix="fareshift-test-")
+    _write(tmp, "MONTHLY SUMMARY December 2019.txt", RULES)
+    _write(tmp, "EVENT SUMMARY (December 1, 2019).csv", ROUTESUM)
+    os.makedirs(os.path.join(tmp, "TD"))
+    _write(os.path.join(tmp, "TD"), "TRANSACTION DETAIL DECEMBER 1, 2019.csv", TD)
+    _write(os.path.join(tmp, "TD"), "TRANSACTION DETAIL DECEMBER 16, 2019.csv", TD)
+    td = with_month_key(read_transactions(spark, os.path.join(tmp, "TD")))
+    assert rows(td.select("period").distinct()) == [("DECEMBER 1",), ("DECEMBER 16",)]
+    rs = with_month_key(read_routesum(spark, tmp))
+    rec = reconcile(td, read_rules(spark, tmp), rs, by=("month", "route"))
+    # two half-month files, two ridership rows each on route 90, against the December total
+    assert rows(rec, "month", "route", "ridership_td", "ridership") == [("Dec", "90", 4, 1250)]
