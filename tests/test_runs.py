@@ -69,3 +69,8 @@ def test_command_line(spark, tmp_path):
     out = main(["scaleup", "--start", "2024-01-01", "--end", "2024-01-31", "--out", str(tmp_path / "s")] + common,
                spark=spark)
     assert out["scaled_daily"].count() > 0
+    out = main(["season", "--start", "2024-01-10", "--end", "2024-01-31", "--control-start", "2024-01-01",
+                "--out", str(tmp_path / "m")] + common, spark=spark)
+    # the control series fills every day before the matched period; later gaps are days without local rides
+    assert out["missing_days"].where(F.col("service_day") < F.lit("2024-01-10").cast("date")).count() == 0
+    assert (tmp_path / "m" / "season_monthly").exists()
