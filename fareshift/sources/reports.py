@@ -165,7 +165,9 @@ def parse_rules(lines: DataFrame, version: int = 2) -> DataFrame:
     sec = sec.withColumn("_end", F.min(F.when(F.col("line").contains(RULES_END)
                                               & (F.col("line_no") > F.col("_start")), F.col("line_no")))
                          .over(by_file))
-    sec = sec.where((F.col("line_no") > F.col("_start")) & (F.col("line_no") < F.col("_end")))
+    # blank lines are layout, not tokens (both versions skip them)
+    sec = sec.where((F.col("line_no") > F.col("_start")) & (F.col("line_no") < F.col("_end"))
+                    & (F.trim("line") != ""))
     if version == 2:
         tok = sec.select("file", "line_no", F.posexplode(F.split("line", '","')).alias("pos", "tok"))
         tok = tok.where(~F.col("tok").isin('""', "", '"'))

@@ -13,6 +13,7 @@ from conftest import rows
 RULES = """Monthly Summary Report
 Ridership is defined as the following fare codes:
 "A1","10 TRIP, FULL",""
+
 "B2","31 FULL",""
 "C3","Single Ride Full Fare",""
 Fares not listed above are excluded.
@@ -23,6 +24,7 @@ ROUTESUM = """Event Summary
 Ridership By Route
 Route,Ridership,Token Count,Ticket Count,Preset Preset1,X
 8,100,0,0,0,
+
 90,"1,250",0,0,0,
 TOTAL,1350,0,0,0,
 Average,675,0,0,0,
@@ -40,6 +42,7 @@ TD = """Transaction Detail
 Printed 12/4/2019 8:00:00
 Type,Date and Time,Bus,Route,Run,Driver,Description,Value,Amount,Direction,Fareset,Stop,Trip,Longitude,Latitude
 100 FARE,12/3/2019 5:01:02,1976,90,12,345,A1,1.75,1.75,N,1,10,3,-86.1,39.9
+
 118 TRANSFER,12/3/2019 23:59:59,0,90,12,345,"XFER, LOCAL",0,0,N,1,10,3,,
 100 FARE,13/45/2019 99:00:00,1976,90,12,345,A1,1.75,1.75,N,1,10,3,-86.1,39.9
 Number of Transactions: 3
