@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +40,6 @@ from fareshift.llm.common import materialize, sub_batches
 CHUNK = 16_384
 OVERLAP = 1_024
 MARGIN = 64  # characters at a chunk's end whose pre-tokens are not trusted
-CACHE = 200_000  # distinct pre-tokens a worker remembers
 
 
 @lru_cache(maxsize=2)
@@ -48,32 +48,11 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class _Merger(dict):
-    """pre-token -> its ids as int32 bytes; forgets all when full, so memory stays bounded."""
-
-    def __init__(self, path: str, pattern: str):
-        super().__init__()
-        self._one = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_ranks(path),
-                                      special_tokens={})._core_bpe.encode_single_piece
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self._one(piece.encode()), dtype=np.int32).tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-
 @lru_cache(maxsize=2)
-def _merger(path: str, pattern: str) -> _Merger:
-    return _Merger(path, pattern)
-
-
-def _id_lists(blobs: list[bytes]) -> pa.ListArray:
-    ends = np.cumsum([0] + [len(b) // 4 for b in blobs], dtype=np.int64)
-    return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), dtype=np.int32))) \
-        .cast(pa.list_(pa.int32()))
+def _encoder(path: str, pattern: str):
+    """Encodes each pre-token of a text separately, without special tokens."""
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_ranks(path),
+                             special_tokens={}).encode_ordinary
 
 
 def boundaries(pattern, text: str, start: int = 0) -> list[int]:
@@ -83,10 +62,10 @@ def boundaries(pattern, text: str, start: int = 0) -> list[int]:
 
 def _encode_whole(path: str, pattern: str):
     def encode(batches):
-        pre, ids_of = regex.compile(pattern).findall, _merger(path, pattern).__getitem__
-        for b in sub_batches(batches):
-            blobs = [b"".join(map(ids_of, pre(t))) if t else b"" for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), _id_lists(blobs)], names=["id", "ids"])
+        ids_of = _encoder(path, pattern)
+        for b in sub_batches(batches, 2 << 20):
+            ids = pa.array([ids_of(t) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), ids], names=["id", "ids"])
     return encode
 
 
@@ -111,21 +90,15 @@ def _edges(pattern: str):
 
 
 def _encode_piece(path: str, pattern: str):
-    """Ids of a chunk from its own stitch up to the next one."""
+    """Ids of a chunk from its own stitch up to the next one. Cut at a boundary,
+    a piece has the pre-tokens it has within the whole text: its last one can't
+    reach further, and white space at its end is one run to the end."""
     def encode(batches):
-        compiled, ids_of = regex.compile(pattern), _merger(path, pattern).__getitem__
-        for b in sub_batches(batches):
-            blobs = []
-            for text, at, lo, hi in zip(b.column("chunk").to_pylist(), b.column("at").to_pylist(),
-                                        b.column("lo").to_pylist(), b.column("hi").to_pylist(), strict=True):
-                stop = len(text) if hi is None else hi - at
-                pieces = []
-                for m in compiled.finditer(text, lo - at):
-                    if m.start() >= stop:
-                        break
-                    pieces.append(ids_of(m.group()))
-                blobs.append(b"".join(pieces))
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("no"), _id_lists(blobs)],
+        ids_of = _encoder(path, pattern)
+        for b in sub_batches(batches, 2 << 20):
+            ids = [ids_of(text[lo - at:None if hi is None else hi - at]) for text, at, lo, hi in zip(
+                *[b.column(c).to_pylist() for c in ("chunk", "at", "lo", "hi")], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("no"), pa.array(ids, pa.list_(pa.int32()))],
                                              names=["row", "no", "ids"])
     return encode
 
@@ -176,8 +149,10 @@ def decode_documents(encoded: DataFrame, rank_path: str, id_col: str = "doc_id",
 
     def decode(batches):
         token = {i: b for b, i in _ranks(rank_path).items()}.__getitem__
-        for b in sub_batches(batches):
-            out = [b"".join(map(token, ids or ())) for ids in b.column("ids").to_pylist()]
+        for b in sub_batches(batches, 2 << 20):
+            flat, ends = b.column("ids").flatten().to_numpy(), np.cumsum(
+                [0, *pc.list_value_length(b.column("ids")).fill_null(0).to_pylist()])
+            out = [b"".join(map(token, flat[i:j].tolist())) for i, j in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(n) for n in b.schema.names if n != "ids"], pa.array(out, pa.binary())],
                 names=[*[n for n in b.schema.names if n != "ids"], "decoded"])
