@@ -8,12 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareshift.llm import bpe, secrets, topk
-from fareshift.llm.common import table, work_path
+from fareshift.llm import bpe, langid, quality, secrets, topk
+from fareshift.llm.common import id_fold, materialize, table, work_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(id_fold(F.col("doc_id"), 3) != 1))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (id_fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+                        F.col("nearest").alias("lang_pred"), "score", F.col("lang").alias("lang_or_rejected"))
+
+
+QUALITY_CUT = 0.3
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = materialize(quality.statistics(table(spark, sf_dir, "documents")), "quality-statistics")
+    labels = table(spark, sf_dir, "labels").where(id_fold(F.col("doc_id"), 5) != 0)
+    scored = quality.predict(stats, quality.fit(stats, labels))
+    return scored.select("doc_id", (id_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -50,5 +69,5 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op7_secret_scan": op7_secret_scan, "op10_topk": op10_topk}
+QUERIES = {"op1_language": op1_language, "op2_quality": op2_quality, "op4_bpe": op4_bpe, "op7_secret_scan": op7_secret_scan, "op10_topk": op10_topk}
 ORACLES: dict[str, str] = {}
