@@ -60,5 +60,17 @@ def sub_batches(batches, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
             lo += piece.num_rows
 
 
+#: A table of fixed-width rows is broadcast up to this many rows (at most 24 bytes each, so 24 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; beyond that the join shuffles.
+
+    For written tables of a few fixed-width columns, whose count is read from the file footers.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
     return max(least, -(-rows // per_partition))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareshift.llm import bpe, langid, quality, secrets, topk
+from fareshift.llm import bpe, langid, ngram_join, quality, secrets, topk
 from fareshift.llm.common import id_fold, materialize, table, work_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -33,6 +33,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -69,5 +73,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
 
 
-QUERIES = {"op1_language": op1_language, "op2_quality": op2_quality, "op4_bpe": op4_bpe, "op7_secret_scan": op7_secret_scan, "op10_topk": op10_topk}
+QUERIES = {"op1_language": op1_language, "op2_quality": op2_quality,
+           "op3_ngram_jaccard": op3_ngram_jaccard, "op4_bpe": op4_bpe, "op7_secret_scan": op7_secret_scan, "op10_topk": op10_topk}
 ORACLES: dict[str, str] = {}
