@@ -35,7 +35,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fareshift.llm.common import materialize, sub_batches
+from fareshift.llm.common import materialize, small_side, sub_batches
 
 CHUNK = 16_384
 OVERLAP = 1_024
@@ -127,7 +127,8 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
             .withColumn("lost", F.max(~F.col("last") & F.col("hi").isNull()).over(Window.partitionBy("row")))
             .select("row", "no", "lo", "hi", "lost"))
     cuts = materialize(cuts, "bpe-cuts")
-    pieces = (chunks.join(cuts.where(~F.col("lost")), ["row", "no"]).select("row", "no", "at", "chunk", "lo", "hi")
+    # A row of cuts has about 100 bytes; up to 200,000 of them are broadcast, beyond that the join shuffles.
+    pieces = (chunks.join(small_side(cuts.where(~F.col("lost")), 200_000), ["row", "no"]).select("row", "no", "at", "chunk", "lo", "hi")
               .mapInArrow(_encode_piece(rank_path, pattern), "row string, no int, ids array<int>"))
     stitched = (pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("parts"))
                 .select("row", F.flatten("parts.ids").alias("ids")))
