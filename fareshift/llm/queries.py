@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareshift.llm import bpe, langid, ngram_join, quality, secrets, topk
+from fareshift.llm import bpe, decontam, langid, ngram_join, quality, secrets, sql, topk
 from fareshift.llm.common import id_fold, materialize, table, work_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -68,11 +68,19 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         _span_text(F.col("findings"), [r.kind for r in secrets.RULES]).alias("spans"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", F.col("hit").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("hit") > 0).alias("contaminated"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
 
 
 QUERIES = {"op1_language": op1_language, "op2_quality": op2_quality,
-           "op3_ngram_jaccard": op3_ngram_jaccard, "op4_bpe": op4_bpe, "op7_secret_scan": op7_secret_scan, "op10_topk": op10_topk}
-ORACLES: dict[str, str] = {}
+           "op3_ngram_jaccard": op3_ngram_jaccard, "op4_bpe": op4_bpe, "op7_secret_scan": op7_secret_scan, "op9_decontaminate": op9_decontaminate, "op10_topk": op10_topk}
+ORACLES: dict[str, str] = sql.ORACLES
