@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareshift.llm import bpe, decontam, langid, ngram_join, quality, secrets, sql, topk
+from fareshift.llm import bpe, decontam, langid, line_dedup, ngram_join, quality, secrets, sql, topk
 from fareshift.llm.common import id_fold, materialize, table, work_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -68,6 +68,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         _span_text(F.col("findings"), [r.kind for r in secrets.RULES]).alias("spans"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -82,5 +86,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_language": op1_language, "op2_quality": op2_quality,
-           "op3_ngram_jaccard": op3_ngram_jaccard, "op4_bpe": op4_bpe, "op7_secret_scan": op7_secret_scan, "op9_decontaminate": op9_decontaminate, "op10_topk": op10_topk}
+           "op3_ngram_jaccard": op3_ngram_jaccard, "op4_bpe": op4_bpe, "op7_secret_scan": op7_secret_scan, "op8_line_dedup": op8_line_dedup,
+           "op9_decontaminate": op9_decontaminate, "op10_topk": op10_topk}
 ORACLES: dict[str, str] = sql.ORACLES

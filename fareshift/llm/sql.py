@@ -63,4 +63,28 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON reach.v = d.doc_id
 GROUP BY d.doc_id, n.n
 """.replace("%(az)s", _AZ).replace("WITH w AS", "WITH RECURSIVE w AS", 1).replace("_TABLE_", "reach")
 
-ORACLES = {"op3_ngram_jaccard": OP3, "op9_decontaminate": OP9, "op10_topk": OP10}
+OP8 = rf"""
+WITH l AS (
+  SELECT doc_id, CAST(i - 1 AS INTEGER) AS no, x[i] AS line
+  FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))),
+t AS (
+  SELECT *, list_sort(list_distinct(regexp_extract_all(translate(line, {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS w
+  FROM l),
+f AS (SELECT w, min((doc_id, no)) AS first FROM t WHERE len(w) >= 3 GROUP BY w),
+u AS (SELECT first, w, len(w) AS n, unnest(w) AS tok FROM f WHERE len(w) >= 4),
+m AS (
+  SELECT y.first
+  FROM u y JOIN u x ON x.tok = y.tok AND x.first < y.first AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY y.first, x.first, y.n, x.n
+  HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+gone AS (
+  SELECT DISTINCT t.doc_id, t.no
+  FROM t JOIN f ON t.w = f.w
+  WHERE (t.doc_id, t.no) <> f.first OR f.first IN (SELECT first FROM m))
+SELECT doc_id, count(*) AS n_lines, count(*) - count(*) FILTER (g.no IS NULL) AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY t.no) FILTER (g.no IS NULL), '') AS text
+FROM t LEFT JOIN gone g USING (doc_id, no) GROUP BY doc_id
+"""
+
+ORACLES = {"op3_ngram_jaccard": OP3, "op8_line_dedup": OP8, "op9_decontaminate": OP9, "op10_topk": OP10}
