@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareshift.llm import bpe, decontam, kneser_ney, langid, line_dedup, ngram_join, quality, secrets, sql, topk
+from fareshift.llm import bpe, decontam, kneser_ney, langid, line_dedup, ngram_join, quality, secrets, sharding, sql, topk
 from fareshift.llm.common import id_fold, materialize, table, work_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -46,6 +46,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dims = (sharding.text_order(F.col("lang")), sharding.number_order(F.col("n_chars")))
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), 40, dims)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = kneser_ney.fit(docs.where(id_fold(F.col("doc_id"), 7) != 2))
@@ -94,6 +101,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_language": op1_language, "op2_quality": op2_quality,
-           "op3_ngram_jaccard": op3_ngram_jaccard, "op4_bpe": op4_bpe, "op6_kneser_ney": op6_kneser_ney, "op7_secret_scan": op7_secret_scan, "op8_line_dedup": op8_line_dedup,
+           "op3_ngram_jaccard": op3_ngram_jaccard, "op4_bpe": op4_bpe, "op5_kd_shards": op5_kd_shards,
+           "op6_kneser_ney": op6_kneser_ney, "op7_secret_scan": op7_secret_scan, "op8_line_dedup": op8_line_dedup,
            "op9_decontaminate": op9_decontaminate, "op10_topk": op10_topk}
 ORACLES: dict[str, str] = sql.ORACLES
