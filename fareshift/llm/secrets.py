@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fareshift.llm.common import sub_batches
+from fareshift.llm.common import materialize, sub_batches
 
 
 @dataclass(frozen=True)
@@ -150,6 +150,7 @@ def scan_versions(versions: DataFrame, ledger_path: str, path_col: str = "path",
     scanned.write.mode("append").parquet(ledger_path)
 
     kinds = F.array(*[F.lit(r.kind) for r in rules])
-    ledger = _by_blob(read_ledger(spark, ledger_path)).select(
-        "blob", F.filter("findings", lambda f: F.array_contains(kinds, f["kind"])).alias("findings"))
+    # Written first, so that the join below has two plain exchanges and Spark can split a blob with very many paths.
+    ledger = materialize(_by_blob(read_ledger(spark, ledger_path)).select(
+        "blob", F.filter("findings", lambda f: F.array_contains(kinds, f["kind"])).alias("findings")), "secret-findings")
     return paths.join(ledger, "blob", "left").select("path", "blob", "findings")
