@@ -1,15 +1,80 @@
-"""The corpus pipeline: documents through the training-data operators in turn."""
+"""The corpus pipeline: ``documents`` through five training-data operators in turn.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept;
+all but the last return the columns of ``documents``. ``run`` cuts the lineage after
+each stage with a written table.
+
+1. quality: rows the classifier scores below ``QUALITY_CUT`` go;
+2. line_dedup: lines that match an earlier line go; a document that loses all
+   its words that way goes, others keep their row, with ``n_chars`` as it is then;
+3. near_duplicates: of each group of documents that link (five-word shingles, 0.8 or more)
+   the one with the smallest doc_id stays;
+4. decontamination: documents with a window of ten words of a benchmark item go;
+5. bpe: token ids of every text, and the digests of ids and decoded bytes.
+
+Rows are dropped by doc_id from stage 3 on, so rows that repeat an id share its fate;
+rows with a null id are never dropped there. Empty texts pass stages 2 to 4.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fareshift.llm import bpe, decontam, line_dedup, ngram_join, quality
+from fareshift.llm.common import id_fold, materialize, small_side, table
+from fareshift.llm.queries import QUALITY_CUT, RANKS
+
+
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the given doc_ids."""
+    gone = materialize(ids.select("doc_id").where("doc_id is not null").distinct(), name)
+    return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(id_fold(F.col("doc_id"), 5) != 0)
+    known = labels.select("doc_id").distinct()
+    stats = quality.statistics(docs.join(small_side(known), "doc_id", "left_semi"))
+    model = quality.fit(materialize(stats, "pipeline-statistics"), labels)
+    return quality.filter_rows(docs, model, QUALITY_CUT)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = line_dedup.dedup_lines(docs, keep=others)
+    emptied = (F.col("n_removed") > 0) & (F.size(decontam.words_of(F.col("text"))) == 0)
+    return out.where(~emptied).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
+        .select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = ngram_join.near_duplicates(docs, k=5, num=80, den=100)
+    return _without(docs, groups.where("doc_id <> component_id"), "pipeline-duplicates")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("hit > 0"), "pipeline-contaminated")
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path(RANKS)
+    encoded = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
+    encoded = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+                             F.sha2(bpe.ids_text(F.col("ids")).cast("binary"), 256).alias("ids_sha256"))
+    decoded = bpe.decode_documents(encoded, ranks, keep=("ids", "n_tokens", "ids_sha256"))
+    return decoded.select("doc_id", "ids", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("quality", keep_good), ("line_dedup", drop_repeated_lines), ("near_duplicates", drop_near_duplicates),
+          ("decontamination", drop_contaminated), ("bpe", tokenise)]
+ORACLE_SQL = None  # SQL can't express the boosted trees and the merges; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

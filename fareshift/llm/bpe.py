@@ -143,10 +143,11 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
 def decode_documents(encoded: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col: str = "ids",
                      keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, decoded, keep...): the concatenated bytes of every row's ids."""
-    kept = [c for c in keep if c not in (id_col, ids_col)]
-    cols = [F.col(id_col).alias("id"), F.col(ids_col).alias("ids"), *[F.col(c).alias(f"k_{c}") for c in kept]]
-    df = encoded.select(*cols)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "ids")
+    kept = [c for c in keep if c != id_col]
+    df = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"),
+                        *[F.col(c).alias(f"k_{c}") for c in kept if c != ids_col])
+    names = [c for c in df.columns if c != "ids" or ids_col in kept]
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
 
     def decode(batches):
         token = {i: b for b, i in _ranks(rank_path).items()}.__getitem__
@@ -154,12 +155,12 @@ def decode_documents(encoded: DataFrame, rank_path: str, id_col: str = "doc_id",
             flat, ends = b.column("ids").flatten().to_numpy(), np.cumsum(
                 [0, *pc.list_value_length(b.column("ids")).fill_null(0).to_pylist()])
             out = [b"".join(map(token, flat[i:j].tolist())) for i, j in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(n) for n in b.schema.names if n != "ids"], pa.array(out, pa.binary())],
-                names=[*[n for n in b.schema.names if n != "ids"], "decoded"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(out, pa.binary())],
+                                             names=[*names, "decoded"])
 
     out = df.mapInArrow(decode, f"{schema}, decoded binary")
-    return out.select(F.col("id").alias(id_col), "decoded", *[F.col(f"k_{c}").alias(c) for c in kept])
+    return out.select(F.col("id").alias(id_col), "decoded",
+                      *[F.col("ids" if c == ids_col else f"k_{c}").alias(c) for c in kept])
 
 
 def ids_text(ids: Column) -> Column:

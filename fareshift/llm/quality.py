@@ -189,3 +189,13 @@ def predict(stats: DataFrame, model: dict, id_col: str = "doc_id") -> DataFrame:
 
     return stats.withColumnRenamed(id_col, "id").mapInArrow(run, f"id {kind}, score double") \
         .withColumnRenamed("id", id_col)
+
+
+def filter_rows(docs: DataFrame, model: dict, cut: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores ``cut`` or more, all columns as they are."""
+    def run(batches):
+        for b in sub_batches(batches):
+            x = np.concatenate([text_statistics(raw, off) for _, _, raw, off in tokens.slices(b.column(text_col))])
+            yield b.filter(pa.array(traverse(model, x) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
