@@ -124,15 +124,12 @@ def token_counts(parts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(counts: np.ndarray, num: int, den: int, least: int):
-    """Rows (id, no, n, parity, i, token): a line under each token of its prefix. Of equal lines
-    in a batch only the first is listed."""
+    """Rows (id, no, n, parity, i, token): a line under each token of its prefix."""
     def run(batches):
         for b in sub_batches(batches):
             for lo, hi, raw, off in tokens.slices(b.column("text")):
                 x = Lines(raw, off)
-                _, firsts = np.unique(x.keys(), return_index=True)
-                size = np.zeros(x.count, dtype=np.int64)
-                size[firsts] = (x.n - (x.n * num + den - 1) // den + 1)[firsts]
+                size = x.n - (x.n * num + den - 1) // den + 1
                 # Sets so small that only equal ones match need no list.
                 size[(x.n < least) | (x.n * den < num * (x.n + 1)) & ((x.n - 1) * den < num * x.n)] = 0
                 parity = x.reduce(np.bitwise_xor, U(1) << (tokens.mix(x.h + U(2)) >> U(58)))
