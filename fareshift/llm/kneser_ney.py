@@ -239,11 +239,11 @@ class Words:
         return out
 
     def pair_range(self, keys: np.ndarray) -> np.ndarray:
-        """The reducer of ascending pairs: ascending too, about PAIR_MASS tokens each."""
+        """The reducer of ascending pairs: ascending too, about ``mass`` tokens each."""
         ids, inverse = np.unique((keys >> U(32)).astype(np.int64), return_inverse=True)
         follower = (keys & U(0xFFFFFFFF)).astype(np.float64) / (self.first[-1] + 1)
         mass = self.starts(ids)[inverse] + self.counts(ids)[inverse] * follower
-        return np.minimum(mass // PAIR_MASS, self.meta["pair_parts"] - 1).astype(np.int64)
+        return np.minimum(mass // self.meta["mass"], self.meta["pair_parts"] - 1).astype(np.int64)
 
 
 def _sequence(words: Words, raw: np.ndarray, off: np.ndarray):
@@ -336,8 +336,8 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return out
 
 
-def fit(train: DataFrame, text_col: str = "text") -> dict:
-    """Counts the model; returns what workers need to open it."""
+def fit(train: DataFrame, text_col: str = "text", pair_mass: int = PAIR_MASS) -> dict:
+    """Counts the model; returns what workers need to open it. ``pair_mass`` bounds a reducer's tokens."""
     text = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spark, root = train.sparkSession, work_path(train.sparkSession, "kneser-ney")
     docs, size = text.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -347,7 +347,7 @@ def fit(train: DataFrame, text_col: str = "text") -> dict:
     meta = {"root": root, "docs": docs, "n": [rows[p]["n"] if p in rows else 0 for p in range(parts)],
             "total": [rows[p]["total"] if p in rows else 0 for p in range(parts)]}
     n_tokens = docs + sum(meta["total"])
-    meta |= {"N": n_tokens, "V": sum(meta["n"]) + (docs > 0), "pair_parts": partitions_for(n_tokens, PAIR_MASS, 1)}
+    meta |= {"N": n_tokens, "V": sum(meta["n"]) + (docs > 0), "mass": pair_mass, "pair_parts": partitions_for(n_tokens, pair_mass, 1)}
     if not docs:
         return meta | {"pairs": [], "D": discounts(0, 0, 0, 0), "E": discounts(0, 0, 0, 0), "A": 0, "h": 1.0}
     counted = text.mapInArrow(_count_pairs(meta), "part int, blob binary").groupBy("part")
