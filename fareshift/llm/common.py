@@ -6,6 +6,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,5 +73,33 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def count_bytes(total: np.ndarray) -> bytes:
+    """A table of counts as int32, as ``sum_counts`` takes it."""
+    return np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()
+
+
+def _add_counts(batches):
+    total = None
+    for b in batches:
+        for v in b.column("counts"):
+            x = np.frombuffer(v.as_py(), dtype=np.int32).astype(np.int64)
+            total = x if total is None else total + x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([count_bytes(total)], pa.binary())], names=["counts"])
+
+
+def sum_counts(parts: DataFrame, slots: int) -> np.ndarray:
+    """The sum of the tasks' tables of ``slots`` counts (column ``counts``), added up in a tree of
+    tasks; the driver gets 16 tables at most."""
+    n = parts.count()
+    while n > 16:
+        n = -(-n // 16)
+        parts = materialize(parts.repartition(n).mapInArrow(_add_counts, "counts binary"), "counts")
+    total = np.zeros(slots, dtype=np.int64)
+    for r in parts.collect():
+        total += np.frombuffer(r["counts"], dtype=np.int32)
+    return np.minimum(total, 2**31 - 1).astype(np.int32)
+
+
 def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
     return max(least, -(-rows // per_partition))

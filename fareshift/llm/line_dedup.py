@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareshift.llm import tokens
-from fareshift.llm.common import materialize, small_side, sub_batches
+from fareshift.llm.common import count_bytes, materialize, small_side, sub_batches, sum_counts
 
 SLOTS = 1 << 19
 LEAD = 3
@@ -95,34 +95,11 @@ def _digests(kind: pa.DataType, least: int):
         if total.any():
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, kind), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()),
-                 pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())],
+                 pa.array([count_bytes(total)], pa.binary())],
                 names=["id", "no", "key", "n", "counts"])
     return run
 
 
-def _add_counts(batches):
-    total = None
-    for b in batches:
-        for v in b.column("counts"):
-            x = np.frombuffer(v.as_py(), dtype=np.int32).astype(np.int64)
-            total = x if total is None else total + x
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()])],
-                                         names=["counts"])
-
-
-def token_counts(parts: DataFrame) -> np.ndarray:
-    """The sum of the tasks' tables, added up in a tree of tasks; the driver gets 16 tables at most."""
-    n = parts.count()
-    while n > 16:
-        n = -(-n // 16)
-        parts = materialize(parts.repartition(n).mapInArrow(_add_counts, "counts binary"), "lines-counts")
-    total = np.zeros(SLOTS, dtype=np.int64)
-    for r in parts.collect():
-        total += np.frombuffer(r["counts"], dtype=np.int32)
-    return np.minimum(total, 2**31 - 1).astype(np.int32)
-
-
 def _prefixes(counts: np.ndarray, num: int, den: int, least: int):
     """Rows (id, no, n, parity, i, token): a line under each token of its prefix."""
     def run(batches):
@@ -190,7 +167,7 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
     arrow_kind = pa.schema(spark_arrow(d.select("id").schema)).field("id").type
     digests = materialize(d.mapInArrow(_digests(arrow_kind, min_tokens),
                                        f"id {kind}, no int, key long, n int, counts binary"), "lines-digests")
-    counts = token_counts(digests.where("counts is not null").select("counts"))
+    counts = sum_counts(digests.where("counts is not null").select("counts"), SLOTS)
     lines = digests.where("counts is null").select("id", "no", "key")
     first = materialize(lines.groupBy("key").agg(F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("c"))
                         .where("c > 1").select("key", "first"), "lines-first")

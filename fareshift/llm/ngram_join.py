@@ -17,10 +17,11 @@ components of the links.
 3. Only signatures shared by different sets go on. A set is first compared with
    one leader, the smallest set of the most signatures it shares. What is
    linked merges into components. Then sets are compared with the leader of
-   each signature they share with another component, and at last all pairs
-   of different components that still share a signature and weren't compared.
-   A group of m near copies costs a few times m comparisons, not m^2; what
-   merges needs no further ones.
+   each signature they share with another component. For the sets that still share
+   a signature with another component, an exact prefix and positional filter on
+   their shingles, the rarest first, picks the pairs that can link at all.
+   A group of m near copies costs a few times m comparisons, not m^2: what
+   merges needs no further ones, and what stays apart has shingles of its own.
 4. Comparisons are exact on the sets of 64-bit shingle hashes of the whole texts.
 
 Defined results: null texts and texts without words have an empty set and link
@@ -41,9 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fareshift.llm import tokens
-from fareshift.llm.common import materialize, small_side, sub_batches
+from fareshift.llm.common import count_bytes, materialize, small_side, sub_batches, sum_counts
 
 U = np.uint64
+SLOTS = 1 << 20  # hashed counts that order shingles by rarity
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -110,6 +112,36 @@ def _sets(k: int):
     return run
 
 
+def _shingle_counts(batches):
+    total = np.zeros(SLOTS, dtype=np.int64)
+    for b in sub_batches(batches):
+        h = b.column("s").flatten().to_numpy(zero_copy_only=False).view(U)
+        total += np.bincount((h & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+    if total.any():
+        yield pa.RecordBatch.from_arrays([pa.array([count_bytes(total)], pa.binary())], names=["counts"])
+
+
+def _rare_prefixes(counts: np.ndarray, num: int, den: int):
+    """Rows (key, comp, n, i, shingle): each set under the first n - ceil(n num / den) + 1 of its
+    shingles, ordered by hashed counts."""
+    def run(batches):
+        for b in sub_batches(batches):
+            key, comp, size, place, shingle = [], [], [], [], []
+            for k, c, s in zip(b.column("key").to_pylist(), b.column("comp").to_pylist(), b.column("s"), strict=True):
+                h = np.asarray(s.values).view(U)
+                take = len(h) - (len(h) * num + den - 1) // den + 1
+                first = np.lexsort((h, counts[(h & U(SLOTS - 1)).astype(np.int64)]))[:take]
+                key.append(np.full(take, k))
+                comp.append(np.full(take, c))
+                size.append(np.full(take, len(h), dtype=np.int32))
+                place.append(np.arange(take, dtype=np.int32))
+                shingle.append(h[first].view(np.int64))
+            if key:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, comp, size, place, shingle)],
+                                                 names=["key", "comp", "n", "i", "shingle"])
+    return run
+
+
 def _compare(num: int, den: int):
     """Pairs of sets to (a, b, linked)."""
     def run(batches):
@@ -185,13 +217,20 @@ def _linked_components(shared: DataFrame, sets: DataFrame, num: int, den: int) -
     compared = compared.unionByName(compare(again, "second"))
     merged = components(compared.where("linked"))
 
-    # What is left: all pairs of different components that still share a signature.
-    now = labelled(compared, merged)
-    left = now.select("sig", F.col("key").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = now.select("sig", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = (left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near)
-            .select("a", "na", "b", "nb").distinct().join(done, ["a", "b"], "left_anti"))
+    # What is left: sets that still share a signature with another component. Such a pair can only
+    # link if the sets share one of their rarest shingles early enough.
+    now = labelled(compared, merged).select("key", "comp").distinct()
+    left_sets = materialize(sets.join(small_side(materialize(now, "open-keys")), "key"), "open-sets")
+    counts = sum_counts(left_sets.select("s").mapInArrow(_shingle_counts, "counts binary"), SLOTS)
+    listed = materialize(left_sets.mapInArrow(_rare_prefixes(counts, num, den),
+                                              "key long, comp long, n int, i int, shingle long"), "open-listed")
+    as_of = lambda x: listed.select("shingle", F.col("key").alias(x), F.col("n").alias(f"n{x}"),
+                                    F.col("i").alias(f"i{x}"), F.col("comp").alias(f"c{x}"))
+    overlap = F.ceil(num * (F.col("na") + F.col("nb")) / F.lit(float(num + den)))
+    reachable = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= overlap
+    rest = (as_of("a").join(as_of("b"), "shingle")
+            .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near & reachable)
+            .select("a", "na", "b", "nb"))
     compared = compared.unionByName(compare(rest, "rest"))
     return components(compared.where("linked")).withColumnRenamed("v", "key")
 
@@ -218,7 +257,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = described.join(comp, "key", "left").select(
         "id", "n", F.coalesce("comp", "key").alias("class"))
-    smallest = classes.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
+    # Written first: the join then has two plain exchanges, and Spark can split a very large class.
+    smallest = materialize(classes.where("class is not null").groupBy("class").agg(F.min("id").alias("least")),
+                           "jaccard-smallest")
     return (classes.join(smallest, "class", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")))
