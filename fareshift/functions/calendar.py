@@ -51,8 +51,8 @@ def holiday_calendar(spark: SparkSession, first_year: int = DEFAULT_FIRST_YEAR,
     """DT-6: (holiday_date, holiday, service, year), seven rows per year.
 
     Years come from the range, or from a one-column DataFrame ``years``
-    (e.g. the distinct years of the data). The result has at most seven rows
-    per calendar year, a proven bound, so it is safe to broadcast.
+    (e.g. the distinct years of the data). A list for reports; the service type
+    of a day needs none of it (``holiday_service``).
     """
     if years is None:
         years = spark.range(1).select(
@@ -65,52 +65,33 @@ def holiday_calendar(spark: SparkSession, first_year: int = DEFAULT_FIRST_YEAR,
                     F.col("h.service").alias("service"), "year"))
 
 
-def service_type_of(day, holiday_service) -> Column:
-    """CLS-2 from a day and its holiday service (null when not a holiday).
-
-    Saturday holiday, then Sunday holiday, then Monday-Friday 'Weekday', else
-    the weekday name ('Saturday' / 'Sunday').
-    """
+def holiday_service(day) -> Column:
+    """The service a holiday runs ('Saturday', 'Sunday'), null on other days; read off the date itself,
+    so it holds for any year."""
+    d = as_col(day)
+    month, dom, dow = F.month(d), F.dayofmonth(d), F.dayofweek(d)  # 1 = Sunday
+    monday, thursday = dow == 2, dow == 5
+    mlk = (month == 1) & monday & dom.between(15, 21)
+    sunday = (((month == 1) & (dom == 1)) | ((month == 5) & monday & (dom >= 25)) | ((month == 7) & (dom == 4))
+              | ((month == 9) & monday & (dom <= 7)) | ((month == 11) & thursday & dom.between(22, 28))
+              | ((month == 12) & (dom == 25)))
+    return F.when(mlk, F.lit(SATURDAY)).when(sunday, F.lit(SUNDAY))
+
+
+def service_type_of(day, holiday: Column | None = None) -> Column:
+    """CLS-2: Saturday holiday, then Sunday holiday, then Monday-Friday 'Weekday', else the weekday
+    name ('Saturday' / 'Sunday'). ``holiday`` overrides the day's own holiday service."""
     d = as_col(day)
-    hs = as_col(holiday_service)
+    hs = holiday_service(day) if holiday is None else as_col(holiday)
     return (F.when(hs == SATURDAY, F.lit(SATURDAY))
             .when(hs == SUNDAY, F.lit(SUNDAY))
             .when(F.dayofweek(d).between(2, 6), F.lit(WEEKDAY))
             .otherwise(weekday_name(d)))
 
 
-_PER_DAY_CACHE: dict = {}
-
-
-def holiday_service_by_day(spark: SparkSession, first_year: int = DEFAULT_FIRST_YEAR,
-                           last_year: int = DEFAULT_LAST_YEAR, calendar: DataFrame | None = None) -> DataFrame:
-    """(holiday_date, _holiday_service): one row per holiday date, a Saturday
-    holiday winning over a Sunday one. Built once per session and year range
-    (DataFrames are immutable, so the lazy plan is reused)."""
-    def build(cal: DataFrame) -> DataFrame:
-        return cal.groupBy("holiday_date").agg(F.min("service").alias("_holiday_service"))  # 'Saturday' < 'Sunday'
-    if calendar is not None:
-        return build(calendar)
-    key = (id(spark), first_year, last_year)
-    hit = _PER_DAY_CACHE.get(key)
-    if hit is None or hit.sparkSession is not spark:
-        hit = build(holiday_calendar(spark, first_year, last_year))
-        _PER_DAY_CACHE[key] = hit
-    return hit
-
-
-def with_service_type(df: DataFrame, day_col: str = "service_day", out: str = "service_type",
-                      first_year: int = DEFAULT_FIRST_YEAR, last_year: int = DEFAULT_LAST_YEAR,
-                      calendar: DataFrame | None = None) -> DataFrame:
-    """CLS-2: add the service type of ``day_col``.
-
-    The calendar is reduced to one row per date and broadcast: its size is
-    bounded by seven rows per year.
-    """
-    per_day = holiday_service_by_day(df.sparkSession, first_year, last_year, calendar)
-    joined = df.join(F.broadcast(per_day), as_col(day_col) == F.col("holiday_date"), "left")
-    return (joined.withColumn(out, service_type_of(day_col, "_holiday_service"))
-            .drop("holiday_date", "_holiday_service"))
+def with_service_type(df: DataFrame, day_col: str = "service_day", out: str = "service_type") -> DataFrame:
+    """CLS-2: add the service type of ``day_col`` (no join, any year)."""
+    return df.withColumn(out, service_type_of(day_col))
 
 
 def date_spine(spark: SparkSession, start, end, name: str = "service_day") -> DataFrame:

@@ -79,14 +79,19 @@ def parse_report_timestamp(text) -> Column:
     ``try_make_timestamp_ntz``, so the wall-clock text is kept as written in
     any session time zone, and impossible dates give null.
     """
-    c = as_col(text)
-    num = lambda g: _part(c, _REPORT_TS, g).try_cast("int")
-    hour = num(4)
-    ampm = F.upper(_part(c, _REPORT_TS, 7))
-    hour24 = (F.when(ampm.isNull(), hour)
-              .when(hour.between(1, 12), hour % 12 + F.when(ampm == "PM", 12).otherwise(0)))
-    secs = F.coalesce(num(6), F.lit(0)).cast("decimal(16,6)")
-    return F.try_make_timestamp_ntz(num(3), num(1), num(2), hour24, num(5), secs)
+    c = F.trim(as_col(text))
+
+    def assemble(p: Column) -> Column:
+        num = lambda i: F.try_element_at(p, F.lit(i)).try_cast("int")
+        hour, ampm = num(4), F.upper(F.element_at(p, -1))
+        hour24 = (F.when(~ampm.isin("AM", "PM"), hour)
+                  .when(hour.between(1, 12), hour % 12 + F.when(ampm == "PM", 12).otherwise(0)))
+        secs = F.coalesce(num(6), F.lit(0)).cast("decimal(16,6)")
+        return F.try_make_timestamp_ntz(num(3), num(1), num(2), hour24, num(5), secs)
+
+    # One match and one split; the parts are a lambda's variable, so they are made once.
+    parts = F.split(c, r"[/:\s]+|(?<=\d)(?=[AaPp])")
+    return F.when(c.rlike(_REPORT_TS), F.element_at(F.transform(F.array(parts), assemble), 1))
 
 
 def parse_report_date(text) -> Column:

@@ -17,7 +17,8 @@ matches any earlier line is removed.
 4. What remains is verified on the token sets of the whole lines.
 
 Only the existence of an earlier match counts. So each line first meets the
-earliest line under its ``LEAD`` rarest tokens, which settles groups of
+earliest lines under its ``LEAD`` rarest tokens (under all its tokens, where many
+lines share one) and is compared with the closest of them, which settles groups of
 near copies in as many comparisons as lines; the full join is for those left.
 
 Defined results: null and empty texts have no lines to remove; lines of fewer
@@ -35,10 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareshift.llm import tokens
-from fareshift.llm.common import count_bytes, materialize, small_side, sub_batches, sum_counts
+from fareshift.llm.common import BROADCAST_ROWS, count_bytes, materialize, small_side, sub_batches, sum_counts
 
 SLOTS = 1 << 19
 LEAD = 3
+HOT = 16  # lines under a token that make its earliest line worth meeting by all tokens
+HOT_ROWS = 200_000  # rows of about 50 bytes that are broadcast; beyond, the join shuffles
 MIN_TOKENS = 3
 U = np.uint64
 _WORD = np.zeros(256, dtype=bool)
@@ -110,8 +113,9 @@ def _prefixes(counts: np.ndarray, num: int, den: int, least: int):
                 # Sets so small that only equal ones match need no list.
                 size[(x.n < least) | (x.n * den < num * (x.n + 1)) & ((x.n - 1) * den < num * x.n)] = 0
                 parity = x.reduce(np.bitwise_xor, U(1) << (tokens.mix(x.h + U(2)) >> U(58)))
-                rank = counts[(x.h & U(SLOTS - 1)).astype(np.int64)]
-                order = np.lexsort((x.h, rank, x.line))
+                # By count, then by hash: the sort is stable and x.h ascends within a line.
+                rank = counts[(x.h & U(SLOTS - 1)).astype(np.int64)].astype(U) << U(32) | x.h >> U(32)
+                order = np.lexsort((rank, x.line))
                 at = np.arange(len(order)) - x.bounds[:-1][x.line]  # the order keeps each line's place
                 take = at < size[x.line]
                 line, i, h = x.line[take], at[take], x.h[order][take]
@@ -124,18 +128,22 @@ def _prefixes(counts: np.ndarray, num: int, den: int, least: int):
     return run
 
 
-def _token_sets(least: int):
-    def run(batches):
-        for b in sub_batches(batches):
-            for lo, hi, raw, off in tokens.slices(b.column("text")):
-                x = Lines(raw, off)
-                keep = np.flatnonzero(x.n >= least)
-                sets = [x.h[x.bounds[j]:x.bounds[j + 1]].view(np.int64) for j in keep]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(lo, hi - lo).take(pa.array(x.text[keep])),
-                     pa.array(x.no[keep].astype(np.int32)), pa.array(sets, pa.list_(pa.int64()))],
-                    names=["id", "no", "s"])
-    return run
+def _token_sets(batches):
+    """The token sets of the wanted lines (``nos``) of each text."""
+    for b in sub_batches(batches):
+        nos = b.column("nos").to_pylist()
+        picked = []
+        for text, own in zip(b.column("text").to_pylist(), nos, strict=True):
+            lines = text.split("\n")
+            picked.append("\n".join([lines[j] for j in own]))
+        for lo, hi, raw, off in tokens.slices(pa.array(picked, pa.large_string())):
+            x = Lines(raw, off)
+            sets = [x.h[x.bounds[j]:x.bounds[j + 1]].view(np.int64) for j in range(x.count)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id").slice(lo, hi - lo).take(pa.array(x.text)),
+                 pa.array(np.concatenate([nos[t] for t in range(lo, hi)]).astype(np.int32)),
+                 pa.array(sets, pa.list_(pa.int64()))],
+                names=["id", "no", "s"])
 
 
 def _verify(num: int, den: int):
@@ -153,11 +161,15 @@ def _verify(num: int, den: int):
 
 
 def _may_match(num: int, den: int) -> Column:
-    """Length, positional and parity filter between x_* and the probing line's columns."""
+    """Length, positional and parity filter between two listed lines (columns of the one, x_* of the other)."""
     n, m, i, j = F.col("n"), F.col("x_n"), F.col("i"), F.col("x_i")
     overlap = F.expr(f"cast(ceil({num} * (n + x_n) / {float(num + den)}D) as int)")
     return ((F.least(n, m) * den >= F.greatest(n, m) * num) & (F.least(n - i, m - j) >= overlap)
-            & (F.bit_count(F.col("parity").bitwiseXOR(F.col("x_parity"))) <= n + m - 2 * overlap))
+            & (_distance() <= n + m - 2 * overlap))
+
+
+def _distance() -> Column:
+    return F.bit_count(F.col("parity").bitwiseXOR(F.col("x_parity")))
 
 
 def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, min_tokens: int) -> DataFrame:
@@ -180,13 +192,13 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
     listed = materialize(listed, "lines-listed")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The probing lines (id, no) of the pairs whose sets do match."""
+        """The lines (id, no) of the pairs with (x_id, x_no) whose sets do match."""
         pairs = materialize(pairs, f"{name}-pairs")
         wanted = materialize(pairs.select("id", "no").union(pairs.select("x_id", "x_no")).distinct(), f"{name}-wanted")
-        of = materialize(wanted.select("id").distinct(), f"{name}-docs")
-        sets = (d.join(small_side(of), "id", "left_semi").mapInArrow(
-            _token_sets(min_tokens), f"id {kind}, no int, s array<long>").join(small_side(wanted), ["id", "no"], "left_semi")
-            .dropDuplicates(["id", "no"]))
+        few = wanted.count() <= BROADCAST_ROWS
+        per_doc = wanted.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("nos"))
+        sets = (d.join(F.broadcast(per_doc) if few else per_doc, "id").select("id", "text", "nos")
+                .mapInArrow(_token_sets, f"id {kind}, no int, s array<long>").dropDuplicates(["id", "no"]))
         sets = materialize(sets, f"{name}-sets")
         both = (pairs.join(sets.withColumnRenamed("s", "sy"), ["id", "no"])
                 .join(sets.select(F.col("id").alias("x_id"), F.col("no").alias("x_no"), F.col("s").alias("sx")),
@@ -194,20 +206,35 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
         return materialize(both.select("id", "no", "sx", "sy").mapInArrow(_verify(num, den), f"id {kind}, no int")
                            .distinct(), f"{name}-verified")
 
-    def as_x(df: DataFrame) -> DataFrame:
-        return df.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "no", "n", "parity", "i")])
+    def as_x(df: DataFrame, *more: str) -> DataFrame:
+        return df.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "no", "n", "parity", "i", *more)])
 
     near = _may_match(num, den)
     earlier = F.struct("x_id", "x_no") < F.struct("id", "no")
     front = listed.where(F.col("i") < LEAD)
     lead = materialize(front.groupBy("token").agg(F.min(F.struct("id", "no", "n", "parity", "i")).alias("x"),
-                                                  F.count("*").alias("c")).where("c > 1").select("token", "x.*"),
+                                                  F.count("*").alias("c")).where("c > 1").select("token", "x.*", "c"),
                        "lines-lead")
-    met = (front.join(as_x(lead), "token").where(earlier & near)
-           .groupBy("id", "no").agg(F.min(F.struct("x_id", "x_no")).alias("x")).select("id", "no", "x.*"))
-    settled = verified(met, "lines-leaders")
-    rest = (listed.join(small_side(settled), ["id", "no"], "left_anti").join(as_x(listed), "token")
-            .where(earlier & near).select("id", "no", "x_id", "x_no").distinct())
+    # The earliest line under a token that many share is met by every token of a line's list.
+    hot = lead.where(F.col("c") >= HOT)
+    hot = F.broadcast(as_x(hot)) if hot.count() <= HOT_ROWS else as_x(hot)
+    met = front.join(as_x(lead), "token").where(earlier & near)
+    met_hot = listed.join(hot, "token").where(earlier & near)
+    best = (met.select(met_columns := ["id", "no", "x_id", "x_no", _distance().alias("off")])
+            .union(met_hot.select(met_columns))
+            .groupBy("id", "no").agg(F.min(F.struct("off", "x_id", "x_no")).alias("x")).select("id", "no", "x.x_id", "x.x_no"))
+    settled = verified(best, "lines-leaders")
+
+    # All pairs that still matter: the shorter line by the tokens it must share with one at least as
+    # long, the longer one by its whole list; the later of the two must not be settled.
+    marked = listed.join(small_side(settled.withColumn("done", F.lit(True))), ["id", "no"], "left")
+    shorter = marked.where(F.col("i") <= F.col("n") - F.ceil(2 * num * F.col("n") / F.lit(float(num + den))))
+    later_open = F.when(earlier, F.col("done")).otherwise(F.col("x_done")).isNull()
+    both_ways = (F.col("x_id") != F.col("id")) | (F.col("x_no") != F.col("no"))
+    found = shorter.join(as_x(marked, "done"), "token").where((F.col("n") <= F.col("x_n")) & both_ways & later_open & near)
+    one, two = F.struct("id", "no"), F.struct(F.col("x_id").alias("id"), F.col("x_no").alias("no"))
+    rest = found.select(F.when(earlier, one).otherwise(two).alias("y"), F.when(earlier, two).otherwise(one).alias("x")) \
+        .select("y.id", "y.no", F.col("x.id").alias("x_id"), F.col("x.no").alias("x_no")).distinct()
     others = verified(rest, "lines-rest")
     return materialize(equal.union(settled).union(others).where("id is not null").distinct(), "lines-removed")
 
@@ -222,7 +249,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 min_tokens: int = MIN_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, n_lines, n_removed, text without the removed lines, and the ``keep`` columns."""
     removed = later_matches(docs, id_col, text_col, num, den, min_tokens)
-    few = removed.count() <= 1_000_000  # rows of an id and an int
+    few = removed.count() <= BROADCAST_ROWS
     per_doc = removed.groupBy("id").agg(F.collect_set("no").alias("gone"))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep])
     d = d.join(F.broadcast(per_doc) if few else per_doc, "id", "left")

@@ -2,7 +2,9 @@
 
 Spark SQL has no as-of join. This one is built from a union, two windows, two
 aggregates and one equi join, so that no group is ever larger than one key's
-rows inside one time bucket, and nothing is quadratic.
+rows inside one time bucket. All windows that look for a match are running
+frames (from the partition's start to the current row): the forward direction
+sorts the other way round instead of looking ahead, so both are linear.
 
 Plan, for keys ``by`` (e.g. vehicle and service day):
 
@@ -25,7 +27,8 @@ Plan, for keys ``by`` (e.g. vehicle and service day):
    is already hashed on those keys, so only the small summary moves.
 
 Ties (several right rows at the matched time) take the right row with the
-largest ``tie`` value (``ties="last"``), or all of them (``ties="all"``).
+largest ``tie`` value. With ``ties="all"`` a left row whose own time equals the
+matched time takes all of them; a match rolled from another time stays one row.
 Left rows with a null key or time get no match and keep their row.
 """
 
@@ -76,7 +79,7 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
     roll_ends : backward only; a left row before the key's first right row
         takes that first row (both ends rolled).
     ties : ``"last"`` (one row per left row) or ``"all"`` (every right row at
-        the matched time).
+        exactly the left time; one row where the match is rolled).
     last_time : when given, also output the key's latest right time under this name.
     bucket_unit : time bucket for splitting keys ("second", "minute", "hour", "day").
     """
@@ -117,18 +120,13 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
                       F.lit(_LEFT).alias("_s"), _bucket(F.col(left_time), bucket_unit).alias("_b"), *lcols)
     u = lft.unionByName(r, allowMissingColumns=True)
 
-    # 1. match inside (by, bucket). Backward: rights sort before lefts at equal
-    #    times ('R' > 'L' so descending), ties ascending so the last is largest.
-    #    Forward: lefts first, ties descending so the first is the largest.
-    part = Window.partitionBy(*by, "_b")
-    if forward:
-        w1 = (part.orderBy("_t", F.col("_s").asc(), F.col("_k").desc())
-              .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        m1 = u.withColumn("_m", F.first("_r", ignorenulls=True).over(w1))
-    else:
-        w1 = (part.orderBy("_t", F.col("_s").desc(), F.col("_k").asc())
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        m1 = u.withColumn("_m", F.last("_r", ignorenulls=True).over(w1))
+    # 1. match inside (by, bucket): a running last. Rights sort before lefts at
+    #    equal times ('R' > 'L' so descending), ties ascending so the last is the
+    #    largest; forward runs from the latest time to the earliest.
+    time_order = F.col("_t").desc() if forward else F.col("_t").asc()
+    w1 = (Window.partitionBy(*by, "_b").orderBy(time_order, F.col("_s").desc(), F.col("_k").asc())
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    m1 = u.withColumn("_m", F.last("_r", ignorenulls=True).over(w1))
 
     # 2. bucket summaries. Right buckets: last and first right row and the
     #    latest right time (a partial aggregate before the shuffle, so only
@@ -142,16 +140,14 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
     left_buckets = lft.select(*by, "_b", F.lit(_LEFT).alias("_kind")).distinct()
     summary = left_buckets.unionByName(right_summary, allowMissingColumns=True)
 
-    # 3. carry-in per left bucket from the other buckets of the same key. Within
-    #    one bucket the right summary must not count as carry: backward puts
-    #    it after the left row ('R' > 'L'), forward before it.
-    kind_order = F.col("_kind").desc() if forward else F.col("_kind").asc()
-    w2 = Window.partitionBy(*by).orderBy("_b", kind_order)
+    # 3. carry-in per left bucket from the other buckets of the same key: the last
+    #    one before it in running order. Within one bucket the right summary must
+    #    not count as carry, so it sorts after the left row ('R' > 'L').
+    bucket_order = F.col("_b").desc() if forward else F.col("_b").asc()
+    w2 = Window.partitionBy(*by).orderBy(bucket_order, F.col("_kind").asc())
     whole = w2.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    if forward:
-        carry = F.first("_first", ignorenulls=True).over(w2.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        carry = F.last("_last", ignorenulls=True).over(w2.rowsBetween(Window.unboundedPreceding, -1))
+    carry = F.last("_first" if forward else "_last", ignorenulls=True).over(
+        w2.rowsBetween(Window.unboundedPreceding, -1))
     carry_cols = [carry.alias("_carry")]
     if roll_ends:
         carry_cols.append(F.first("_first", ignorenulls=True).over(whole).alias("_key_first"))
@@ -174,9 +170,10 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
 
     extra = [F.col("_key_tmax").alias(last_time)] if last_time else []
     if ties == "all":
-        # every right row at the matched time: an equi join on (by, time).
+        # every right row at exactly the left time: an equi join on (by, time).
         allr = r.select(*by, F.col("_t").alias("_mt"), F.col("_r").alias("_ra"))
-        res = res.select("*", match.alias("_match"), match[right_time].alias("_mt"))
+        res = res.select("*", match.alias("_match"),
+                         F.when(match[right_time] == F.col("_t"), F.col("_t")).alias("_mt"))
         res = res.join(allr, on=[*by, "_mt"], how="left")
         match = F.coalesce(F.col("_ra"), F.col("_match"))
     return res.select(*left_cols, *[match[c].alias(c) for c in carried], *extra)

@@ -34,12 +34,15 @@ def scale_to_control(local_daily: DataFrame, totals: DataFrame, day_col: str = "
     Where the matched sum ``r1 + r2`` is below the control, each route gets
     ``int(r_k / (r1 + r2) * (control - (r1 + r2)) + r_k)`` (truncated toward
     zero); otherwise it keeps ``r_k``. Missing counts are 0; a day with
-    ``r1 + r2 = 0`` cannot be split and stays 0. Days are matched by key.
+    ``r1 + r2 = 0`` cannot be split and stays 0. Days are matched by key, and
+    days of either side stay: without a control total the counts are kept, without
+    matched counts the control is listed beside zeros.
     """
     r1 = F.coalesce(F.col(north_col), F.lit(0)).cast("long")
     r2 = F.coalesce(F.col(south_col), F.lit(0)).cast("long")
     j = (local_daily.select(day_col, r1.alias(north_col), r2.alias(south_col))
-         .join(totals.select(day_col, "ridership"), on=day_col, how="inner"))
+         .join(totals.select(day_col, "ridership"), on=day_col, how="full")
+         .select(day_col, r1.alias(north_col), r2.alias(south_col), "ridership"))
     rj = F.col(north_col) + F.col(south_col)
     gap = F.col("ridership") - rj
     rj_nz = F.when(rj != 0, rj)
@@ -47,7 +50,7 @@ def scale_to_control(local_daily: DataFrame, totals: DataFrame, day_col: str = "
     def scaled(rk):
         return F.coalesce((F.col(rk) / rj_nz * gap + F.col(rk)).cast("long"), F.col(rk))
 
-    scale = rj < F.col("ridership")
+    scale = F.coalesce(rj < F.col("ridership"), F.lit(False))
     return j.select(day_col, north_col, south_col, rj.alias("ridershiprj"), "ridership",
                     F.when(scale, scaled(north_col)).otherwise(F.col(north_col)).alias("final_901"),
                     F.when(scale, scaled(south_col)).otherwise(F.col(south_col)).alias("final_902"))
@@ -62,6 +65,15 @@ def scaled_by_service_type(scaled_typed: DataFrame) -> DataFrame:
     return wide.unpivot("service_type", ["901", "902"], "local_route", "ridership")
 
 
+def combine_periods(scaled_typed: DataFrame, cut, day_col: str = "service_day") -> DataFrame:
+    """DOM-9 over one daily table: scaled counts before ``cut``, matched counts from it on, summed
+    per (local_route, service_type). One pass, so the match behind the table runs once."""
+    before = F.col(day_col) < F.lit(cut).cast("date")
+    s = scaled_typed.withColumns({f"final_{k}": F.when(before, F.col(f"final_{k}")).otherwise(F.col(f"ridership_{k}"))
+                                  for k in ("901", "902")})
+    return scaled_by_service_type(s).select("local_route", "service_type", F.col("ridership").cast("long").alias("ridership"))
+
+
 def combine_totals(a: DataFrame, b: DataFrame) -> DataFrame:
     """DOM-9: add two periods' (local_route, service_type) totals."""
     u = a.select("local_route", "service_type", F.col("ridership").cast("long").alias("ridership")) \

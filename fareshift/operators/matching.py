@@ -25,17 +25,20 @@ def with_service_day(df: DataFrame, time_col: str, out: str = "service_day",
 
 def transactions_in_period(td: DataFrame, start=None, end=None, inclusive: bool = False,
                            time_col: str = "txn_time") -> DataFrame:
-    """Add the service day and keep ``start <= day < end`` (``<= end`` if inclusive).
+    """Add the service day and keep ``start <= day < end`` (``<= end`` if inclusive); a bound that is
+    None is open.
 
     The day filter is written on the timestamp as well, so the parquet scan
     can skip row groups outside the period (the day is a shifted timestamp).
     """
     out = with_service_day(td, time_col)
-    if start is not None and end is not None:
-        out = out.where(between_days("service_day", start, end, inclusive))
-        lo = F.lit(start).cast("date").cast("timestamp_ntz")
+    if start is not None:
+        first = F.lit(start).cast("date")
+        out = out.where((F.col("service_day") >= first) & (F.col(time_col) >= first.cast("timestamp_ntz")))
+    if end is not None:
+        out = out.where(between_days("service_day", "0001-01-01", end, inclusive))
         hi_day = F.date_add(F.lit(end).cast("date"), 2 if inclusive else 1)
-        out = out.where((F.col(time_col) >= lo) & (F.col(time_col) < hi_day.cast("timestamp_ntz")))
+        out = out.where(F.col(time_col) < hi_day.cast("timestamp_ntz"))
     return out
 
 
@@ -43,14 +46,19 @@ def match_positions(td: DataFrame, positions: DataFrame, *, by: Sequence[str] =
                     txn_time: str = "txn_time", pos_time: str = "pos_time",
                     position_cols: Sequence[str] = POSITION_COLS, tie: str | None = "avl_history_id",
                     roll_ends: bool = False, last_time: str | None = "maxtime",
-                    bucket_unit: str = "minute") -> DataFrame:
+                    bucket_unit: str = "minute", ties: str = "last", direction: str = "backward",
+                    tolerance: float | None = None, how: str = "left") -> DataFrame:
     """DOM-4: each transaction with its vehicle's last position of that service day.
 
     Both sides get their service day (if missing) and meet in one as-of join
     keyed by (vehicle, service day). Also carries ``last_time`` (the latest
     position of the vehicle-day, JOI-7) without a second join. The row count
-    equals the transaction count.
+    equals the transaction count (``ties="last"``, ``how="left"``). ``tie`` orders
+    positions of one time and must be a column of ``positions``; pass ``None``
+    where times are unique.
     """
+    if tie is not None and tie not in positions.columns:
+        raise ValueError(f"tie column {tie!r} is not among the positions' columns")
     if "service_day" not in by:
         warnings.warn("matching without service_day: each key's whole history forms one carry-in "
                       "window group; pass a coarser bucket_unit for long histories", stacklevel=2)
@@ -58,8 +66,8 @@ def match_positions(td: DataFrame, positions: DataFrame, *, by: Sequence[str] =
     right = with_service_day(positions, pos_time) if "service_day" in by else positions
     cols = [c for c in position_cols if c in right.columns and c not in by]
     return asof_join(left, right, by=list(by), left_time=txn_time, right_time=pos_time,
-                     right_cols=cols, tie=tie if tie in right.columns else None,
-                     roll_ends=roll_ends, last_time=last_time, bucket_unit=bucket_unit)
+                     right_cols=cols, tie=tie, roll_ends=roll_ends, last_time=last_time, bucket_unit=bucket_unit,
+                     ties=ties, direction=direction, tolerance=tolerance, how=how)
 
 
 def asof_comparison(td: DataFrame, positions: DataFrame, tolerance_seconds: float = 120.0,

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fareshift.functions.classify import bad_gps, gps_flag
-from fareshift.functions.timefns import month_name, time_gap_seconds
+from fareshift.functions.timefns import time_gap_seconds
+from fareshift.operators.summary import with_month
 
 # A transaction more than 90 s after its matched position is in
 # a gap (some analyses used 120 s; the threshold is an argument).
@@ -44,8 +45,9 @@ def quality_flags(matched: DataFrame, *, txn_time: str = "txn_time", pos_time: s
     })
 
 
-def questionable_pct(flagged: DataFrame, scale: float = 100.0) -> DataFrame:
-    """QLT-4: share of questionable transactions, in one aggregate.
+def questionable_pct(flagged: DataFrame, scale: float = 100.0, by: Sequence[str] = ()) -> DataFrame:
+    """QLT-4: share of questionable transactions, in one aggregate, over all rows or
+    for each group of ``by`` (e.g. year and month) over the group's rows.
 
     ``questionable_pct`` counts a row once per fault (after the last
     position, in a gap, bad GPS), as the reference's stacked sets do;
@@ -55,7 +57,7 @@ def questionable_pct(flagged: DataFrame, scale: float = 100.0) -> DataFrame:
     faults = (F.col("after_last").cast("long") + F.col("in_gap").cast("long")
               + F.col("bad_gps").cast("long"))
     anyf = F.col("after_last") | F.col("in_gap") | F.col("bad_gps")
-    return flagged.agg(
+    return flagged.groupBy(*by).agg(
         n.alias("n_rows"),
         F.count(F.when(F.col("after_last"), 1)).alias("n_after_last"),
         F.count(F.when(F.col("in_gap"), 1)).alias("n_in_gap"),
@@ -93,8 +95,8 @@ def pct_of_rows(df: DataFrame, cond, by: Sequence[str] = (), out: str = "pct") -
 
     With ``by``, each group's count is divided by the whole-table count (the
     reference's denominator). The group counts come from one partial/final
-    aggregate; the total is a window over those few aggregated rows, not over
-    the input.
+    aggregate; the total is a window over the aggregated rows, which meet in one
+    task: meant for ``by`` of bounded kinds, such as months and local routes.
     """
     by = list(by)
     g = df.groupBy(*by).agg(F.count(F.when(cond, 1)).alias("_hit"), F.count(F.lit(1)).alias("_n"))
@@ -105,9 +107,14 @@ def pct_of_rows(df: DataFrame, cond, by: Sequence[str] = (), out: str = "pct") -
 
 
 def bad_gps_by_month(matched: DataFrame, day_col: str = "service_day", gps_col: str = "gps_status") -> DataFrame:
-    """AGG-4 by month: bad-GPS transactions per month over all transactions."""
-    m = matched.withColumn("month", month_name(day_col))
-    return pct_of_rows(m, bad_gps(gps_col), by=["month"], out="bad_td_gps_pct")
+    """AGG-4 by month: bad-GPS transactions per year and month over all transactions."""
+    return pct_of_rows(with_month(matched, day_col), bad_gps(gps_col), by=["year", "month"], out="bad_td_gps_pct")
+
+
+def bad_gps_by_month_route(matched: DataFrame, day_col: str = "service_day", gps_col: str = "gps_status") -> DataFrame:
+    """AGG-4 by month and local route: bad-GPS transactions over all transactions."""
+    return pct_of_rows(with_month(matched, day_col), bad_gps(gps_col), by=["year", "month", "local_route"],
+                       out="bad_td_gps_pct")
 
 
 def gps_by_trip(positions: DataFrame, by: Sequence[str] = ("service_day", "trip"),

@@ -8,12 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fareshift.functions.classify import is_transfer
-from fareshift.operators.sizing import broadcast_if_small
 
 
 def _rule_codes(rules: DataFrame) -> DataFrame:
-    # A small dimension: broadcast behind a size check.
-    return broadcast_if_small(rules.select(F.col("code")).where(F.col("code").isNotNull()))
+    return rules.select(F.col("code")).where(F.col("code").isNotNull())
 
 
 def is_ridership(rules: DataFrame, description_col: str = "description", type_col: str = "type",
@@ -34,12 +32,27 @@ def is_ridership(rules: DataFrame, description_col: str = "description", type_co
 def with_ridership_flag(td: DataFrame, rules: DataFrame, out: str = "is_ridership",
                         description_col: str = "description", type_col: str = "type",
                         with_transfers: bool = True) -> DataFrame:
-    """Add the FLT-1 flag as a column."""
-    return td.withColumn(out, is_ridership(rules, description_col, type_col, with_transfers))
+    """Add the FLT-1 flag as a column. Rules with the columns ``year`` and ``month`` (``with_month_key``)
+    hold in their month only, by the transaction's own time; a null year or month holds in all."""
+    if not {"year", "month"} <= set(rules.columns):
+        return td.withColumn(out, is_ridership(rules, description_col, type_col, with_transfers))
+    # One row for each code, so no transaction is multiplied.
+    periods = (rules.where(F.col("code").isNotNull()).groupBy(F.col("code").alias("_code"))
+               .agg(F.collect_set(F.struct(F.col("year"), F.col("month"))).alias("_periods")))
+    year, month = F.year("txn_time"), F.date_format("txn_time", "MMM")
+    holds = F.exists("_periods", lambda p: (p["year"].isNull() | (p["year"] == year))
+                     & (p["month"].isNull() | (p["month"] == month)))
+    flag = F.coalesce(holds, F.lit(False))
+    if with_transfers:
+        flag = flag | is_transfer(type_col)
+    return (td.join(periods, F.col(description_col) == F.col("_code"), "left")
+            .select(*td.columns, flag.alias(out)))
 
 
 def ridership_only(td: DataFrame, rules: DataFrame, with_transfers: bool = True, **kw) -> DataFrame:
     """FLT-1: keep the transactions that count as ridership."""
+    if {"year", "month"} <= set(rules.columns):
+        return with_ridership_flag(td, rules, "_rides", with_transfers=with_transfers, **kw).where("_rides").drop("_rides")
     return td.where(is_ridership(rules, with_transfers=with_transfers, **kw))
 
 
@@ -90,8 +103,8 @@ def reconcile(td: DataFrame, rules: DataFrame, routesum: DataFrame, by: Sequence
     ``ridership_diff = ridership_td - ridership`` and ``percent_disagree``
     rounded half-even to ``digits``. ``how="inner"`` keeps routes in both;
     ``how="left"`` (JOI-6) keeps every route of the transactions, with a null
-    control where RouteSum has none. Months are paired by a ``period`` key
-    when ``by`` holds one, never by list position.
+    control where RouteSum has none. Months are paired by keys when ``by``
+    holds them (``reconcile_by_month``), never by list position.
     """
     by = list(by)
     mine = count_by(ridership_only(td, rules), *by, out="ridership_td")
@@ -102,6 +115,23 @@ def reconcile(td: DataFrame, rules: DataFrame, routesum: DataFrame, by: Sequence
                         F.bround(F.try_divide(F.col("ridership_diff"), F.col("ridership")) * 100, digits)))
 
 
+def reconcile_by_month(td: DataFrame, rules: DataFrame, routesum: DataFrame, digits: int = 3) -> DataFrame:
+    """DOM-1 / SET-1: each month's count per route against the RouteSum of that month.
+
+    ``routesum`` has route, ridership, month ('Dec') and year (``with_month_key``); a report whose
+    name holds no year is paired by month alone. Months of one name in different years stay apart.
+    """
+    mine = (ridership_only(td, rules)
+            .groupBy(F.year("txn_time").alias("year"), F.date_format("txn_time", "MMM").alias("month"), "route")
+            .agg(F.count(F.lit(1)).alias("ridership_td")))
+    ctl = routesum.select(F.col("year").alias("_year"), "month", "route", "ridership")
+    ctl = ctl.groupBy("_year", "month", "route").agg(F.sum("ridership").alias("ridership"))
+    j = mine.join(ctl, ["month", "route"]).where(F.col("_year").isNull() | (F.col("_year") == F.col("year")))
+    diff = F.col("ridership_td") - F.col("ridership")
+    return j.select("year", "month", "route", "ridership_td", "ridership", diff.alias("ridership_diff"),
+                    F.bround(F.try_divide(diff, F.col("ridership")) * 100, digits).alias("percent_disagree"))
+
+
 def reconcile_transfers(td: DataFrame, rules: DataFrame, routesum: DataFrame,
                         by: Sequence[str] = ("route",)) -> DataFrame:
     """DOM-3: effect of transfers on the difference, in one aggregate pass.

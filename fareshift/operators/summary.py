@@ -11,7 +11,6 @@ from fareshift.functions.calendar import SATURDAY, SUNDAY, WEEKDAY
 from fareshift.functions.classify import (LOCAL_NORTH, LOCAL_SOUTH, NORTH_BOUNDARY, SOUTH_BOUNDARY,
                                           TRUNK, label_transfers, local_route, pass_type)
 from fareshift.functions.timefns import month_name
-from fareshift.operators.sizing import broadcast_if_small
 
 LOCAL_ROUTES = (LOCAL_NORTH, LOCAL_SOUTH)
 SERVICE_TYPES = (WEEKDAY, SATURDAY, SUNDAY)
@@ -44,8 +43,14 @@ def local_wide(matched: DataFrame, row_keys: Sequence[str], col_key: str, values
 
 
 def local_by_month(matched: DataFrame, day_col: str = "service_day") -> DataFrame:
-    """DOM-5 by month: local ridership per month name."""
-    return local_counts(matched.withColumn("month", month_name(day_col)), ["month"])
+    """DOM-5 by month: local ridership per year and month name."""
+    return local_counts(with_month(matched, day_col), ["year", "month"])
+
+
+def with_month(df: DataFrame, day_col: str = "service_day") -> DataFrame:
+    """Add ``year`` and ``month`` (English name): the key of a month; the name alone would add
+    the same month of different years."""
+    return df.withColumn("year", F.year(day_col)).withColumn("month", month_name(day_col))
 
 
 def daily_series(matched: DataFrame, by: Sequence[str] = ("service_day", "service_type")) -> DataFrame:
@@ -94,7 +99,7 @@ def pass_mix(td_used: DataFrame, rules: DataFrame, day_col: str = "service_day")
     windows run over the aggregated (day, type) rows.
     """
     r = rules.select(F.col("code").alias("_code"), F.col("description").alias("_rule_description"))
-    r = broadcast_if_small(r.groupBy("_code").agg(F.max("_rule_description").alias("_rule_description")))
+    r = r.groupBy("_code").agg(F.max("_rule_description").alias("_rule_description"))
     j = td_used.join(r, F.col("description") == F.col("_code"), "left")
     typed = j.withColumn("pass_type", pass_type(label_transfers("_rule_description", "type")))
     g = (typed.where(F.col("pass_type").isNotNull())

@@ -10,7 +10,9 @@ from fareshift.functions.timefns import SERVICE_DAY_START_HOUR
 # The corridor's routes start with 9; its fleet is 1970-1999.
 ROUTE_LIKE = "9%"
 FLEET_RANGE = (1970, 1999)
-POSITION_COLUMNS = ("pos_time", "route", "trip", "vehicle_id", "latitude", "gps_status")
+MESSAGE_COLUMNS = ("route", "stop_name", "stop_id", "inbound_outbound", "trip", "boards", "alights", "departure_time")
+HISTORY_COLUMNS = ("latitude", "longitude", "gps_status")
+HISTORY_MARGIN_HOURS = 24
 
 
 def jdbc_table(spark: SparkSession, url: str, table: str, *, partition_column: str | None = None,
@@ -36,31 +38,39 @@ def read_positions(vmh: DataFrame, avl: DataFrame, start=None, end=None, *, rout
                    start_hour: int = SERVICE_DAY_START_HOUR, distinct: bool = True) -> DataFrame:
     """SRC-9 / SRC-10: positions of the corridor for a period.
 
-    Message history (``vmh``: avl_history_id, time, route, vehicle_id, trip)
-    left-joins position history (``avl``: avl_history_id, latitude,
-    gps_status) on ``avl_history_id`` (JOI-4). A message is kept when its
+    Message history (``vmh``: avl_history_id, time, vehicle_id and what it has of
+    ``MESSAGE_COLUMNS``) left-joins position history (``avl``: avl_history_id, time and what it
+    has of ``HISTORY_COLUMNS``) on ``avl_history_id`` (JOI-4), which stays in the output: it orders
+    positions of one time. A message is kept when its
     route is LIKE ``route_like`` or its vehicle is in ``vehicle_range``: one
     scan with an OR instead of two scans and a UNION; ``distinct`` keeps the
-    UNION's duplicate removal (SET-3). The period is [start, end] in service
+    UNION's duplicate removal over all columns (SET-3). The period is [start, end] in service
     days: from ``start`` 03:00 to the day after ``end`` 03:00
-    (``by_service_day=False`` bounds at midnight instead, as one analysis did).
+    (``by_service_day=False`` bounds at midnight instead, as one analysis did). The
+    position history is read for the same period and ``HISTORY_MARGIN_HOURS`` around it.
     Filters are written on the source columns, so a parquet or JDBC source
     receives them.
     """
-    v = vmh
+    for side, df in (("message", vmh), ("position", avl)):
+        if missing := {"avl_history_id", "time"} - set(df.columns):
+            raise ValueError(f"{side} history lacks {sorted(missing)}")
+    v, a = vmh, avl
     if start is not None and end is not None:
         shift = F.make_dt_interval(hours=F.lit(start_hour if by_service_day else 0))
         lo = F.lit(start).cast("date").cast("timestamp_ntz") + shift
         hi = F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz") + shift
         v = v.where((F.col("time") >= lo) & (F.col("time") < hi))
+        margin = F.make_dt_interval(hours=F.lit(HISTORY_MARGIN_HOURS))
+        a = a.where((F.col("time") >= lo - margin) & (F.col("time") < hi + margin))
     keep = F.lit(False)
     if route_like:
         keep = keep | F.coalesce(F.col("route").like(route_like), F.lit(False))
     if vehicle_range:
         keep = keep | F.coalesce(F.col("vehicle_id").between(*vehicle_range), F.lit(False))
     v = v.where(keep)
-    a = avl.select("avl_history_id", "latitude", "gps_status")
-    j = v.join(a, "avl_history_id", "left")
-    out = j.select(F.col("time").alias("pos_time"), "route", "trip",
-                   F.col("vehicle_id").cast("string").alias("vehicle_id"), "latitude", "gps_status")
+    messages = [c for c in MESSAGE_COLUMNS if c in v.columns]
+    history = [c for c in HISTORY_COLUMNS if c in a.columns]
+    j = v.join(a.select("avl_history_id", *history), "avl_history_id", "left")
+    out = j.select("avl_history_id", F.col("time").alias("pos_time"), F.col("vehicle_id").cast("string").alias("vehicle_id"),
+                   *messages, *history)
     return out.distinct() if distinct else out

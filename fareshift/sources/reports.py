@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fareshift.functions.timefns import parse_report_date, parse_report_timestamp
-from fareshift.operators.sizing import broadcast_if_small
 
 # File-name markers of each report kind and the text markers
 # inside the reports.
@@ -82,19 +81,23 @@ def with_period(df: DataFrame, file_col: str = "file", out: str = "period",
                 pattern: str = PERIOD_PATTERN, letters: int | None = None) -> DataFrame:
     """SRC-3: label rows with the period in the file name (e.g. 'DECEMBER 1').
 
-    ``letters=3`` keeps the first three letters (the RouteSum month key).
+    ``letters=3`` keeps the first three letters of the month, and the year where the
+    name has one (the RouteSum month key, 'Dec 2019').
     """
     p = F.regexp_extract(F.col(file_col), pattern, 1)
     if letters:
-        p = F.substring(p, 1, letters)
+        p = F.concat_ws(" ", F.substring(p, 1, letters), F.nullif(F.regexp_extract(p, r"\d{4}", 0), F.lit("")))
     return df.withColumn(out, p)
 
 
-def with_month_key(df: DataFrame, period_col: str = "period", out: str = "month") -> DataFrame:
+def with_month_key(df: DataFrame, period_col: str = "period", out: str = "month", year_out: str = "year") -> DataFrame:
     """SET-1 / Q-7: a month key shared by all report kinds: 'DECEMBER 1' and
-    'DECEMBER 16' (half-month transaction files) and 'Dec' (route summary)
-    all become 'Dec', so months are paired by key, never by list position."""
-    return df.withColumn(out, F.initcap(F.substring(F.col(period_col), 1, 3)))
+    'DECEMBER 16' (half-month transaction files) and 'Dec 2019' (route summary)
+    all become 'Dec'; the year is null where the label has none (null month
+    without a label). Months are paired by key, never by list position."""
+    year = F.regexp_extract(F.col(period_col), r"\d{4}", 0).try_cast("int")
+    return (df.withColumn(out, F.nullif(F.initcap(F.substring(F.col(period_col), 1, 3)), F.lit("")))
+            .withColumn(year_out, year))
 
 
 def numbered_lines(whole: DataFrame) -> DataFrame:
@@ -184,9 +187,10 @@ def parse_rules(lines: DataFrame, version: int = 2) -> DataFrame:
             .drop("_pair"))
 
 
-def read_rules(spark: SparkSession, directory: str, period: str | None = None, version: int = 2) -> DataFrame:
+def read_rules(spark: SparkSession, directory: str, period: str | None = None, version: int = 2,
+               year: int | str | None = None) -> DataFrame:
     """SRC-4/5: rules of every matching rules report, with its period."""
-    lines = numbered_lines(report_files(spark, directory, "rules", period=period))
+    lines = numbered_lines(report_files(spark, directory, "rules", period=period, year=year))
     return with_period(parse_rules(lines, version))
 
 
@@ -258,39 +262,38 @@ def parse_daily_totals(lines: DataFrame) -> DataFrame:
     return out.where(F.col("service_day").isNotNull())
 
 
-def read_daily_totals(spark: SparkSession, directory: str, period: str | None = None) -> DataFrame:
-    lines = numbered_lines(report_files(spark, directory, "daily", period=period))
+def read_daily_totals(spark: SparkSession, directory: str, period: str | None = None,
+                      year: int | str | None = None) -> DataFrame:
+    lines = numbered_lines(report_files(spark, directory, "daily", period=period, year=year))
     return parse_daily_totals(lines)
 
 
 # ------------------------------------------------------------------ transaction detail
 
 
-MAX_BROADCAST_FILES = 1_000_000
+HEADER_SALTS = 16
 
 
-def _td_headers(lines: DataFrame, n_files: int | None = None) -> DataFrame:
-    """One header row per report file, broadcast to the body lines.
+def _td_headers(lines: DataFrame) -> DataFrame:
+    """One header row per report file, once for each salt.
 
-    The table has exactly one row per ``file``. When the lines come straight
-    from a file listing, ``n_files`` (from ``inputFiles()``, no job) bounds
-    it and it is broadcast; otherwise the size check decides. Without a
-    broadcast the join on ``file`` would hash every line of a file to one task.
+    Every line of a file needs its header; the join is on (file, salt of the line), so a file's
+    lines spread over ``HEADER_SALTS`` tasks. Headers are small, and adaptive execution broadcasts
+    them where their measured size allows.
     """
     cond = F.lit(True)
     for m in TD_HEADER_MARKERS:
         cond = cond & F.col("line").contains(m)
     hdr = lines.where(cond).groupBy("file").agg(F.min("line").alias("_hline"))
-    hdr = hdr.select("file", _header_norm(_fields(F.col("_hline"))).alias("_hdr"),
-                     (F.size(F.split("_hline", ",")) - 1).alias("_hcommas"))
-    if n_files is not None and n_files <= MAX_BROADCAST_FILES:
-        return F.broadcast(hdr)
-    return broadcast_if_small(hdr)
+    return hdr.select("file", _header_norm(_fields(F.col("_hline"))).alias("_hdr"),
+                      (F.size(F.split("_hline", ",")) - 1).alias("_hcommas"),
+                      F.explode(F.sequence(F.lit(0), F.lit(HEADER_SALTS - 1))).alias("_salt"))
 
 
-def _td_candidates(lines: DataFrame, n_files: int | None = None) -> DataFrame:
+def _td_candidates(lines: DataFrame) -> DataFrame:
     """Non-header, non-footer lines with their fields picked by header name
-    (text) and the parsed ``txn_time`` (null when the date does not parse).
+    (text) and the parsed ``txn_time`` (null when the date does not parse, or
+    when the file has no header line: its ``_hcommas`` is null).
 
     The field array and the parsed time come out of one-element generators
     (``explode``). A filter on a generator's output cannot be pushed below
@@ -298,8 +301,8 @@ def _td_candidates(lines: DataFrame, n_files: int | None = None) -> DataFrame:
     into a filter (where code generation would evaluate every copy); each
     line is split once and its date parsed once.
     """
-    hdr = _td_headers(lines, n_files)
-    j = lines.join(hdr, "file")
+    salted = lines.withColumn("_salt", F.pmod(F.xxhash64("line"), F.lit(HEADER_SALTS)).cast("int"))
+    j = salted.join(_td_headers(lines), ["file", "_salt"], "left")
     is_header = F.col("line").contains(TD_HEADER_MARKERS[0]) & F.col("line").contains(TD_HEADER_MARKERS[1])
     j = j.where(~is_header & (F.trim("line") != "") & ~F.col("line").contains(TD_FOOTER))
     j = j.select("file", "line", "_hdr", "_hcommas", F.explode(F.array(_fields(F.col("line")))).alias("_f"))
@@ -308,14 +311,14 @@ def _td_candidates(lines: DataFrame, n_files: int | None = None) -> DataFrame:
     return j.select("*", F.explode(F.array(parse_report_timestamp(F.col("_txt_txn_time")))).alias("txn_time"))
 
 
-def parse_transactions(lines: DataFrame, n_files: int | None = None) -> DataFrame:
+def parse_transactions(lines: DataFrame) -> DataFrame:
     """SRC-8: (file, line) rows of transaction reports -> typed transactions.
 
     Columns are picked by header name; Direction, Fareset, Stop and Trip are
     not carried; six columns stay text (PRJ-3), amounts and coordinates are
     doubles. A body row is one whose date parses.
     """
-    c = _td_candidates(lines, n_files).where(F.col("txn_time").isNotNull())
+    c = _td_candidates(lines).where(F.col("txn_time").isNotNull())
     cols = [F.col("file")]
     for name in TD_COLUMNS.values():
         if name == "txn_time":
@@ -326,21 +329,27 @@ def parse_transactions(lines: DataFrame, n_files: int | None = None) -> DataFram
     return c.select(*cols)
 
 
-def rejected_transactions(lines: DataFrame, n_files: int | None = None) -> DataFrame:
-    """Rows shaped like data (at least the header's field count) whose date
-    does not parse, per file: (file, rejected)."""
-    c = _td_candidates(lines, n_files)
-    bad = c.where(F.col("txn_time").isNull() & ((F.size(F.split("line", ",")) - 1) >= F.col("_hcommas")))
-    return bad.groupBy("file").agg(F.count(F.lit(1)).alias("rejected"))
+def rejected_transactions(lines: DataFrame) -> DataFrame:
+    """Per file the lines that look like data and gave no transaction: rows with at least the
+    header's field count whose date does not parse, and every line of a file that has no header
+    line: (file, rejected, no_header)."""
+    bare = F.col("_hcommas").isNull()
+    bad = _td_candidates(lines).where(F.col("txn_time").isNull()
+                                      & (bare | ((F.size(F.split("line", ",")) - 1) >= F.col("_hcommas"))))
+    return bad.groupBy("file").agg(F.count(F.lit(1)).alias("rejected"), F.max(bare).alias("no_header"))
 
 
-def read_transactions(spark: SparkSession, directory: str, period: str | None = None,
+def transaction_lines(spark: SparkSession, directory: str, period: str | None = None,
                       year: int | str | None = None) -> DataFrame:
-    """SRC-8 from files (line by line, splittable), with the period."""
-    lines = report_files(spark, directory, "transactions", period=period, year=year, whole=False) \
+    """The (file, line) rows of the matching transaction reports, read line by line (splittable)."""
+    return report_files(spark, directory, "transactions", period=period, year=year, whole=False) \
         .withColumnRenamed("value", "line")
-    # ``file`` is the physical file here, so the listing bounds the header table
-    return with_period(parse_transactions(lines, n_files=len(lines.inputFiles())))
+
+
+def read_transactions(spark: SparkSession, directory: str, period: str | None = None,
+                      year: int | str | None = None) -> DataFrame:
+    """SRC-8 from files, with the period."""
+    return with_period(parse_transactions(transaction_lines(spark, directory, period, year)))
 
 
 def read_delimited(spark: SparkSession, path: str, schema, header: bool = True, sep: str = ",") -> DataFrame:

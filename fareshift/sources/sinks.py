@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
 
+from pyspark.sql import Column, DataFrame
 
-def write_summary(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = True) -> None:
-    """SNK-1 / SNK-2: write a summary as CSV with a header.
+
+def write_summary(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = True,
+                  order_by: Sequence[str | Column] = ()) -> None:
+    """SNK-1 / SNK-2: write a summary as CSV with a header, its rows in ``order_by``.
 
     Summaries are a few rows (per day, type or route), so one file is
-    written; ``mode="append"`` adds to a folder of the same layout. Several
+    written; only the writing is one task, what makes the rows keeps its own.
+    ``mode="append"`` adds to a folder of the same layout. Several
     tables go to one folder each, never mixed in one file.
     """
-    out = df.coalesce(1) if single_file else df
+    out = df.repartition(1) if single_file else df
+    if order_by:
+        out = out.sortWithinPartitions(*order_by) if single_file else out.orderBy(*order_by)
     out.write.mode(mode).option("header", "true").csv(path)
 
 
 def write_detail(df: DataFrame, path: str, partition_by: str = "service_day", mode: str = "overwrite") -> None:
-    """Detail rows (e.g. the matched table) as Parquet partitioned by day."""
-    df.write.mode(mode).partitionBy(partition_by).parquet(path)
+    """Detail rows (e.g. the matched table) as Parquet partitioned by day. Rows are dealt by day first
+    (days of many rows are split, small ones share a task), so a day gets few files."""
+    df.hint("rebalance", partition_by).write.mode(mode).partitionBy(partition_by).parquet(path)
