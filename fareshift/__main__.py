@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import argparse
 
-from fareshift.functions.calendar import DEFAULT_FIRST_YEAR, DEFAULT_LAST_YEAR
 from fareshift.functions.classify import NORTH_BOUNDARY, SOUTH_BOUNDARY
+from fareshift.operators.quality import DEFAULT_GAP_SECONDS
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -30,11 +30,17 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--positions")
     p.add_argument("--vmh")
     p.add_argument("--avl")
-    p.add_argument("--period", help="month name in the report file names (rules, route summary)")
+    p.add_argument("--period", help="month name in the report file names (all kinds)")
+    p.add_argument("--year", help="year in the report file names (all kinds)")
+    p.add_argument("--fleet", help="vehicles of the period run, as 1899,1970-1999 (default) or 'all'")
+    p.add_argument("--no-roll-ends", action="store_true", help="leave rides before a vehicle's first position unmatched")
+    p.add_argument("--no-null-gap", action="store_true", help="a missing gap is no gap")
+    p.add_argument("--gap-seconds", type=float, default=DEFAULT_GAP_SECONDS)
+    p.add_argument("--percent", action="store_true", help="questionable share in percent, not as a fraction")
+    p.add_argument("--repair", help="vehicle ids to replace before matching, as 0=1970,12=1981")
+    p.add_argument("--append", action="store_true", help="add to the output folders")
     p.add_argument("--north", type=float, default=NORTH_BOUNDARY)
     p.add_argument("--south", type=float, default=SOUTH_BOUNDARY)
-    p.add_argument("--first-year", type=int, default=DEFAULT_FIRST_YEAR)
-    p.add_argument("--last-year", type=int, default=DEFAULT_LAST_YEAR)
     p.add_argument("--control-start")
     p.add_argument("--season-until")
     p.add_argument("--other-totals")
@@ -42,40 +48,56 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _fleet(text: str | None):
+    """'1899,1970-1999' as (ids, ranges); 'all' as None."""
+    from fareshift.plans.period import DEFAULT_FLEET
+
+    if text is None:
+        return DEFAULT_FLEET
+    if text == "all":
+        return None
+    parts = [x.split("-") for x in text.split(",")]
+    return [int(x[0]) for x in parts if len(x) == 1], [(int(x[0]), int(x[1])) for x in parts if len(x) == 2]
+
+
 def main(argv=None, spark=None) -> dict:
     from fareshift.session import get_session
+    from fareshift.sources import reports
     from fareshift.sources.positions import read_positions
-    from fareshift.sources.reports import read_daily_totals, read_rules, read_transactions
 
     a = _parser().parse_args(argv)
     spark = spark or get_session(a.master)
-    rules = read_rules(spark, a.reports, period=a.period)
-    td = read_transactions(spark, a.reports)
+    chosen = {"period": a.period, "year": a.year}
+    rules = reports.with_month_key(reports.read_rules(spark, a.reports, **chosen))
+    td = reports.read_transactions(spark, a.reports, **chosen)
     if a.positions:
         positions = spark.read.parquet(a.positions)
     elif a.vmh and a.avl:
         positions = read_positions(spark.read.parquet(a.vmh), spark.read.parquet(a.avl), a.start, a.end)
     else:
         raise SystemExit("give --positions, or --vmh and --avl")
-    kw = dict(north=a.north, south=a.south, first_year=a.first_year, last_year=a.last_year)
+    repair = dict(x.split("=") for x in a.repair.split(",")) if a.repair else None
+    kw = dict(north=a.north, south=a.south, start=a.start, end=a.end, label=a.run,
+              mode="append" if a.append else "overwrite",
+              rejected=reports.rejected_transactions(reports.transaction_lines(spark, a.reports, **chosen)))
+    routesum = reports.with_month_key(reports.read_routesum(spark, a.reports, **chosen))
     if a.run == "period":
         from fareshift.plans.period import run_period
-        from fareshift.sources.reports import read_routesum
-        routesum = read_routesum(spark, a.reports, period=a.period)
-        return run_period(td, positions, rules, a.out, start=a.start, end=a.end, label=a.run,
-                          routesum=routesum, **kw)
-    control = read_daily_totals(spark, a.reports)
+        return run_period(td, positions, rules, a.out, routesum=routesum, fleet=_fleet(a.fleet), repair=repair,
+                          roll_ends=not a.no_roll_ends, null_is_gap=not a.no_null_gap, gap_seconds=a.gap_seconds,
+                          scale=100.0 if a.percent else 1.0, **kw)
+    control = reports.read_daily_totals(spark, a.reports, **chosen)
     if a.run == "season":
         from fareshift.plans.season import run_season
-        return run_season(td, positions, rules, a.out, start=a.start, end=a.end, control=control,
-                          control_start=a.control_start, season_until=a.season_until, label=a.run, **kw)
+        return run_season(td, positions, rules, a.out, control=control, control_start=a.control_start,
+                          season_until=a.season_until, routesum=routesum,
+                          **({"repair": repair} if repair else {}), **kw)
     from fareshift.plans.season import run_scaleup
     other = None
     if a.other_totals:
         other = spark.read.csv(a.other_totals, header=True,
                                schema="local_route string, service_type string, ridership long")
-    return run_scaleup(td, positions, rules, control, a.out, start=a.start, end=a.end, other_totals=other,
-                       label=a.run, **kw)
+    return run_scaleup(td, positions, rules, control, a.out, other_totals=other, repair=repair, **kw)
 
 
 if __name__ == "__main__":

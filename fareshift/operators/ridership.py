@@ -153,7 +153,12 @@ def reconcile_transfers(td: DataFrame, rules: DataFrame, routesum: DataFrame,
 
 def sort_route_numeric(df: DataFrame, route_col: str = "route") -> DataFrame:
     """SRT-1: sort text routes by their number (text routes without a number last)."""
-    return df.orderBy(F.col(route_col).try_cast("int").asc_nulls_last(), F.col(route_col))
+    return df.orderBy(*route_order(route_col))
+
+
+def route_order(route_col: str = "route") -> tuple:
+    """SRT-1 as sort columns."""
+    return F.col(route_col).try_cast("int").asc_nulls_last(), F.col(route_col).asc()
 
 
 def largest_differences(reconciled: DataFrame, n: int = 6, diff_col: str = "ridership_diff",

@@ -20,9 +20,7 @@ ORACLES: dict = {}
 # corridor is 20-60 instead of the agency's 39.709468-39.877512).
 NORTH = 60.0
 SOUTH = 20.0
-FIRST_YEAR, LAST_YEAR = 2000, 2030
 GEO = {"north": NORTH, "south": SOUTH}
-YEARS = {"first_year": FIRST_YEAR, "last_year": LAST_YEAR}
 
 # ---------------------------------------------------------------- oracle text
 
@@ -32,19 +30,20 @@ td AS (
          CASE WHEN event_type = 'signup' THEN '118 TRANSFER' ELSE '100 FARE' END AS type,
          ts AS txn_time, CAST(user_id AS VARCHAR) AS vehicle_id,
          CASE event_id % 5 WHEN 0 THEN '90' WHEN 1 THEN '901' WHEN 2 THEN '902' WHEN 3 THEN '8' ELSE '25' END AS route,
-         event_type || '-' || CAST(event_id % 3 AS VARCHAR) AS description
+         event_type || '-' || CAST(event_id % 6 AS VARCHAR) AS description
   FROM events WHERE event_type IN ('purchase', 'signup')),
 rules AS (
-  SELECT * FROM (VALUES ('purchase-0', 'Single Ride Full Fare'), ('purchase-1', '31 FULL')) AS r(code, description)),
+  SELECT * FROM (VALUES ('purchase-0', 'Single Ride Full Fare'), ('purchase-1', '31 FULL'), ('purchase-3', '10 TRIP FULL'),
+                        ('purchase-4', 'Free')) AS r(code, description)),
 positions AS (
   SELECT event_id AS avl_history_id, ts AS pos_time, CAST(user_id AS VARCHAR) AS vehicle_id, value AS latitude,
          CASE CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) % 10 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 2 END AS gps_status,
          CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS trip
   FROM events WHERE event_type IN ('view', 'click', 'error')),
-routesum AS (SELECT route, COUNT(*) AS ridership FROM td WHERE route <> '25' GROUP BY route),
+routesum AS (SELECT route, COUNT(*) AS ridership FROM td WHERE route <> '25' AND txn_id % 50 <> 0 GROUP BY route),
 daily_totals AS (
-  SELECT CAST(txn_time - INTERVAL 3 HOUR AS DATE) AS service_day, COUNT(*) AS ridership
-  FROM td WHERE regexp_matches(route, '^90') GROUP BY 1),
+  SELECT service_day, CASE WHEN day(service_day) % 5 = 0 THEN 1 ELSE n END AS ridership
+  FROM (SELECT CAST(txn_time - INTERVAL 3 HOUR AS DATE) AS service_day, COUNT(*) AS n FROM td GROUP BY 1)),
 used AS (SELECT * FROM td WHERE description IN (SELECT code FROM rules) OR type LIKE '%118%'),
 used_d AS (SELECT *, CAST(txn_time - INTERVAL 3 HOUR AS DATE) AS service_day FROM used),
 pos_d AS (SELECT *, CAST(pos_time - INTERVAL 3 HOUR AS DATE) AS service_day FROM positions),
@@ -97,21 +96,11 @@ def _inputs(spark: SparkSession, sf_dir: str):
     return roles.td(spark, sf_dir), roles.positions(spark, sf_dir), roles.rules(spark)
 
 
-_MATCHED: dict = {}
-
-
 def _matched(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    """The matched table of the role inputs. Several queries share one plan:
-    it is built once per session and parameter set (a lazy, immutable plan;
-    every query still runs it in full)."""
+    """The matched table of the role inputs."""
     from fareshift.plans.period import matched_table
-    key = (id(spark), sf_dir, tuple(sorted(kw.items())))
-    hit = _MATCHED.get(key)
-    if hit is None or hit.sparkSession is not spark:
-        td, pos, rules = _inputs(spark, sf_dir)
-        hit = matched_table(td, pos, rules, **GEO, **YEARS, **kw)
-        _MATCHED[key] = hit
-    return hit
+    td, pos, rules = _inputs(spark, sf_dir)
+    return matched_table(td, pos, rules, **GEO, **kw)
 
 
 def _located(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
@@ -156,10 +145,10 @@ def ridership_used(spark, sf_dir):
 @register("ridership_unused", sql("""
 SELECT * FROM td WHERE NOT (description IN (SELECT code FROM rules) OR type LIKE '%118%')"""))
 def ridership_unused(spark, sf_dir):
-    """JOI-9 / SET-5 / DOM-2: the rest, by a null-safe anti join on all columns."""
+    """JOI-9 / SET-5 / DOM-2: the rest, as the negated ridership filter (one scan, no join)."""
     from fareshift.operators.ridership import unused_transactions
     td, _, rules = _inputs(spark, sf_dir)
-    return unused_transactions(td, rules, method="anti_join")
+    return unused_transactions(td, rules)
 
 
 @register("used_unused_counts", sql("""
@@ -294,7 +283,7 @@ def service_type_counts(spark, sf_dir):
     from fareshift.operators.ridership import ridership_only
     td, _, rules = _inputs(spark, sf_dir)
     t = ridership_only(td, rules).withColumn("service_day", service_day("txn_time"))
-    t = with_service_type(t, "service_day", **YEARS)
+    t = with_service_type(t, "service_day")
     return t.groupBy("service_day", "service_type", weekday_name("service_day").alias("weekday")) \
         .agg(F.count(F.lit(1)).alias("n"))
 
@@ -360,12 +349,12 @@ p2t AS (SELECT DISTINCT vehicle_id, pos_time FROM positions2)
 """
 
 
-def _ties_join(spark, sf_dir, ties):
+def _ties_join(spark, sf_dir, ties, **kw):
     from fareshift.operators.asof import asof_join
     t2, p2 = roles.td2(spark, sf_dir), roles.positions2(spark, sf_dir)
     return asof_join(t2, p2, by=["vehicle_id"], left_time="txn_time", right_time="pos_time",
                      right_cols=["avl_history_id", "latitude"], tie="avl_history_id", ties=ties,
-                     bucket_unit="day")
+                     bucket_unit="day", **kw)
 
 
 @register("asof_ties_last", sql("""
@@ -377,15 +366,32 @@ def asof_ties_last(spark, sf_dir):
 
 
 @register("asof_ties_all", sql("""
-SELECT m.txn_id, m.txn_time, m.vehicle_id, p.pos_time, p.avl_history_id, p.latitude
-FROM (SELECT t.*, q.pos_time AS mt FROM td2 t ASOF LEFT JOIN p2t q
-        ON t.vehicle_id = q.vehicle_id AND t.txn_time >= q.pos_time) m
-LEFT JOIN positions2 p ON m.vehicle_id = p.vehicle_id AND m.mt = p.pos_time""", TIES_SQL))
+SELECT t.txn_id, t.txn_time, t.vehicle_id, p.pos_time, p.avl_history_id, p.latitude
+FROM td2 t JOIN positions2 p ON t.vehicle_id = p.vehicle_id AND t.txn_time = p.pos_time
+UNION ALL
+SELECT t.txn_id, t.txn_time, t.vehicle_id, p.pos_time, p.avl_history_id, p.latitude
+FROM td2 t ASOF LEFT JOIN p2last p ON t.vehicle_id = p.vehicle_id AND t.txn_time >= p.pos_time
+WHERE p.pos_time IS DISTINCT FROM t.txn_time""", TIES_SQL))
 def asof_ties_all(spark, sf_dir):
-    """JOI-2 'mult=all': every position at the matched time."""
+    """JOI-2 'mult=all': every position at exactly the transaction's time; one row where the match is rolled."""
     return _ties_join(spark, sf_dir, "all")
 
 
+@register("asof_ties_rolled", sql("""
+SELECT t.txn_id, t.txn_time, t.vehicle_id, p.pos_time, p.avl_history_id, p.latitude
+FROM td2 t JOIN positions2 p ON t.vehicle_id = p.vehicle_id AND t.txn_time = p.pos_time
+UNION ALL
+SELECT t.txn_id, t.txn_time, t.vehicle_id, COALESCE(p.pos_time, f.pos_time), COALESCE(p.avl_history_id, f.avl_history_id),
+       CASE WHEN p.pos_time IS NULL THEN f.latitude ELSE p.latitude END
+FROM td2 t ASOF LEFT JOIN p2last p ON t.vehicle_id = p.vehicle_id AND t.txn_time >= p.pos_time
+LEFT JOIN (SELECT q.* FROM p2last q JOIN (SELECT vehicle_id, MIN(pos_time) AS m FROM p2last GROUP BY 1) x
+             ON q.vehicle_id = x.vehicle_id AND q.pos_time = x.m) f ON t.vehicle_id = f.vehicle_id
+WHERE p.pos_time IS DISTINCT FROM t.txn_time""", TIES_SQL))
+def asof_ties_rolled(spark, sf_dir):
+    """JOI-2: both ends rolled, ties at exactly the transaction's time expanded."""
+    return _ties_join(spark, sf_dir, "all", roll_ends=True)
+
+
 @register("asof_comparison", sql("""
 SELECT COUNT(*) FILTER (WHERE latitude > 60.0 OR latitude < 20.0) AS local_exact_match,
        (SELECT COUNT(*) FROM used_d u ASOF JOIN pos_d p
@@ -460,7 +466,8 @@ def local_by_type_wide(spark, sf_dir):
 
 
 @register("local_by_month", sql("""
-SELECT monthname(service_day) AS month, COUNT(*) AS ridership FROM typed WHERE local_route <> '90' GROUP BY 1"""))
+SELECT CAST(year(service_day) AS INTEGER) AS year, monthname(service_day) AS month, COUNT(*) AS ridership
+FROM typed WHERE local_route <> '90' GROUP BY 1, 2"""))
 def local_by_month(spark, sf_dir):
     """DOM-5 / FLT-7: ridership outside the corridor per month."""
     from fareshift.operators.summary import local_by_month as f
@@ -474,17 +481,15 @@ daily AS (SELECT service_day, service_type, local_route, COUNT(*) AS ridership
 
 
 @register("service_summary", sql("""
-SELECT service_type, monthname(service_day) AS month, local_route,
+SELECT service_type, CAST(year(service_day) AS INTEGER) AS year, monthname(service_day) AS month, local_route,
        CAST(SUM(ridership) AS BIGINT) AS total_ridership, COUNT(*) AS service_days,
        round_even(AVG(ridership), 0) AS average_daily_ridership
-FROM daily GROUP BY 1, 2, 3""", DAILY_SQL))
+FROM daily GROUP BY 1, 2, 3, 4""", DAILY_SQL))
 def service_summary_q(spark, sf_dir):
     """AGG-5 / NUM-1: daily counts, then total, days and half-even mean per type, month, route."""
-    from fareshift.functions.timefns import month_name
-    from fareshift.operators.summary import daily_series, service_summary
+    from fareshift.operators.summary import daily_series, service_summary, with_month
     d = daily_series(_located(spark, sf_dir), ["service_day", "service_type", "local_route"])
-    return service_summary(d.withColumn("month", month_name("service_day")),
-                           ["service_type", "month", "local_route"])
+    return service_summary(with_month(d), ["service_type", "year", "month", "local_route"])
 
 
 @register("service_summary_distinct", sql("""
@@ -507,7 +512,7 @@ ctl AS (
   WHERE d.service_day < DATE '2024-01-16'),
 own AS (
   SELECT service_day, service_type, COUNT(*) AS ridership FROM typed
-  WHERE local_route <> '90' AND service_day >= DATE '2024-01-16' AND service_day < DATE '2024-01-31' GROUP BY 1, 2),
+  WHERE local_route <> '90' AND service_day >= DATE '2024-01-16' GROUP BY 1, 2),
 comb AS (SELECT * FROM ctl UNION ALL SELECT * FROM own)
 """
 
@@ -517,8 +522,8 @@ def _season_series(spark, sf_dir):
     from fareshift.functions.calendar import with_service_type
     from fareshift.operators.summary import daily_series
     ctl = roles.daily_totals(spark, sf_dir).where(F.col("service_day") < F.lit("2024-01-16").cast("date"))
-    ctl = with_service_type(ctl, "service_day", **YEARS).select("service_day", "service_type", "ridership")
-    own = daily_series(_located(spark, sf_dir, start="2024-01-16", end="2024-01-31"))
+    ctl = with_service_type(ctl, "service_day").select("service_day", "service_type", "ridership")
+    own = daily_series(_located(spark, sf_dir, start="2024-01-16"))
     return ctl.unionByName(own)
 
 
@@ -533,15 +538,14 @@ def season_summary_q(spark, sf_dir):
 
 
 @register("monthly_summary", sql("""
-SELECT monthname(service_day) AS month, service_type, CAST(SUM(ridership) AS BIGINT) AS total_ridership,
+SELECT CAST(year(service_day) AS INTEGER) AS year, monthname(service_day) AS month, service_type,
+       CAST(SUM(ridership) AS BIGINT) AS total_ridership,
        COUNT(*) AS service_days, round_even(AVG(ridership), 0) AS average_daily_ridership
-FROM comb GROUP BY 1, 2""", SEASON_SQL))
+FROM comb GROUP BY 1, 2, 3""", SEASON_SQL))
 def monthly_summary_q(spark, sf_dir):
     """DOM-6: the per-month copies of the summary as one grouped query."""
-    from fareshift.functions.timefns import month_name
-    from fareshift.operators.summary import service_summary
-    s = _season_series(spark, sf_dir).withColumn("month", month_name("service_day"))
-    return service_summary(s, ["month", "service_type"])
+    from fareshift.operators.summary import service_summary, with_month
+    return service_summary(with_month(_season_series(spark, sf_dir)), ["year", "month", "service_type"])
 
 
 @register("missing_days", sql("""
@@ -622,16 +626,86 @@ def quality_report_q(spark, sf_dir):
 
 
 @register("bad_gps_by_month", sql("""
-SELECT monthname(service_day) AS month,
+SELECT CAST(year(service_day) AS INTEGER) AS year, monthname(service_day) AS month,
        COUNT(*) FILTER (WHERE gps_status IS NULL OR gps_status <> 2) / (SELECT COUNT(*) FROM matched) * 100
          AS bad_td_gps_pct
-FROM matched GROUP BY 1"""))
+FROM matched GROUP BY 1, 2"""))
 def bad_gps_by_month_q(spark, sf_dir):
     """AGG-4: bad-GPS share per month over the whole table's rows."""
     from fareshift.operators.quality import bad_gps_by_month
     return bad_gps_by_month(_matched(spark, sf_dir, position_cols=("latitude", "gps_status")))
 
 
+@register("bad_gps_by_month_route", sql("""
+SELECT CAST(year(service_day) AS INTEGER) AS year, monthname(service_day) AS month, local_route,
+       COUNT(*) FILTER (WHERE gps_status IS NULL OR gps_status <> 2) / (SELECT COUNT(*) FROM typed) * 100
+         AS bad_td_gps_pct
+FROM typed GROUP BY 1, 2, 3"""))
+def bad_gps_by_month_route_q(spark, sf_dir):
+    """AGG-4: bad-GPS share per month and local route over the whole table's rows."""
+    from fareshift.operators.quality import bad_gps_by_month_route
+    return bad_gps_by_month_route(_matched(spark, sf_dir, position_cols=("latitude", "gps_status")))
+
+
+@register("questionable_by_month", sql("""
+SELECT CAST(year(m.service_day) AS INTEGER) AS year, monthname(m.service_day) AS month, COUNT(*) AS n_rows,
+       COUNT(*) FILTER (WHERE after_last) AS n_after_last,
+       COUNT(*) FILTER (WHERE in_gap) AS n_in_gap, COUNT(*) FILTER (WHERE bad_gps) AS n_bad_gps,
+       SUM(CAST(after_last AS BIGINT) + CAST(in_gap AS BIGINT) + CAST(bad_gps AS BIGINT)) / COUNT(*) * 100.0
+         AS questionable_pct,
+       COUNT(*) FILTER (WHERE after_last OR in_gap OR bad_gps) / COUNT(*) * 100.0 AS questionable_pct_distinct
+FROM flags f JOIN matched m ON f.txn_id = m.txn_id GROUP BY 1, 2""", FLAGS_SQL))
+def questionable_by_month_q(spark, sf_dir):
+    """QLT-4 by month: questionable share of each month's transactions."""
+    from fareshift.operators.quality import questionable_pct
+    from fareshift.operators.summary import with_month
+    return questionable_pct(with_month(_flags(spark, sf_dir)), by=["year", "month"])
+
+
+ROLLED_SQL = """
+firstp AS (
+  SELECT * FROM (
+    SELECT p.*, row_number() OVER (PARTITION BY vehicle_id, service_day ORDER BY pos_time, avl_history_id DESC) AS rn
+    FROM pos_d p) WHERE rn = 1),
+rolled AS (
+  SELECT m.txn_id, m.txn_time, m.vehicle_id, m.maxtime, CASE WHEN m.pos_time IS NULL THEN f.pos_time ELSE m.pos_time END AS pos_time,
+         CASE WHEN m.pos_time IS NULL THEN f.gps_status ELSE m.gps_status END AS gps_status
+  FROM matched m LEFT JOIN firstp f ON m.vehicle_id = f.vehicle_id AND m.service_day = f.service_day),
+rflags AS (
+  SELECT txn_id, vehicle_id, date_diff('microsecond', pos_time, txn_time) / 1e6 AS timediffs,
+         COALESCE(txn_time > maxtime, FALSE) AS after_last,
+         COALESCE(txn_time < maxtime AND date_diff('microsecond', pos_time, txn_time) / 1e6 > 90.0, FALSE)
+           OR pos_time IS NULL AS in_gap,
+         (gps_status IS NULL OR gps_status <> 2) AS bad_gps, COALESCE(pos_time > txn_time, FALSE) AS before_first
+  FROM rolled)
+"""
+
+
+@register("quality_flags_rolled", sql("SELECT * EXCLUDE (vehicle_id) FROM rflags", ROLLED_SQL))
+def quality_flags_rolled_q(spark, sf_dir):
+    """QLT-2/3 with both ends rolled (JOI-2): rides before the first position are matched to it."""
+    from fareshift.operators.quality import quality_flags
+    m = _matched(spark, sf_dir, position_cols=("avl_history_id", "latitude", "gps_status"), roll_ends=True)
+    return quality_flags(m, null_is_gap=True).select("txn_id", "timediffs", "after_last", "in_gap", "bad_gps",
+                                                     "before_first")
+
+
+@register("period_questionable", sql("""
+SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE after_last) AS n_after_last,
+       COUNT(*) FILTER (WHERE in_gap) AS n_in_gap, COUNT(*) FILTER (WHERE bad_gps) AS n_bad_gps,
+       SUM(CAST(after_last AS BIGINT) + CAST(in_gap AS BIGINT) + CAST(bad_gps AS BIGINT)) / COUNT(*) * 1.0
+         AS questionable_pct,
+       COUNT(*) FILTER (WHERE after_last OR in_gap OR bad_gps) / COUNT(*) * 1.0 AS questionable_pct_distinct
+FROM rflags WHERE TRY_CAST(vehicle_id AS BIGINT) IN (149) OR TRY_CAST(vehicle_id AS BIGINT) BETWEEN 0 AND 139""",
+                                     ROLLED_SQL))
+def period_questionable_q(spark, sf_dir):
+    """The period run's quality share: fleet only, ends rolled, missing gap a gap, as a fraction."""
+    from fareshift.operators.quality import quality_flags, questionable_pct
+    m = _matched(spark, sf_dir, position_cols=("avl_history_id", "latitude", "gps_status"), roll_ends=True, ties="all",
+                 fleet=([149], [(0, 139)]))
+    return questionable_pct(quality_flags(m, null_is_gap=True), scale=1.0)
+
+
 @register("gps_by_trip", sql("""
 SELECT service_day, trip, CAST(SUM(CASE WHEN gps_status = 0 THEN 0 ELSE 1 END) AS BIGINT) AS missingcount
 FROM pos_d GROUP BY 1, 2"""))
@@ -751,7 +825,9 @@ sc AS (
          CASE WHEN l.r1 + l.r2 < d.ridership
               THEN COALESCE(CAST(trunc(l.r2 / NULLIF(l.r1 + l.r2, 0) * (d.ridership - (l.r1 + l.r2)) + l.r2) AS BIGINT), l.r2)
               ELSE l.r2 END AS final_902
-  FROM lw l JOIN daily_totals d ON l.service_day = d.service_day),
+  FROM (SELECT COALESCE(l.service_day, d.service_day) AS service_day, COALESCE(l.r1, 0) AS r1, COALESCE(l.r2, 0) AS r2
+        FROM lw l FULL JOIN daily_totals d ON l.service_day = d.service_day) l
+  LEFT JOIN daily_totals d ON l.service_day = d.service_day),
 sct AS (
   SELECT s.*, CASE WHEN h.hs = 'Saturday' THEN 'Saturday' WHEN h.hs = 'Sunday' THEN 'Sunday'
                    WHEN isodow(s.service_day) BETWEEN 1 AND 5 THEN 'Weekday' ELSE dayname(s.service_day) END AS service_type
@@ -787,13 +863,9 @@ def scale_to_control_q(spark, sf_dir):
     return _scaled(spark, sf_dir)
 
 
-def _scaled_by_type(spark, sf_dir, until=None):
+def _scaled_typed(spark, sf_dir):
     from fareshift.functions.calendar import with_service_type
-    from fareshift.operators.control import scaled_by_service_type
-    s = _scaled(spark, sf_dir)
-    if until is not None:
-        s = s.where(F.col("service_day") < F.lit(until).cast("date"))
-    return scaled_by_service_type(with_service_type(s, "service_day", **YEARS))
+    return with_service_type(_scaled(spark, sf_dir), "service_day")
 
 
 @register("scale_by_service_type", sql("""
@@ -802,16 +874,25 @@ UNION ALL
 SELECT service_type, '902', CAST(SUM(final_902) AS BIGINT) FROM sct GROUP BY 1""", SCALE_SQL))
 def scale_by_service_type_q(spark, sf_dir):
     """RSH-3 / AGG-7: scaled totals per service type, unpivoted to (type, local route)."""
-    return _scaled_by_type(spark, sf_dir)
+    from fareshift.operators.control import scaled_by_service_type
+    return scaled_by_service_type(_scaled_typed(spark, sf_dir))
 
 
 def _combined(spark, sf_dir):
-    from fareshift.operators.control import combine_totals
-    from fareshift.operators.summary import local_counts
-    a = _scaled_by_type(spark, sf_dir, until="2024-01-16")
-    b = local_counts(_matched90(spark, sf_dir).where(F.col("service_day") >= F.lit("2024-01-16").cast("date")),
-                     ["service_type", "local_route"])
-    return combine_totals(a, b)
+    from fareshift.operators.control import combine_periods
+    return combine_periods(_scaled_typed(spark, sf_dir), "2024-01-16")
+
+
+@register("compare_local_daily", sql("""
+SELECT COALESCE(l.service_day, d.service_day) AS service_day, l.n, d.ridership, l.n - d.ridership AS diff,
+       round_even((l.n - d.ridership) / d.ridership * 100, 3) AS pct_diff
+FROM (SELECT service_day, r1 + r2 AS n FROM lw) l FULL JOIN daily_totals d ON l.service_day = d.service_day""", SCALE_SQL))
+def compare_local_daily_q(spark, sf_dir):
+    """DOM-7, the scale-up run's second comparison: matched local count against the control, by day."""
+    from fareshift.operators.control import compare_daily
+    from fareshift.operators.summary import daily_series
+    local = daily_series(_matched90(spark, sf_dir), ["service_day"]).withColumnRenamed("ridership", "n")
+    return compare_daily(local, roles.daily_totals(spark, sf_dir))
 
 
 @register("combine_totals", sql("SELECT * FROM comb_t", SCALE_SQL))
@@ -907,7 +988,7 @@ def rules_from_report(spark, sf_dir):
 
 @register("routesum_from_report", sql("""
 SELECT 'EVENT SUMMARY (' || monthname(txn_time) || ' ' || CAST(year(txn_time) AS VARCHAR) || ').txt' AS file,
-       route, COUNT(*) AS ridership, substring(monthname(txn_time), 1, 3) AS period
+       route, COUNT(*) AS ridership, substring(monthname(txn_time), 1, 3) || ' ' || CAST(year(txn_time) AS VARCHAR) AS period
 FROM td GROUP BY 1, 2, 4"""))
 def routesum_from_report(spark, sf_dir):
     """SRC-6 / SRC-3 / WIN-4: route rows between 'Ridership By Route' and TOTAL, three-letter period."""
@@ -915,6 +996,62 @@ def routesum_from_report(spark, sf_dir):
     return with_period(parse_routesum(roles.routesum_report_lines(spark, sf_dir)), letters=3)
 
 
+@register("rules_v1_from_report", sql("""
+SELECT file, MAX(tok) FILTER (WHERE i % 2 = 0) AS code, MAX(tok) FILTER (WHERE i % 2 = 1) AS description
+FROM (SELECT file, tok, row_number() OVER (PARTITION BY file ORDER BY code, k) - 1 AS i
+      FROM (SELECT DISTINCT 'MONTHLY SUMMARY ' || monthname(txn_time) || ' ' || CAST(year(txn_time) AS VARCHAR) || '.txt'
+                     AS file, description AS code FROM td) f
+      CROSS JOIN LATERAL (VALUES (1, f.code), (2, 'Fare ' || substring(f.code, 1, length(f.code) - 1)), (3, 'full')) v(k, tok))
+GROUP BY file, i // 2"""))
+def rules_v1_from_report(spark, sf_dir):
+    """SRC-4: the first rules layout, split on ',' and stripped of outer characters (commas in a description break it up)."""
+    from fareshift.sources.reports import parse_rules
+    return parse_rules(roles.rules_report_lines(spark, sf_dir), version=1)
+
+
+@register("reconcile_by_month", sql("""
+SELECT m.year, m.month, m.route, m.ridership_td, r.ridership, m.ridership_td - r.ridership AS ridership_diff,
+       round_even((m.ridership_td - r.ridership) / r.ridership * 100, 3) AS percent_disagree
+FROM (SELECT CAST(year(txn_time) AS INTEGER) AS year, substring(monthname(txn_time), 1, 3) AS month, route, COUNT(*) AS ridership_td
+      FROM td GROUP BY 1, 2, 3) m
+JOIN (SELECT CAST(year(txn_time) AS INTEGER) AS year, substring(monthname(txn_time), 1, 3) AS month, route, COUNT(*) AS ridership
+      FROM td GROUP BY 1, 2, 3) r ON m.year = r.year AND m.month = r.month AND m.route = r.route"""))
+def reconcile_by_month_q(spark, sf_dir):
+    """SET-1 / SRC-2 / DOM-1: counts under each month's own rules against that month's RouteSum, both from report text."""
+    from fareshift.operators.ridership import reconcile_by_month
+    from fareshift.sources import reports
+    rules = reports.with_month_key(reports.with_period(reports.parse_rules(roles.rules_report_lines(spark, sf_dir))))
+    routesum = reports.with_month_key(reports.with_period(
+        reports.parse_routesum(roles.routesum_report_lines(spark, sf_dir)), letters=3))
+    return reconcile_by_month(roles.td(spark, sf_dir), rules, routesum)
+
+
+@register("iso_times", sql("SELECT txn_id, date_trunc('second', txn_time) AS iso_time FROM td"))
+def iso_times(spark, sf_dir):
+    """DT-2: ISO text parsed to wall-clock time."""
+    from fareshift.functions.timefns import parse_iso_timestamp
+    t = roles.td(spark, sf_dir).select("txn_id", F.date_format("txn_time", "yyyy-MM-dd HH:mm:ss").alias("text"))
+    return t.select("txn_id", parse_iso_timestamp("text").alias("iso_time"))
+
+
+@register("route_equality", sql("SELECT service_day, COUNT(*) AS n FROM used_d WHERE route = '901' GROUP BY 1"))
+def route_equality(spark, sf_dir):
+    """FLT-3: one route by equality, counted by service day."""
+    from fareshift.operators.ridership import count_by
+    from fareshift.plans.period import used_transactions
+    td, _, rules = _inputs(spark, sf_dir)
+    return count_by(used_transactions(td, rules).where(F.col("route") == "901"), "service_day")
+
+
+@register("report_ordered", sql("""
+SELECT service_type, local_route, COUNT(*) AS ridership FROM typed WHERE local_route <> '90' GROUP BY 1, 2
+ORDER BY service_type DESC, local_route"""))
+def report_ordered(spark, sf_dir):
+    """SRT-2: local ridership in report order (service type as text, descending)."""
+    from fareshift.operators.summary import local_counts, order_for_report
+    return order_for_report(local_counts(_located(spark, sf_dir), ["service_type", "local_route"]), "local_route")
+
+
 @register("daily_totals_from_report", sql("""
 SELECT 'Local Route 90 ' || monthname(service_day) || ' ' || CAST(year(service_day) AS VARCHAR) || '.txt' AS file,
        service_day, ridership
@@ -926,29 +1063,32 @@ def daily_totals_from_report(spark, sf_dir):
 
 
 POS_SQL = """
-vmh AS (
+vmh0 AS (
   SELECT event_id AS avl_history_id, ts AS time,
          CASE event_id % 5 WHEN 0 THEN '90' WHEN 1 THEN '901' WHEN 2 THEN '902' WHEN 3 THEN '8' ELSE '25' END AS route,
-         user_id AS vehicle_id, CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS trip
+         user_id AS vehicle_id, CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS trip, event_id % 40 AS stop_id,
+         CASE event_id % 2 WHEN 0 THEN 'I' ELSE 'O' END AS inbound_outbound,
+         CAST(event_id % 4 AS INTEGER) AS boards, CAST(event_id % 3 AS INTEGER) AS alights
   FROM events WHERE event_type IN ('view', 'click', 'error')),
+vmh AS (SELECT * FROM vmh0 UNION ALL SELECT * FROM vmh0 WHERE avl_history_id % 7 = 0),
 avl AS (
-  SELECT event_id AS avl_history_id, value AS latitude,
+  SELECT event_id AS avl_history_id, value AS latitude, -value AS longitude,
          CASE CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) % 10 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 2 END AS gps_status
-  FROM events WHERE event_type IN ('view', 'click'))
+  FROM events WHERE event_type IN ('view', 'click')),
+both_ AS (
+  SELECT a.avl_history_id, a.time AS pos_time, CAST(a.vehicle_id AS VARCHAR) AS vehicle_id, a.route, a.stop_id,
+         a.inbound_outbound, a.trip, a.boards, a.alights, b.latitude, b.longitude, b.gps_status, a.vehicle_id AS number
+  FROM vmh a LEFT JOIN avl b ON a.avl_history_id = b.avl_history_id
+  WHERE a.time >= TIMESTAMP '2023-12-31 03:00:00' AND a.time < TIMESTAMP '2024-02-01 03:00:00')
 """
 
 
 @register("positions_union", sql("""
-SELECT a.time AS pos_time, a.route, a.trip, CAST(a.vehicle_id AS VARCHAR) AS vehicle_id, b.latitude, b.gps_status
-FROM vmh a LEFT JOIN avl b ON a.avl_history_id = b.avl_history_id
-WHERE a.route LIKE '9%' AND a.time >= TIMESTAMP '2023-12-31 03:00:00' AND a.time < TIMESTAMP '2024-02-01 03:00:00'
+SELECT * EXCLUDE (number) FROM both_ WHERE route LIKE '9%'
 UNION
-SELECT a.time, a.route, a.trip, CAST(a.vehicle_id AS VARCHAR), b.latitude, b.gps_status
-FROM vmh a LEFT JOIN avl b ON a.avl_history_id = b.avl_history_id
-WHERE a.vehicle_id >= 100 AND a.vehicle_id <= 129
-  AND a.time >= TIMESTAMP '2023-12-31 03:00:00' AND a.time < TIMESTAMP '2024-02-01 03:00:00'""", POS_SQL))
+SELECT * EXCLUDE (number) FROM both_ WHERE number >= 100 AND number <= 129""", POS_SQL))
 def positions_union(spark, sf_dir):
-    """SRC-9 / JOI-4 / SET-3 / FLT-4: messages left-join positions; route '9%' OR fleet range; distinct."""
+    """SRC-9 / JOI-4 / SET-3 / FLT-4: messages left-join positions; route '9%' OR fleet range; distinct over all columns."""
     from fareshift.sources.positions import read_positions
     return read_positions(roles.vmh(spark, sf_dir), roles.avl(spark, sf_dir), "2023-12-31", "2024-01-31",
                           route_like="9%", vehicle_range=(100, 129))

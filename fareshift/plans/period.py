@@ -12,12 +12,14 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fareshift.functions.calendar import DEFAULT_FIRST_YEAR, DEFAULT_LAST_YEAR, with_service_type
-from fareshift.functions.classify import (NORTH_BOUNDARY, SOUTH_BOUNDARY, in_fleet, repair_vehicle,
-                                          route_like)
+from fareshift.functions.calendar import with_service_type
+from fareshift.functions.classify import (FLEET_IDS, FLEET_RANGES, NORTH_BOUNDARY, SOUTH_BOUNDARY, in_fleet,
+                                          repair_vehicle, route_like)
 from fareshift.operators.matching import match_positions, transactions_in_period
-from fareshift.operators.ridership import ridership_only
-from fareshift.operators.summary import with_local_route
+from fareshift.operators.quality import DEFAULT_GAP_SECONDS, quality_flags, questionable_pct
+from fareshift.operators.ridership import reconcile, reconcile_by_month, ridership_only, route_order
+from fareshift.operators.summary import SERVICE_TYPES, local_counts, local_wide, with_local_route
+from fareshift.sources.sinks import write_detail, write_summary
 
 
 # Transaction columns dropped before matching.
@@ -51,8 +53,7 @@ def matched_table(td: DataFrame, positions: DataFrame, rules: DataFrame, *, star
                   inclusive: bool = False, route_pattern: str | None = None, fleet=None,
                   repair: dict[str, str] | None = None, roll_ends: bool = False,
                   north: float = NORTH_BOUNDARY, south: float = SOUTH_BOUNDARY,
-                  first_year: int = DEFAULT_FIRST_YEAR, last_year: int = DEFAULT_LAST_YEAR,
-                  bucket_unit: str = "minute",
+                  bucket_unit: str = "minute", ties: str = "last",
                   position_cols: tuple[str, ...] = ("avl_history_id", "latitude", "gps_status", "trip"),
                   ) -> DataFrame:
     """The matched table: every used transaction with its position, the
@@ -65,12 +66,13 @@ def matched_table(td: DataFrame, positions: DataFrame, rules: DataFrame, *, star
     used = used_transactions(td, rules, start=start, end=end, inclusive=inclusive,
                              route_pattern=route_pattern, fleet=fleet, repair=repair)
     pos = positions
-    if start is not None and end is not None:
+    if start is not None or end is not None:
         # Positions bounded by service day too (not by calendar midnight), so
         # the tail of the last service day is kept.
         pos = transactions_in_period(pos, start, end, inclusive, time_col="pos_time")
-    m = match_positions(used, pos, roll_ends=roll_ends, bucket_unit=bucket_unit, position_cols=position_cols)
-    m = with_service_type(m, "service_day", first_year=first_year, last_year=last_year)
+    m = match_positions(used, pos, roll_ends=roll_ends, bucket_unit=bucket_unit, position_cols=position_cols,
+                        ties=ties)
+    m = with_service_type(m, "service_day")
     return with_local_route(m, "latitude", north, south)
 
 
@@ -90,41 +92,59 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = "service_da
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/fareshift/{name}-{uuid.uuid4().hex}"
-    w = df.write.mode("overwrite")
     if partition_by and partition_by in df.columns:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+        write_detail(df, path, partition_by)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+DEFAULT_FLEET = (FLEET_IDS, FLEET_RANGES)
+
+
 def run_period(td: DataFrame, positions: DataFrame, rules: DataFrame, out_dir: str, *, start, end,
                inclusive: bool = True, label: str = "period", routesum: DataFrame | None = None,
-               **kw) -> dict[str, DataFrame]:
+               rejected: DataFrame | None = None, fleet=DEFAULT_FLEET, roll_ends: bool = True, ties: str = "all",
+               null_is_gap: bool = True, gap_seconds: float = DEFAULT_GAP_SECONDS, scale: float = 1.0,
+               mode: str = "overwrite", **kw) -> dict[str, DataFrame]:
     """Entry point for one analysis period: match once, then every summary.
 
+    By default as the parameterised script runs it: the corridor's fleet only, both ends
+    of a vehicle-day rolled, every position at exactly a transaction's time, a missing
+    gap counted as a gap, the questionable share as a fraction (``scale=100`` for percent).
+
     The matched table is written once (``materialize``); the quality share,
     the three local-route summaries of the period (by day, by service type
     long and wide) are computed from the written table and saved as CSV
-    (SNK-1) under ``out_dir``. With a ``routesum`` (route, ridership), the
-    route reconciliation of the period's transactions is written too.
-    Returns the summaries (lazy, read from disk).
+    (SNK-1) under ``out_dir``, rows in report order. With a ``routesum`` the route
+    reconciliation of the period's transactions is written too: by month where it has
+    month and year (``with_month_key``), else by route. ``rejected`` (file, rejected)
+    is written as it is. Returns the summaries (lazy, read from disk).
     """
-    from fareshift.operators.quality import quality_flags, questionable_pct
-    from fareshift.operators.summary import SERVICE_TYPES, local_counts, local_wide
-    from fareshift.sources.sinks import write_summary
-
-    matched = matched_table(td, positions, rules, start=start, end=end, inclusive=inclusive, **kw)
-    matched = materialize(quality_flags(matched), f"{label}-matched")
+    matched = matched_table(td, positions, rules, start=start, end=end, inclusive=inclusive, fleet=fleet,
+                            roll_ends=roll_ends, ties=ties, **kw)
+    matched = materialize(quality_flags(matched, null_is_gap=null_is_gap, gap_seconds=gap_seconds), f"{label}-matched")
     outputs = {
-        "questionable": questionable_pct(matched),
-        "by_day": local_wide(matched, ["service_day"], "local_route", ("901", "902"), "ridership_"),
-        "by_type_wide": local_wide(matched, ["local_route"], "service_type", SERVICE_TYPES),
-        "by_type_long": local_counts(matched, ["service_type", "local_route"]),
+        "questionable": (questionable_pct(matched, scale), ()),
+        "by_day": (local_wide(matched, ["service_day"], "local_route", ("901", "902"), "ridership_"), ("service_day",)),
+        "by_type_wide": (local_wide(matched, ["local_route"], "service_type", SERVICE_TYPES), ("local_route",)),
+        "by_type_long": (local_counts(matched, ["service_type", "local_route"]),
+                         (F.col("service_type").desc(), "local_route")),
     }
     if routesum is not None:
-        from fareshift.operators.ridership import reconcile
-        outputs["reconcile"] = reconcile(transactions_in_period(td, start, end, inclusive), rules,
-                                         routesum.groupBy("route").agg(F.sum("ridership").alias("ridership")))
-    for name, df in outputs.items():
-        write_summary(df, f"{out_dir.rstrip('/')}/{label}_{name}")
-    return outputs
+        own = transactions_in_period(td, start, end, inclusive)
+        if {"year", "month"} <= set(routesum.columns):
+            found, keys = reconcile_by_month(own, rules, routesum), ("year", "month")
+        else:
+            found, keys = reconcile(own, rules, routesum.groupBy("route").agg(F.sum("ridership").alias("ridership"))), ()
+        outputs["reconcile"] = (found, (*keys, *route_order()))
+    if rejected is not None:
+        outputs["rejected"] = (rejected, ("file",))
+    return write_outputs(outputs, out_dir, label, mode)
+
+
+def write_outputs(outputs: dict, out_dir: str, label: str, mode: str) -> dict[str, DataFrame]:
+    """Write each (frame, order) as a CSV folder; returns the frames."""
+    for name, (df, order) in outputs.items():
+        write_summary(df, f"{out_dir.rstrip('/')}/{label}_{name}", mode=mode, order_by=order)
+    return {name: df for name, (df, _) in outputs.items()}

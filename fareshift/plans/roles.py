@@ -12,11 +12,11 @@ Roles (same text as the DuckDB oracle's CTEs in ``__spark_entry__``):
   transfer, Type '118 TRANSFER').
 * ``positions``: vehicle positions = ``events`` of type view / click / error;
   latitude is ``value``.
-* ``rules``: the ridership rule list (two fare codes).
-* ``routesum``: control totals per route = all transactions per route, as the
-  farebox counts them (route '25' absent, for the outer join).
-* ``daily_totals``: control totals per service day = all transactions of the
-  route-90 family that day.
+* ``rules``: the ridership rule list (a fare code for each pass type).
+* ``routesum``: control totals per route, less every fiftieth transaction (route '25'
+  absent, for the outer join).
+* ``daily_totals``: control totals per service day = all transactions that day, but 1
+  on every fifth date.
 * ``vmh`` / ``avl``: message history and position history, joined on
   ``avl_history_id`` by the positions reader.
 * ``td2`` / ``positions2``: orders and shipped lines, a tie-heavy pair keyed by
@@ -34,35 +34,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-_TABLE_CACHE: dict = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One lazy parquet read per (session, table): file listing and footer
-    reading happen once, not in every query built on the table."""
-    key = (id(spark), sf_dir.rstrip("/"), name)
-    df = _TABLE_CACHE.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        _TABLE_CACHE[key] = df
-    return df
-
-
-def _memo(fn):
-    """Build a role frame once per (session, folder): the frames are immutable
-    lazy plans, so every query can share them."""
-    cache: dict = {}
-
-    def wrapper(spark: SparkSession, *args):
-        key = (id(spark), *args)
-        hit = cache.get(key)
-        if hit is None or hit.sparkSession is not spark:
-            hit = fn(spark, *args)
-            cache[key] = hit
-        return hit
-    wrapper.__doc__ = fn.__doc__
-    wrapper.__name__ = fn.__name__
-    return wrapper
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _route_of(event_id):
@@ -70,7 +43,6 @@ def _route_of(event_id):
             .when(event_id % 5 == 2, "902").when(event_id % 5 == 3, "8").otherwise("25"))
 
 
-@_memo
 def td(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions: txn_id, type, txn_time, vehicle_id, route, description."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "signup"))
@@ -80,25 +52,24 @@ def td(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("txn_time"),
         F.col("user_id").cast("string").alias("vehicle_id"),
         _route_of(F.col("event_id")).alias("route"),
-        F.concat(F.col("event_type"), F.lit("-"), (F.col("event_id") % 3).cast("string")).alias("description"),
+        F.concat(F.col("event_type"), F.lit("-"), (F.col("event_id") % 6).cast("string")).alias("description"),
     )
 
 
-@_memo
 def rules(spark: SparkSession) -> DataFrame:
-    """Ridership rules: code, description ('purchase-2' is deliberately absent).
+    """Ridership rules: code, description, one code for each pass type ('purchase-2' and 'purchase-5'
+    are deliberately absent).
 
     An in-plan VALUES list, so the optimizer knows its exact size.
     """
-    return spark.sql("SELECT * FROM VALUES ('purchase-0', 'Single Ride Full Fare'), ('purchase-1', '31 FULL') "
-                     "AS r(code, description)")
+    return spark.sql("SELECT * FROM VALUES ('purchase-0', 'Single Ride Full Fare'), ('purchase-1', '31 FULL'), "
+                     "('purchase-3', '10 TRIP FULL'), ('purchase-4', 'Free') AS r(code, description)")
 
 
 def _props_number(props):
     return F.regexp_extract(props, "[0-9]+", 0).cast("int")
 
 
-@_memo
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions: avl_history_id, pos_time, vehicle_id, latitude, gps_status, trip."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click", "error"))
@@ -113,48 +84,51 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def routesum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Control totals per route: every transaction the farebox counted, by route."""
-    t = td(spark, sf_dir).where(F.col("route") != "25")
+    """Control totals per route: the transactions the farebox counted (it misses every fiftieth), by route;
+    route '25' is absent."""
+    t = td(spark, sf_dir).where((F.col("route") != "25") & (F.col("txn_id") % 50 != 0))
     return t.groupBy("route").agg(F.count(F.lit(1)).alias("ridership"))
 
 
-@_memo
 def daily_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Control totals per service day: every route-90-family transaction that day."""
-    t = td(spark, sf_dir).where(F.col("route").rlike("^90"))
-    return (t.groupBy(service_day("txn_time").alias("service_day"))
-            .agg(F.count(F.lit(1)).alias("ridership")))
+    """Control totals per service day: all transactions of the day; 1 on every fifth date, below what is matched."""
+    g = td(spark, sf_dir).groupBy(service_day("txn_time").alias("service_day")).agg(F.count(F.lit(1)).alias("n"))
+    return g.select("service_day", F.when(F.day("service_day") % 5 == 0, F.lit(1).cast("long")).otherwise(F.col("n"))
+                    .alias("ridership"))
 
 
-@_memo
 def vmh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Message history: avl_history_id, time, route, vehicle_id (number), trip."""
+    """Message history: avl_history_id, time, vehicle_id (number) and the message columns; every
+    seventh message was sent twice."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click", "error"))
-    return e.select(
+    m = e.select(
         F.col("event_id").alias("avl_history_id"),
         F.col("ts").alias("time"),
         _route_of(F.col("event_id")).alias("route"),
         F.col("user_id").alias("vehicle_id"),
         _props_number(F.col("props")).alias("trip"),
+        (F.col("event_id") % 40).alias("stop_id"),
+        F.when(F.col("event_id") % 2 == 0, "I").otherwise("O").alias("inbound_outbound"),
+        (F.col("event_id") % 4).cast("int").alias("boards"),
+        (F.col("event_id") % 3).cast("int").alias("alights"),
     )
+    return m.unionAll(m.where(F.col("avl_history_id") % 7 == 0))
 
 
-@_memo
 def avl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position history: avl_history_id, time, latitude, gps_status (views and clicks only)."""
+    """Position history: avl_history_id, time, latitude, longitude, gps_status (views and clicks only)."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
     k = _props_number(F.col("props"))
     return e.select(
         F.col("event_id").alias("avl_history_id"),
         F.col("ts").alias("time"),
         F.col("value").alias("latitude"),
+        (-F.col("value")).alias("longitude"),
         F.when(k % 10 == 0, F.lit(None).cast("int")).when(k % 10 == 1, F.lit(0)).otherwise(F.lit(2)).alias("gps_status"),
     )
 
 
-@_memo
 def td2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as transactions: txn_id, txn_time, vehicle_id (customer)."""
     o = table(spark, sf_dir, "orders")
@@ -162,7 +136,6 @@ def td2(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("o_custkey").alias("vehicle_id"))
 
 
-@_memo
 def positions2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shipped lines as positions: vehicle_id, pos_time, avl_history_id, latitude.
 
@@ -222,11 +195,11 @@ def rules_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.select("file", (F.row_number().over(w) + 1).alias("line_no"),
                     F.concat(F.lit('"'), F.col("code"), F.lit('","Fare '), F.col("code"), F.lit(', full",""'))
                     .alias("line"))
-    files = t.select("file").distinct()
+    files = t.groupBy("file").agg(F.count(F.lit(1)).cast("int").alias("n"))
     frame = files.select("file", F.inline(F.array(
         F.struct(F.lit(0).alias("line_no"), F.lit("Monthly Summary").alias("line")),
         F.struct(F.lit(1).alias("line_no"), F.lit("Ridership is defined as the following:").alias("line")),
-        F.struct(F.lit(1_000_000).alias("line_no"), F.lit("All other fares are excluded.").alias("line")))))
+        F.struct((F.col("n") + 2).alias("line_no"), F.lit("All other fares are excluded.").alias("line")))))
     return rows.unionByName(frame)
 
 
@@ -239,13 +212,13 @@ def routesum_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = g.select("file", (F.row_number().over(w) + 2).alias("line_no"),
                     F.concat_ws(",", "route", F.col("n").cast("string"), F.lit("0"), F.lit("0"), F.lit("0"),
                                 F.lit("")).alias("line"))
-    tot = g.groupBy("file").agg(F.sum("n").alias("n"))
+    tot = g.groupBy("file").agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("int").alias("rows"))
     frame = tot.select("file", F.inline(F.array(
         F.struct(F.lit(0).alias("line_no"), F.lit("Event Summary").alias("line")),
         F.struct(F.lit(1).alias("line_no"), F.lit("Ridership By Route").alias("line")),
         F.struct(F.lit(2).alias("line_no"),
                  F.lit("Route,Ridership,Token Count,Ticket Count,Preset Preset1,X").alias("line")),
-        F.struct(F.lit(1_000_000).alias("line_no"),
+        F.struct((F.col("rows") + 3).alias("line_no"),
                  F.concat(F.lit("TOTAL,"), F.col("n").cast("string"), F.lit(",0,0,0,")).alias("line")))))
     return rows.unionByName(frame)
 
@@ -258,10 +231,10 @@ def daily_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = d.select("file", (F.row_number().over(w) + 2).alias("line_no"),
                     F.concat_ws(",", F.date_format("service_day", "M/d/yyyy"), F.col("ridership").cast("string"))
                     .alias("line"))
-    tot = d.groupBy("file").agg(F.sum("ridership").alias("n"))
+    tot = d.groupBy("file").agg(F.sum("ridership").alias("n"), F.count(F.lit(1)).cast("int").alias("rows"))
     frame = tot.select("file", F.inline(F.array(
         F.struct(F.lit(1).alias("line_no"), F.lit("Ridership By Route").alias("line")),
         F.struct(F.lit(2).alias("line_no"), F.lit("Date,Ridership").alias("line")),
-        F.struct(F.lit(999_999).alias("line_no"), F.lit("Weekday Average,0").alias("line")),
-        F.struct(F.lit(1_000_000).alias("line_no"), F.concat(F.lit("TOTAL,"), F.col("n").cast("string")).alias("line")))))
+        F.struct((F.col("rows") + 3).alias("line_no"), F.lit("Weekday Average,0").alias("line")),
+        F.struct((F.col("rows") + 4).alias("line_no"), F.concat(F.lit("TOTAL,"), F.col("n").cast("string")).alias("line")))))
     return rows.unionByName(frame)

@@ -10,27 +10,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fareshift.functions.calendar import missing_days, with_service_type
-from fareshift.functions.timefns import month_name
+from fareshift.functions.classify import VEHICLE_REPAIRS
 from fareshift.operators.control import (combine_totals, combine_totals_wide, compare_daily,
                                          compare_daily_overall, scale_to_control, scaled_by_service_type)
-from fareshift.operators.ridership import count_by
-from fareshift.operators.summary import LOCAL_ROUTES, daily_series, local_wide, service_summary
-from fareshift.plans.period import materialize, matched_table, used_transactions
-from fareshift.sources.sinks import write_summary
+from fareshift.operators.quality import bad_gps_by_month, quality_flags, quality_report
+from fareshift.operators.ridership import count_by, reconcile_by_month, route_order
+from fareshift.operators.summary import (LOCAL_ROUTES, daily_series, local_wide, service_summary,
+                                         service_summary_distinct, with_month)
+from fareshift.plans.period import materialize, matched_table, used_transactions, write_outputs
+
+def type_order():
+    """Service types in report order (text, descending)."""
+    return F.col("service_type").desc()
 
 
 def run_season(td: DataFrame, positions: DataFrame, rules: DataFrame, out_dir: str, *, start, end,
                control: DataFrame | None = None, control_start=None, season_until=None,
-               route_pattern: str = "^90", label: str = "season", **kw) -> dict[str, DataFrame]:
+               route_pattern: str = "^90", label: str = "season", routesum: DataFrame | None = None,
+               rejected: DataFrame | None = None, repair: dict[str, str] | None = VEHICLE_REPAIRS,
+               mode: str = "overwrite", **kw) -> dict[str, DataFrame]:
     """Matched daily series for [start, end) plus, optionally, a control series
     (service_day, ridership) for [control_start, start); then the completeness
-    check, the season summary (up to ``season_until``) and the per-month
-    summaries by service type, written as CSV.
+    check, the season summary (up to ``season_until``), the per-month
+    summaries by service type, the summary by local route, the bad-GPS and questionable
+    shares, and with a ``routesum`` (month and year) the monthly reconciliation, written as CSV.
+    ``repair`` fixes vehicle ids before the match.
     """
-    first_year, last_year = kw.get("first_year"), kw.get("last_year")
-    matched = matched_table(td, positions, rules, start=start, end=end, route_pattern=route_pattern,
-                            position_cols=("latitude",), **kw)
-    daily = materialize(daily_series(matched, ["service_day", "service_type"]), f"{label}-daily")
+    matched = materialize(quality_flags(matched_table(
+        td, positions, rules, start=start, end=end, route_pattern=route_pattern, repair=repair,
+        position_cols=("avl_history_id", "latitude", "gps_status"), **kw)), f"{label}-matched")
+    daily = daily_series(matched, ["service_day", "service_type"])
     series = daily
     first_day = start
     if control is not None:
@@ -38,51 +47,62 @@ def run_season(td: DataFrame, positions: DataFrame, rules: DataFrame, out_dir: s
         if control_start is not None:
             ctl = ctl.where(F.col("service_day") >= F.lit(control_start).cast("date"))
             first_day = control_start
-        years = {k: v for k, v in (("first_year", first_year), ("last_year", last_year)) if v is not None}
-        ctl = with_service_type(ctl, "service_day", **years).select("service_day", "service_type", "ridership")
+        ctl = with_service_type(ctl, "service_day").select("service_day", "service_type", "ridership")
         series = ctl.unionByName(daily)
     last_day = F.date_sub(F.lit(end).cast("date"), 1)
     outputs = {
-        "daily": series,
-        "missing_days": missing_days(series, first_day, _date_text(end, -1)),
-        "season": service_summary(series.where(F.col("service_day") <= F.lit(season_until or last_day).cast("date")),
-                                  ["service_type"]),
-        "monthly": service_summary(series.withColumn("month", month_name("service_day")),
-                                   ["month", "service_type"]),
+        "daily": (series, ("service_day",)),
+        "missing_days": (missing_days(series, first_day, _date_text(end, -1)), ("service_day",)),
+        "season": (service_summary(series.where(F.col("service_day") <= F.lit(season_until or last_day).cast("date")),
+                                   ["service_type"]), (type_order(),)),
+        "monthly": (service_summary(with_month(series), ["year", "month", "service_type"]),
+                    ("year", "month", type_order())),
+        "by_route": (service_summary_distinct(matched), (type_order(), "local_route")),
+        "quality": (quality_report(positions, matched), ()),
+        "bad_gps_by_month": (bad_gps_by_month(matched), ("year", "month")),
     }
-    for name, df in outputs.items():
-        write_summary(df, f"{out_dir.rstrip('/')}/{label}_{name}")
-    return outputs
+    if routesum is not None:
+        outputs["reconcile"] = (reconcile_by_month(td, rules, routesum), ("year", "month", *route_order()))
+    if rejected is not None:
+        outputs["rejected"] = (rejected, ("file",))
+    return write_outputs(outputs, out_dir, label, mode)
 
 
 def run_scaleup(td: DataFrame, positions: DataFrame, rules: DataFrame, control: DataFrame, out_dir: str, *,
                 start, end, other_totals: DataFrame | None = None, route_pattern: str = "^90",
-                label: str = "scaleup", **kw) -> dict[str, DataFrame]:
-    """Daily count against the control series, 901/902 scaled up to it per
-    day, totals per service type (long), optionally added to another period's
-    (local_route, service_type, ridership) totals, long and wide, as CSV.
+                label: str = "scaleup", rejected: DataFrame | None = None, mode: str = "overwrite",
+                **kw) -> dict[str, DataFrame]:
+    """Daily count against the control series, and the matched local count against it;
+    901/902 scaled up to it per day, totals per service type (long), optionally added to another
+    period's (local_route, service_type, ridership) totals, long and wide, as CSV.
     """
-    first_year, last_year = kw.get("first_year"), kw.get("last_year")
-    years = {k: v for k, v in (("first_year", first_year), ("last_year", last_year)) if v is not None}
     used = used_transactions(td, rules, start=start, end=end, route_pattern=route_pattern)
+    bound = (F.col("service_day") >= F.lit(start).cast("date")) & (F.col("service_day") < F.lit(end).cast("date"))
+    control = control.where(bound)
     compared = compare_daily(count_by(used, "service_day", out="n"), control)
     matched = matched_table(td, positions, rules, start=start, end=end, route_pattern=route_pattern,
-                            position_cols=("latitude",), **kw)
+                            position_cols=("avl_history_id", "latitude"), **kw)
     wide = materialize(local_wide(matched, ["service_day"], "local_route", LOCAL_ROUTES, "ridership_"),
                        f"{label}-local-daily")
+    local = wide.select("service_day", (F.coalesce("ridership_901", F.lit(0)) + F.coalesce("ridership_902", F.lit(0)))
+                        .alias("n"))
+    compared_local = compare_daily(local, control)
     scaled = scale_to_control(wide, control)
-    by_type = scaled_by_service_type(with_service_type(scaled, "service_day", **years))
+    by_type = scaled_by_service_type(with_service_type(scaled, "service_day"))
     combined = combine_totals(by_type, other_totals) if other_totals is not None else by_type
+    day = ("service_day",)
     outputs = {
-        "compare_daily": compared,
-        "compare_overall": compare_daily_overall(compared),
-        "scaled_daily": scaled,
-        "totals": combined,
-        "totals_wide": combine_totals_wide(combined),
+        "compare_daily": (compared, day),
+        "compare_overall": (compare_daily_overall(compared), ()),
+        "compare_local_daily": (compared_local, day),
+        "compare_local_overall": (compare_daily_overall(compared_local), ()),
+        "scaled_daily": (scaled, day),
+        "totals": (combined, ("local_route", type_order())),
+        "totals_wide": (combine_totals_wide(combined), ("local_route",)),
     }
-    for name, df in outputs.items():
-        write_summary(df, f"{out_dir.rstrip('/')}/{label}_{name}")
-    return outputs
+    if rejected is not None:
+        outputs["rejected"] = (rejected, ("file",))
+    return write_outputs(outputs, out_dir, label, mode)
 
 
 def _date_text(day, shift: int) -> str:

@@ -47,12 +47,13 @@ def read_positions(vmh: DataFrame, avl: DataFrame, start=None, end=None, *, rout
     UNION's duplicate removal over all columns (SET-3). The period is [start, end] in service
     days: from ``start`` 03:00 to the day after ``end`` 03:00
     (``by_service_day=False`` bounds at midnight instead, as one analysis did). The
-    position history is read for the same period and ``HISTORY_MARGIN_HOURS`` around it.
+    position history is read for the same period and ``HISTORY_MARGIN_HOURS`` around it
+    (whole, if it has no ``time``).
     Filters are written on the source columns, so a parquet or JDBC source
     receives them.
     """
-    for side, df in (("message", vmh), ("position", avl)):
-        if missing := {"avl_history_id", "time"} - set(df.columns):
+    for side, df, needed in (("message", vmh, {"avl_history_id", "time", "vehicle_id"}), ("position", avl, {"avl_history_id"})):
+        if missing := needed - set(df.columns):
             raise ValueError(f"{side} history lacks {sorted(missing)}")
     v, a = vmh, avl
     if start is not None and end is not None:
@@ -61,7 +62,8 @@ def read_positions(vmh: DataFrame, avl: DataFrame, start=None, end=None, *, rout
         hi = F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz") + shift
         v = v.where((F.col("time") >= lo) & (F.col("time") < hi))
         margin = F.make_dt_interval(hours=F.lit(HISTORY_MARGIN_HOURS))
-        a = a.where((F.col("time") >= lo - margin) & (F.col("time") < hi + margin))
+        if "time" in a.columns:
+            a = a.where((F.col("time") >= lo - margin) & (F.col("time") < hi + margin))
     keep = F.lit(False)
     if route_like:
         keep = keep | F.coalesce(F.col("route").like(route_like), F.lit(False))

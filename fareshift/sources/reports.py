@@ -86,16 +86,24 @@ def with_period(df: DataFrame, file_col: str = "file", out: str = "period",
     """
     p = F.regexp_extract(F.col(file_col), pattern, 1)
     if letters:
-        p = F.concat_ws(" ", F.substring(p, 1, letters), F.nullif(F.regexp_extract(p, r"\d{4}", 0), F.lit("")))
+        p = F.concat_ws(" ", F.substring(p, 1, letters), _year(F.col(file_col)))
     return df.withColumn(out, p)
 
 
+def _year(name: Column) -> Column:
+    """The four-digit year in a name, null without one."""
+    return F.nullif(F.regexp_extract(name, r"(?<!\d)(\d{4})(?!\d)", 1), F.lit(""))
+
+
 def with_month_key(df: DataFrame, period_col: str = "period", out: str = "month", year_out: str = "year") -> DataFrame:
     """SET-1 / Q-7: a month key shared by all report kinds: 'DECEMBER 1' and
     'DECEMBER 16' (half-month transaction files) and 'Dec 2019' (route summary)
-    all become 'Dec'; the year is null where the label has none (null month
-    without a label). Months are paired by key, never by list position."""
-    year = F.regexp_extract(F.col(period_col), r"\d{4}", 0).try_cast("int")
+    all become 'Dec'; the year is that of the file name, or of the label, null where
+    neither has one. Months are paired by key, never by list position."""
+    year = _year(F.col(period_col))
+    if "file" in df.columns:
+        year = F.coalesce(_year(F.col("file")), year)
+    year = year.try_cast("int")
     return (df.withColumn(out, F.nullif(F.initcap(F.substring(F.col(period_col), 1, 3)), F.lit("")))
             .withColumn(year_out, year))
 

@@ -46,7 +46,10 @@ def test_ties_last_and_all(spark):
     kw = dict(by=["vehicle_id"], left_time="txn_time", right_time="pos_time", right_cols=["avl_history_id"],
               tie="avl_history_id")
     assert rows(asof_join(t, p, **kw), "txn_id", "avl_history_id") == [(1, 7)]
-    assert rows(asof_join(t, p, ties="all", **kw), "txn_id", "avl_history_id") == [(1, 5), (1, 6), (1, 7)]
+    # a rolled match stays one row, one at exactly the left time is expanded
+    assert rows(asof_join(t, p, ties="all", **kw), "txn_id", "avl_history_id") == [(1, 7)]
+    at = spark.createDataFrame([(1, "1", d)], t.schema)
+    assert rows(asof_join(at, p, ties="all", **kw), "txn_id", "avl_history_id") == [(1, 5), (1, 6), (1, 7)]
 
 
 def test_null_vehicle_kept_unmatched(spark):
@@ -127,3 +130,24 @@ def test_match_without_service_day_warns(spark):
         m = match_positions(t, p, by=("vehicle_id",), position_cols=("avl_history_id",))
     assert any("service_day" in str(x.message) for x in w)
     assert rows(m, "txn_id", "avl_history_id") == [(1, 1)]
+
+
+def test_forward_is_as_fast_as_backward(spark):
+    """20,000 rows a side in one bucket, and 20,000 one-second buckets of one key."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    base = F.lit("2024-01-01 05:00:00").cast("timestamp_ntz")
+    for micros, unit in ((1_000, "minute"), (1_000_000, "second")):
+        at = base + F.make_dt_interval(secs=(F.col("id") * micros / F.lit(1e6)).cast("decimal(18,6)"))
+        left = spark.range(20_000).select(F.lit("a").alias("k"), at.alias("t"))
+        right = spark.range(20_000).select(F.lit("a").alias("k"), at.alias("p"), F.col("id").alias("v"))
+        took = {}
+        for direction in ("backward", "forward", "backward", "forward"):
+            t0 = time.perf_counter()
+            out = asof_join(left, right, by=["k"], left_time="t", right_time="p", right_cols=["v"], tie="v",
+                            direction=direction, bucket_unit=unit)
+            assert out.where("t = p").count() == 20_000
+            took[direction] = time.perf_counter() - t0
+        assert took["forward"] < 3 * took["backward"] + 1

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from fareshift.plans import catalog
 from fareshift.plans.roles import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -16,7 +17,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert set(catalog.QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 _DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
@@ -36,7 +38,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data absent")
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     cols = sorted(df.columns)
@@ -57,7 +59,7 @@ def test_run_period_writes_summaries(spark, tmp_path):
     from fareshift.plans.period import run_period
     td, pos, rules = roles.td(spark, SF), roles.positions(spark, SF), roles.rules(spark)
     out = run_period(td, pos, rules, str(tmp_path), start="2024-01-01", end="2024-01-30",
-                     north=60.0, south=20.0, first_year=2023, last_year=2024, label="jan")
+                     north=60.0, south=20.0, fleet=None, label="jan")
     assert sorted(out) == ["by_day", "by_type_long", "by_type_wide", "questionable"]
     back = spark.read.csv(str(tmp_path / "jan_by_type_long"), header=True)
     assert back.count() == out["by_type_long"].count() > 0

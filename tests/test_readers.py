@@ -104,7 +104,7 @@ def test_files_by_kind_period_year(spark):
     assert report_files(spark, tmp, "routesum").count() == 2
     assert report_files(spark, tmp, "routesum", period="december", year=2020).count() == 1
     rs = read_routesum(spark, tmp, period="December")
-    assert rows(rs, "period", "route") == [("Dec", "8"), ("Dec", "90")]
+    assert rows(rs, "period", "route") == [("Dec 2020", "8"), ("Dec 2020", "90")]
     assert read_rules(spark, tmp).count() == 3
     td = read_transactions(spark, os.path.join(tmp, "TD"))
     assert td.count() == 2 and td.first().period == "DECEMBER 1"
@@ -139,12 +139,12 @@ def test_read_positions_options(spark):
     vmh = spark.createDataFrame(
         [(1, T(2020, 1, 1, 2, 0), "90", 1976, 7), (2, T(2020, 1, 1, 4, 0), "8", 1980, 7),
          (3, T(2020, 1, 1, 5, 0), "8", 12, 7), (4, T(2020, 1, 2, 2, 30), "901", 5, 8),
-         (5, T(2020, 1, 2, 2, 30), "901", 5, 8)],
+         (4, T(2020, 1, 2, 2, 30), "901", 5, 8)],
         "avl_history_id long, time timestamp_ntz, route string, vehicle_id long, trip int")
     avl = spark.createDataFrame([(1, 39.9, 2), (2, 39.8, 0)], "avl_history_id long, latitude double, gps_status int")
     by_day = read_positions(vmh, avl, "2020-01-01", "2020-01-01")
     # service day 2020-01-01 runs from 03:00 to 03:00 next day; route 9% or bus 1970-1999
-    assert sorted(r.vehicle_id for r in by_day.collect()) == ["1980", "5"]  # duplicates 4/5 collapse
+    assert sorted(r.vehicle_id for r in by_day.collect()) == ["1980", "5"]  # the message sent twice collapses
     midnight = read_positions(vmh, avl, "2020-01-01", "2020-01-01", by_service_day=False, distinct=False)
     assert sorted(r.vehicle_id for r in midnight.collect()) == ["1976", "1980"]
 
@@ -162,7 +162,7 @@ def test_reports_to_matched_table(spark):
     pos = spark.createDataFrame(
         [(10, dt.datetime(2019, 12, 3, 5, 0), "1976", 39.95, 2), (11, dt.datetime(2019, 12, 3, 23, 0), "1970", 39.60, 2)],
         "avl_history_id long, pos_time timestamp_ntz, vehicle_id string, latitude double, gps_status int")
-    m = matched_table(td, pos, rules, route_pattern="^90", repair={"0": "1970"}, first_year=2019, last_year=2019)
+    m = matched_table(td, pos, rules, route_pattern="^90", repair={"0": "1970"})
     got = rows(m, "vehicle_id", "avl_history_id", "local_route", "service_type")
     assert got == [("1970", 11, "902", "Weekday"), ("1976", 10, "901", "Weekday")]
 
@@ -182,3 +182,51 @@ def test_half_month_files_reconcile_by_month_key(spark):
     rec = reconcile(td, read_rules(spark, tmp), rs, by=("month", "route"))
     # two half-month files, two ridership rows each on route 90, against the December total
     assert rows(rec, "month", "route", "ridership_td", "ridership") == [("Dec", "90", 4, 1250)]
+
+
+def test_position_columns_and_missing_id(spark):
+    import datetime as dt
+
+    import pytest
+    from fareshift.operators.matching import match_positions
+    from fareshift.sources.positions import read_positions
+    T = dt.datetime
+    vmh = spark.createDataFrame([(1, T(2020, 1, 1, 4, 0), "90", 1976, 7, 3, 1, "I")],
+                                "avl_history_id long, time timestamp_ntz, route string, vehicle_id long, trip int, "
+                                "boards int, alights int, inbound_outbound string")
+    avl = spark.createDataFrame([(1, T(2020, 1, 1, 4, 0), 39.9, -86.1, 2), (1, T(2020, 3, 1), 1.0, 1.0, 0)],
+                                "avl_history_id long, time timestamp_ntz, latitude double, longitude double, gps_status int")
+    out = read_positions(vmh, avl, "2020-01-01", "2020-01-01")
+    assert out.columns == ["avl_history_id", "pos_time", "vehicle_id", "route", "inbound_outbound", "trip", "boards",
+                           "alights", "latitude", "longitude", "gps_status"]
+    assert [tuple(r)[-3:] for r in out.collect()] == [(39.9, -86.1, 2)]  # the far-off history row is not read
+    with pytest.raises(ValueError):
+        read_positions(vmh.drop("avl_history_id"), avl)
+    td = spark.createDataFrame([(1, "1976", T(2020, 1, 1, 5, 0))], "txn_id long, vehicle_id string, txn_time timestamp_ntz")
+    with pytest.raises(ValueError):
+        match_positions(td, out.drop("avl_history_id"))
+
+
+def test_file_without_header_is_reported(spark):
+    lines = [("good", x) for x in TD.splitlines()] + [("bare", x) for x in TD.splitlines() if "Date and Time" not in x]
+    df = spark.createDataFrame(lines, "file string, line string")
+    assert rows(parse_transactions(df).select("file").distinct()) == [("good",)]
+    bad = {r.file: (r.rejected, r.no_header) for r in rejected_transactions(df).collect()}
+    assert bad["good"] == (1, False)
+    assert bad["bare"][0] >= 3 and bad["bare"][1]
+
+
+def test_decembers_of_two_years_stay_apart(spark):
+    import datetime as dt
+    from fareshift.operators.ridership import reconcile_by_month
+    from fareshift.operators.summary import local_by_month
+    T = dt.datetime
+    td = spark.createDataFrame([(T(y, 12, 3, 9), "90", "A", "100") for y in (2019, 2019, 2020)],
+                               "txn_time timestamp_ntz, route string, description string, type string")
+    rules = spark.createDataFrame([("A", 2019, "Dec"), ("B", 2020, "Dec")], "code string, year int, month string")
+    rs = spark.createDataFrame([("90", 5, "Dec", 2019), ("90", 7, "Dec", 2020)], "route string, ridership long, month string, year int")
+    assert rows(reconcile_by_month(td, rules, rs), "year", "ridership_td", "ridership") == [(2019, 2, 5)]  # A is no 2020 rule
+    always = rules.withColumn("year", F.lit(None).cast("int"))
+    assert rows(reconcile_by_month(td, always, rs), "year", "ridership_td", "ridership") == [(2019, 2, 5), (2020, 1, 7)]
+    m = td.select(F.to_date("txn_time").alias("service_day"), F.lit("901").alias("local_route"))
+    assert rows(local_by_month(m), "year", "month", "ridership") == [(2019, "December", 2), (2020, "December", 1)]

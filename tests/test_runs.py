@@ -8,7 +8,7 @@ from fareshift.plans import roles
 from fareshift.plans.season import run_scaleup, run_season
 
 SF = "/root/testdata/sf0.001"
-KW = dict(north=60.0, south=20.0, first_year=2023, last_year=2024)
+KW = dict(north=60.0, south=20.0)
 
 
 def test_run_season(spark, tmp_path):
@@ -59,13 +59,14 @@ def test_command_line(spark, tmp_path):
     _write_lines(roles.routesum_report_lines(spark, SF), reports, numbered=True)
     pos_path = str(tmp_path / "positions")
     roles.positions(spark, SF).write.parquet(pos_path)
-    common = ["--reports", reports, "--positions", pos_path, "--north", "60", "--south", "20",
-              "--first-year", "2023", "--last-year", "2024"]
-    out = main(["period", "--start", "2024-01-01", "--end", "2024-01-30", "--out", str(tmp_path / "p")] + common,
+    common = ["--reports", reports, "--positions", pos_path, "--north", "60", "--south", "20", "--fleet", "all"]
+    out = main(["period", "--start", "2023-12-31", "--end", "2024-02-01", "--out", str(tmp_path / "p")] + common,
                spark=spark)
     assert out["by_type_long"].count() > 0
-    rec = {r.route: r for r in out["reconcile"].collect()}
-    assert rec and all(r.ridership_td <= r.ridership for r in rec.values())
+    # every code is a rule here, so each route's rides equal its RouteSum
+    rec = out["reconcile"].collect()
+    assert len(rec) == 5 and all((r.year, r.month, r.ridership_td) == (2024, "Jan", r.ridership) for r in rec)
+    assert (tmp_path / "p" / "period_rejected").exists()
     out = main(["scaleup", "--start", "2024-01-01", "--end", "2024-01-31", "--out", str(tmp_path / "s")] + common,
                spark=spark)
     assert out["scaled_daily"].count() > 0
@@ -74,3 +75,50 @@ def test_command_line(spark, tmp_path):
     # the control series fills every day before the matched period; later gaps are days without local rides
     assert out["missing_days"].where(F.col("service_day") < F.lit("2024-01-10").cast("date")).count() == 0
     assert (tmp_path / "m" / "season_monthly").exists()
+
+
+def test_command_line_over_two_months(spark, tmp_path):
+    """Exact numbers: month pairing, fleet, rolled ends, missing gap, fraction."""
+    from fareshift.__main__ import main
+    folder = tmp_path / "reports"
+    folder.mkdir()
+    head = roles.TD_HEADER + "\n"
+    ride = "100 FARE,{t},{bus},90,1,0,A1,1.75,1.75,,1,,,,\n"
+    jan = [("1/5/2020 08:00:00", 1976), ("1/5/2020 09:00:00", 1976), ("1/5/2020 09:30:00", 55)]
+    feb = [("2/5/2020 08:00:00", 1976)] * 2
+    for name, rides in (("JANUARY", jan), ("FEBRUARY", feb)):
+        (folder / f"TRANSACTION DETAIL {name} 1, 2020.csv").write_text(
+            head + "".join(ride.format(t=t, bus=b) for t, b in rides) + "Number of Transactions: x\n")
+        (folder / f"MONTHLY SUMMARY {name.title()} 1, 2020.txt").write_text(
+            'Monthly\nRidership is defined as:\n"A1","Single Ride Full Fare",""\nAll other is excluded.\n')
+        (folder / f"EVENT SUMMARY ({name.title()} 1, 2020).txt").write_text(
+            f"Event Summary\nRidership By Route\nRoute,Ridership\n90,{3 if name == 'JANUARY' else 50}\nTOTAL,1\n")
+    (folder / "TRANSACTION DETAIL MARCH 1, 2020.csv").write_text(ride.format(t="3/1/2020 08:00:00", bus=1976))
+    pos = str(tmp_path / "pos")
+    import datetime as dt
+    spark.createDataFrame([(1, dt.datetime(2020, 1, 5, 8, 30), "1976", 61.0, 2), (2, dt.datetime(2020, 1, 5, 9, 30), "1976", 10.0, 2)],
+                          "avl_history_id long, pos_time timestamp_ntz, vehicle_id string, latitude double, gps_status int") \
+        .write.parquet(pos)
+    args = ["period", "--reports", str(folder), "--positions", pos, "--start", "2020-01-01", "--end", "2020-01-31",
+            "--north", "60", "--south", "20", "--out", str(tmp_path / "out")]
+    out = main(args, spark=spark)
+    assert [tuple(r)[:5] for r in out["reconcile"].collect()] == [(2020, "Jan", "90", 3, 3)]  # not 3 + 50
+    # bus 55 is no corridor bus; the ride before the first position takes it (rolled), no gap
+    assert [tuple(r) for r in out["by_type_long"].collect()] == [("Sunday", "901", 2)]
+    q = out["questionable"].first()
+    assert (q.n_rows, q.n_in_gap, q.questionable_pct) == (2, 1, 0.5)
+    assert {r.file: r.rejected for r in out["rejected"].collect()} == {"TRANSACTION DETAIL MARCH 1, 2020.csv": 1}
+    out = main([*args[:-1], str(tmp_path / "all"), "--fleet", "all", "--no-roll-ends", "--no-null-gap", "--percent"], spark=spark)
+    q = out["questionable"].first()
+    assert (q.n_rows, q.n_in_gap, q.n_bad_gps, q.questionable_pct) == (3, 1, 2, 100.0)
+
+
+def test_scale_up_keeps_days_of_either_side(spark):
+    import datetime as dt
+
+    from fareshift.operators.control import scale_to_control
+    d = [dt.date(2020, 1, i) for i in (1, 2, 3)]
+    local = spark.createDataFrame([(d[0], 3, 1), (d[1], 5, 2)], "service_day date, ridership_901 long, ridership_902 long")
+    control = spark.createDataFrame([(d[0], 8), (d[2], 4)], "service_day date, ridership long")
+    got = {r.service_day: (r.ridership, r.final_901, r.final_902) for r in scale_to_control(local, control).collect()}
+    assert got == {d[0]: (8, 6, 2), d[1]: (None, 5, 2), d[2]: (4, 0, 0)}

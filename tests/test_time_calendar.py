@@ -56,10 +56,23 @@ def test_holiday_dates(spark):
 
 
 def test_service_type_cases(spark):
-    days = [D(2019, 11, 28), D(2020, 1, 20), D(2019, 11, 29), D(2019, 11, 30), D(2019, 12, 1), D(2020, 7, 4)]
+    days = [D(2019, 11, 28), D(2020, 1, 20), D(2019, 11, 29), D(2019, 11, 30), D(2019, 12, 1), D(2020, 7, 4),
+            D(2021, 11, 25), D(2021, 1, 18), D(1999, 5, 31), D(2050, 9, 5)]
     df = spark.createDataFrame([(d,) for d in days], "service_day date")
-    got = dict(rows(with_service_type(df, first_year=2019, last_year=2020), "service_day", "service_type"))
-    assert [got[d] for d in days] == ["Sunday", "Saturday", "Weekday", "Saturday", "Sunday", "Sunday"]
+    got = dict(rows(with_service_type(df), "service_day", "service_type"))
+    assert [got[d] for d in days] == ["Sunday", "Saturday", "Weekday", "Saturday", "Sunday", "Sunday",
+                                       "Sunday", "Saturday", "Sunday", "Sunday"]
+
+
+def test_service_type_equals_the_calendar(spark):
+    """Every day of 40 years against the generated holiday list."""
+    from pyspark.sql import functions as F
+
+    from fareshift.functions.calendar import date_spine, holiday_service
+    days = date_spine(spark, "1995-01-01", "2034-12-31", "d").withColumn("s", holiday_service("d"))
+    cal = holiday_calendar(spark, 1995, 2034).select("holiday_date", "service")
+    j = days.join(cal, days["d"] == cal["holiday_date"], "left")
+    assert j.where(~F.col("s").eqNullSafe(F.col("service"))).count() == 0
 
 
 def test_missing_days(spark):
