@@ -134,8 +134,9 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
                 .select("row", F.flatten("parts.ids").alias("ids")))
     long_ids = d_long.select("id", "row").join(stitched, "row").select("id", "ids")
 
-    lost = cuts.where("lost").select("row").distinct()
-    lost_ids = (d_long.join(lost, "row", "left_semi").select("id", "text")
+    # Rare: texts with a run longer than the overlap. Known by their digests, so the texts stay where they are.
+    lost = materialize(cuts.where("lost").select("row").distinct(), "bpe-lost")
+    lost_ids = (d_long.join(small_side(lost, 200_000), "row", "left_semi").select("id", "text")
                 .mapInArrow(_encode_whole(rank_path, pattern), f"id {kind}, ids array<int>"))
     return short_ids.unionByName(long_ids).unionByName(lost_ids).withColumnRenamed("id", id_col)
 
