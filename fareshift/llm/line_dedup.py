@@ -12,7 +12,7 @@ matches any earlier line is removed.
    n - ceil(n num / den) + 1 of them: matching lines share one of these.
 3. Two lines under one token go on only if their lengths allow the similarity
    (length filter), the tokens from there on can still give the overlap
-   (positional filter), and a 64-bit parity map of their tokens differs in
+   (positional filter), and a 128-bit parity map of their tokens differs in
    no more bits than the sets may differ in.
 4. What remains is verified on the token sets of the whole lines.
 
@@ -104,7 +104,7 @@ def _digests(kind: pa.DataType, least: int):
 
 
 def _prefixes(counts: np.ndarray, num: int, den: int, least: int):
-    """Rows (id, no, n, parity, i, token): a line under each token of its prefix."""
+    """Rows (id, no, n, parity, parity2, i, token): a line under each token of its prefix."""
     def run(batches):
         for b in sub_batches(batches):
             for lo, hi, raw, off in tokens.slices(b.column("text")):
@@ -112,7 +112,8 @@ def _prefixes(counts: np.ndarray, num: int, den: int, least: int):
                 size = x.n - (x.n * num + den - 1) // den + 1
                 # Sets so small that only equal ones match need no list.
                 size[(x.n < least) | (x.n * den < num * (x.n + 1)) & ((x.n - 1) * den < num * x.n)] = 0
-                parity = x.reduce(np.bitwise_xor, U(1) << (tokens.mix(x.h + U(2)) >> U(58)))
+                m = tokens.mix(x.h + U(2))  # one bit says which word, six say which place
+                parity = [x.reduce(np.bitwise_xor, (m & U(1) == U(k)).astype(U) << (m >> U(58))) for k in (0, 1)]
                 # By count, then by hash: the sort is stable and x.h ascends within a line.
                 rank = counts[(x.h & U(SLOTS - 1)).astype(np.int64)].astype(U) << U(32) | x.h >> U(32)
                 order = np.lexsort((rank, x.line))
@@ -122,9 +123,9 @@ def _prefixes(counts: np.ndarray, num: int, den: int, least: int):
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id").slice(lo, hi - lo).take(pa.array(x.text[line])),
                      pa.array(x.no[line].astype(np.int32)), pa.array(x.n[line].astype(np.int32)),
-                     pa.array(parity[line].view(np.int64)), pa.array(i.astype(np.int32)),
+                     *[pa.array(p[line].view(np.int64)) for p in parity], pa.array(i.astype(np.int32)),
                      pa.array((h >> U(32)).astype(np.uint32).view(np.int32))],
-                    names=["id", "no", "n", "parity", "i", "token"])
+                    names=["id", "no", "n", "parity", "parity2", "i", "token"])
     return run
 
 
@@ -169,7 +170,9 @@ def _may_match(num: int, den: int) -> Column:
 
 
 def _distance() -> Column:
-    return F.bit_count(F.col("parity").bitwiseXOR(F.col("x_parity")))
+    """A lower bound of how many tokens differ: the bits in which two 128-bit parity maps differ."""
+    one, two = (F.bit_count(F.col(c).bitwiseXOR(F.col(f"x_{c}"))) for c in ("parity", "parity2"))
+    return one + two
 
 
 def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, min_tokens: int) -> DataFrame:
@@ -187,7 +190,7 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
                         .where("id is not null").distinct(), "lines-equal")
 
     listed = (d.mapInArrow(_prefixes(counts, num, den, min_tokens),
-                           f"id {kind}, no int, n int, parity long, i int, token int")
+                           f"id {kind}, no int, n int, parity long, parity2 long, i int, token int")
               .join(small_side(equal), ["id", "no"], "left_anti"))
     listed = materialize(listed, "lines-listed")
 
@@ -207,12 +210,12 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
                            .distinct(), f"{name}-verified")
 
     def as_x(df: DataFrame, *more: str) -> DataFrame:
-        return df.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "no", "n", "parity", "i", *more)])
+        return df.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "no", "n", "parity", "parity2", "i", *more)])
 
     near = _may_match(num, den)
     earlier = F.struct("x_id", "x_no") < F.struct("id", "no")
     front = listed.where(F.col("i") < LEAD)
-    lead = materialize(front.groupBy("token").agg(F.min(F.struct("id", "no", "n", "parity", "i")).alias("x"),
+    lead = materialize(front.groupBy("token").agg(F.min(F.struct("id", "no", "n", "parity", "parity2", "i")).alias("x"),
                                                   F.count("*").alias("c")).where("c > 1").select("token", "x.*", "c"),
                        "lines-lead")
     # The earliest line under a token that many share is met by every token of a line's list.
