@@ -101,5 +101,11 @@ def sum_counts(parts: DataFrame, slots: int) -> np.ndarray:
     return np.minimum(total, 2**31 - 1).astype(np.int32)
 
 
+def hashed_share(id_col: Column, rows: int, total: int) -> Column:
+    """Keeps about ``rows`` of ``total`` rows by a hash of their id, all if there are fewer."""
+    whole = 1 << 30
+    return F.pmod(F.xxhash64(id_col), F.lit(whole)) < F.lit(whole if total <= rows else whole * rows // total)
+
+
 def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
     return max(least, -(-rows // per_partition))

@@ -24,7 +24,7 @@ near copies in as many comparisons as lines; the full join is for those left.
 Defined results: null and empty texts have no lines to remove; lines of fewer
 than ``min_tokens`` distinct tokens are neither removed nor matched; repeated
 rows of one id are one document, each row losing the same lines; rows
-with a null id lose nothing. ``text`` keeps the other lines, in order, with their
+with a null id lose nothing and match nothing. ``text`` keeps the other lines, in order, with their
 line ends. Other columns are dropped.
 """
 
@@ -177,7 +177,7 @@ def _distance() -> Column:
 
 def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, min_tokens: int) -> DataFrame:
     """(id, no) of the lines to remove."""
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
     kind = d.schema["id"].dataType.simpleString()
     arrow_kind = pa.schema(spark_arrow(d.select("id").schema)).field("id").type
     digests = materialize(d.mapInArrow(_digests(arrow_kind, min_tokens),
@@ -187,7 +187,7 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
     first = materialize(lines.groupBy("key").agg(F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("c"))
                         .where("c > 1").select("key", "first"), "lines-first")
     equal = materialize(lines.join(first, "key").where(F.struct("id", "no") > F.col("first")).select("id", "no")
-                        .where("id is not null").distinct(), "lines-equal")
+                        .distinct(), "lines-equal")
 
     listed = (d.mapInArrow(_prefixes(counts, num, den, min_tokens),
                            f"id {kind}, no int, n int, parity long, parity2 long, i int, token int")
@@ -239,7 +239,7 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
     rest = found.select(F.when(earlier, one).otherwise(two).alias("y"), F.when(earlier, two).otherwise(one).alias("x")) \
         .select("y.id", "y.no", F.col("x.id").alias("x_id"), F.col("x.no").alias("x_no")).distinct()
     others = verified(rest, "lines-rest")
-    return materialize(equal.union(settled).union(others).where("id is not null").distinct(), "lines-removed")
+    return materialize(equal.union(settled).union(others).distinct(), "lines-removed")
 
 
 def spark_arrow(schema):

@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = shared.select("key").distinct()
     reps = materialize(described.join(keys, "key", "left_semi").groupBy("key").agg(F.min("id").alias("rep"))
                        .select("rep").distinct(), "jaccard-reps")
-    found = d.join(small_side(reps), d["id"] == F.col("rep"), "left_semi").select("text")
+    found = d.join(small_side(reps), d["id"].eqNullSafe(F.col("rep")), "left_semi").select("text")
     sets = materialize(found.mapInArrow(_sets(k), "key long, s array<long>").dropDuplicates(["key"]), "jaccard-sets")
     comp = _linked_components(shared, sets, num, den)
 

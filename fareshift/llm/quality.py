@@ -1,8 +1,8 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 ``statistics`` reads every whole text once and gives its numbers; ``fit``
-learns from a bounded sample of labelled rows (``TRAIN_ROWS`` with the smallest
-hash of the id); the trees are complete binary trees flattened into arrays, and
+learns from a bounded sample of labelled rows (about ``TRAIN_ROWS``, by a
+hash of the id, a tenth more at most); the trees are complete binary trees flattened into arrays, and
 ``predict`` walks them for many rows at once.
 
 Defined results: null and empty texts have all statistics 0 and get a score;
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fareshift.llm import tokens
-from fareshift.llm.common import sub_batches
+from fareshift.llm.common import hashed_share, sub_batches
 
 TRAIN_ROWS = 20_000
 FEATURES = (
@@ -172,8 +172,11 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     """Learn ``label_col`` of ``labels`` from the statistics of the same ids; ``rows`` bounds the sample."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     names = [c for c in stats.columns if c != id_col]
-    sample = (stats.join(known, stats[id_col] == known["_id"])
-              .orderBy(F.xxhash64(F.col("_id")), "_id", "y", *names).limit(rows).select("y", *names).toPandas())
+    labelled = stats.join(known, stats[id_col] == known["_id"])
+    # First by a hashed share, so that no task hands the driver more than its part of the sample.
+    chosen = labelled.where(hashed_share(F.col("_id"), rows, known.count()))
+    sample = (chosen.orderBy(F.xxhash64(F.col("_id")), "_id", "y", *names).limit(rows + rows // 10)
+              .select("y", *names).toPandas())
     return fit_trees(sample[names].to_numpy(float), sample["y"].to_numpy(float), **options)
 
 

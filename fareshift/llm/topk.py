@@ -10,8 +10,8 @@ gives a k-th best score; then it expands, at every pivot p, only the annuli
 that meet [d(q,p) - R, d(q,p) + R], where R is the distance of that score.
 Beyond these annuli no vector can reach the score, so the result is exact.
 
-Pivots come from a bounded sample (``PIVOT_SAMPLE`` vectors with the smallest
-hash); every vector is indexed. Blocks hold about ``BLOCK_ROWS`` vectors: a
+Pivots come from a bounded sample (about ``PIVOT_SAMPLE`` vectors of a length, by a
+hash of the id, twice that at most); every vector is indexed. Blocks hold about ``BLOCK_ROWS`` vectors: a
 group of equal vectors shares one distance and is cut by a hash of the id.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fareshift.llm.common import materialize, partitions_for, sub_batches
+from fareshift.llm.common import hashed_share, materialize, partitions_for, sub_batches
 
 PIVOT_SAMPLE = 4096
 PIVOTS = 32
@@ -73,11 +73,11 @@ def _choose_pivots(sample: np.ndarray, k: int) -> np.ndarray:
 def fit_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> dict:
     """{dim: (M, lifted pivots)} from per-dim norms and a bounded sample."""
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    by_dim = {r["dim"]: r["m"] for r in vectors.groupBy("dim").agg(F.max(norm).alias("m")).collect()}
+    by_dim = vectors.groupBy("dim").agg(F.max(norm).alias("m"), F.count("*").alias("n")).collect()
     out = {}
-    for dim, m2 in by_dim.items():
-        top = (vectors.where(F.col("dim") == dim).orderBy(F.xxhash64("v"), "id").limit(sample)
-               .select("v").collect())
+    for dim, m2, n in by_dim:
+        top = (vectors.where((F.col("dim") == dim) & (hashed_share(F.col("id"), sample, n) | F.lit(n <= 2 * sample)))
+               .orderBy(F.xxhash64("id"), "v").limit(2 * sample).select("v").collect())
         x = np.array([r["v"] for r in top], dtype=np.float64)
         lift = np.sqrt(np.maximum(m2 - (x ** 2).sum(axis=1), 0))
         out[dim] = (m2, _choose_pivots(np.column_stack([x, lift]), pivots))

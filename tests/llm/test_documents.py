@@ -124,6 +124,16 @@ def test_ngram_join_equals_all_pairs(docs, k, num, den):
     assert by_id(out, "n_shingles", "component_id") == brute_groups(k, num, den)
 
 
+def test_null_ids(spark):
+    a, b = "one two three four five six seven", "other words of a line that is long"
+    d = spark.createDataFrame([(None, a), (2, a), (None, b), (3, a + " x"), (None, "lonely text without any company")],
+                              "doc_id long, text string")
+    got = ngram_join.near_duplicates(d, k=1, num=80, den=100)
+    assert by_id(got, "component_id") == collections.Counter([(None, 2), (2, 2), (3, 2), (None, None), (None, None)])
+    lines = line_dedup.dedup_lines(d)
+    assert by_id(lines, "n_removed") == collections.Counter([(None, 0)] * 3 + [(2, 0), (3, 1)])
+
+
 def test_ngram_join_of_nothing(none):
     assert ngram_join.near_duplicates(none).count() == 0
 
