@@ -18,8 +18,8 @@ components of the links.
    one leader, the smallest set of the most signatures it shares. What is
    linked merges into components. Then sets are compared with the leader of
    each signature they share with another component. For the sets that still share
-   a signature with another component, an exact prefix and positional filter on
-   their shingles, the rarest first, picks the pairs that can link at all.
+   a signature with another component, an exact prefix, positional and parity filter
+   on their shingles, the rarest first, picks the pairs that can link at all.
    A group of m near copies costs a few times m comparisons, not m^2: what
    merges needs no further ones, and what stays apart has shingles of its own.
 4. Comparisons are exact on the sets of 64-bit shingle hashes of the whole texts.
@@ -121,12 +121,23 @@ def _shingle_counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array([count_bytes(total)], pa.binary())], names=["counts"])
 
 
+PARITY = tuple(f"p{k}" for k in range(4))
+
+
+def parity_map(h: np.ndarray) -> np.ndarray:
+    """256 bits that say for each of 256 classes whether a set holds an odd number of its shingles;
+    sets that differ in d elements differ in d bits at most."""
+    m = tokens.mix(h + U(2))
+    return np.array([np.bitwise_xor.reduce(U(1) << (m[(m & U(3)) == U(k)] >> U(58)), initial=U(0))
+                     for k in range(len(PARITY))], dtype=U).view(np.int64)
+
+
 def _rare_prefixes(counts: np.ndarray, num: int, den: int):
-    """Rows (key, comp, n, i, shingle): each set under the first n - ceil(n num / den) + 1 of its
-    shingles, ordered by hashed counts."""
+    """Rows (key, comp, n, i, shingle, parity map): each set under the first
+    n - ceil(n num / den) + 1 of its shingles, ordered by hashed counts."""
     def run(batches):
         for b in sub_batches(batches):
-            key, comp, size, place, shingle = [], [], [], [], []
+            key, comp, size, place, shingle, parity = [], [], [], [], [], []
             for k, c, s in zip(b.column("key").to_pylist(), b.column("comp").to_pylist(), b.column("s"), strict=True):
                 h = np.asarray(s.values).view(U)
                 take = len(h) - (len(h) * num + den - 1) // den + 1
@@ -136,9 +147,12 @@ def _rare_prefixes(counts: np.ndarray, num: int, den: int):
                 size.append(np.full(take, len(h), dtype=np.int32))
                 place.append(np.arange(take, dtype=np.int32))
                 shingle.append(h[first].view(np.int64))
+                parity.append(np.repeat(parity_map(h)[None, :], take, axis=0))
             if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, comp, size, place, shingle)],
-                                                 names=["key", "comp", "n", "i", "shingle"])
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(np.concatenate(x)) for x in (key, comp, size, place, shingle)],
+                     *[pa.array(c) for c in np.concatenate(parity).T]],
+                    names=["key", "comp", "n", "i", "shingle", *PARITY])
     return run
 
 
@@ -156,32 +170,35 @@ def _compare(num: int, den: int):
     return run
 
 
-def components(edges: DataFrame, name: str = "cc") -> DataFrame:
-    """(v, comp) for every vertex of the edges (a, b): the smallest vertex it reaches.
+def components(edges: DataFrame, labels: DataFrame, name: str = "cc") -> DataFrame:
+    """``labels`` (v, comp), one row for every vertex, merged along the edges (a, b): each vertex gets
+    the smallest label it reaches.
+
+    Works on labels, so what an earlier call merged is not gone through again. Each round hooks every
+    label to its smallest neighbour, follows the hooks once more, and relabels the edges; the rounds
+    end when no edge joins two labels. Only narrow rows move."""
+    def of(end: str) -> DataFrame:
+        return labels.select(F.col("v").alias(end), F.col("comp").alias(f"l{end}"))
 
-    Each round hooks every vertex to its smallest neighbour, follows the hooks once more, and
-    relabels the edges; the rounds end when no edge joins two labels. Only narrow rows move."""
-    e = materialize(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges")
-    both = e.union(e.select("b", "a"))
-    labels = materialize(both.select(F.col("a").alias("v")).distinct().withColumn("comp", F.col("v")), f"{name}-labels")
+    e = materialize(edges.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+                    .where("a <> b").distinct(), f"{name}-edges")
     while not e.isEmpty():
-        both = e.union(e.select(F.col("b"), F.col("a")))
-        hook = materialize(both.groupBy("a").agg(F.min("b").alias("m"))
-                           .select(F.col("a").alias("v"), F.least("a", "m").alias("p")), f"{name}-hooks")
+        hook = (e.union(e.select("b", "a")).groupBy("a").agg(F.min("b").alias("m"))
+                .select(F.col("a").alias("v"), F.least("a", "m").alias("p")))
         up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        hook = materialize(hook.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), f"{name}-jumps")
-        labels = materialize(labels.join(hook.withColumnRenamed("v", "comp"), "comp", "left")
-                             .select("v", F.coalesce("p", "comp").alias("comp")), f"{name}-labels")
-        to_a = hook.select(F.col("v").alias("a"), F.col("p").alias("pa"))
-        to_b = hook.select(F.col("v").alias("b"), F.col("p").alias("pb"))
+        jump = materialize(hook.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), f"{name}-jumps")
+        labels = labels.join(jump.withColumnRenamed("v", "comp"), "comp", "left") \
+            .select("v", F.coalesce("p", "comp").alias("comp"))
+        to_a = jump.select(F.col("v").alias("a"), F.col("p").alias("pa"))
+        to_b = jump.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         e = materialize(e.join(to_a, "a", "left").join(to_b, "b", "left")
                         .select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
                         .where("a <> b").distinct(), f"{name}-edges")
-    return labels
+    return materialize(labels, f"{name}-labels")
 
 
 def _linked_components(shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, comp) of the sets that have a link. ``shared``: (sig, key, n) of signatures with more
+    """(key, comp) of the sets in ``shared``. ``shared``: (sig, key, n) of signatures with more
     than one set; ``sets``: (key, s)."""
     near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
     a_sets = sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
@@ -199,40 +216,42 @@ def _linked_components(shared: DataFrame, sets: DataFrame, num: int, den: int) -
     first = met.groupBy("key", "n").agg(F.max(F.struct("times", "lead")).alias("best"))
     compared = compare(first.select(F.col("best.lead.key").alias("a"), F.col("best.lead.n").alias("na"),
                                     F.col("key").alias("b"), F.col("n").alias("nb")), "leaders")
-    merged = components(compared.where("linked"))
+    alone = materialize(shared.select(F.col("key").alias("v")).distinct().withColumn("comp", F.col("v")), "alone")
+    merged = components(compared.where("linked"), alone)
 
-    def labelled(compared: DataFrame, merged: DataFrame) -> DataFrame:
+    def labelled(merged: DataFrame) -> DataFrame:
         """``shared`` with components, only where a signature still holds several."""
-        now = shared.join(merged.withColumnRenamed("v", "key"), "key", "left") \
-            .withColumn("comp", F.coalesce("comp", "key"))
+        now = shared.join(merged.withColumnRenamed("v", "key"), "key")
         open_sigs = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
         return materialize(now.join(open_sigs.select("sig"), "sig"), "open")
 
     # Each set with the leader of every signature that it shares with another component.
-    now = labelled(compared, merged)
+    now = labelled(merged)
     lead = now.groupBy("sig").agg(F.min(F.struct(F.xxhash64("key").alias("h"), "key", "n", "comp")).alias("lead"))
     again = (now.join(lead, "sig").where(F.col("comp") != F.col("lead.comp"))
              .select(F.col("lead.key").alias("a"), F.col("lead.n").alias("na"), F.col("key").alias("b"),
                      F.col("n").alias("nb")).distinct())
-    compared = compared.unionByName(compare(again, "second"))
-    merged = components(compared.where("linked"))
+    merged = components(compare(again, "second").where("linked"), merged)
 
     # What is left: sets that still share a signature with another component. Such a pair can only
     # link if the sets share one of their rarest shingles early enough.
-    now = labelled(compared, merged).select("key", "comp").distinct()
+    now = labelled(merged).select("key", "comp").distinct()
     left_sets = materialize(sets.join(small_side(materialize(now, "open-keys")), "key"), "open-sets")
     counts = sum_counts(left_sets.select("s").mapInArrow(_shingle_counts, "counts binary"), SLOTS)
     listed = materialize(left_sets.mapInArrow(_rare_prefixes(counts, num, den),
-                                              "key long, comp long, n int, i int, shingle long"), "open-listed")
+                                              "key long, comp long, n int, i int, shingle long, "
+                                              + ", ".join(f"{c} long" for c in PARITY)), "open-listed")
     as_of = lambda x: listed.select("shingle", F.col("key").alias(x), F.col("n").alias(f"n{x}"),
-                                    F.col("i").alias(f"i{x}"), F.col("comp").alias(f"c{x}"))
+                                    F.col("i").alias(f"i{x}"), F.col("comp").alias(f"c{x}"),
+                                    *[F.col(c).alias(f"{c}{x}") for c in PARITY])
     overlap = F.ceil(num * (F.col("na") + F.col("nb")) / F.lit(float(num + den)))
     reachable = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= overlap
+    differ = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in PARITY), F.lit(0))
     rest = (as_of("a").join(as_of("b"), "shingle")
-            .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near & reachable)
+            .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near & reachable
+                   & (differ <= F.col("na") + F.col("nb") - 2 * overlap))
             .select("a", "na", "b", "nb"))
-    compared = compared.unionByName(compare(rest, "rest"))
-    return components(compared.where("linked")).withColumnRenamed("v", "key")
+    return components(compare(rest, "rest").where("linked"), merged).withColumnRenamed("v", "key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80,
