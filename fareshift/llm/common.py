@@ -90,9 +90,9 @@ def _add_counts(batches):
 
 def sum_counts(parts: DataFrame, slots: int) -> np.ndarray:
     """The sum of the tasks' tables of ``slots`` counts (column ``counts``), added up in a tree of
-    tasks; the driver gets 16 tables at most."""
+    tasks; the driver gets 4 tables at most."""
     n = parts.count()
-    while n > 16:
+    while n > 4:
         n = -(-n // 16)
         parts = materialize(parts.repartition(n).mapInArrow(_add_counts, "counts binary"), "counts")
     total = np.zeros(slots, dtype=np.int64)
