@@ -1,4 +1,4 @@
-"""Language-model scores: an interpolated modified Kneser-Ney model of order two.
+"""Language-model scores: an interpolated modified Kneser-Ney model of order two or three.
 
 Counted in Spark, over all training texts:
 
@@ -11,6 +11,13 @@ Counted in Spark, over all training texts:
    many followers with counts 1, 2, 3+ a word has and how many predecessors.
 3. the latter add up, by ranges of ids, to arrays beside the words.
 
+Order three counts triples (place of the pair, next word) between 2 and 3. Reducers own the triples
+of a pair range, cut by the next word where the range holds several times ``PAIR_MASS`` tokens. They
+write sorted arrays as for pairs and pass on what belongs beside the pairs: followers of a context
+with counts 1, 2, 3+, and how many different words precede a pair. A pair seen once has one follower
+and one predecessor, so only repeated pairs have entries. From the predecessors the pair ranges
+give each word its followers by continuation count.
+
 The arrays are files in the shared folder. Workers map them into memory
 (a folder that is no mounted path is copied into an unlinked temporary file
 first) and look up sorted distinct words and pairs of a batch.
@@ -24,7 +31,13 @@ text ends with one end token and starts from a start context.
 with a(w) the number of different words before w, A their sum, D and E the
 modified discounts, g and h what the discounts free. An unknown word has the
 last term alone; after an unknown word P(w) holds. Probabilities add up to 1
-over the V known tokens and one unknown.
+over the V known tokens and one unknown. Order three has above them
+
+    P(w | u v) = max(c(u v w) - T(c), 0) / c(u v) + f(u v) P(w | v)
+
+and P(w | v) with a(v w), the number of different words before v w, in place of c(v w)
+(c at the start of a text, where nothing precedes). Where u v is unknown, and
+for the first token of a text, P(w | v) holds.
 
 Defined results: a null text is empty, its only token is the end; without training
 texts P(w) is 1 / (V + 1) = 1. Repeated rows count as often as they occur and
@@ -143,6 +156,9 @@ class _Gather:
         if self.parts:
             keys, counts = add_up(self.parts)
             at = self.ranges_of(keys)
+            if (at[1:] < at[:-1]).any():
+                order = np.argsort(at, kind="stable")
+                keys, counts, at = keys[order], counts[order], at[order]
             cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
             rows = [(int(at[a]), pack(keys[a:b], counts[a:b])) for a, b in zip(cut, cut[1:], strict=False)]
             self.parts, self.size = [], 0
@@ -265,6 +281,181 @@ def _sequence(words: Words, raw: np.ndarray, off: np.ndarray):
 
 # Pairs
 
+def _times(counts: np.ndarray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in a narrow type, and the places and counts of those that don't fit."""
+    most = np.iinfo(dtype).max
+    often = np.flatnonzero(counts >= most)
+    return np.minimum(counts, most).astype(dtype), np.concatenate([often, counts[often]]).astype(U)
+
+
+def _runs(at: np.ndarray):
+    cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else []
+    return zip(cut[:-1], cut[1:], strict=True)
+
+
+class Pairs:
+    """The mapped arrays of pairs and triples."""
+
+    def __init__(self, words: Words):
+        self.words, self.meta = words, words.meta
+        if "pair_n" in self.meta:
+            self.first = np.concatenate([[0], np.cumsum(self.meta["pair_n"])]).astype(np.int64)
+            self.first_cut = np.concatenate([[0], np.cumsum(self.meta["cuts"])]).astype(np.int64)
+
+    def array(self, name: str, part: int, dtype) -> np.ndarray:
+        try:
+            return self.words.array(name, part, dtype)
+        except FileNotFoundError:  # a range without entries was never written
+            self.words._files[name, part] = np.zeros(0, dtype)
+            return self.words._files[name, part]
+
+    def _find(self, names: tuple[str, str, str], part: int, keys: np.ndarray, dtype) -> tuple[np.ndarray, np.ndarray]:
+        """(places, counts) of keys in a range; -1 and 0 if not there."""
+        known = self.array(names[0], part, U)
+        if not len(known):
+            return np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[i] == keys
+        return np.where(hit, i, -1), np.where(hit, self.counts(names[1:], part, i, dtype), 0)
+
+    def counts(self, names: tuple[str, str], part: int, i: np.ndarray, dtype) -> np.ndarray:
+        times = self.array(names[0], part, dtype)[i].astype(np.int64)
+        many = np.flatnonzero(times == np.iinfo(dtype).max)
+        if len(many):
+            often = self.array(names[1], part, U).reshape(2, -1)
+            times[many] = often[1][np.searchsorted(often[0], i[many].astype(U))].astype(np.int64)
+        return times
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(range, place in it, count) of ascending pairs."""
+        at = self.words.pair_range(keys)
+        place, count = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        for a, b in _runs(at):
+            place[a:b], count[a:b] = self._find(("pair", "times", "often"), int(at[a]), keys[a:b], np.uint16)
+        return at, place, count
+
+    def index(self, seq: np.ndarray, prev: np.ndarray) -> np.ndarray:
+        """The index among all pairs of each token with the one before; -1 if unknown."""
+        out = np.full(len(seq), -1, dtype=np.int64)
+        both = np.flatnonzero((seq >= 0) & (prev >= 0))
+        keys, back = np.unique(prev[both].astype(U) << U(32) | seq[both].astype(U), return_inverse=True)
+        at, place, _ = self.find(keys)
+        out[both] = np.where(place >= 0, self.first[at] + place, -1)[back]
+        return out
+
+    def part_of(self, index: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, index, side="right") - 1
+
+    def triple_range(self, keys: np.ndarray) -> np.ndarray:
+        part = self.part_of((keys >> U(32)).astype(np.int64))
+        cuts = np.array(self.meta["cuts"], dtype=np.int64)[part]
+        return self.first_cut[part] + (keys & U(0xFFFFFFFF)).astype(np.int64) * cuts // int(self.words.first[-1] + 1)
+
+    def triple_counts(self, keys: np.ndarray) -> np.ndarray:
+        at = self.triple_range(keys)
+        order = np.argsort(at, kind="stable")
+        out = np.zeros(len(keys), dtype=np.int64)
+        for a, b in _runs(at[order]):
+            q = order[a:b]
+            out[q] = self._find(("triple", "triple-times", "triple-often"), int(at[q[0]]), keys[q], np.uint8)[1]
+        return out
+
+    def beside(self, at: np.ndarray, place: np.ndarray, count: np.ndarray, *names: str) -> list[np.ndarray]:
+        """Values beside the pairs of ascending ranges; those of a pair seen once are 0."""
+        out = [np.zeros(len(at), dtype=np.int64) for _ in names]
+        for a, b in _runs(at):
+            q = a + np.flatnonzero(count[a:b] > 1)
+            if len(q):
+                i = np.searchsorted(self.array("repeated", int(at[a]), np.uint32), place[q].astype(np.uint32))
+                for o, name in zip(out, names, strict=True):
+                    o[q] = self.array(name, int(at[a]), np.uint32)[i]
+        return out
+
+
+def _count_triples(meta: dict):
+    def run(batches):
+        words = Words(meta)
+        pairs = Pairs(words)
+        got = _Gather(pairs.triple_range)
+        for b in sub_batches(batches, BATCH):
+            for _, _, raw, off in tokens.slices(b.column("text")):
+                seq, prev, bounds = _sequence(words, raw, off)
+                index = pairs.index(seq, prev)
+                later = np.ones(len(seq), dtype=bool)
+                later[bounds[:-1]] = False
+                t = np.flatnonzero(later)
+                yield from got.add(index[t - 1].astype(U) << U(32) | seq[t].astype(U))
+        yield from got.flush()
+    return run
+
+
+def _write_triples(meta: dict):
+    """Writes a range's triples; rows for the pair ranges: followers with counts 1, 2, 3+ of each
+    repeated context here, and predecessors of each repeated pair."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cut, words = int(pdf["part"][0]), Words(meta)
+        pairs = Pairs(words)
+        part = int(np.searchsorted(pairs.first_cut, cut, side="right") - 1)
+        keys, counts = add_up([tuple(unpack(b)) for b in pdf["blob"]])
+        times, often = _times(counts, np.uint8)
+        save(f"{meta['root']}/triple-{cut}", keys)
+        save(f"{meta['root']}/triple-times-{cut}", times)
+        save(f"{meta['root']}/triple-often-{cut}", often)
+        rows = [(-1, "coc", pack(np.arange(4).astype(U), np.array(_count_of_counts(counts))))]
+        place = (keys >> U(32)).astype(np.int64) - pairs.first[part]
+        own, first = np.unique(place, return_index=True)
+        repeated = pairs.array("times", part, np.uint16)[own] > 1
+        followers = [np.add.reduceat((counts == i) if i < 3 else (counts >= 3), first, dtype=np.int64)[repeated]
+                     for i in (1, 2, 3)]
+        if repeated.any():
+            rows.append((part, "after", pack(own[repeated].astype(U), *followers)))
+        v = np.asarray(pairs.array("pair", part, U))[place] & U(0xFFFFFFFF)
+        later, before = np.unique(v << U(32) | (keys & U(0xFFFFFFFF)), return_counts=True)
+        at, place, count = pairs.find(later)
+        keep = count > 1
+        at, place, before = at[keep], place[keep], before[keep]
+        rows += [(int(at[a]), "before", pack(place[a:b].astype(U), before[a:b])) for a, b in _runs(at)]
+        return pd.DataFrame(rows, columns=["range", "kind", "blob"])
+    return run
+
+
+def _write_beside_pairs(meta: dict):
+    """Writes what stands beside a range's repeated pairs; rows for the word ranges: of each word its
+    followers with continuation counts 1, 2, 3+ and the sum of those counts."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part, words = int(pdf["range"][0]), Words(meta)
+        pairs = Pairs(words)
+        keys = np.asarray(pairs.array("pair", part, U))
+        total = pairs.counts(("times", "often"), part, np.arange(len(keys)), np.uint16)
+        repeated = np.flatnonzero(total > 1)
+        after, before = np.zeros((3, len(repeated)), np.int64), np.zeros(len(repeated), np.int64)
+        for kind, blob in zip(pdf["kind"], pdf["blob"], strict=True):
+            if kind == "size":
+                continue
+            place, *values = unpack(blob)
+            i = np.searchsorted(repeated, place.astype(np.int64))
+            if kind == "after":
+                after[:, i] += np.stack(values)
+            else:
+                before[i] += values[0]
+        start = (keys[repeated] >> U(32)) == START
+        before[start] = total[repeated][start]
+        save(f"{meta['root']}/repeated-{part}", repeated.astype(np.uint32))
+        for i in range(3):
+            save(f"{meta['root']}/pair-after{i + 1}-{part}", after[i].astype(np.uint32))
+        save(f"{meta['root']}/pair-before-{part}", before.astype(np.uint32))
+        a = np.ones(len(keys), np.int64)
+        a[repeated] = before
+        rows = [(-1, "coc", pack(np.arange(4).astype(U), np.array(_count_of_counts(a))))]
+        v, first = np.unique((keys >> U(32)).astype(np.int64), return_index=True)
+        sums = [np.add.reduceat((a == i) if i < 3 else (a >= 3), first, dtype=np.int64) for i in (1, 2, 3)]
+        sums.append(np.add.reduceat(a, first))
+        at = words.part_of(v)
+        rows += [(int(at[x]), "after", pack(v[x:y].astype(U), *[c[x:y] for c in sums])) for x, y in _runs(at)]
+        return pd.DataFrame(rows, columns=["range", "kind", "blob"])
+    return run
+
+
 def _count_pairs(meta: dict):
     def run(batches):
         words = Words(meta)
@@ -288,18 +479,19 @@ def _write_pairs(meta: dict):
         part, words = int(pdf["part"][0]), Words(meta)
         keys, counts = add_up([tuple(unpack(b)) for b in pdf["blob"]])
         save(f"{meta['root']}/pair-{part}", keys)
-        save(f"{meta['root']}/times-{part}", np.minimum(counts, 65535).astype(np.uint16))
-        often = np.flatnonzero(counts >= 65535)
-        save(f"{meta['root']}/often-{part}", np.concatenate([often, counts[often]]).astype(np.uint64))
-        rows = [(-1, "coc", pack(np.arange(4).astype(U), np.array(_count_of_counts(counts))))]
+        times, often = _times(counts, np.uint16)
+        save(f"{meta['root']}/times-{part}", times)
+        save(f"{meta['root']}/often-{part}", often)
+        rows = [(-1, "coc", pack(np.arange(4).astype(U), np.array(_count_of_counts(counts)))),
+                (part, "size", struct.pack("<qq", len(keys), int(counts.sum())))]
         v, first = np.unique((keys >> U(32)).astype(np.int64), return_index=True)
         followers = [np.add.reduceat((counts == i) if i < 3 else (counts >= 3), first, dtype=np.int64) for i in (1, 2, 3)]
         w, before = np.unique((keys & U(0xFFFFFFFF)).astype(np.int64), return_counts=True)
         for kind, ids, values in (("after", v, followers), ("before", w, [before])):
+            if kind == "after" and meta["order"] > 2:
+                continue  # counted by predecessors later
             at = words.part_of(ids)
-            cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
-            rows += [(int(at[a]), kind, pack(ids[a:b].astype(U), *[x[a:b] for x in values]))
-                     for a, b in zip(cut, cut[1:], strict=False)]
+            rows += [(int(at[a]), kind, pack(ids[a:b].astype(U), *[x[a:b] for x in values])) for a, b in _runs(at)]
         return pd.DataFrame(rows, columns=["range", "kind", "blob"])
     return run
 
@@ -309,7 +501,8 @@ def _write_neighbours(meta: dict):
         part, words = int(pdf["range"][0]), Words(meta)
         base = words.first[part] - (WORDS if part == 0 else 0)
         size = int(words.first[part + 1] - base)
-        after, before = np.zeros((3, size), np.int64), np.zeros(size, np.int64)
+        sums = 3 + (meta["order"] > 2)
+        after, before = np.zeros((sums, size), np.int64), np.zeros(size, np.int64)
         for kind, blob in zip(pdf["kind"], pdf["blob"], strict=True):
             keys, *values = unpack(blob)
             at = keys.astype(np.int64) - base
@@ -319,6 +512,8 @@ def _write_neighbours(meta: dict):
                 before[at] += values[0]
         for i in range(3):
             save(f"{meta['root']}/after{i + 1}-{part}", after[i].astype(np.uint32))
+        if sums > 3:
+            save(f"{meta['root']}/continued-{part}", after[3].astype(U))
         save(f"{meta['root']}/before-{part}", before.astype(np.uint32))
         return pd.DataFrame([[part, int(before.sum()), int((before >= 3).sum()), *_count_of_counts(before)]],
                             columns=["range", "total", "n3p", "n1", "n2", "n3", "n4"])
@@ -336,64 +531,63 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return out
 
 
-def fit(train: DataFrame, text_col: str = "text", pair_mass: int = PAIR_MASS) -> dict:
+def _coc(passed: DataFrame) -> list[int]:
+    """The counts of counts that the reducers passed on, added up."""
+    rows = passed.where("kind = 'coc'").select("blob").collect()
+    return [int(x) for x in np.sum([unpack(r["blob"])[1].astype(np.int64) for r in rows], axis=0)] if rows else [0] * 4
+
+
+def fit(train: DataFrame, text_col: str = "text", pair_mass: int = PAIR_MASS, order: int = 2) -> dict:
     """Counts the model; returns what workers need to open it. ``pair_mass`` bounds a reducer's tokens."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     text = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spark, root = train.sparkSession, work_path(train.sparkSession, "kneser-ney")
     docs, size = text.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = partitions_for(size, WORD_BYTES, 1)
     rows = {r["part"]: r for r in text.mapInArrow(_count_words(parts), "part int, blob binary").groupBy("part")
             .applyInPandas(_write_words(root), "part int, n long, total long").collect()}
-    meta = {"root": root, "docs": docs, "n": [rows[p]["n"] if p in rows else 0 for p in range(parts)],
+    meta = {"root": root, "order": order, "docs": docs, "n": [rows[p]["n"] if p in rows else 0 for p in range(parts)],
             "total": [rows[p]["total"] if p in rows else 0 for p in range(parts)]}
     n_tokens = docs + sum(meta["total"])
     meta |= {"N": n_tokens, "V": sum(meta["n"]) + (docs > 0), "mass": pair_mass, "pair_parts": partitions_for(n_tokens, pair_mass, 1)}
     if not docs:
-        return meta | {"pairs": [], "D": discounts(0, 0, 0, 0), "E": discounts(0, 0, 0, 0), "A": 0, "h": 1.0}
+        return meta | {"pairs": [], "T": discounts(0, 0, 0, 0), "D": discounts(0, 0, 0, 0), "E": discounts(0, 0, 0, 0),
+                       "A": 0, "h": 1.0}
     counted = text.mapInArrow(_count_pairs(meta), "part int, blob binary").groupBy("part")
     passed = materialize(counted.applyInPandas(_write_pairs(meta), "range int, kind string, blob binary"), "kneser-ney-pairs")
-    coc = np.sum([unpack(r["blob"])[1].astype(np.int64) for r in passed.where("kind = 'coc'").select("blob").collect()], axis=0)
-    uni = (passed.where("kind <> 'coc'").groupBy("range")
+    sides = passed.where("kind in ('after', 'before')")
+    if order == 2:
+        meta |= {"D": discounts(*_coc(passed))}
+    else:
+        sizes = {r["range"]: struct.unpack("<qq", r["blob"]) for r in passed.where("kind = 'size'").collect()}
+        pair_n, mass = ([sizes.get(p, (0, 0))[i] for p in range(meta["pair_parts"])] for i in (0, 1))
+        if sum(pair_n) >= 2**32:
+            raise ValueError("more than 2^32 different pairs")
+        meta |= {"pair_n": pair_n, "cuts": [max(1, m // pair_mass) for m in mass]}
+        triples = text.mapInArrow(_count_triples(meta), "part int, blob binary").groupBy("part")
+        found = materialize(triples.applyInPandas(_write_triples(meta), "range int, kind string, blob binary"),
+                            "kneser-ney-triples")
+        beside = (found.where("kind <> 'coc'").union(passed.where("kind = 'size'")).groupBy("range")
+                  .applyInPandas(_write_beside_pairs(meta), "range int, kind string, blob binary"))
+        beside = materialize(beside, "kneser-ney-continued")
+        meta |= {"T": discounts(*_coc(found)), "D": discounts(*_coc(beside))}
+        sides = sides.union(beside.where("kind = 'after'"))
+    uni = (sides.groupBy("range")
            .applyInPandas(_write_neighbours(meta), "range int, total long, n3p long, n1 long, n2 long, n3 long, n4 long")
            .collect())
     total = {k: sum(r[k] for r in uni) for k in ("total", "n3p", "n1", "n2", "n3", "n4")}
     e = discounts(*[total[f"n{i}"] for i in range(1, 5)])
     freed = (e[1] * total["n1"] + e[2] * total["n2"] + e[3] * total["n3p"]) / total["total"]
-    return meta | {"D": discounts(*[int(x) for x in coc]), "E": e, "A": total["total"], "h": freed}
+    return meta | {"E": e, "A": total["total"], "h": freed}
 
 
 class Model:
     def __init__(self, meta: dict):
         self.meta, self.words = meta, Words(meta)
+        self.pairs = Pairs(self.words)
         self.D, self.E = np.array(meta["D"]), np.array(meta["E"])
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of ascending pairs."""
-        out = np.zeros(len(keys), dtype=np.int64)
-        at = self.words.pair_range(keys)
-        cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(keys) else []
-        for a, b in zip(cut, cut[1:], strict=False):
-            part = int(at[a])
-            known = self._pairs("pair", part, U)
-            if not len(known):
-                continue
-            i = np.minimum(np.searchsorted(known, keys[a:b]), len(known) - 1)
-            hit = known[i] == keys[a:b]
-            times = self._pairs("times", part, np.uint16)[i].astype(np.int64)
-            often = self._pairs("often", part, U).reshape(2, -1)
-            many = np.flatnonzero(times == 65535)
-            if len(many):
-                times[many] = often[1][np.searchsorted(often[0], i[many].astype(U))].astype(np.int64)
-            out[a:b] = np.where(hit, times, 0)
-        return out
-
-    def _pairs(self, name: str, part: int, dtype) -> np.ndarray:
-        try:
-            return self.words.array(name, part, dtype)
-        except FileNotFoundError:  # a range without pairs was never written
-            self.words._files[name, part] = np.zeros(0, dtype)
-            return self.words._files[name, part]
-
     def single(self, ids: np.ndarray) -> np.ndarray:
         """P(w) of each id (-1: unknown)."""
         rest = self.meta["h"] / (self.meta["V"] + 1)
@@ -408,7 +602,8 @@ class Model:
         """g(v) c(v): what the discounts take from the followers of each context."""
         return sum(self.D[i] * self.words.column(f"after{i}", ids, np.uint32, WORDS) for i in (1, 2, 3))
 
-    def probabilities(self, seq: np.ndarray, prev: np.ndarray) -> np.ndarray:
+    def probabilities(self, seq: np.ndarray, prev: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """P of each token after what stands before it. ``starts``: each text's first token."""
         distinct, inverse = np.unique(seq, return_inverse=True)
         low = self.single(distinct)[inverse]
         ctx, where = np.unique(prev, return_inverse=True)
@@ -416,14 +611,36 @@ class Model:
         known = np.flatnonzero((ctx >= 0) & (self.meta["docs"] > 0))
         if not len(known):
             return low
-        total[known], free[known] = self.words.counts(ctx[known]), self.freed(ctx[known])
+        three = self.meta["order"] > 2
+        total[known] = self.words.column("continued", ctx[known], U, WORDS) if three else self.words.counts(ctx[known])
+        free[known] = self.freed(ctx[known])
         both = np.flatnonzero((seq >= 0) & (prev >= 0))
         keys, back = np.unique(prev[both].astype(U) << U(32) | seq[both].astype(U), return_inverse=True)
+        at, place, count = self.pairs.find(keys)
+        if three:
+            *after, before = self.pairs.beside(at, place, count, "pair-after1", "pair-after2", "pair-after3", "pair-before")
         c = np.zeros(len(seq), dtype=np.int64)
-        c[both] = self.pair_counts(keys)[back]
+        c[both] = (np.where(count == 1, 1, before) if three else count)[back]
         t = total[where]
         high = (np.maximum(c - self.D[np.minimum(c, 3)], 0) + free[where] * low) / np.maximum(t, 1)
-        return np.where(t > 0, high, low)
+        p = np.where(t > 0, high, low)
+        if not three:
+            return p
+        T = np.array(self.meta["T"])
+        mine = np.full(len(seq), -1, dtype=np.int64)  # the known pair that ends at each token
+        mine[both] = np.where(count > 0, np.arange(len(keys)), -1)[back]
+        later = np.ones(len(seq), dtype=bool)
+        later[starts] = False
+        q = np.flatnonzero(later)
+        q = q[mine[q - 1] >= 0]
+        ctx = mine[q - 1]
+        c, ok = np.zeros(len(q), dtype=np.int64), np.flatnonzero(seq[q] >= 0)
+        index = (self.pairs.first[at] + place)[ctx[ok]]
+        keys, back = np.unique(index.astype(U) << U(32) | seq[q[ok]].astype(U), return_inverse=True)
+        c[ok] = self.pairs.triple_counts(keys)[back]
+        free = np.where(count == 1, T[1], sum(T[i + 1] * x for i, x in enumerate(after)))
+        p[q] = (np.maximum(c - T[np.minimum(c, 3)], 0) + free[ctx] * p[q]) / count[ctx]
+        return p
 
 
 def _score(meta: dict):
@@ -437,7 +654,7 @@ def _score(meta: dict):
                 distinct, inverse = np.unique(seq, return_inverse=True)
                 count = np.where(distinct == END, meta["docs"], words.counts(distinct))[inverse]
                 base = np.add.reduceat(np.log10((count + 1) / (N + V + 1)), at)
-                own = np.add.reduceat(np.log10(model.probabilities(seq, prev)), at)
+                own = np.add.reduceat(np.log10(model.probabilities(seq, prev, at)), at)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id").slice(lo, hi - lo), pa.array(np.diff(bounds)),
                      pa.array(np.add.reduceat((count > 0).astype(np.int64), at)), pa.array(base), pa.array(own)],

@@ -55,7 +55,7 @@ def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = kneser_ney.fit(docs.where(id_fold(F.col("doc_id"), 7) != 2))
+    model = kneser_ney.fit(docs.where(id_fold(F.col("doc_id"), 7) != 2), order=3)
     return kneser_ney.score(docs, model).select(
         "doc_id", (id_fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known",
         F.lit(model["N"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

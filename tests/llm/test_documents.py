@@ -268,6 +268,50 @@ def test_kneser_ney_equals_plain_counts(docs, none):
     assert kneser_ney.score(none, model).count() == 0
 
 
+@pytest.mark.parametrize("pair_mass", [kneser_ney.PAIR_MASS, 500])
+def test_kneser_ney_of_order_three_equals_plain_counts(docs, none, pair_mass):
+    train = [r for r in rows() if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    seqs = [["<s>", *WORD.findall((r[1] or "").translate(AZ)), None] for r in train]
+    grams = [None, *[collections.Counter(tuple(s[i:i + k]) for s in seqs for i in range(len(s) - k + 1)) for k in (1, 2, 3)]]
+    bef2, bef1 = collections.Counter(g[1:] for g in grams[3]), collections.Counter(g[1:] for g in grams[2])
+    bef2 |= {g: c for g, c in grams[2].items() if g[0] == "<s>"}
+    coc = lambda x: [sum(1 for y in x.values() if y == i) for i in range(1, 5)]
+    T, D, E = (kneser_ney.discounts(*coc(x)) for x in (grams[3], bef2, bef1))
+    n, v, total = sum(c for g, c in grams[1].items() if g != ("<s>",)), len(grams[1]) - 1, sum(bef1.values())
+    h = sum(E[min(x, 3)] for x in bef1.values()) / total
+
+    def level(counts, disc):
+        out = collections.defaultdict(lambda: [0, 0.0])
+        for g, c in counts.items():
+            out[g[:-1]][0] += c
+            out[g[:-1]][1] += disc[min(c, 3)]
+        return out
+
+    ctx3, ctx2 = level(grams[3], T), level(bef2, D)
+
+    def p(words):
+        g = tuple(words)
+        if len(g) == 1:
+            return max(bef1[g] - E[min(bef1[g], 3)], 0) / total + h / (v + 1)
+        counts, ctx, disc = (grams[3], ctx3, T) if len(g) == 3 else (bef2, ctx2, D)
+        if g[:-1] not in ctx:
+            return p(g[1:])
+        c, (all_, free) = counts[g], ctx[g[:-1]]
+        return (max(c - disc[min(c, 3)], 0) + free * p(g[1:])) / all_
+
+    for g in [next(iter(grams[2])), ("w1", "w2"), ("unseen", "w1"), ("w1", "unseen")]:
+        assert math.isclose(sum(p((*g, *w)) for w in grams[1] if w != ("<s>",)) + p((*g, "unseen")), 1)
+    model = kneser_ney.fit(docs.where(queries.id_fold(F.col("doc_id"), 7) != 2), pair_mass=pair_mass, order=3)
+    assert (model["N"], model["V"]) == (n, v)
+    assert pair_mass > 500 or max(model["cuts"]) > 1
+    got = {r["doc_id"]: r["score"] for r in kneser_ney.score(docs, model).collect()}
+    for r in rows():
+        s = ["<s>", *WORD.findall((r[1] or "").translate(AZ)), None]
+        want = sum(math.log10(p(s[max(0, i - 2):i + 1])) for i in range(1, len(s)))
+        assert math.isclose(got[r[0]], want, rel_tol=1e-9)
+    assert kneser_ney.score(docs, kneser_ney.fit(none, order=3)).agg(F.max(F.abs("score"))).first()[0] == 0
+
+
 def test_pair_ranges_split_a_frequent_word(docs):
     whole = {r["doc_id"]: r["score"] for r in kneser_ney.score(docs, kneser_ney.fit(docs)).collect()}
     model = kneser_ney.fit(docs, pair_mass=500)
