@@ -4,8 +4,8 @@ A text's vector holds hashed byte n-grams (one to three bytes; A-Z as a-z,
 everything of ASCII that is no letter as a space), weighted 1 + log(tf) (tf up to 4,095) times
 the idf over all training texts, and normalised. Each language has several
 centroids, found by spherical k-means on a bounded sample of its texts
-(``SAMPLE`` of each language, chosen by a hash of the id; the idf covers all
-training texts). A text goes to the centroid of the largest cosine, and is
+(about ``SAMPLE`` different rows of each language by a hash of id and text, ``AT_MOST`` times
+that at the most; the idf covers all training texts). A text goes to the centroid of the largest cosine, and is
 rejected (language ``und``) if its distance to it is beyond ``SLACK`` times
 the 0.99 quantile of that centroid's own members.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fareshift.llm import tokens
@@ -28,6 +28,7 @@ from fareshift.llm.common import sub_batches
 
 DIM = 4096
 SAMPLE = 1000
+AT_MOST = 2
 CENTROIDS = 4
 SLACK = 1.5
 UND = "und"
@@ -83,8 +84,9 @@ def _sample_vectors(idf: np.ndarray):
             for lo, hi, raw, off in tokens.slices(b.column("text")):
                 v = _vectors(ngram_counts(raw, off), idf).astype(np.float16)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("lang").slice(lo, hi - lo), pa.array([x.tobytes() for x in v], pa.binary())],
-                    names=["lang", "v"])
+                    [b.column("lang").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo),
+                     pa.array([x.tobytes() for x in v], pa.binary())],
+                    names=["lang", "h", "v"])
     return run
 
 
@@ -122,6 +124,18 @@ def _cluster(k: int):
     return run
 
 
+def sample_vectors(t: DataFrame, idf: np.ndarray, per_lang: dict[str, int], sample: int) -> DataFrame:
+    """(lang, v) of about ``sample`` rows of each language, ``AT_MOST`` times that at the most: those whose
+    hash of id and text is small, equal rows once."""
+    whole = 1 << 30
+    share = F.create_map(*[F.lit(x) for lang, m in per_lang.items() for x in (lang, min(whole, whole * sample // m))])
+    hashed = t.select("lang", "text", F.xxhash64("id", "text").alias("h"))
+    chosen = hashed.where(F.pmod("h", F.lit(whole)) < F.element_at(share, F.col("lang")))
+    vectors = chosen.mapInArrow(_sample_vectors(idf), "lang string, h long, v binary").dropDuplicates(["lang", "h"])
+    first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(whole)), "h")
+    return vectors.withColumn("r", F.row_number().over(first)).where(F.col("r") <= AT_MOST * sample).select("lang", "v")
+
+
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         sample: int = SAMPLE, k: int = CENTROIDS) -> dict:
     """The model: idf, centroids, their languages and rejection distances. ``sample`` bounds the
@@ -136,10 +150,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     per_lang = {r["lang"]: r["n"] for r in t.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs, centroids, spreads = [], [], []
     if per_lang:
-        whole = 1 << 30
-        share = F.create_map(*[F.lit(x) for lang, m in per_lang.items() for x in (lang, min(whole, whole * sample // m))])
-        chosen = t.where(F.pmod(F.xxhash64("id"), F.lit(whole)) < F.element_at(share, F.col("lang")))
-        rows = (chosen.select("lang", "text").mapInArrow(_sample_vectors(idf), "lang string, v binary")
+        rows = (sample_vectors(t, idf, per_lang, sample)
                 .groupBy("lang").applyInPandas(_cluster(k), "lang string, no int, centroid array<double>, spread double")
                 .collect())
         for r in sorted(rows, key=lambda r: (r["lang"], r["no"])):

@@ -355,6 +355,15 @@ def test_languages(spark, none):
     assert {r["nearest"] for r in langid.identify(ask, blank).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded(spark):
+    """Neither rows without an id nor repeated rows fill the sample."""
+    data = [(None, f"no id {i}", "en") for i in range(900)] + [(7, "one text", "en")] * 900
+    t = spark.createDataFrame(data + [(i, f"text {i}", "en") for i in range(900)], "id long, text string, lang string")
+    got = langid.sample_vectors(t, langid.np.ones(langid.DIM), {"en": 2700}, 90).count()
+    assert 30 < got <= langid.AT_MOST * 90
+    assert langid.sample_vectors(t, langid.np.ones(langid.DIM), {"en": 90}, 90).count() == langid.AT_MOST * 90
+
+
 def test_quality_learns_and_has_defined_scores(spark, docs, none):
     good, bad = "plain words make a quiet line.", "x*** y### z$$$ !!"
     data = [(i, (good, bad)[i % 2] * (1 + i % 5), 1 - i % 2) for i in range(400)]
