@@ -17,7 +17,7 @@ group of equal vectors shares one distance and is cut by a hash of the id.
 Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part; vectors meet only vectors of the same length; equal
 scores rank by the smaller id; rows with the query's own id are no candidates;
-a repeated (id, vector) row counts once; null ids take no part. Scores are exact
+a repeated (id, vector) row counts once, so does an id whose vectors score alike; null ids take no part. Scores are exact
 as long as they fit a long.
 """
 
@@ -155,11 +155,15 @@ def _exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, least: np.ndarray, k: int):
-    """Per query (row) its k best candidates at or above ``least``; ties to the smaller id."""
+    """Per query (row) its k best candidates at or above ``least``; ties to the smaller id. Vectors of
+    one id with equal scores are one candidate."""
     for i in range(len(scores)):
         ok = np.flatnonzero((scores[i] >= least[i]) & (ids != own[i]))
         if len(ok):
-            take = ok[np.lexsort((ids[ok], -scores[i][ok]))[:k]]
+            ok = ok[np.lexsort((ids[ok], -scores[i][ok]))]
+            new = np.ones(len(ok), dtype=bool)
+            new[1:] = (ids[ok][1:] != ids[ok][:-1]) | (scores[i][ok][1:] != scores[i][ok][:-1])
+            take = ok[new][:k]
             yield own[i], ids[take], scores[i][take]
 
 
@@ -259,7 +263,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
     queries = queries.where(F.col("dim").isin([*model]))
     first = materialize(_search(_visits(queries.withColumn("least", F.lit(None).cast("long")), model, edges, k, True),
                                 blocks, k), "topk-first")
-    kth = (first.withColumn("r", F.row_number().over(
+    kth = (first.distinct().withColumn("r", F.row_number().over(
         Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") == k)
         .select(F.col("query_id").alias("id"), F.col("score").alias("least")))
     rest = _search(_visits(queries.join(kth, "id", "left").select("id", "dim", "v", "least"), model, edges, k, False),

@@ -48,6 +48,14 @@ def test_top_k_equals_all_pairs(spark, k, pivots, block):
     assert {tuple(r) for r in out.collect()} == brute(k)
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_vectors_of_one_id_with_equal_scores_are_one_candidate(spark, block):
+    rows = [(0, [1.0, 0.0])] + [(1, [9.0, float(y)]) for y in range(8)] + [(i, [10.0 - i, 0.0]) for i in range(2, 10)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    out = topk.top_k(vectors, vectors.where("id = 0"), 5, 3, block).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in out) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+
+
 def test_top_k_of_nothing(spark):
     vectors = topk.quantised(spark.createDataFrame([], SCHEMA), "vec_id", "embedding")
     assert topk.top_k(vectors, vectors).count() == 0
