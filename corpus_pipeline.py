@@ -8,12 +8,13 @@ each stage with a written table.
 2. line_dedup: lines that match an earlier line go; a document that loses all
    its words that way goes, others keep their row, with ``n_chars`` as it is then;
 3. near_duplicates: of each group of documents that link (five-word shingles, 0.8 or more)
-   the one with the smallest doc_id stays;
+   the one with the smallest doc_id stays, one row of it;
 4. decontamination: documents with a window of ten words of a benchmark item go;
 5. bpe: token ids of every text, and the digests of ids and decoded bytes.
 
-Rows are dropped by doc_id from stage 3 on, so rows that repeat an id share its fate;
-rows with a null id are never dropped there. Empty texts pass stages 2 to 4.
+Stages 2 to 4 know a document by its id and a 64-bit hash of id and text: rows without an id and
+different texts of one id are documents of their own (without an id: after all others). Rows equal
+in both lose the same lines; stage 3 keeps one of them. Empty texts pass stages 2 to 4.
 """
 
 from __future__ import annotations
@@ -27,10 +28,14 @@ from fareshift.llm.common import id_fold, materialize, small_side, table
 from fareshift.llm.queries import QUALITY_CUT, RANKS
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` without the given doc_ids."""
-    gone = materialize(ids.select("doc_id").where("doc_id is not null").distinct(), name)
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``doc_key``, which is never null: rows without an id sort last."""
+    return docs.withColumn("doc_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                                               F.xxhash64("doc_id", "text").alias("h")))
+
+
+def _same(keyed: DataFrame, keys: DataFrame):
+    return keyed["doc_key.h"].eqNullSafe(keys["key.h"]) & keyed["doc_key.id"].eqNullSafe(keys["key.id"])
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,21 +47,37 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = line_dedup.dedup_lines(docs, keep=others)
+    others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
+    out = line_dedup.dedup_lines(_keyed(docs), id_col="doc_key", keep=others)
     emptied = (F.col("n_removed") > 0) & (F.size(decontam.words_of(F.col("text"))) == 0)
     return out.where(~emptied).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
         .select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.near_duplicates(docs, k=5, num=80, den=100)
-    return _without(docs, groups.where("doc_id <> component_id"), "pipeline-duplicates")
+    keyed = _keyed(docs)
+    groups = ngram_join.near_duplicates(keyed, id_col="doc_key", k=5, num=80, den=100)
+    # Keys that don't stay as they are: of another's group (keep = 0), or in several rows (keep > 1).
+    decided = materialize(
+        groups.where("n_shingles > 0").groupBy(F.col("doc_key").alias("key"))
+        .agg(F.count("*").alias("c"), F.min("component_id").alias("least"))
+        .select("key", F.when(F.col("key") == F.col("least"), F.col("c")).otherwise(0).alias("keep"))
+        .where("keep <> 1"), "pipeline-duplicates")
+    stay = keyed.join(small_side(decided), _same(keyed, decided), "left_anti").select(docs.columns)
+    several = decided.where("keep > 1")
+    if several.isEmpty():
+        return stay
+    # One row each, the smallest by all columns, by partial minima.
+    again = keyed.join(small_side(several), _same(keyed, several), "left_semi")
+    again = again.groupBy("doc_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return stay.union(again)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("hit > 0"), "pipeline-contaminated")
+    keyed = _keyed(docs)
+    found = decontam.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="doc_key")
+    gone = materialize(found.where("hit > 0").select(F.col("doc_key").alias("key")).distinct(), "pipeline-contaminated")
+    return keyed.join(small_side(gone), _same(keyed, gone), "left_anti").select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

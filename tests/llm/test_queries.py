@@ -74,6 +74,26 @@ def one_by_one(model, x):
     return 1 / (1 + math.exp(-raw))
 
 
+def test_pipeline_filters_rows_without_and_with_repeated_ids(spark):
+    schema = table(spark, SF, "documents").schema
+    passage = max((r["text"] for r in table(spark, SF, "benchmark").collect()), key=len)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+
+    def stage(f, rows):
+        docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], schema)
+        return collections.Counter((r["doc_id"], r["text"], r["source"]) for r in f(spark, docs, SF).collect())
+
+    rows = [(1, a, "s"), (None, a, "s"), (2, b, "t"), (2, b, "s"), (2, c, "s"), (None, c + " x", "s"), (3, "", "s"), (3, "", "s"),
+            (None, "y " + passage, "s"), (None, "y " + passage, "s")]
+    assert stage(corpus_pipeline.drop_near_duplicates, rows) == collections.Counter(
+        [(1, a, "s"), (2, b, "s"), (2, c, "s"), (3, "", "s"), (3, "", "s"), (None, "y " + passage, "s")])
+    rows = [(None, "x " + passage, "s"), (5, passage + " z", "s"), (5, a, "s"), (None, b, "s"), (None, "", "s")]
+    assert stage(corpus_pipeline.drop_contaminated, rows) == collections.Counter([(5, a, "s"), (None, b, "s"), (None, "", "s")])
+    rows = [(None, a + "\n" + b, "s"), (4, a, "s"), (4, a, "t"), (4, c + "\n" + a, "s"), (None, a, "s")]
+    assert stage(corpus_pipeline.drop_repeated_lines, rows) in [collections.Counter(x) for x in (
+        [(None, b, "s"), (4, a, "s"), (4, a, "t"), (4, c, "s")], [(None, b, "s"), (4, c + "\n" + a, "s")])]
+
+
 def test_pipeline_stages_do_what_brute_force_does(spark):
     """Each stage on what its predecessor kept."""
     docs = table(spark, SF, "documents")
