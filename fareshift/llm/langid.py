@@ -1,7 +1,7 @@
 """Language identification by nearest centroid.
 
 A text's vector holds hashed byte n-grams (one to three bytes; A-Z as a-z,
-everything of ASCII that is no letter as a space), weighted 1 + log(tf) (tf up to 4,095) times
+everything of ASCII that is no letter as a space), weighted 1 + log(tf) times
 the idf over all training texts, and normalised. Each language has several
 centroids, found by spherical k-means on a bounded sample of its texts
 (about ``SAMPLE`` different rows of each language by a hash of id and text, ``AT_MOST`` times
@@ -61,7 +61,10 @@ _WEIGHT = np.concatenate([[0], 1 + np.log(np.arange(1, 4096))]).astype(np.float3
 
 
 def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = _WEIGHT[np.minimum(counts, len(_WEIGHT) - 1)] * idf.astype(np.float32)
+    v = _WEIGHT[np.minimum(counts, len(_WEIGHT) - 1)]
+    many = counts >= len(_WEIGHT)
+    v[many] = 1 + np.log(counts[many])
+    v *= idf.astype(np.float32)
     return v / np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
 
 

@@ -62,7 +62,7 @@ EXTRA_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
     Rule("hosttoken", r"gh[pousr]_[A-Za-z0-9]+", 40),
-    Rule("urlauth", r"://[^\s/:@]{1,64}:([^\s/:@]{1,64})@", 3, group=1),
+    Rule("urlauth", r"://[^\s/:@]++:([^\s/:@]++)@", 3, group=1, version=3),
 )
 RULES = BASE_RULES + EXTRA_RULES
 

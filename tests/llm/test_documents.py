@@ -364,6 +364,20 @@ def test_language_sample_is_bounded(spark):
     assert langid.sample_vectors(t, langid.np.ones(langid.DIM), {"en": 90}, 90).count() == langid.AT_MOST * 90
 
 
+def test_frequent_ngrams_keep_their_weight():
+    counts = langid.np.array([[5, 4_095, 50_000, 3_000_000]])
+    want = 1 + langid.np.log(counts[0])
+    got = langid._vectors(counts, langid.np.ones(4))[0]
+    assert langid.np.allclose(got, want / langid.np.linalg.norm(want), rtol=1e-5)
+
+
+def test_long_user_and_password_in_a_url():
+    rule = next(r for r in secrets.RULES if r.kind == "urlauth")
+    text = "see https://" + "u" * 100 + ":" + "p" * 300 + "@host and http://a:b1c@host"
+    got = secrets.find(text, [(rule, secrets.compile_rule(rule))])
+    assert [text[f["start"]:f["end"]] for f in got] == ["://" + "u" * 100 + ":" + "p" * 300 + "@", "://a:b1c@"]
+
+
 def test_quality_learns_and_has_defined_scores(spark, docs, none):
     good, bad = "plain words make a quiet line.", "x*** y### z$$$ !!"
     data = [(i, (good, bad)[i % 2] * (1 + i % 5), 1 - i % 2) for i in range(400)]
