@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareshift.llm import bpe, decontam, kneser_ney, langid, line_dedup, ngram_join, quality, secrets, sharding, sql, topk
+from fareshift.llm import (bpe, decontam, fill_middle, kneser_ney, langid, line_dedup, ngram_join, packing, quality,
+                           resample, secrets, sharding, sql, topk)
 from fareshift.llm.common import id_fold, materialize, table, work_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -100,8 +101,31 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                       digest(fill_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+WORD_IDS = "word_bpe_49k.json"
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_IDS))
+    # Only the ids' digest is carried on.
+    placed = packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {"op1_language": op1_language, "op2_quality": op2_quality,
            "op3_ngram_jaccard": op3_ngram_jaccard, "op4_bpe": op4_bpe, "op5_kd_shards": op5_kd_shards,
            "op6_kneser_ney": op6_kneser_ney, "op7_secret_scan": op7_secret_scan, "op8_line_dedup": op8_line_dedup,
-           "op9_decontaminate": op9_decontaminate, "op10_topk": op10_topk}
+           "op9_decontaminate": op9_decontaminate, "op10_topk": op10_topk,
+           "op11_fill_middle": op11_fill_middle, "op12_resample": op12_resample, "op13_packing": op13_packing}
 ORACLES: dict[str, str] = sql.ORACLES

@@ -87,4 +87,66 @@ SELECT doc_id, count(*) AS n_lines, count(*) - count(*) FILTER (g.no IS NULL) AS
 FROM t LEFT JOIN gone g USING (doc_id, no) GROUP BY doc_id
 """
 
-ORACLES = {"op3_ngram_jaccard": OP3, "op8_line_dedup": OP8, "op9_decontaminate": OP9, "op10_topk": OP10}
+OP11 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+         sha256('1:' || CAST(doc_id AS VARCHAR)) AS d FROM documents),
+h AS (
+  SELECT doc_id, text, w, len(w) AS n,
+         CAST('0x' || substr(d, 1, 8) AS BIGINT) % (len(w) + 1) AS a, CAST('0x' || substr(d, 9, 8) AS BIGINT) % (len(w) + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR CAST('0x' || substr(d, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || substr(d, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+c AS (
+  SELECT doc_id, text, n, form, array_to_string(w[1:least(a, b)], '') AS pre,
+         array_to_string(w[least(a, b) + 1:greatest(a, b)], '') AS mid, array_to_string(w[greatest(a, b) + 1:], '') AS suf
+  FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+"""
+
+# CRC-32 by its table of 256 entries, over the bytes of each different word.
+OP12 = rf"""
+WITH RECURSIVE steps AS (
+  SELECT i, i AS v, 0 AS k FROM (SELECT unnest(range(0, 256)) AS i)
+  UNION ALL
+  SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM steps WHERE k = 8),
+dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+iw AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dc AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(w) AS w FROM dw) GROUP BY ALL),
+ic AS (SELECT w, count(*) AS c FROM (SELECT unnest(w) AS w FROM iw) GROUP BY ALL),
+words AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dc UNION SELECT w FROM ic)),
+bucket AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2),
+                                                                    lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+                            lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295) % 10000 AS b
+  FROM words, tab),
+s AS (SELECT b, CAST(sum(c) AS BIGINT) AS s FROM dc JOIN bucket USING (w) GROUP BY b),
+t AS (SELECT b, CAST(sum(c) AS BIGINT) AS t FROM ic JOIN bucket USING (w) GROUP BY b),
+gain AS (
+  SELECT g.b, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000)
+                                   / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (coalesce((SELECT sum(s) FROM s), 0) + 10000)))) AS BIGINT) AS g
+  FROM (SELECT unnest(range(0, 10000)) AS b) g LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+weights AS (SELECT doc_id, CAST(sum(c * g) AS BIGINT) AS weight FROM dc JOIN bucket USING (w) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8)
+                                                               AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM dw LEFT JOIN weights USING (doc_id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND r <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN r END AS rank
+FROM placed
+"""
+
+ORACLES = {"op3_ngram_jaccard": OP3, "op8_line_dedup": OP8, "op9_decontaminate": OP9, "op10_topk": OP10,
+           "op11_fill_middle": OP11, "op12_resample": OP12}

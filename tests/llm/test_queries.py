@@ -29,6 +29,11 @@ COLUMNS = {
     "op9_decontaminate": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, "
                          "contaminated boolean",
     "op10_topk": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op11_fill_middle": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, "
+                        "output_sha256 string, restored_sha256 string",
+    "op12_resample": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op13_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
+                    "offset bigint",
 }
 
 
