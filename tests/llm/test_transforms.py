@@ -252,8 +252,8 @@ def test_packing_numbers_pieces_of_one_length_over_many_tasks(spark):
     window = 32
     got, by_sequence = packed_rows(packing.place(packing.token_pieces(d, PATH, window=window), window), window)
     assert {r["doc_id"] for r in got} == set(range(4000))
-    short = sum(1 for p in by_sequence.values() if sum(n for _, n in p) < window)
-    assert short < 0.02 * len(by_sequence)
+    counts = collections.Counter(r["length"] for r in got)
+    assert len(by_sequence) == packing.best_fit(counts, window)[1]
 
 
 def test_packing_query_leaves_little_padding(spark):
