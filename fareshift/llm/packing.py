@@ -19,6 +19,8 @@ left out. Long texts are encoded in blocks that end at a space or line end.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -34,50 +36,54 @@ WINDOW = 4096
 END_ID = 2
 BLOCK = 1 << 18
 #: Words remembered by a task with their ids; beyond that it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 LONGEST_REMEMBERED = 48
-_TAIL = ".,;:!?#$%&*"
+#: Words of these characters alone are lower-cased and cut into token runs here, as the vocabulary's normalizer
+#: and pattern do it; a word with any other character goes through the whole tokenizer.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_RUN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
-class WordIds:
-    """Ids of whole texts by the tokenizer library, each different word encoded once.
+class WordIds(dict):
+    """Ids of words (and by them of texts) by the tokenizer library, each different word encoded once.
 
     The vocabulary drops white space and joins no tokens over it, so a text's ids are its words' ids one
-    after another. Words are cut at spaces and line ends only. An ASCII word counts as lower case, as the
-    vocabulary's normalizer has it, and punctuation after an ASCII letter or digit is a token run of
-    its own (others may decompose); a word with the mark of a special token is left as it is.
+    after another. Words are cut at spaces and line ends only. A plain word's runs go to the library's
+    model one by one; other words, and those with the mark of a special token, to the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's own thread only
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {"": []}
-
-    def _parts(self, word: str) -> tuple[str, str]:
-        if "<|" in word:
-            return word, ""
-        word = word.lower() if word.isascii() else word
-        core = word.rstrip(_TAIL)
-        return (core, word[len(core):]) if core[-1:].isascii() and core[-1:].isalnum() else (word, "")
-
-    def _learn(self, words: set[str]) -> None:
-        parts = {w: self._parts(w) for w in words}
-        new = list({p for pair in parts.values() for p in pair if p not in self.known})
-        self.known |= zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))
-        self.known |= {w: self.known[a] + self.known[b] for w, (a, b) in parts.items()}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known = {"": []}
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(set(chain.from_iterable(words)).difference(self.known))
-        out = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, t)), np.uint32) for t in words]
-        for w in [w for w in self.known if len(w) > LONGEST_REMEMBERED]:
-            del self.known[w]
-        return out
+        self.model = self.tokenizer.model
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def _run(self, run: str) -> bytes:
+        """Ids of a run of lower-case letters, or of other characters."""
+        letters = run if run.isascii() else self.bytes.pre_tokenize_str(run)[0][0]
+        return packed([t.id for t in self.model.tokenize(letters)])
+
+    def __missing__(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word) or "<|" in word:
+            found = packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        else:
+            runs = _RUN.findall(word.lower())
+            found = self._run(runs[0]) if len(runs) == 1 else b"".join(map(self.__getitem__, runs))
+        if len(word) <= LONGEST_REMEMBERED:
+            self[word] = found
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        return [b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
+
+
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 def _blocks(text: str) -> Iterator[str]:
@@ -93,27 +99,27 @@ def _pieces(path: str, end_id: int, window: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part = WordIds(path), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, dtype=np.int64)
-        end = np.array([end_id], np.uint32)
+        end = packed([end_id])
         for b in sub_batches(batches, 4 * BLOCK):
             texts = [t or "" for t in b.column("text").to_pylist()]
             if len(texts) == 1:
-                ids = [np.concatenate([*chain.from_iterable(words.encode([x]) for x in _blocks(texts[0])), end])]
+                ids = [b"".join(chain.from_iterable(words.encode([x]) for x in _blocks(texts[0]))) + end]
             else:
-                ids = [np.concatenate([x, end]) for x in words.encode(texts)]
+                ids = [x + end for x in words.encode(texts)]
             row, start, length, nth, held = [], [], [], [], []
             for i, x in enumerate(ids):
-                for lo in range(0, len(x), window):
-                    n = min(window, len(x) - lo)
+                for lo in range(0, len(x) // 4, window):
+                    n = min(window, len(x) // 4 - lo)
                     row.append(i)
                     start.append(lo)
                     length.append(n)
                     nth.append(seen[n])
-                    held.append(x[lo:lo + n].astype("<u4").tobytes())
+                    held.append(x[4 * lo:4 * (lo + n)])
                     seen[n] += 1
             long = pa.int64()
             yield pa.RecordBatch.from_arrays(
                 [b.column("id").take(pa.array(row, pa.int32())), pa.array(start, long), pa.array(length, long),
-                 pa.array(held, pa.binary()), pa.array([len(ids[i]) for i in row], long),
+                 pa.array(held, pa.binary()), pa.array([len(ids[i]) // 4 for i in row], long),
                  pa.array([part] * len(row), pa.int32()), pa.array(nth, long)],
                 names=["id", "start", "length", "ids", "doc_tokens", "part", "nth"])
     return pieces
