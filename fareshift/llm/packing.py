@@ -22,6 +22,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -35,7 +36,7 @@ from fareshift.llm.common import materialize, small_side, sub_batches
 WINDOW = 4096
 END_ID = 2
 BLOCK = 1 << 18
-#: Words remembered by a task with their ids; beyond that it starts anew.
+#: Words remembered by a Python worker with their ids (about 80 MB); beyond that it starts anew.
 REMEMBERED = 400_000
 LONGEST_REMEMBERED = 48
 #: Words of these characters alone are lower-cased and cut into token runs here, as the vocabulary's normalizer
@@ -82,6 +83,12 @@ class WordIds(dict):
         return [b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
 
 
+@lru_cache(maxsize=1)
+def _word_ids(path: str) -> WordIds:
+    """One for the tasks of a Python worker, one after another."""
+    return WordIds(path)
+
+
 def packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
@@ -97,7 +104,7 @@ def _blocks(text: str) -> Iterator[str]:
 
 def _pieces(path: str, end_id: int, window: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = WordIds(path), TaskContext.get().partitionId()
+        words, part = _word_ids(path), TaskContext.get().partitionId()
         seen = np.zeros(window + 1, dtype=np.int64)
         end = packed([end_id])
         for b in sub_batches(batches, 4 * BLOCK):
