@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fareshift.functions.classify import outside_corridor, NORTH_BOUNDARY, SOUTH_BOUNDARY
 from fareshift.functions.timefns import between_days, service_day, SERVICE_DAY_START_HOUR
-from fareshift.operators.asof import asof_join
+from fareshift.operators.asof import asof_both, asof_join
 
 POSITION_COLS = ("avl_history_id", "latitude", "gps_status", "trip")
 
@@ -47,7 +47,7 @@ def match_positions(td: DataFrame, positions: DataFrame, *, by: Sequence[str] =
                     position_cols: Sequence[str] = POSITION_COLS, tie: str | None = "avl_history_id",
                     roll_ends: bool = False, last_time: str | None = "maxtime",
                     bucket_unit: str = "minute", ties: str = "last", direction: str = "backward",
-                    tolerance: float | None = None, how: str = "left") -> DataFrame:
+                    tolerance: float | None = None, how: str = "left", stored: int | None = None) -> DataFrame:
     """DOM-4: each transaction with its vehicle's last position of that service day.
 
     Both sides get their service day (if missing) and meet in one as-of join
@@ -55,7 +55,8 @@ def match_positions(td: DataFrame, positions: DataFrame, *, by: Sequence[str] =
     position of the vehicle-day, JOI-7) without a second join. The row count
     equals the transaction count (``ties="last"``, ``how="left"``). ``tie`` orders
     positions of one time and must be a column of ``positions``; pass ``None``
-    where times are unique.
+    where times are unique. ``stored`` as in ``asof_join``. Select the transaction columns you want
+    first: all of them travel through the match.
     """
     if tie is not None and tie not in positions.columns:
         raise ValueError(f"tie column {tie!r} is not among the positions' columns")
@@ -67,7 +68,7 @@ def match_positions(td: DataFrame, positions: DataFrame, *, by: Sequence[str] =
     cols = [c for c in position_cols if c in right.columns and c not in by]
     return asof_join(left, right, by=list(by), left_time=txn_time, right_time=pos_time,
                      right_cols=cols, tie=tie, roll_ends=roll_ends, last_time=last_time, bucket_unit=bucket_unit,
-                     ties=ties, direction=direction, tolerance=tolerance, how=how)
+                     ties=ties, direction=direction, tolerance=tolerance, how=how, stored=stored)
 
 
 def asof_comparison(td: DataFrame, positions: DataFrame, tolerance_seconds: float = 120.0,
@@ -76,25 +77,18 @@ def asof_comparison(td: DataFrame, positions: DataFrame, tolerance_seconds: floa
     """DOM-10: local (outside-corridor) counts by the exact backward match and
     by the forward match within ``tolerance_seconds`` (unmatched dropped).
 
-    The two counts come from two as-of joins and are combined by a union and
-    one aggregate, without a join.
+    Both matches come from one as-of pass (``asof_both``), then one aggregate.
     """
-    left = with_service_day(td, "txn_time")
+    left = with_service_day(td, "txn_time").select(*by, "txn_time")
     right = with_service_day(positions, "pos_time")
-    cols = ["latitude"]
-    exact = asof_join(left, right, by=list(by), left_time="txn_time", right_time="pos_time",
-                      right_cols=cols, tie="avl_history_id")
-    fuzzy = asof_join(left, right, by=list(by), left_time="txn_time", right_time="pos_time",
-                      right_cols=cols, tie="avl_history_id", direction="forward",
-                      tolerance=tolerance_seconds, how="inner")
-    tagged = (exact.select(F.lit("exact").alias("_kind"), "latitude")
-              .unionByName(fuzzy.select(F.lit("fuzzy").alias("_kind"), "latitude")))
-    local = outside_corridor("latitude", north, south)
-    return tagged.agg(
-        F.count(F.when((F.col("_kind") == "exact") & local, 1)).alias("local_exact_match"),
-        F.count(F.when((F.col("_kind") == "fuzzy") & local, 1)).alias("local_fuzzy_match"),
-        F.count(F.when(F.col("_kind") == "exact", 1)).alias("n_exact"),
-        F.count(F.when(F.col("_kind") == "fuzzy", 1)).alias("n_fuzzy"))
+    both = asof_both(left, right, by=list(by), left_time="txn_time", right_time="pos_time",
+                     right_cols=["latitude"], tie="avl_history_id", after=tolerance_seconds)
+    fuzzy = F.col("next_pos_time").isNotNull()
+    return both.agg(
+        F.count(F.when(outside_corridor("prev_latitude", north, south), 1)).alias("local_exact_match"),
+        F.count(F.when(fuzzy & outside_corridor("next_latitude", north, south), 1)).alias("local_fuzzy_match"),
+        F.count(F.lit(1)).alias("n_exact"),
+        F.count(F.when(fuzzy, 1)).alias("n_fuzzy"))
 
 
 def match_count_check(matched: DataFrame, td: DataFrame,

@@ -50,10 +50,24 @@ def with_ridership_flag(td: DataFrame, rules: DataFrame, out: str = "is_ridershi
 
 
 def ridership_only(td: DataFrame, rules: DataFrame, with_transfers: bool = True, **kw) -> DataFrame:
-    """FLT-1: keep the transactions that count as ridership."""
+    """FLT-1: keep the transactions that count as ridership.
+
+    A left semi join on one key, the description or, for a transfer, a mark that is listed beside
+    the codes: duplicate codes multiply nothing, and unlike the existence join of an
+    ``IN`` under ``OR`` its exchange can be reused by the as-of join.
+    """
     if {"year", "month"} <= set(rules.columns):
         return with_ridership_flag(td, rules, "_rides", with_transfers=with_transfers, **kw).where("_rides").drop("_rides")
-    return td.where(is_ridership(rules, with_transfers=with_transfers, **kw))
+    return _semi(td, _rule_codes(rules), with_transfers, **kw)
+
+
+def _semi(td: DataFrame, codes: DataFrame, with_transfers: bool, description_col: str = "description",
+          type_col: str = "type") -> DataFrame:
+    transfer = is_transfer(type_col) if with_transfers else F.lit(False)
+    listed = codes.select(F.lit(False).alias("_transfer"), F.col("code").alias("_code"))
+    listed = listed.unionAll(codes.sparkSession.range(1).select(F.lit(True), F.lit("")))
+    key = F.when(transfer, F.lit("")).otherwise(F.col(description_col))
+    return td.join(listed, (key == F.col("_code")) & (transfer == F.col("_transfer")), "left_semi")
 
 
 def unused_transactions(td: DataFrame, rules: DataFrame, method: str = "filter",

@@ -105,7 +105,7 @@ def _matched(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
 
 def _located(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     """The matched table for location summaries: only the latitude is carried."""
-    return _matched(spark, sf_dir, position_cols=("latitude",), **kw)
+    return _matched(spark, sf_dir, position_cols=("latitude",), columns=(), **kw)
 
 
 # ---------------------------------------------------------------- queries
@@ -573,7 +573,7 @@ flags AS (
 
 def _flags(spark, sf_dir):
     from fareshift.operators.quality import quality_flags
-    return quality_flags(_matched(spark, sf_dir, position_cols=("latitude", "gps_status")))
+    return quality_flags(_matched(spark, sf_dir, position_cols=("latitude", "gps_status"), columns=("txn_id",)))
 
 
 @register("quality_flags", sql("SELECT * FROM flags", FLAGS_SQL))
@@ -605,7 +605,7 @@ FROM (SELECT *, in_gap OR timediffs IS NULL AS in_gap2 FROM flags)""", FLAGS_SQL
 def questionable_fraction_q(spark, sf_dir):
     """QLT-3/4 variant of the parameterised run: a missing gap counts as a gap, share as a fraction."""
     from fareshift.operators.quality import quality_flags, questionable_pct
-    m = _matched(spark, sf_dir, position_cols=("latitude", "gps_status"))
+    m = _matched(spark, sf_dir, position_cols=("latitude", "gps_status"), columns=("txn_id",))
     return questionable_pct(quality_flags(m, null_is_gap=True), scale=1.0)
 
 
@@ -633,7 +633,7 @@ FROM matched GROUP BY 1, 2"""))
 def bad_gps_by_month_q(spark, sf_dir):
     """AGG-4: bad-GPS share per month over the whole table's rows."""
     from fareshift.operators.quality import bad_gps_by_month
-    return bad_gps_by_month(_matched(spark, sf_dir, position_cols=("latitude", "gps_status")))
+    return bad_gps_by_month(_matched(spark, sf_dir, position_cols=("latitude", "gps_status"), columns=("txn_id",)))
 
 
 @register("bad_gps_by_month_route", sql("""
@@ -644,7 +644,7 @@ FROM typed GROUP BY 1, 2, 3"""))
 def bad_gps_by_month_route_q(spark, sf_dir):
     """AGG-4: bad-GPS share per month and local route over the whole table's rows."""
     from fareshift.operators.quality import bad_gps_by_month_route
-    return bad_gps_by_month_route(_matched(spark, sf_dir, position_cols=("latitude", "gps_status")))
+    return bad_gps_by_month_route(_matched(spark, sf_dir, position_cols=("latitude", "gps_status"), columns=("txn_id",)))
 
 
 @register("questionable_by_month", sql("""
@@ -685,7 +685,8 @@ rflags AS (
 def quality_flags_rolled_q(spark, sf_dir):
     """QLT-2/3 with both ends rolled (JOI-2): rides before the first position are matched to it."""
     from fareshift.operators.quality import quality_flags
-    m = _matched(spark, sf_dir, position_cols=("avl_history_id", "latitude", "gps_status"), roll_ends=True)
+    m = _matched(spark, sf_dir, position_cols=("avl_history_id", "latitude", "gps_status"), columns=("txn_id",),
+                 roll_ends=True)
     return quality_flags(m, null_is_gap=True).select("txn_id", "timediffs", "after_last", "in_gap", "bad_gps",
                                                      "before_first")
 
@@ -701,8 +702,8 @@ FROM rflags WHERE TRY_CAST(vehicle_id AS BIGINT) IN (149) OR TRY_CAST(vehicle_id
 def period_questionable_q(spark, sf_dir):
     """The period run's quality share: fleet only, ends rolled, missing gap a gap, as a fraction."""
     from fareshift.operators.quality import quality_flags, questionable_pct
-    m = _matched(spark, sf_dir, position_cols=("avl_history_id", "latitude", "gps_status"), roll_ends=True, ties="all",
-                 fleet=([149], [(0, 139)]))
+    m = _matched(spark, sf_dir, position_cols=("avl_history_id", "latitude", "gps_status"), columns=(), roll_ends=True,
+                 ties="all", fleet=([149], [(0, 139)]))
     return questionable_pct(quality_flags(m, null_is_gap=True), scale=1.0)
 
 

@@ -7,7 +7,7 @@ summaries. Every step is a lazy DataFrame transformation; one job runs per sink.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,16 +55,19 @@ def matched_table(td: DataFrame, positions: DataFrame, rules: DataFrame, *, star
                   north: float = NORTH_BOUNDARY, south: float = SOUTH_BOUNDARY,
                   bucket_unit: str = "minute", ties: str = "last",
                   position_cols: tuple[str, ...] = ("avl_history_id", "latitude", "gps_status", "trip"),
-                  ) -> DataFrame:
+                  columns: Sequence[str] | None = None) -> DataFrame:
     """The matched table: every used transaction with its position, the
     vehicle-day's last position time (``maxtime``), service type and local route.
 
     ``position_cols`` names the position columns carried through the match;
     a summary that needs only the latitude passes ``("latitude",)`` so the
-    other position columns are neither read nor shuffled.
+    other position columns are neither read nor shuffled. ``columns`` does the same for
+    the transactions (None: all); vehicle, time and service day are always carried.
     """
     used = used_transactions(td, rules, start=start, end=end, inclusive=inclusive,
                              route_pattern=route_pattern, fleet=fleet, repair=repair)
+    if columns is not None:
+        used = used.select(*dict.fromkeys(["vehicle_id", "service_day", "txn_time", *columns]))
     pos = positions
     if start is not None or end is not None:
         # Positions bounded by service day too (not by calendar midnight), so

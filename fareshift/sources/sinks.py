@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from fareshift.operators.asof import bucket_column, time_bucket
 
 
 def write_summary(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = True,
@@ -26,3 +29,24 @@ def write_detail(df: DataFrame, path: str, partition_by: str = "service_day", mo
     """Detail rows (e.g. the matched table) as Parquet partitioned by day. Rows are dealt by day first
     (days of many rows are split, small ones share a task), so a day gets few files."""
     df.hint("rebalance", partition_by).write.mode(mode).partitionBy(partition_by).parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, by: Sequence[str], time_col: str, *, buckets: int,
+                   bucket_unit: str = "minute", partition_by: str | None = None, mode: str = "overwrite",
+                   path: str | None = None) -> None:
+    """Rows (e.g. positions with their service day) as a table laid out for ``asof_join(stored=buckets)``.
+
+    The table is bucketed by the keys and the time's bucket (``bucket_column``), the way the as-of
+    join deals its rows, so a hot key is spread over the files too. Later months are
+    added with ``mode="append"``; ``partition_by`` (e.g. a month column) lets a run read its own part.
+    One task writes one bucket's file (per partition).
+    """
+    column = bucket_column(time_col)
+    out = df.withColumn(column, time_bucket(F.col(time_col), bucket_unit))
+    w = (out.repartition(buckets, *by, column).write.mode(mode).format("parquet")
+         .bucketBy(buckets, *by, column).sortBy(*by, column, time_col))
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    if path:
+        w = w.option("path", path)
+    w.saveAsTable(table)

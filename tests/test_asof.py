@@ -4,7 +4,7 @@ import random
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from fareshift.operators.asof import asof_join
+from fareshift.operators.asof import asof_both, asof_join
 from fareshift.operators.matching import match_positions
 from conftest import rows
 
@@ -151,3 +151,106 @@ def test_forward_is_as_fast_as_backward(spark):
             assert out.where("t = p").count() == 20_000
             took[direction] = time.perf_counter() - t0
         assert took["forward"] < 3 * took["backward"] + 1
+
+
+def _random_sides(spark, seed):
+    """Few times and keys, so ties, null keys and null times all occur; a real key equals a stand-in for null."""
+    rnd = random.Random(seed)
+    base = T(2020, 1, 1, 0, 0)
+    at = lambda: base + dt.timedelta(seconds=rnd.randrange(0, 600, 7))
+    pos = [(rnd.choice(["a", "", None]), rnd.choice([at(), at(), at(), None]), i, float(i)) for i in range(60)]
+    txn = [(i, rnd.choice(["a", "", "c", None]), rnd.choice([at(), at(), at(), None])) for i in range(60)]
+    return pos, txn, *_frames(spark, pos, txn)
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("unit", ["second", "minute"])
+def test_both_directions_equal_two_joins(spark, seed, unit):
+    pos, txn, t, p = _random_sides(spark, seed)
+    kw = dict(by=["vehicle_id"], left_time="txn_time", right_time="pos_time", right_cols=["avl_history_id"],
+              tie="avl_history_id", bucket_unit=unit)
+    both = asof_both(t, p, before=90, after=30, **kw)
+    assert both.columns == [*t.columns, "prev_pos_time", "prev_avl_history_id", "next_pos_time", "next_avl_history_id"]
+    real = [x for x in pos if x[1] is not None]
+    known = [x for x in txn if x[2] is not None]
+    null = [(x[0], None) for x in txn if x[2] is None]
+    assert rows(both, "txn_id", "prev_avl_history_id") == sorted(_brute(real, known, "backward", 90) + null)
+    assert rows(both, "txn_id", "next_avl_history_id") == sorted(_brute(real, known, "forward", 30) + null)
+    assert rows(asof_join(t, p, direction="forward", **kw), "txn_id", "avl_history_id") == sorted(
+        _brute(real, known, "forward", None) + null)
+    for tid, latest in rows(asof_join(t, p, last_time="m", **kw), "txn_id", "m"):
+        _, v, at = txn[tid]
+        own = [x[1] for x in real if x[0] == v and v is not None]
+        assert latest == (max(own) if own and at else None)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_all_ties_and_rolled_ends_equal_brute_force(spark, seed):
+    pos, txn, t, p = _random_sides(spark, seed)
+    out = asof_join(t, p, by=["vehicle_id"], left_time="txn_time", right_time="pos_time", right_cols=["avl_history_id"],
+                    tie="avl_history_id", ties="all", roll_ends=True)
+    want = []
+    for tid, v, at in txn:
+        own = [(x[1], x[2]) for x in pos if x[0] == v and v is not None and x[1] is not None] if at else []
+        met, before = [x for x in own if x[0] == at], [x for x in own if at and x[0] < at]
+        if met:
+            want += [(tid, k) for _, k in met]
+        elif before:
+            want.append((tid, max(before)[1]))
+        else:
+            want.append((tid, min(own, key=lambda x: (x[0], -x[1]))[1] if own else None))
+    assert rows(out, "txn_id", "avl_history_id") == sorted(want)
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def _shuffles(plan, kind):
+    return sum(1 for x in plan.splitlines() if kind in x and "ReusedExchange" not in x)
+
+
+def test_each_side_is_scanned_and_shuffled_once(spark):
+    from fareshift.plans import catalog
+    sf = "/root/testdata/sf0.001"
+    for name in ("asof_backward", "asof_comparison", "asof_roll_ends"):
+        plan = _final_plan(catalog.QUERIES[name](spark, sf))
+        assert plan.count("FileScan") == 2 and _shuffles(plan, "REPARTITION_BY_COL") == 1, name
+    for name in ("asof_ties_all", "asof_ties_rolled"):  # its positions are a join of two tables
+        plan = _final_plan(catalog.QUERIES[name](spark, sf))
+        assert plan.count("FileScan") == 3 and _shuffles(plan, "REPARTITION_BY_COL") == 1, name
+
+
+def test_stored_positions_are_not_shuffled(spark, tmp_path):
+    from fareshift.operators.matching import with_service_day
+    from fareshift.sources.sinks import write_bucketed
+    _, _, t, p = _random_sides(spark, 5)
+    t, p = with_service_day(t, "txn_time"), with_service_day(p, "pos_time")
+    by = ["vehicle_id", "service_day"]
+    kw = dict(by=by, left_time="txn_time", right_time="pos_time", right_cols=["avl_history_id"], tie="avl_history_id",
+              last_time="maxtime")
+    for mode, part in (("overwrite", p.where("avl_history_id < 30")), ("append", p.where("avl_history_id >= 30"))):
+        write_bucketed(part, "stored_positions", by, "pos_time", buckets=4, mode=mode, path=str(tmp_path / "stored"))
+    try:
+        stored = asof_join(t, spark.table("stored_positions"), stored=4, **kw)
+        assert rows(stored) == rows(asof_join(t, p, **kw))
+        plan = _final_plan(stored)
+        # the transactions' exchange, and those of the bucket summaries
+        assert _shuffles(plan, "REPARTITION_BY_NUM") == 1 and "REPARTITION_BY_COL" not in plan
+        # from the positions' scans up to the window and the aggregate there is no exchange
+        lines = plan.splitlines()
+        depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
+        scans = [i for i, x in enumerate(lines) if "FileScan parquet" in x]
+        assert len(scans) == 2
+        for i in scans:
+            above, at = [], depth[i]
+            for j in range(i, -1, -1):
+                if depth[j] < at:
+                    above.append(lines[j])
+                    at = depth[j]
+                    if "Window" in lines[j] or "Aggregate" in lines[j]:
+                        break
+            assert any("Union" in x for x in above) and not any("Exchange" in x for x in above)
+    finally:
+        spark.sql("DROP TABLE IF EXISTS stored_positions")
