@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareshift.functions.classify import bad_gps, gps_flag
@@ -45,65 +45,108 @@ def quality_flags(matched: DataFrame, *, txn_time: str = "txn_time", pos_time: s
     })
 
 
+def over_whole(df: DataFrame, by: Sequence[str], *aggs: Column) -> DataFrame:
+    """Groups of ``by`` with ``aggs`` (one of them called ``n_rows``) and ``n_whole``, the ``n_rows`` of the
+    whole table.
+
+    Groups and whole are grouping sets of one aggregate; the whole is one row that the groups meet in
+    a broadcast join, so no task gathers all groups. The level is compared with an aggregate's
+    value beside it: a filter on the level alone would be pushed below the aggregate, and
+    the two readers could not share its exchange.
+    """
+    by = list(by)
+    sets = df.groupingSets([by, []], *by).agg(*aggs, F.grouping_id().alias("_level"))
+    sets = sets.withColumn("_any", F.col("n_rows") >= 0).withColumn("_level", F.when(F.col("_any"), F.col("_level")))
+    whole = sets.where(F.col("_level") == 2 ** len(by) - 1).select("_any", F.col("n_rows").alias("n_whole"))
+    return sets.where(F.col("_level") == 0).join(F.broadcast(whole), "_any").drop("_any", "_level")
+
+
+def fault_counts() -> list[Column]:
+    """QLT-1..4 as additive counts of flagged rows: ``n_rows``, one count per fault, ``n_questionable``
+    (rows with any fault)."""
+    faults = {"after_last": F.col("after_last"), "in_gap": F.col("in_gap"), "bad_gps": F.col("bad_gps")}
+    anyf = faults["after_last"] | faults["in_gap"] | faults["bad_gps"]
+    return [F.count(F.lit(1)).alias("n_rows"), *[F.count(F.when(c, 1)).alias(f"n_{k}") for k, c in faults.items()],
+            F.count(F.when(anyf, 1)).alias("n_questionable")]
+
+
+def questionable_shares(counts: DataFrame, whole: str, scale: float = 100.0, own: str | None = None) -> DataFrame:
+    """QLT-4 from ``fault_counts``: shares of the column ``whole``, and of ``own`` as ``group_`` columns."""
+    faults = F.col("n_after_last") + F.col("n_in_gap") + F.col("n_bad_gps")
+    out = {"questionable_pct": F.try_divide(faults, F.col(whole)) * scale,
+           "questionable_pct_distinct": F.try_divide(F.col("n_questionable"), F.col(whole)) * scale}
+    if own:
+        out |= {"group_questionable_pct": F.try_divide(faults, F.col(own)) * scale,
+                "group_questionable_pct_distinct": F.try_divide(F.col("n_questionable"), F.col(own)) * scale}
+    return counts.withColumns(out).drop("n_questionable", *([whole] if own else []))
+
+
+#: What ``fault_counts`` gives, to be added up again over days or periods.
+COUNTS = ("n_rows", "n_after_last", "n_in_gap", "n_bad_gps", "n_questionable")
+
+
+def shares_from_counts(counts: DataFrame, by: Sequence[str], scale: float = 100.0) -> DataFrame:
+    """``questionable_pct(by=...)`` of the rows behind stored counts."""
+    added = over_whole(counts, by, *[F.sum(c).alias(c) for c in COUNTS])
+    return questionable_shares(added, "n_whole", scale, own="n_rows")
+
+
+def bad_gps_from_counts(counts: DataFrame, by: Sequence[str], out: str = "bad_td_gps_pct") -> DataFrame:
+    """AGG-4 of the rows behind stored counts: bad-GPS rows of each group over all rows."""
+    g = over_whole(counts, by, F.sum("n_rows").alias("n_rows"), F.sum("n_bad_gps").alias("_hit"))
+    return g.select(*by, (F.try_divide(F.col("_hit"), F.col("n_whole")) * 100).alias(out))
+
+
 def questionable_pct(flagged: DataFrame, scale: float = 100.0, by: Sequence[str] = ()) -> DataFrame:
-    """QLT-4: share of questionable transactions, in one aggregate, over all rows or
-    for each group of ``by`` (e.g. year and month) over the group's rows.
+    """QLT-4: share of questionable transactions, in one aggregate over all rows.
 
     ``questionable_pct`` counts a row once per fault (after the last
     position, in a gap, bad GPS), as the reference's stacked sets do;
-    ``questionable_pct_distinct`` counts each row once.
+    ``questionable_pct_distinct`` counts each row once. With ``by`` (e.g. year and month) there is
+    a row per group: its faults over the rows of the whole table, the
+    reference's denominator, and beside it over the group's own (``group_`` columns).
     """
-    n = F.count(F.lit(1))
-    faults = (F.col("after_last").cast("long") + F.col("in_gap").cast("long")
-              + F.col("bad_gps").cast("long"))
-    anyf = F.col("after_last") | F.col("in_gap") | F.col("bad_gps")
-    return flagged.groupBy(*by).agg(
-        n.alias("n_rows"),
-        F.count(F.when(F.col("after_last"), 1)).alias("n_after_last"),
-        F.count(F.when(F.col("in_gap"), 1)).alias("n_in_gap"),
-        F.count(F.when(F.col("bad_gps"), 1)).alias("n_bad_gps"),
-        (F.try_divide(F.sum(faults), n) * scale).alias("questionable_pct"),
-        (F.try_divide(F.count(F.when(anyf, 1)), n) * scale).alias("questionable_pct_distinct"))
+    if not by:
+        return questionable_shares(flagged.agg(*fault_counts()), "n_rows", scale)
+    return questionable_shares(over_whole(flagged, by, *fault_counts()), "n_whole", scale, own="n_rows")
 
 
 def quality_report(positions: DataFrame, flagged: DataFrame, gps_col: str = "gps_status",
                    digits: int = 3) -> DataFrame:
     """AGG-9: one row: bad-GPS share of positions and of transactions, the
     questionable share, and both row counts (percent, rounded half-even).
+    """
+    return quality_report_from_counts(positions, flagged.agg(*fault_counts()), gps_col, digits)
 
-    Both inputs are tagged and aggregated in one pass (no join of one-row frames).
+
+def quality_report_from_counts(positions: DataFrame, counts: DataFrame, gps_col: str = "gps_status",
+                               digits: int = 3) -> DataFrame:
+    """AGG-9 with the transactions as ``fault_counts``, of all rows or by day.
+
+    Both inputs are added up in one pass (no join of one-row frames).
     """
-    p = positions.select(F.lit("vmh").alias("_src"), bad_gps(gps_col).alias("_bad"),
-                         F.lit(0).cast("long").alias("_faults"))
-    faults = (F.col("after_last").cast("long") + F.col("in_gap").cast("long")
-              + F.col("bad_gps").cast("long"))
-    t = flagged.select(F.lit("td").alias("_src"), F.col("bad_gps").alias("_bad"), faults.alias("_faults"))
-    u = p.unionByName(t)
-    is_v, is_t = F.col("_src") == "vmh", F.col("_src") == "td"
-    n_v = F.count(F.when(is_v, 1))
-    n_t = F.count(F.when(is_t, 1))
-    return u.agg(
-        F.bround(F.try_divide(F.count(F.when(is_v & F.col("_bad"), 1)), n_v) * 100, digits).alias("bad_vmh_pct"),
-        n_v.alias("count_vmh"),
-        F.bround(F.try_divide(F.count(F.when(is_t & F.col("_bad"), 1)), n_t) * 100, digits).alias("bad_td_pct"),
-        F.bround(F.try_divide(F.sum(F.when(is_t, F.col("_faults"))), n_t) * 100, digits).alias("questionable_td_pct"),
-        n_t.alias("count_td"))
+    p = positions.select(F.lit(1).cast("long").alias("_v"), bad_gps(gps_col).cast("long").alias("_bad_v"))
+    faults = F.col("n_after_last") + F.col("n_in_gap") + F.col("n_bad_gps")
+    t = counts.select(F.col("n_rows").alias("_t"), F.col("n_bad_gps").alias("_bad_t"), faults.alias("_faults"))
+    u = p.unionByName(t, allowMissingColumns=True).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_v", "_bad_v", "_t", "_bad_t", "_faults")])
+    share = lambda hit, n: F.bround(F.try_divide(F.col(hit), F.col(n)) * 100, digits)
+    return u.select(share("_bad_v", "_v").alias("bad_vmh_pct"), F.col("_v").alias("count_vmh"),
+                    share("_bad_t", "_t").alias("bad_td_pct"), share("_faults", "_t").alias("questionable_td_pct"),
+                    F.col("_t").alias("count_td"))
 
 
 def pct_of_rows(df: DataFrame, cond, by: Sequence[str] = (), out: str = "pct") -> DataFrame:
     """AGG-4: rows meeting ``cond`` as a percent of ALL rows of ``df``.
 
     With ``by``, each group's count is divided by the whole-table count (the
-    reference's denominator). The group counts come from one partial/final
-    aggregate; the total is a window over the aggregated rows, which meet in one
-    task: meant for ``by`` of bounded kinds, such as months and local routes.
+    reference's denominator), which comes from the same aggregate (``over_whole``).
     """
-    by = list(by)
-    g = df.groupBy(*by).agg(F.count(F.when(cond, 1)).alias("_hit"), F.count(F.lit(1)).alias("_n"))
+    counts = [F.count(F.when(cond, 1)).alias("_hit"), F.count(F.lit(1)).alias("n_rows")]
     if not by:
-        return g.select((F.try_divide(F.col("_hit"), F.col("_n")) * 100).alias(out))
-    total = F.sum("_n").over(Window.partitionBy())  # one row per group: small
-    return g.select(*by, (F.try_divide(F.col("_hit"), total) * 100).alias(out))
+        return df.agg(*counts).select((F.try_divide(F.col("_hit"), F.col("n_rows")) * 100).alias(out))
+    g = over_whole(df, by, *counts)
+    return g.select(*by, (F.try_divide(F.col("_hit"), F.col("n_whole")) * 100).alias(out))
 
 
 def bad_gps_by_month(matched: DataFrame, day_col: str = "service_day", gps_col: str = "gps_status") -> DataFrame:
@@ -117,6 +160,11 @@ def bad_gps_by_month_route(matched: DataFrame, day_col: str = "service_day", gps
                        out="bad_td_gps_pct")
 
 
+def questionable_by_month(flagged: DataFrame, scale: float = 100.0, day_col: str = "service_day") -> DataFrame:
+    """QLT-4 by year and month."""
+    return questionable_pct(with_month(flagged, day_col), scale, by=["year", "month"])
+
+
 def gps_by_trip(positions: DataFrame, by: Sequence[str] = ("service_day", "trip"),
                 gps_col: str = "gps_status") -> DataFrame:
     """AGG-8 / CLS-4: per (day, trip) the number of positions whose status is not 0."""

@@ -129,18 +129,22 @@ def reconcile(td: DataFrame, rules: DataFrame, routesum: DataFrame, by: Sequence
                         F.bround(F.try_divide(F.col("ridership_diff"), F.col("ridership")) * 100, digits)))
 
 
-def reconcile_by_month(td: DataFrame, rules: DataFrame, routesum: DataFrame, digits: int = 3) -> DataFrame:
+def reconcile_by_month(td: DataFrame, rules: DataFrame, routesum: DataFrame, digits: int = 3,
+                       how: str = "inner") -> DataFrame:
     """DOM-1 / SET-1: each month's count per route against the RouteSum of that month.
 
     ``routesum`` has route, ridership, month ('Dec') and year (``with_month_key``); a report whose
     name holds no year is paired by month alone. Months of one name in different years stay apart.
+    ``how="left"`` keeps every route of the transactions, with a null control where RouteSum has none.
     """
     mine = (ridership_only(td, rules)
             .groupBy(F.year("txn_time").alias("year"), F.date_format("txn_time", "MMM").alias("month"), "route")
             .agg(F.count(F.lit(1)).alias("ridership_td")))
-    ctl = routesum.select(F.col("year").alias("_year"), "month", "route", "ridership")
-    ctl = ctl.groupBy("_year", "month", "route").agg(F.sum("ridership").alias("ridership"))
-    j = mine.join(ctl, ["month", "route"]).where(F.col("_year").isNull() | (F.col("_year") == F.col("year")))
+    ctl = routesum.groupBy(F.col("year").alias("_year"), F.col("month").alias("_month"), F.col("route").alias("_route")) \
+        .agg(F.sum("ridership").alias("ridership"))
+    same = ((F.col("month") == F.col("_month")) & (F.col("route") == F.col("_route"))
+            & (F.col("_year").isNull() | (F.col("_year") == F.col("year"))))
+    j = mine.join(ctl, same, how)
     diff = F.col("ridership_td") - F.col("ridership")
     return j.select("year", "month", "route", "ridership_td", "ridership", diff.alias("ridership_diff"),
                     F.bround(F.try_divide(diff, F.col("ridership")) * 100, digits).alias("percent_disagree"))

@@ -89,6 +89,21 @@ def season_summary(daily: DataFrame, by: Sequence[str] = ("service_type",), unti
     return service_summary(d, by)
 
 
+def daily_from_counts(counts: DataFrame, by: Sequence[str] = ("service_day", "service_type")) -> DataFrame:
+    """DOM-5 / DOM-6 from stored daily counts (``plans.season.daily_counts``): what ``daily_series`` gives for
+    the rows behind them."""
+    return _local(counts).groupBy(*by).agg(F.sum("n_rows").alias("ridership"))
+
+
+def service_summary_from_counts(counts: DataFrame, by: Sequence[str] = ("service_type", "local_route"),
+                                day_col: str = "service_day") -> DataFrame:
+    """AGG-6 from stored daily counts."""
+    g = _local(counts).groupBy(*by).agg(F.sum("n_rows").alias("total_ridership"),
+                                        F.countDistinct(day_col).alias("service_days"))
+    return g.withColumn("average_daily_ridership",
+                        F.bround(F.try_divide(F.col("total_ridership"), F.col("service_days")), 0))
+
+
 def pass_mix(td_used: DataFrame, rules: DataFrame, day_col: str = "service_day") -> DataFrame:
     """DOM-11: pass-type mix by day.
 

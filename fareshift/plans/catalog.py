@@ -127,7 +127,8 @@ def asof_backward(spark, sf_dir):
     from fareshift.operators.matching import match_positions
     from fareshift.operators.ridership import ridership_only
     td, pos, rules = _inputs(spark, sf_dir)
-    m = match_positions(ridership_only(td, rules), pos)
+    m = match_positions(ridership_only(td, rules).select("txn_id", "vehicle_id", "txn_time"), pos,
+                        position_cols=("avl_history_id", "latitude", "gps_status"))
     return m.select("txn_id", "vehicle_id", "service_day", "txn_time", "pos_time", "avl_history_id",
                     "latitude", "gps_status", "maxtime")
 
@@ -313,7 +314,8 @@ def asof_roll_ends(spark, sf_dir):
     from fareshift.operators.matching import match_positions
     from fareshift.operators.ridership import ridership_only
     td, pos, rules = _inputs(spark, sf_dir)
-    m = match_positions(ridership_only(td, rules), pos, roll_ends=True, last_time=None)
+    used = ridership_only(td, rules).select("txn_id", "vehicle_id", "txn_time")
+    m = match_positions(used, pos, roll_ends=True, last_time=None, position_cols=("avl_history_id", "latitude", "gps_status"))
     return m.select(*MATCH_COLS)
 
 
@@ -328,7 +330,7 @@ def asof_forward_tolerance(spark, sf_dir):
     from fareshift.operators.matching import with_service_day
     from fareshift.operators.ridership import ridership_only
     td, pos, rules = _inputs(spark, sf_dir)
-    left = with_service_day(ridership_only(td, rules), "txn_time")
+    left = with_service_day(ridership_only(td, rules), "txn_time").select("txn_id", "vehicle_id", "service_day", "txn_time")
     right = with_service_day(pos, "pos_time")
     m = asof_join(left, right, by=["vehicle_id", "service_day"], left_time="txn_time", right_time="pos_time",
                   right_cols=["avl_history_id", "latitude", "gps_status"], tie="avl_history_id",
@@ -392,6 +394,44 @@ def asof_ties_rolled(spark, sf_dir):
     return _ties_join(spark, sf_dir, "all", roll_ends=True)
 
 
+@register("asof_stored", sql("""
+SELECT txn_id, vehicle_id, service_day, txn_time, pos_time, avl_history_id, latitude, gps_status, maxtime
+FROM matched"""))
+def asof_stored(spark, sf_dir):
+    """SRT-3 / DOM-4 on stored positions: two half-months written into one bucketed table, which the match reads without a shuffle."""
+    import uuid
+
+    from fareshift.operators.matching import match_positions, with_service_day
+    from fareshift.operators.ridership import ridership_only
+    from fareshift.session import ensure_checkpoint_dir
+    from fareshift.sources.sinks import write_bucketed
+    td, pos, rules = _inputs(spark, sf_dir)
+    by, name = ["vehicle_id", "service_day"], f"fareshift_positions_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pos = with_service_day(pos, "pos_time")
+    for mode, part in (("overwrite", pos.where("service_day < DATE'2024-01-16'")), ("append", pos.where("service_day >= DATE'2024-01-16'"))):
+        write_bucketed(part, name, by, "pos_time", buckets=buckets, mode=mode, path=f"{ensure_checkpoint_dir(spark)}/fareshift/{name}")
+    used = ridership_only(td, rules).select("txn_id", "vehicle_id", "txn_time")
+    m = match_positions(used, spark.table(name), stored=buckets, position_cols=("avl_history_id", "latitude", "gps_status"))
+    return m.select("txn_id", "vehicle_id", "service_day", "txn_time", "pos_time", "avl_history_id", "latitude", "gps_status", "maxtime")
+
+
+@register("asof_nearest", sql("""
+SELECT m.txn_id, m.txn_time, m.vehicle_id, m.service_day, m.pos_time AS prev_pos_time, m.latitude AS prev_latitude,
+       n.pos_time AS next_pos_time, n.latitude AS next_latitude
+FROM matched0 m ASOF LEFT JOIN pos_d n
+  ON m.vehicle_id = n.vehicle_id AND m.service_day = n.service_day AND m.txn_time <= n.pos_time"""))
+def asof_nearest(spark, sf_dir):
+    """JOI-1 and JOI-3 together: the positions before and after each transaction, in one pass."""
+    from fareshift.operators.asof import asof_both
+    from fareshift.operators.matching import with_service_day
+    from fareshift.operators.ridership import ridership_only
+    td, pos, rules = _inputs(spark, sf_dir)
+    left = with_service_day(ridership_only(td, rules), "txn_time").select("txn_id", "txn_time", "vehicle_id", "service_day")
+    return asof_both(left, with_service_day(pos, "pos_time"), by=["vehicle_id", "service_day"], left_time="txn_time",
+                     right_time="pos_time", right_cols=["latitude"], tie="avl_history_id")
+
+
 @register("asof_comparison", sql("""
 SELECT COUNT(*) FILTER (WHERE latitude > 60.0 OR latitude < 20.0) AS local_exact_match,
        (SELECT COUNT(*) FROM used_d u ASOF JOIN pos_d p
@@ -421,8 +461,8 @@ def match_count_check(spark, sf_dir):
     from fareshift.operators.matching import match_count_check as f, match_positions
     from fareshift.operators.ridership import ridership_only
     td, pos, rules = _inputs(spark, sf_dir)
-    used = ridership_only(td, rules)
-    return f(match_positions(used, pos), used)
+    used = ridership_only(td, rules).select("vehicle_id", "txn_time")
+    return f(match_positions(used, pos, position_cols=(), last_time=None), used)
 
 
 @register("last_position", sql("SELECT * FROM maxt"))
@@ -647,19 +687,28 @@ def bad_gps_by_month_route_q(spark, sf_dir):
     return bad_gps_by_month_route(_matched(spark, sf_dir, position_cols=("latitude", "gps_status"), columns=("txn_id",)))
 
 
-@register("questionable_by_month", sql("""
-SELECT CAST(year(m.service_day) AS INTEGER) AS year, monthname(m.service_day) AS month, COUNT(*) AS n_rows,
-       COUNT(*) FILTER (WHERE after_last) AS n_after_last,
-       COUNT(*) FILTER (WHERE in_gap) AS n_in_gap, COUNT(*) FILTER (WHERE bad_gps) AS n_bad_gps,
-       SUM(CAST(after_last AS BIGINT) + CAST(in_gap AS BIGINT) + CAST(bad_gps AS BIGINT)) / COUNT(*) * 100.0
-         AS questionable_pct,
-       COUNT(*) FILTER (WHERE after_last OR in_gap OR bad_gps) / COUNT(*) * 100.0 AS questionable_pct_distinct
-FROM flags f JOIN matched m ON f.txn_id = m.txn_id GROUP BY 1, 2""", FLAGS_SQL))
+QBM_SQL = """
+qbm AS (
+  SELECT CAST(year(m.service_day) AS INTEGER) AS year, monthname(m.service_day) AS month, COUNT(*) AS n_rows,
+         COUNT(*) FILTER (WHERE after_last) AS n_after_last,
+         COUNT(*) FILTER (WHERE in_gap) AS n_in_gap, COUNT(*) FILTER (WHERE bad_gps) AS n_bad_gps,
+         SUM(CAST(after_last AS BIGINT) + CAST(in_gap AS BIGINT) + CAST(bad_gps AS BIGINT)) AS faults,
+         COUNT(*) FILTER (WHERE after_last OR in_gap OR bad_gps) AS anyf
+  FROM flags f JOIN matched m ON f.txn_id = m.txn_id GROUP BY 1, 2),
+qbm_pct AS (
+  SELECT year, month, n_rows, n_after_last, n_in_gap, n_bad_gps,
+         faults / (SELECT COUNT(*) FROM matched) * 100.0 AS questionable_pct,
+         anyf / (SELECT COUNT(*) FROM matched) * 100.0 AS questionable_pct_distinct,
+         faults / n_rows * 100.0 AS group_questionable_pct, anyf / n_rows * 100.0 AS group_questionable_pct_distinct
+  FROM qbm)
+"""
+
+
+@register("questionable_by_month", sql("SELECT * FROM qbm_pct", FLAGS_SQL, QBM_SQL))
 def questionable_by_month_q(spark, sf_dir):
-    """QLT-4 by month: questionable share of each month's transactions."""
-    from fareshift.operators.quality import questionable_pct
-    from fareshift.operators.summary import with_month
-    return questionable_pct(with_month(_flags(spark, sf_dir)), by=["year", "month"])
+    """QLT-4 by month: each month's faults over the whole table's transactions, and over the month's own."""
+    from fareshift.operators.quality import questionable_by_month
+    return questionable_by_month(_flags(spark, sf_dir))
 
 
 ROLLED_SQL = """
@@ -750,6 +799,18 @@ def reconcile_outer_q(spark, sf_dir):
     return reconcile(td, rules, roles.routesum(spark, sf_dir), how="left")
 
 
+@register("reconcile_sorted", sql("""
+SELECT m.route, m.ridership_td, r.ridership, m.ridership_td - r.ridership AS ridership_diff,
+       round_even((m.ridership_td - r.ridership) / r.ridership * 100, 3) AS percent_disagree
+FROM (SELECT route, COUNT(*) AS ridership_td FROM used GROUP BY 1) m LEFT JOIN routesum r ON m.route = r.route
+ORDER BY TRY_CAST(m.route AS INTEGER) NULLS LAST, m.route"""))
+def reconcile_sorted_q(spark, sf_dir):
+    """SRT-1 / DOM-1: every route of the transactions beside its control, by route number."""
+    from fareshift.operators.ridership import reconcile, sort_route_numeric
+    td, _, rules = _inputs(spark, sf_dir)
+    return sort_route_numeric(reconcile(td, rules, roles.routesum(spark, sf_dir), how="left"))
+
+
 @register("reconcile_top", sql("""
 SELECT m.route, m.ridership_td, r.ridership, m.ridership_td - r.ridership AS ridership_diff,
        round_even((m.ridership_td - r.ridership) / r.ridership * 100, 3) AS percent_disagree
@@ -1027,6 +1088,23 @@ def reconcile_by_month_q(spark, sf_dir):
     return reconcile_by_month(roles.td(spark, sf_dir), rules, routesum)
 
 
+@register("reconcile_by_month_outer", sql("""
+SELECT m.year, m.month, m.route, m.ridership_td, r.ridership, m.ridership_td - r.ridership AS ridership_diff,
+       round_even((m.ridership_td - r.ridership) / r.ridership * 100, 3) AS percent_disagree
+FROM (SELECT CAST(year(txn_time) AS INTEGER) AS year, substring(monthname(txn_time), 1, 3) AS month, route, COUNT(*) AS ridership_td
+      FROM td GROUP BY 1, 2, 3) m
+LEFT JOIN (SELECT CAST(year(txn_time) AS INTEGER) AS year, substring(monthname(txn_time), 1, 3) AS month, route, COUNT(*) AS ridership
+           FROM td WHERE route <> '25' GROUP BY 1, 2, 3) r ON m.year = r.year AND m.month = r.month AND m.route = r.route"""))
+def reconcile_by_month_outer_q(spark, sf_dir):
+    """DOM-1 as the runs write it: routes that RouteSum does not list (here '25') keep their row."""
+    from fareshift.operators.ridership import reconcile_by_month
+    from fareshift.sources import reports
+    rules = reports.with_month_key(reports.with_period(reports.parse_rules(roles.rules_report_lines(spark, sf_dir))))
+    routesum = reports.with_month_key(reports.with_period(
+        reports.parse_routesum(roles.routesum_report_lines(spark, sf_dir)), letters=3)).where("route <> '25'")
+    return reconcile_by_month(roles.td(spark, sf_dir), rules, routesum, how="left")
+
+
 @register("iso_times", sql("SELECT txn_id, date_trunc('second', txn_time) AS iso_time FROM td"))
 def iso_times(spark, sf_dir):
     """DT-2: ISO text parsed to wall-clock time."""
@@ -1093,3 +1171,104 @@ def positions_union(spark, sf_dir):
     from fareshift.sources.positions import read_positions
     return read_positions(roles.vmh(spark, sf_dir), roles.avl(spark, sf_dir), "2023-12-31", "2024-01-31",
                           route_like="9%", vehicle_range=(100, 129))
+
+
+# ---------------------------------------------------------------- files, sinks and stores
+
+def _folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from fareshift.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/fareshift/{name}-{uuid.uuid4().hex}"
+
+
+JAN_SQL = """
+jan AS (SELECT * FROM td WHERE year(txn_time) = 2024 AND month(txn_time) = 1),
+jan_days AS (SELECT * FROM daily_totals WHERE year(service_day) = 2024 AND month(service_day) = 1)
+"""
+
+
+@register("report_files", sql("""
+SELECT kind, file, n_lines FROM (
+  SELECT 'transactions' AS kind, 'TRANSACTION DETAIL JANUARY 2024.CSV' AS file, COUNT(*) + 4 AS n_lines FROM jan
+  UNION ALL SELECT 'rules', 'MONTHLY SUMMARY January 2024.txt', COUNT(DISTINCT description) + 3 FROM jan
+  UNION ALL SELECT 'routesum', 'EVENT SUMMARY (January 2024).txt', COUNT(DISTINCT route) + 4 FROM jan
+  UNION ALL SELECT 'daily', 'Local Route 90 January 2024.txt', COUNT(*) + 4 FROM jan_days)""", JAN_SQL))
+def report_files_q(spark, sf_dir):
+    """SRC-1 / SRC-2: report files found by kind, month (any case) and year in their names; their printed lines."""
+    from fareshift.sources.reports import KIND_MARKERS, numbered_lines, report_files
+    folder, out = roles.report_folder(spark, sf_dir), None
+    for kind in KIND_MARKERS:
+        found = report_files(spark, folder, kind, period="JANuary", year=2024)
+        lines = found.withColumnRenamed("value", "line") if kind == "transactions" else numbered_lines(found)
+        n = lines.where(F.trim("line") != "").groupBy(F.lit(kind).alias("kind"), "file").agg(F.count(F.lit(1)).alias("n_lines"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@register("transactions_from_files", sql("""
+SELECT 'TRANSACTION DETAIL JANUARY 2024.CSV' AS file, type, date_trunc('second', txn_time) AS txn_time, vehicle_id, route,
+       '1' AS run, '0' AS driver, description, CAST(1.75 AS DOUBLE) AS value, CAST(1.75 AS DOUBLE) AS amount,
+       CAST(NULL AS DOUBLE) AS longitude, CAST(NULL AS DOUBLE) AS latitude, 'JANUARY 2024' AS period
+FROM jan""", JAN_SQL))
+def transactions_from_files(spark, sf_dir):
+    """SRC-1 / SRC-2 / SRC-8: one month's transaction detail, read from the folder of all reports."""
+    from fareshift.sources.reports import read_transactions
+    return read_transactions(spark, roles.report_folder(spark, sf_dir), period="January", year="2024")
+
+
+@register("summary_read_back", sql("SELECT service_day, ridership FROM daily_totals"))
+def summary_read_back(spark, sf_dir):
+    """SNK-1 / SRC-11: a summary written as CSV and read as a delimited file with its schema."""
+    from fareshift.sources.reports import read_delimited
+    from fareshift.sources.sinks import write_summary
+    path = _folder(spark, "summary")
+    write_summary(roles.daily_totals(spark, sf_dir), path, order_by=("service_day",))
+    return read_delimited(spark, path, "service_day date, ridership long")
+
+
+@register("summary_by_period", sql("""
+SELECT CASE WHEN service_day < DATE '2024-01-16' THEN '2024-01-01_2024-01-16' ELSE '2024-01-16_2024-02-01' END AS period,
+       service_type, local_route, COUNT(*) AS ridership
+FROM typed WHERE local_route <> '90' GROUP BY 1, 2, 3"""))
+def summary_by_period(spark, sf_dir):
+    """SNK-2: two periods appended to one folder, the first one written twice; each row says its period."""
+    from fareshift.operators.summary import local_counts
+    from fareshift.sources.sinks import write_summary
+    path = _folder(spark, "periods")
+    matched = _located(spark, sf_dir)
+    first, second = matched.where("service_day < DATE'2024-01-16'"), matched.where("service_day >= DATE'2024-01-16'")
+    for part, period in ((first, "2024-01-01_2024-01-16"), (second, "2024-01-16_2024-02-01"), (first, "2024-01-01_2024-01-16")):
+        write_summary(local_counts(part, ["service_type", "local_route"]), path, mode="append",
+                      order_by=(F.col("service_type").desc(), "local_route"), period=period)
+    return spark.read.csv(path, header=True, schema="service_type string, local_route string, ridership long, period string")
+
+
+def _stored_counts(spark, sf_dir) -> DataFrame:
+    """Daily counts of two half-months, matched one after the other; the second one is run twice."""
+    from fareshift.operators.quality import quality_flags
+    from fareshift.plans.season import daily_counts, store_daily_counts
+    path, counts = _folder(spark, "season-store"), None
+    for start, end in (("2023-12-31", "2024-01-16"), ("2024-01-16", "2024-02-01"), ("2024-01-16", "2024-02-01")):
+        m = _matched(spark, sf_dir, position_cols=("latitude", "gps_status"), columns=(), start=start, end=end)
+        counts = store_daily_counts(daily_counts(quality_flags(m), start, end), path)
+    return counts.where("n_rows > 0")
+
+
+@register("season_increments", sql("""
+SELECT CAST(year(service_day) AS INTEGER) AS year, monthname(service_day) AS month, service_type,
+       CAST(SUM(ridership) AS BIGINT) AS total_ridership, COUNT(*) AS service_days, round_even(AVG(ridership), 0) AS average_daily_ridership
+FROM (SELECT service_day, service_type, COUNT(*) AS ridership FROM typed WHERE local_route <> '90' GROUP BY 1, 2) GROUP BY 1, 2, 3"""))
+def season_increments(spark, sf_dir):
+    """DOM-6 / AGG-5 over stored daily counts: later days are added without another match of the earlier ones."""
+    from fareshift.operators.summary import daily_from_counts, service_summary, with_month
+    daily = daily_from_counts(_stored_counts(spark, sf_dir))
+    return service_summary(with_month(daily), ["year", "month", "service_type"])
+
+
+@register("season_increments_quality", sql("SELECT * FROM qbm_pct", FLAGS_SQL, QBM_SQL))
+def season_increments_quality(spark, sf_dir):
+    """QLT-4 by month from stored daily counts, over the whole store."""
+    from fareshift.operators.quality import shares_from_counts
+    from fareshift.operators.summary import with_month
+    return shares_from_counts(with_month(_stored_counts(spark, sf_dir)), ["year", "month"])

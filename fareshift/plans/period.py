@@ -109,7 +109,7 @@ def run_period(td: DataFrame, positions: DataFrame, rules: DataFrame, out_dir: s
                inclusive: bool = True, label: str = "period", routesum: DataFrame | None = None,
                rejected: DataFrame | None = None, fleet=DEFAULT_FLEET, roll_ends: bool = True, ties: str = "all",
                null_is_gap: bool = True, gap_seconds: float = DEFAULT_GAP_SECONDS, scale: float = 1.0,
-               mode: str = "overwrite", **kw) -> dict[str, DataFrame]:
+               mode: str = "overwrite", period: str | None = None, **kw) -> dict[str, DataFrame]:
     """Entry point for one analysis period: match once, then every summary.
 
     By default as the parameterised script runs it: the corridor's fleet only, both ends
@@ -121,8 +121,9 @@ def run_period(td: DataFrame, positions: DataFrame, rules: DataFrame, out_dir: s
     long and wide) are computed from the written table and saved as CSV
     (SNK-1) under ``out_dir``, rows in report order. With a ``routesum`` the route
     reconciliation of the period's transactions is written too: by month where it has
-    month and year (``with_month_key``), else by route. ``rejected`` (file, rejected)
-    is written as it is. Returns the summaries (lazy, read from disk).
+    month and year (``with_month_key``), else by route; routes without a control keep their row. ``rejected`` (file, rejected)
+    is written as it is. Each folder has a column ``period`` (default start_end); ``mode="append"`` replaces
+    that period's rows and keeps the others'. Returns the summaries (lazy, read from disk).
     """
     matched = matched_table(td, positions, rules, start=start, end=end, inclusive=inclusive, fleet=fleet,
                             roll_ends=roll_ends, ties=ties, **kw)
@@ -137,17 +138,18 @@ def run_period(td: DataFrame, positions: DataFrame, rules: DataFrame, out_dir: s
     if routesum is not None:
         own = transactions_in_period(td, start, end, inclusive)
         if {"year", "month"} <= set(routesum.columns):
-            found, keys = reconcile_by_month(own, rules, routesum), ("year", "month")
+            found, keys = reconcile_by_month(own, rules, routesum, how="left"), ("year", "month")
         else:
-            found, keys = reconcile(own, rules, routesum.groupBy("route").agg(F.sum("ridership").alias("ridership"))), ()
+            whole = routesum.groupBy("route").agg(F.sum("ridership").alias("ridership"))
+            found, keys = reconcile(own, rules, whole, how="left"), ()
         outputs["reconcile"] = (found, (*keys, *route_order()))
     if rejected is not None:
         outputs["rejected"] = (rejected, ("file",))
-    return write_outputs(outputs, out_dir, label, mode)
+    return write_outputs(outputs, out_dir, label, mode, period or f"{start}_{end}")
 
 
-def write_outputs(outputs: dict, out_dir: str, label: str, mode: str) -> dict[str, DataFrame]:
-    """Write each (frame, order) as a CSV folder; returns the frames."""
+def write_outputs(outputs: dict, out_dir: str, label: str, mode: str, period: str) -> dict[str, DataFrame]:
+    """Write each (frame, order) as a CSV folder with the period; returns the frames."""
     for name, (df, order) in outputs.items():
-        write_summary(df, f"{out_dir.rstrip('/')}/{label}_{name}", mode=mode, order_by=order)
+        write_summary(df, f"{out_dir.rstrip('/')}/{label}_{name}", mode=mode, order_by=order, period=period)
     return {name: df for name, (df, _) in outputs.items()}

@@ -117,12 +117,13 @@ def vmh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def avl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position history: avl_history_id, time, latitude, longitude, gps_status (views and clicks only)."""
+    """Position history: avl_history_id, time, latitude, longitude, gps_status (views and clicks only);
+    every 97th entry is dated two days after its message."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
     k = _props_number(F.col("props"))
     return e.select(
         F.col("event_id").alias("avl_history_id"),
-        F.col("ts").alias("time"),
+        (F.col("ts") + F.make_dt_interval(days=F.when(F.col("event_id") % 97 == 0, 2).otherwise(0))).alias("time"),
         F.col("value").alias("latitude"),
         (-F.col("value")).alias("longitude"),
         F.when(k % 10 == 0, F.lit(None).cast("int")).when(k % 10 == 1, F.lit(0)).otherwise(F.lit(2)).alias("gps_status"),
@@ -238,3 +239,23 @@ def daily_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct((F.col("rows") + 3).alias("line_no"), F.lit("Weekday Average,0").alias("line")),
         F.struct((F.col("rows") + 4).alias("line_no"), F.concat(F.lit("TOTAL,"), F.col("n").cast("string")).alias("line")))))
     return rows.unionByName(frame)
+
+
+def report_folder(spark: SparkSession, sf_dir: str) -> str:
+    """All four report kinds as files in a new folder (below the shared checkpoint folder)."""
+    import uuid
+
+    from fareshift.session import ensure_checkpoint_dir
+    from fareshift.sources.sinks import write_report_files
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/fareshift/reports-{uuid.uuid4().hex}"
+    line = F.col("line")
+    # title, date printed and header first, footer last, as in a printed report
+    order = (F.when(line.startswith("Transaction Detail"), 0).when(line.startswith("Printed for"), 1).when(line == TD_HEADER, 2)
+             .when(line.startswith("Number of Transactions"), 4).otherwise(3))
+    detail = td_report_lines(spark, sf_dir).select("file", order.alias("line_no"), "line")
+    kinds = [rules_report_lines(spark, sf_dir), routesum_report_lines(spark, sf_dir), daily_report_lines(spark, sf_dir)]
+    for k in kinds:
+        detail = detail.unionByName(k.select("file", "line_no", "line"))
+    write_report_files(detail, path)
+    return path

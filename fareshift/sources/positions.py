@@ -12,7 +12,6 @@ ROUTE_LIKE = "9%"
 FLEET_RANGE = (1970, 1999)
 MESSAGE_COLUMNS = ("route", "stop_name", "stop_id", "inbound_outbound", "trip", "boards", "alights", "departure_time")
 HISTORY_COLUMNS = ("latitude", "longitude", "gps_status")
-HISTORY_MARGIN_HOURS = 24
 
 
 def jdbc_table(spark: SparkSession, url: str, table: str, *, partition_column: str | None = None,
@@ -46,9 +45,11 @@ def read_positions(vmh: DataFrame, avl: DataFrame, start=None, end=None, *, rout
     scan with an OR instead of two scans and a UNION; ``distinct`` keeps the
     UNION's duplicate removal over all columns (SET-3). The period is [start, end] in service
     days: from ``start`` 03:00 to the day after ``end`` 03:00
-    (``by_service_day=False`` bounds at midnight instead, as one analysis did). The
-    position history is read for the same period and ``HISTORY_MARGIN_HOURS`` around it
-    (whole, if it has no ``time``).
+    (``by_service_day=False`` bounds at midnight instead, as one analysis did); a bound that is
+    None is open. The position history is not bounded by time, so a position is found however far
+    its time lies from the message's. With a bound it is read between the smallest and the largest id of the kept messages
+    (ids grow with time, so that prunes files and row groups), and on large tables Spark's own runtime Bloom filter
+    of the messages' ids (``spark.sql.optimizer.runtime.bloomFilter``) drops the rest before the join.
     Filters are written on the source columns, so a parquet or JDBC source
     receives them.
     """
@@ -56,20 +57,20 @@ def read_positions(vmh: DataFrame, avl: DataFrame, start=None, end=None, *, rout
         if missing := needed - set(df.columns):
             raise ValueError(f"{side} history lacks {sorted(missing)}")
     v, a = vmh, avl
-    if start is not None and end is not None:
-        shift = F.make_dt_interval(hours=F.lit(start_hour if by_service_day else 0))
-        lo = F.lit(start).cast("date").cast("timestamp_ntz") + shift
-        hi = F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz") + shift
-        v = v.where((F.col("time") >= lo) & (F.col("time") < hi))
-        margin = F.make_dt_interval(hours=F.lit(HISTORY_MARGIN_HOURS))
-        if "time" in a.columns:
-            a = a.where((F.col("time") >= lo - margin) & (F.col("time") < hi + margin))
+    shift = F.make_dt_interval(hours=F.lit(start_hour if by_service_day else 0))
+    if start is not None:
+        v = v.where(F.col("time") >= F.lit(start).cast("date").cast("timestamp_ntz") + shift)
+    if end is not None:
+        v = v.where(F.col("time") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz") + shift)
     keep = F.lit(False)
     if route_like:
         keep = keep | F.coalesce(F.col("route").like(route_like), F.lit(False))
     if vehicle_range:
         keep = keep | F.coalesce(F.col("vehicle_id").between(*vehicle_range), F.lit(False))
     v = v.where(keep)
+    if start is not None or end is not None:
+        ids = [v.select(f("avl_history_id")).scalar() for f in (F.min, F.max)]
+        a = a.where(F.col("avl_history_id").between(*ids))
     messages = [c for c in MESSAGE_COLUMNS if c in v.columns]
     history = [c for c in HISTORY_COLUMNS if c in a.columns]
     j = v.join(a.select("avl_history_id", *history), "avl_history_id", "left")

@@ -63,3 +63,27 @@ def test_run_period_writes_summaries(spark, tmp_path):
     assert sorted(out) == ["by_day", "by_type_long", "by_type_wide", "questionable"]
     back = spark.read.csv(str(tmp_path / "jan_by_type_long"), header=True)
     assert back.count() == out["by_type_long"].count() > 0
+
+
+def test_report_queries_are_in_order(spark):
+    """The comparison above sorts; these rows must come as they are."""
+    got = [(r.service_type, r.local_route) for r in E.queries()["report_ordered"](spark, SF).collect()]
+    assert got == sorted(sorted(got, key=lambda x: x[1]), key=lambda x: x[0], reverse=True)
+    assert [r.route for r in E.queries()["reconcile_sorted"](spark, SF).collect()] == ["8", "25", "90", "901", "902"]
+
+
+def test_whole_table_counts_share_the_groups_aggregate(spark):
+    df = E.queries()["bad_gps_by_month_route"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 2 and "SinglePartition" not in plan
+
+
+def test_ridership_queries_need_no_training_data_library(monkeypatch):
+    import sys
+    for m in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("fareshift.llm")]:
+        monkeypatch.delitem(sys.modules, m)
+    monkeypatch.setitem(sys.modules, "tiktoken", None)
+    monkeypatch.setitem(sys.modules, "tokenizers", None)
+    monkeypatch.setitem(sys.modules, "fareshift.llm", None)
+    assert set(E.queries()) == set(catalog.QUERIES) == set(E.oracle_sql())

@@ -199,7 +199,8 @@ def test_position_columns_and_missing_id(spark):
     out = read_positions(vmh, avl, "2020-01-01", "2020-01-01")
     assert out.columns == ["avl_history_id", "pos_time", "vehicle_id", "route", "inbound_outbound", "trip", "boards",
                            "alights", "latitude", "longitude", "gps_status"]
-    assert [tuple(r)[-3:] for r in out.collect()] == [(39.9, -86.1, 2)]  # the far-off history row is not read
+    # a position is found however far its time lies from the message's; an id listed twice gives two
+    assert sorted(tuple(r)[-3:] for r in out.collect()) == [(1.0, 1.0, 0), (39.9, -86.1, 2)]
     with pytest.raises(ValueError):
         read_positions(vmh.drop("avl_history_id"), avl)
     td = spark.createDataFrame([(1, "1976", T(2020, 1, 1, 5, 0))], "txn_id long, vehicle_id string, txn_time timestamp_ntz")
@@ -207,6 +208,68 @@ def test_position_columns_and_missing_id(spark):
         match_positions(td, out.drop("avl_history_id"))
 
 
+def test_positions_of_one_sided_periods_and_far_history(spark):
+    import datetime as dt
+    from fareshift.sources.positions import read_positions
+    T = dt.datetime
+    vmh = spark.createDataFrame([(i, T(2020, 1, i, 4, 0), "90", 1976) for i in range(1, 6)],
+                                "avl_history_id long, time timestamp_ntz, route string, vehicle_id long")
+    avl = spark.createDataFrame([(i, T(2020, 1, i, 4, 0) + dt.timedelta(days=2 if i == 3 else 0), float(i)) for i in range(1, 6)],
+                                "avl_history_id long, time timestamp_ntz, latitude double")
+    ids = lambda *a, **k: rows(read_positions(vmh, avl, *a, **k), "avl_history_id", "latitude")
+    assert ids("2020-01-03", None) == [(3, 3.0), (4, 4.0), (5, 5.0)]
+    assert ids(None, "2020-01-03") == [(1, 1.0), (2, 2.0), (3, 3.0)]
+    assert ids("2020-01-03", "2020-01-03") == [(3, 3.0)]  # its position is dated two days later
+    assert len(ids()) == 5
+    assert ids("2021-01-01", None) == []
+
+
+def test_history_is_read_between_the_kept_ids(spark, tmp_path):
+    from fareshift.sources.positions import read_positions
+    spark.range(0, 10_000, 1, 1).selectExpr(
+        "id AS avl_history_id", "TIMESTAMP_NTZ'2020-01-01 03:00:00' + make_dt_interval(0, 0, CAST(id AS INT)) AS time", "'90' AS route",
+        "1976L AS vehicle_id").write.parquet(str(tmp_path / "vmh"))
+    spark.range(10_000).selectExpr("id AS avl_history_id", "CAST(id AS DOUBLE) AS latitude").write.parquet(str(tmp_path / "avl"))
+    out = read_positions(spark.read.parquet(str(tmp_path / "vmh")), spark.read.parquet(str(tmp_path / "avl")), "2020-01-04", None)
+    got = out.collect()
+    assert len(got) == 10_000 - 3 * 1440 and all(r.latitude == r.avl_history_id for r in got)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    history = next(x for x in plan.splitlines() if "FileScan parquet" in x and "latitude" in x)
+    assert "scalar-subquery" in history or "ReusedSubquery" in history or "Subquery" in history
+
+
+def test_report_files_are_written_by_name(spark, tmp_path):
+    from fareshift.sources.sinks import write_report_files
+    lines = [("TRANSACTION DETAIL MAY 1, 2020.csv", i, f"line {i}") for i in range(50)] + [("a=b (c).txt", 1, "x"), ("a=b (c).txt", 2, "")]
+    d = spark.createDataFrame(lines, "file string, line_no int, line string").repartition(7)
+    write_report_files(d, str(tmp_path / "r"))
+    assert sorted(x for x in os.listdir(tmp_path / "r") if not x.startswith(".")) == ["TRANSACTION DETAIL MAY 1, 2020.csv", "a=b (c).txt"]
+    assert (tmp_path / "r" / "TRANSACTION DETAIL MAY 1, 2020.csv").read_text() == "".join(f"line {i}\n" for i in range(50))
+    assert (tmp_path / "r" / "a=b (c).txt").read_text() == "x\n\n"
+
+
+def test_summaries_of_a_period_replace_its_own(spark, tmp_path):
+    import pytest
+    path = str(tmp_path / "s")
+    a = spark.createDataFrame([("Weekday", 5), ("Sunday", 2), ("Saturday", 3)], "service_type string, n long")
+    b = spark.createDataFrame([("Weekday", 7)], "service_type string, n long")
+    order = (F.col("service_type").desc(),)
+    for df, period in ((a, "2020-01"), (b, "2020-02"), (a, "2020-01"), (a.where("n > 2"), "2020-03"), (b, "2020-03")):
+        write_summary(df, path, mode="append", order_by=order, period=period)
+    back = spark.read.csv(path, header=True, schema="service_type string, n long, period string")
+    assert rows(back, "period", "service_type", "n") == [("2020-01", "Saturday", 3), ("2020-01", "Sunday", 2),
+                                                         ("2020-01", "Weekday", 5), ("2020-02", "Weekday", 7), ("2020-03", "Weekday", 7)]
+    # one file a period, in report order
+    files = [x for x in os.listdir(f"{path}/period=2020-01") if x.startswith("part-")]
+    assert len(files) == 1
+    with open(f"{path}/period=2020-01/{files[0]}") as f:
+        assert f.read() == "service_type,n\nWeekday,5\nSunday,2\nSaturday,3\n"
+    write_summary(b, path, period="2020-02")  # overwrite: the whole folder
+    assert rows(spark.read.csv(path, header=True, schema=back.schema), "period") == [("2020-02",)]
+    with pytest.raises(ValueError):
+        write_summary(a.withColumn("period", F.lit("x")), path, period="y")
+
+
 def test_file_without_header_is_reported(spark):
     lines = [("good", x) for x in TD.splitlines()] + [("bare", x) for x in TD.splitlines() if "Date and Time" not in x]
     df = spark.createDataFrame(lines, "file string, line string")

@@ -2,8 +2,10 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from conftest import rows
 from fareshift.plans import roles
 from fareshift.plans.season import run_scaleup, run_season
 
@@ -56,16 +58,22 @@ def test_command_line(spark, tmp_path):
     _write_lines(td_lines.withColumn("line_no", order), os.path.join(reports, "TD"), numbered=True)
     _write_lines(roles.rules_report_lines(spark, SF), reports, numbered=True)
     _write_lines(roles.daily_report_lines(spark, SF), reports, numbered=True)
-    _write_lines(roles.routesum_report_lines(spark, SF), reports, numbered=True)
+    _write_lines(roles.routesum_report_lines(spark, SF).where("line NOT LIKE '25,%'"), reports, numbered=True)
     pos_path = str(tmp_path / "positions")
     roles.positions(spark, SF).write.parquet(pos_path)
     common = ["--reports", reports, "--positions", pos_path, "--north", "60", "--south", "20", "--fleet", "all"]
+    for run, option in (("scaleup", "--gap-seconds=90"), ("scaleup", "--no-null-gap"), ("scaleup", "--percent"),
+                        ("scaleup", "--store=x"), ("period", "--store=x"), ("period", "--other-totals=x"),
+                        ("season", "--other-totals=x"), ("period", "--season-until=2024-01-20")):
+        with pytest.raises(SystemExit):
+            main([run, "--start", "2024-01-01", "--end", "2024-01-31", "--out", "x", option, *common], spark=spark)
     out = main(["period", "--start", "2023-12-31", "--end", "2024-02-01", "--out", str(tmp_path / "p")] + common,
                spark=spark)
     assert out["by_type_long"].count() > 0
-    # every code is a rule here, so each route's rides equal its RouteSum
+    # every code is a rule here, so each route's rides equal its RouteSum; route 25 is not in it and stays
     rec = out["reconcile"].collect()
-    assert len(rec) == 5 and all((r.year, r.month, r.ridership_td) == (2024, "Jan", r.ridership) for r in rec)
+    assert {r.route for r in rec if r.ridership is None} == {"25"}
+    assert len(rec) == 5 and all((r.year, r.month) == (2024, "Jan") and r.ridership in (None, r.ridership_td) for r in rec)
     assert (tmp_path / "p" / "period_rejected").exists()
     out = main(["scaleup", "--start", "2024-01-01", "--end", "2024-01-31", "--out", str(tmp_path / "s")] + common,
                spark=spark)
@@ -122,3 +130,49 @@ def test_scale_up_keeps_days_of_either_side(spark):
     control = spark.createDataFrame([(d[0], 8), (d[2], 4)], "service_day date, ridership long")
     got = {r.service_day: (r.ridership, r.final_901, r.final_902) for r in scale_to_control(local, control).collect()}
     assert got == {d[0]: (8, 6, 2), d[1]: (None, 5, 2), d[2]: (4, 0, 0)}
+
+
+def test_season_in_increments_equals_one_run(spark, tmp_path):
+    td, pos, rules = roles.td(spark, SF), roles.positions(spark, SF), roles.rules(spark)
+    kw = dict(control=roles.daily_totals(spark, SF), control_start="2024-01-01", season_until="2024-01-25", **KW)
+    whole = run_season(td, pos, rules, str(tmp_path / "a"), start="2024-01-10", end="2024-01-31", **kw)
+    store = str(tmp_path / "store")
+    for start, end in (("2024-01-10", "2024-01-18"), ("2024-01-18", "2024-01-31"), ("2024-01-18", "2024-01-31")):
+        parts = run_season(td, pos, rules, str(tmp_path / "b"), start=start, end=end, store=store, **kw)
+    assert sorted(whole) == sorted(parts)
+    for name, df in whole.items():
+        assert rows(df) == rows(parts[name]), name
+    # a month run again under other options replaces its days
+    again = run_season(td, pos, rules, str(tmp_path / "c"), start="2024-01-18", end="2024-01-31", store=store,
+                       gap_seconds=120.0, null_is_gap=True, roll_ends=True, scale=1.0, **kw)
+    q = again["questionable_by_month"].first()
+    assert q.n_rows == whole["questionable_by_month"].first().n_rows
+    assert q.questionable_pct == (q.n_after_last + q.n_in_gap + q.n_bad_gps) / q.n_rows
+
+
+def test_season_quality_counts_what_the_matched_table_has(spark, tmp_path):
+    """From daily counts, and straight from the matched rows."""
+    from fareshift.operators.quality import (bad_gps_by_month_route, quality_flags, quality_report, questionable_by_month)
+    from fareshift.operators.summary import service_summary_distinct
+    from fareshift.plans.period import matched_table
+    td, pos, rules = roles.td(spark, SF), roles.positions(spark, SF), roles.rules(spark)
+    out = run_season(td, pos, rules, str(tmp_path), start="2024-01-10", end="2024-01-31", repair=None, gap_seconds=120.0, **KW)
+    flagged = quality_flags(matched_table(td, pos, rules, start="2024-01-10", end="2024-01-31", route_pattern="^90", **KW),
+                            gap_seconds=120.0)
+    assert rows(out["questionable_by_month"]) == rows(questionable_by_month(flagged).select(out["questionable_by_month"].columns))
+    assert rows(out["bad_gps_by_month_route"]) == rows(bad_gps_by_month_route(flagged))
+    assert rows(out["quality"]) == rows(quality_report(pos, flagged))
+    assert rows(out["by_route"]) == rows(service_summary_distinct(flagged))
+
+
+def test_a_period_appended_twice_counts_once(spark, tmp_path):
+    from fareshift.plans.period import run_period
+    td, pos, rules = roles.td(spark, SF), roles.positions(spark, SF), roles.rules(spark)
+    out = str(tmp_path)
+    for start, end in (("2024-01-01", "2024-01-10"), ("2024-01-11", "2024-01-20"), ("2024-01-01", "2024-01-10")):
+        got = run_period(td, pos, rules, out, start=start, end=end, fleet=None, label="p", mode="append", **KW)
+    back = spark.read.csv(f"{out}/p_by_type_long", header=True,
+                          schema="service_type string, local_route string, ridership long, period string")
+    first = back.where("period = '2024-01-01_2024-01-10'").drop("period")
+    assert rows(first) == rows(got["by_type_long"])
+    assert {r.period for r in back.collect()} == {"2024-01-01_2024-01-10", "2024-01-11_2024-01-20"}
