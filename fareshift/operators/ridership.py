@@ -64,8 +64,8 @@ def ridership_only(td: DataFrame, rules: DataFrame, with_transfers: bool = True,
 def _semi(td: DataFrame, codes: DataFrame, with_transfers: bool, description_col: str = "description",
           type_col: str = "type") -> DataFrame:
     transfer = is_transfer(type_col) if with_transfers else F.lit(False)
-    listed = codes.select(F.lit(False).alias("_transfer"), F.col("code").alias("_code"))
-    listed = listed.unionAll(codes.sparkSession.range(1).select(F.lit(True), F.lit("")))
+    mark = codes.sparkSession.sql("SELECT * FROM VALUES (true, '') AS v(_transfer, _code)")
+    listed = mark.unionAll(codes.select(F.lit(False), F.col("code")))
     key = F.when(transfer, F.lit("")).otherwise(F.col(description_col))
     return td.join(listed, (key == F.col("_code")) & (transfer == F.col("_transfer")), "left_semi")
 

@@ -141,11 +141,15 @@ def _norm(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"[^A-Za-z0-9]", ""))
 
 
-def _pick(fields: Column, header_norm: Column, name: str) -> Column:
-    """The cleaned field under header ``name`` (matched ignoring case, spaces, dots)."""
+def _place(header_norm: Column, name: str) -> Column:
+    """The place of header ``name`` (matched ignoring case, spaces, dots), null without one."""
     key = "".join(ch for ch in name.lower() if ch.isalnum())
-    pos = F.array_position(header_norm, F.lit(key)).cast("int")
-    return _clean(F.when(pos > 0, F.try_element_at(fields, pos)))
+    return F.nullif(F.array_position(header_norm, F.lit(key)).cast("int"), F.lit(0))
+
+
+def _pick(fields: Column, header_norm: Column, name: str) -> Column:
+    """The cleaned field under header ``name``."""
+    return _clean(F.try_element_at(fields, _place(header_norm, name)))
 
 
 def _header_norm(fields: Column) -> Column:
@@ -293,8 +297,11 @@ def _td_headers(lines: DataFrame) -> DataFrame:
     for m in TD_HEADER_MARKERS:
         cond = cond & F.col("line").contains(m)
     hdr = lines.where(cond).groupBy("file").agg(F.min("line").alias("_hline"))
-    return hdr.select("file", _header_norm(_fields(F.col("_hline"))).alias("_hdr"),
-                      (F.size(F.split("_hline", ",")) - 1).alias("_hcommas"),
+    hdr = hdr.select("file", _header_norm(_fields(F.col("_hline"))).alias("_hdr"),
+                     (F.size(F.split("_hline", ",")) - 1).alias("_hcommas"))
+    # Where each column stands is looked up here, once a file; a line only takes its fields from there.
+    places = [_place(F.col("_hdr"), header).alias(name) for header, name in TD_COLUMNS.items()]
+    return hdr.select("file", F.struct(*places).alias("_at"), "_hcommas",
                       F.explode(F.sequence(F.lit(0), F.lit(HEADER_SALTS - 1))).alias("_salt"))
 
 
@@ -313,8 +320,8 @@ def _td_candidates(lines: DataFrame) -> DataFrame:
     j = salted.join(_td_headers(lines), ["file", "_salt"], "left")
     is_header = F.col("line").contains(TD_HEADER_MARKERS[0]) & F.col("line").contains(TD_HEADER_MARKERS[1])
     j = j.where(~is_header & (F.trim("line") != "") & ~F.col("line").contains(TD_FOOTER))
-    j = j.select("file", "line", "_hdr", "_hcommas", F.explode(F.array(_fields(F.col("line")))).alias("_f"))
-    picked = [_pick(F.col("_f"), F.col("_hdr"), header).alias(f"_txt_{name}") for header, name in TD_COLUMNS.items()]
+    j = j.select("file", "line", "_at", "_hcommas", F.explode(F.array(_fields(F.col("line")))).alias("_f"))
+    picked = [_clean(F.try_element_at("_f", F.col("_at")[name])).alias(f"_txt_{name}") for name in TD_COLUMNS.values()]
     j = j.select("file", "line", "_hcommas", *picked)
     return j.select("*", F.explode(F.array(parse_report_timestamp(F.col("_txt_txn_time")))).alias("txn_time"))
 
