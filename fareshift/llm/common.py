@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +24,44 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
+#: Spark removes an execution's shuffle files at its end where this is set.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Executions started inside give back their shuffle files when they end; the session's setting is
+    as before afterwards."""
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage with files every executor can read, so a lost executor
-    costs only its running tasks.
+    costs only its running tasks. What was shuffled for it is given back at once.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing will read again, also not to recompute: all that came
+    from them has been written."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_fold(id_col: Column, modulus: int) -> Column:
@@ -94,7 +123,9 @@ def sum_counts(parts: DataFrame, slots: int) -> np.ndarray:
     n = parts.count()
     while n > 4:
         n = -(-n // 16)
-        parts = materialize(parts.repartition(n).mapInArrow(_add_counts, "counts binary"), "counts")
+        before, parts = parts, materialize(parts.repartition(n).mapInArrow(_add_counts, "counts binary"), "counts")
+        if hasattr(before, "written"):
+            discard(before)
     total = np.zeros(slots, dtype=np.int64)
     for r in parts.collect():
         total += np.frombuffer(r["counts"], dtype=np.int32)

@@ -3,13 +3,12 @@
 The tree starts with all rows and the number of leaves that the target size
 asks for. Every node is split along its widest dimension (its spread over that of
 the whole table) at a weighted median: the left half of its leaves gets its share of
-the node's bytes. All nodes of a level are split together, by histograms that
-Spark sums up: ``BINS`` equal bins between a node's bounds, then again within the bin
-that holds the cut, until the cut is within ``TOLERANCE`` of a leaf's bytes.
-Rows alike along the dimension are ordered by the crc32 of their text and a hash of the
-row, so a cut can go through any number of them. The driver sees
-sums of bins only; their number, like the size of the expression that places a row,
-depends on the leaves, not on the rows.
+the node's bytes. All nodes of a level are split together: their rows are dealt by
+ranges of node and value, summed up by range, and each row's running sum in its node says on
+which side of the median it lies. So a level takes the same few jobs however many
+nodes it has, and the cut is exact to one row.
+Rows alike along the dimension are ordered by the crc32 of their text and the id, so a cut can go through any number
+of them. The driver sees one row of sums a node.
 
 Equal texts share their place in that order wherever they share the metadata;
 they are cut apart only where a leaf must end among them.
@@ -28,11 +27,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fareshift.llm.common import materialize, partitions_for
+from fareshift.llm.common import discard, materialize, partitions_for, small_side
 
 OVERHEAD = 16
-BINS = 1024
-TOLERANCE = 0.0005
+RANGE_ROWS = 100_000
 PART_ROWS = 20_000
 
 
@@ -46,95 +44,63 @@ def number_order(x: Column) -> Column:
     return F.coalesce(x.cast("long"), F.lit(-1).cast("long"))
 
 
-def _node_of(cuts: dict[int, tuple], node: int = 0) -> Column:
-    """The leaf a row comes to below ``node``: one nested condition for each cut (dim, c1, c2, left, right)."""
-    if node not in cuts:
-        return F.lit(node)
-    dim, c1, c2, left, right = cuts[node]
-    value = F.col(f"d{dim}")
-    goes_left = (value < c1) | ((value == c1) & (F.col("tie") <= c2))
-    return F.when(goes_left, _node_of(cuts, left)).otherwise(_node_of(cuts, right))
-
-
-def _per_node(values: dict[int, int | None]) -> Column:
-    """A value looked up by node; null for other nodes."""
-    known = F.array(*[F.lit(values.get(n)).cast("long") for n in range(max(values) + 1)])
-    return F.try_element_at(known, F.col("node") + 1)
-
-
-def _find_cuts(at: DataFrame, jobs: dict[int, dict], dims: int) -> None:
-    """Sets c1, c2 of each job (node: dim, lo, hi, goal): rows with (value, tie) <= (c1, c2) hold
-    about ``goal`` bytes of the node."""
-    for j in jobs.values():
-        j |= {"first": True, "done": False, "below": 0, "c1": j["lo"] - 1, "c2": 2**62}
-    while active := {n: j for n, j in jobs.items() if not j["done"]}:
-        # A job looks at the values, and once these are down to one, at the ties of that value.
-        value = F.element_at(F.array(*[F.col(f"d{i}") for i in range(dims)]),
-                             (_per_node({n: j["dim"] for n, j in active.items()}) + 1).cast("int"))
-        fixed = _per_node({n: None if j["first"] else j["value"] for n, j in active.items()})
-        lo, hi = (_per_node({n: j[k] for n, j in active.items()}) for k in ("lo", "hi"))
-        step = _per_node({n: max(1, -(-(j["hi"] - j["lo"] + 1) // BINS)) for n, j in active.items()})
-        bins = (at.where(F.col("node").isin([*active]))
-                .select("node", "size", lo.alias("lo"), hi.alias("hi"), step.alias("step"), F.when(
-                    fixed.isNull(), value).when(value == fixed, F.col("tie")).alias("x"))
-                .where("x between lo and hi").groupBy("node", F.expr("cast((x - lo) div step as int)").alias("bin"))
-                .agg(F.sum("size").alias("size")).collect())
-        for n, j in active.items():
-            step = max(1, -(-(j["hi"] - j["lo"] + 1) // BINS))
-            own = sorted((r["bin"], r["size"]) for r in bins if r["node"] == n)
-            below = j["below"]
-            for b, size in own:
-                if below + size >= j["goal"]:
-                    break
-                below += size
-            else:
-                j["done"] = True
-                continue
-            lo, hi = j["lo"] + b * step, min(j["hi"], j["lo"] + (b + 1) * step - 1)
-            under, over = j["goal"] - below, below + size - j["goal"]
-            if min(under, over) <= j["slack"] or (lo == hi and not j["first"]):
-                end = hi if over <= under else lo - 1
-                j["c1"], j["c2"] = (end, 2**62) if j["first"] else (j["value"], end)
-                j["done"] = True
-            elif lo == hi:
-                j |= {"first": False, "value": lo, "lo": 0, "hi": 2**62, "below": below, "c1": lo, "c2": -1}
-            else:
-                j |= {"lo": lo, "hi": hi, "below": below}
-
-
-def kd_tree(rows: DataFrame, dims: int, shards: int) -> tuple[dict[int, tuple], dict[int, int]]:
-    """The nodes' cuts (dim, c1, c2, left, right) and the leaves' shards, from the left."""
-    stats = [F.min(f"d{i}").alias(f"lo{i}") for i in range(dims)] + [F.max(f"d{i}").alias(f"hi{i}") for i in range(dims)]
-    whole = rows.agg(F.sum("size").alias("size"), *stats).first()
-    if whole["size"] is None:
-        return {}, {0: 0}
+def _halved(rows: DataFrame, jobs: DataFrame, total: int) -> DataFrame:
+    """The rows (id, size, crc, tie, d, node) of the nodes in ``jobs`` (node, dim, goal, left, right), each in
+    the left node or the right one.
+
+    Rows are dealt by ranges of (node, value, tie, id); a row's bytes and all before it in its node are a running sum in
+    its range plus the sums of the ranges before. The cut is the weighted median, to a row; rows alike
+    in all of that stay together.
+    """
+    order = ["x", "tie", "id"]
+    keyed = rows.join(F.broadcast(jobs), "node").withColumn("x", F.element_at("d", F.col("dim") + 1))
+    ranged = materialize(keyed.repartitionByRange(partitions_for(total, RANGE_ROWS), "node", *order)
+                         .withColumn("part", F.spark_partition_id()), "shard-ranges")
+    before = Window.partitionBy("node").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = materialize(ranged.groupBy("part", "node").agg(F.sum("size").alias("s"))
+                        .select("part", "node", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ahead")), "shard-ahead")
+    own = Window.partitionBy("part", "node").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = ranged.join(small_side(ahead), ["part", "node"]).withColumn("upto", F.col("ahead") + F.sum("size").over(own))
+    goes_left = 2 * F.col("upto") - F.col("size") <= 2 * F.col("goal")
+    out = materialize(running.select("id", "size", "crc", "tie", "d", F.when(goes_left, F.col("left")).otherwise(F.col("right"))
+                                     .alias("node")), "shard-halves")
+    discard(ranged, ahead)
+    return out
+
+
+def kd_tree(rows: DataFrame, dims: int, shards: int) -> DataFrame:
+    """``rows`` (id, size, crc, tie, d: array of the dimensions; a written table, used up) with their ``shard``.
+
+    A node's ``shards`` leaves are halved as long as there are two. The driver sees a row of sums a node
+    and level.
+    """
+    spark = rows.sparkSession
+    total = rows.count()
+    stats = [F.sum("size").alias("size"), *[f(F.col("d")[i]).alias(f"{k}{i}") for i in range(dims) for k, f in
+                                            (("lo", F.min), ("hi", F.max))]]
+    whole = rows.agg(*stats).first()
+    if not total:
+        return rows.withColumn("shard", F.lit(0))
     spread = [max(1, whole[f"hi{i}"] - whole[f"lo{i}"]) for i in range(dims)]
-    slack = TOLERANCE * whole["size"] / shards
-    nodes, first_shard, leaves, cuts, fresh = {0: shards}, {0: 0}, {}, {}, 1
-    while nodes:
-        leaves |= {n: first_shard[n] for n, k in nodes.items() if k == 1}
-        nodes = {n: k for n, k in nodes.items() if k > 1}
-        if not nodes:
+    # A node is known by its first shard; ``leaves`` says how many follow.
+    leaves, rows = {0: shards}, rows.withColumn("node", F.lit(0))
+    while max(leaves.values()) > 1:
+        open_nodes = [n for n, k in leaves.items() if k > 1]
+        found = rows.where(F.col("node").isin(open_nodes)).groupBy("node").agg(*stats).collect()
+        jobs, after = [], {n: k for n, k in leaves.items() if k == 1}
+        for n in open_nodes:
+            after |= {n: leaves[n] // 2, n + leaves[n] // 2: leaves[n] - leaves[n] // 2}
+        for r in found:
+            n, wide = r["node"], [(r[f"hi{i}"] - r[f"lo{i}"]) / spread[i] for i in range(dims)]
+            jobs.append((n, int(np.argmax(wide)), r["size"] * (leaves[n] // 2) / leaves[n], n, n + leaves[n] // 2))
+        if not jobs:  # every row is in a leaf; the other nodes have none
             break
-        at = rows.withColumn("node", _node_of(cuts))
-        found = {r["node"]: r for r in at.where(F.col("node").isin([*nodes])).groupBy("node").agg(
-            F.sum("size").alias("size"), *stats).collect()}
-        jobs = {}
-        for n, r in found.items():
-            wide = [(r[f"hi{i}"] - r[f"lo{i}"]) / spread[i] for i in range(dims)]
-            dim = int(np.argmax(wide))
-            jobs[n] = {"dim": dim, "lo": r[f"lo{dim}"], "hi": r[f"hi{dim}"], "slack": slack,
-                       "goal": r["size"] * (nodes[n] // 2) / nodes[n]}
-        _find_cuts(at.where(F.col("node").isin([*jobs])), jobs, dims)
-        below = {}
-        for n, k in nodes.items():
-            j = jobs.get(n, {"dim": 0, "c1": 0, "c2": 0})
-            cuts[n] = (j["dim"], j["c1"], j["c2"], fresh, fresh + 1)
-            below |= {fresh: k // 2, fresh + 1: k - k // 2}
-            first_shard |= {fresh: first_shard[n], fresh + 1: first_shard[n] + k // 2}
-            fresh += 2
-        nodes = below
-    return cuts, leaves
+        halved = _halved(rows, spark.createDataFrame(jobs, "node int, dim int, goal double, left int, right int"), total)
+        done = rows.where(~F.col("node").isin(open_nodes))
+        both = materialize(halved.unionByName(done.select(halved.columns)), "shard-level")
+        discard(halved, *([rows] if hasattr(rows, "written") else []))
+        leaves, rows = after, both
+    return rows.withColumnRenamed("node", "shard")
 
 
 def shard_documents(docs: DataFrame, shards: int, dimensions: tuple[Column, ...], id_col: str = "doc_id",
@@ -143,14 +109,14 @@ def shard_documents(docs: DataFrame, shards: int, dimensions: tuple[Column, ...]
     ``number_order``)."""
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"),
-                       F.crc32(raw).alias("crc"), *[d.alias(f"d{i}") for i, d in enumerate(dimensions)])
+                       F.crc32(raw).alias("crc"), F.array(*dimensions).alias("d"))
     tie = F.col("crc") * F.lit(1 << 30) + F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     rows = materialize(rows.withColumn("tie", tie), "shard-rows")
-    cuts, leaves = kd_tree(rows, len(dimensions), shards)
-    placed = rows.withColumn("node", _node_of(cuts)).withColumn("shard", _per_node(leaves).cast("int"))
+    shard = kd_tree(rows, len(dimensions), shards)
     parts = partitions_for(rows.count(), shards * PART_ROWS, 1)
-    placed = materialize(placed.select("id", "size", "crc", "shard", "tie",
-                                       F.pmod(F.xxhash64("id", "crc"), F.lit(parts)).alias("part")), "shard-placed")
+    placed = materialize(shard.select("id", "size", "crc", "shard", "tie",
+                                      F.pmod(F.xxhash64("id", "crc"), F.lit(parts)).alias("part")), "shard-placed")
+    discard(rows, *([shard] if hasattr(shard, "written") else []))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
                .select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))

@@ -339,6 +339,52 @@ def test_shards_are_equal_and_gapless(docs, none):
     assert sharding.shard_documents(none, 4, dims).count() == 0
 
 
+def brute_tree(data, leaves, spread, first=0):
+    """(row number, shard) by sorting every node."""
+    if leaves == 1 or not data:
+        return [(r["no"], first) for r in data]
+    wide = [(max(r["d"][i] for r in data) - min(r["d"][i] for r in data)) / spread[i] for i in range(len(spread))]
+    dim = wide.index(max(wide))
+    goal = sum(r["size"] for r in data) * (leaves // 2) / leaves
+    sides, upto = ([], []), 0
+    for r in sorted(data, key=lambda r: (r["d"][dim], r["tie"], r["id"])):
+        upto += r["size"]
+        sides[2 * upto - r["size"] > 2 * goal].append(r)
+    return (brute_tree(sides[0], leaves // 2, spread, first)
+            + brute_tree(sides[1], leaves - leaves // 2, spread, first + leaves // 2))
+
+
+@pytest.mark.parametrize("shards", [1, 2, 7, 40])
+def test_shards_are_those_of_a_sorted_tree(spark, monkeypatch, shards):
+    from fareshift.llm.common import materialize
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 60)
+    rng = random.Random(shards)
+    data = [{"no": i, "id": i % 390, "size": rng.choice([16, 50, 900]), "crc": rng.randrange(4), "tie": rng.randrange(30),
+             "d": [rng.randrange(3), rng.randrange(200)]} for i in range(390)]
+    table = spark.createDataFrame([tuple(r[k] for k in ("id", "size", "crc", "tie", "d")) for r in data],
+                                  "id long, size long, crc long, tie long, d array<long>")
+    got = {r["id"]: r["shard"] for r in sharding.kd_tree(materialize(table, "t"), 2, shards).collect()}
+    spread = [max(r["d"][i] for r in data) - min(r["d"][i] for r in data) for i in (0, 1)]
+    assert got == dict(brute_tree(data, shards, spread))
+    bytes_of = collections.Counter()
+    for r in data:
+        bytes_of[got[r["id"]]] += r["size"]
+    assert max(bytes_of.values()) - min(bytes_of.values()) <= 2 * 900
+
+
+def test_materialized_tables_give_back_their_shuffles(spark):
+    import os
+
+    from fareshift.llm import common
+    before = spark.conf.get(common.FREE_SHUFFLES, "false")
+    t = common.materialize(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    assert t.count() == 7 and spark.conf.get(common.FREE_SHUFFLES) == before
+    path = t.written.removeprefix("file:")
+    assert os.path.isdir(path)
+    common.discard(t)
+    assert not os.path.exists(path)
+
+
 def test_languages(spark, none):
     en, de = "the cat and the dog were with other things", "der hund und die katze waren mit anderen dingen"
     data = [(i, f"{(en, de)[i % 2]} {i} {(en, de)[i % 2][::-1][:i % 9]}", ("en", "de")[i % 2]) for i in range(80)]
