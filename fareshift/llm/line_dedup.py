@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareshift.llm import tokens
-from fareshift.llm.common import BROADCAST_ROWS, count_bytes, materialize, small_side, sub_batches, sum_counts
+from fareshift.llm.common import BROADCAST_ROWS, count_bytes, discard, materialize, small_side, sub_batches, sum_counts
 
 SLOTS = 1 << 19
 LEAD = 3
@@ -188,6 +188,7 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
                         .where("c > 1").select("key", "first"), "lines-first")
     equal = materialize(lines.join(first, "key").where(F.struct("id", "no") > F.col("first")).select("id", "no")
                         .distinct(), "lines-equal")
+    discard(digests, first)
 
     listed = (d.mapInArrow(_prefixes(counts, num, den, min_tokens),
                            f"id {kind}, no int, n int, parity long, parity2 long, i int, token int")
@@ -206,8 +207,10 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
         both = (pairs.join(sets.withColumnRenamed("s", "sy"), ["id", "no"])
                 .join(sets.select(F.col("id").alias("x_id"), F.col("no").alias("x_no"), F.col("s").alias("sx")),
                       ["x_id", "x_no"]))
-        return materialize(both.select("id", "no", "sx", "sy").mapInArrow(_verify(num, den), f"id {kind}, no int")
-                           .distinct(), f"{name}-verified")
+        out = materialize(both.select("id", "no", "sx", "sy").mapInArrow(_verify(num, den), f"id {kind}, no int")
+                          .distinct(), f"{name}-verified")
+        discard(pairs, wanted, sets)
+        return out
 
     def as_x(df: DataFrame, *more: str) -> DataFrame:
         return df.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "no", "n", "parity", "parity2", "i", *more)])
@@ -227,6 +230,7 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
             .union(met_hot.select(met_columns))
             .groupBy("id", "no").agg(F.min(F.struct("off", "x_id", "x_no")).alias("x")).select("id", "no", "x.x_id", "x.x_no"))
     settled = verified(best, "lines-leaders")
+    discard(lead)
 
     # All pairs that still matter: the shorter line by the tokens it must share with one at least as
     # long, the longer one by its whole list; the later of the two must not be settled.
@@ -239,7 +243,9 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
     rest = found.select(F.when(earlier, one).otherwise(two).alias("y"), F.when(earlier, two).otherwise(one).alias("x")) \
         .select("y.id", "y.no", F.col("x.id").alias("x_id"), F.col("x.no").alias("x_no")).distinct()
     others = verified(rest, "lines-rest")
-    return materialize(equal.union(settled).union(others).distinct(), "lines-removed")
+    removed = materialize(equal.union(settled).union(others).distinct(), "lines-removed")
+    discard(listed, equal, settled, others)
+    return removed
 
 
 def spark_arrow(schema):

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fareshift.llm import tokens
-from fareshift.llm.common import count_bytes, materialize, small_side, sub_batches, sum_counts
+from fareshift.llm.common import count_bytes, discard, materialize, small_side, sub_batches, sum_counts
 
 U = np.uint64
 SLOTS = 1 << 20  # hashed counts that order shingles by rarity
@@ -182,6 +182,7 @@ def components(edges: DataFrame, labels: DataFrame, name: str = "cc") -> DataFra
 
     e = materialize(edges.join(of("a"), "a").join(of("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
                     .where("a <> b").distinct(), f"{name}-edges")
+    jumps = []
     while not e.isEmpty():
         hook = (e.union(e.select("b", "a")).groupBy("a").agg(F.min("b").alias("m"))
                 .select(F.col("a").alias("v"), F.least("a", "m").alias("p")))
@@ -191,23 +192,29 @@ def components(edges: DataFrame, labels: DataFrame, name: str = "cc") -> DataFra
             .select("v", F.coalesce("p", "comp").alias("comp"))
         to_a = jump.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         to_b = jump.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        e = materialize(e.join(to_a, "a", "left").join(to_b, "b", "left")
-                        .select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
-                        .where("a <> b").distinct(), f"{name}-edges")
-    return materialize(labels, f"{name}-labels")
+        jumps.append(jump)
+        before, e = e, materialize(e.join(to_a, "a", "left").join(to_b, "b", "left")
+                                   .select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+                                   .where("a <> b").distinct(), f"{name}-edges")
+        discard(before)
+    out = materialize(labels, f"{name}-labels")
+    discard(e, *jumps)
+    return out
 
 
 def _linked_components(shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(key, comp) of the sets in ``shared``. ``shared``: (sig, key, n) of signatures with more
-    than one set; ``sets``: (key, s)."""
+    than one set; ``sets``: (key, s). Both are written tables, and used up."""
     near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
     a_sets = sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
     b_sets = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
 
     def compare(pairs: DataFrame, name: str) -> DataFrame:
         pairs = materialize(pairs.where(near).select("a", "b").distinct(), f"{name}-pairs")
-        return materialize(pairs.join(a_sets, "a").join(b_sets, "b").select("a", "b", "sa", "sb")
-                           .mapInArrow(_compare(num, den), "a long, b long, linked boolean"), f"{name}-compared")
+        out = materialize(pairs.join(a_sets, "a").join(b_sets, "b").select("a", "b", "sa", "sb")
+                          .mapInArrow(_compare(num, den), "a long, b long, linked boolean"), f"{name}-compared")
+        discard(pairs)
+        return out
 
     # One leader each: among the smallest sets of its signatures, the one it meets most often.
     lead = shared.groupBy("sig").agg(F.min(F.struct("key", "n")).alias("lead"))
@@ -218,6 +225,7 @@ def _linked_components(shared: DataFrame, sets: DataFrame, num: int, den: int) -
                                     F.col("key").alias("b"), F.col("n").alias("nb")), "leaders")
     alone = materialize(shared.select(F.col("key").alias("v")).distinct().withColumn("comp", F.col("v")), "alone")
     merged = components(compared.where("linked"), alone)
+    discard(compared, alone)
 
     def labelled(merged: DataFrame) -> DataFrame:
         """``shared`` with components, only where a signature still holds several."""
@@ -231,12 +239,16 @@ def _linked_components(shared: DataFrame, sets: DataFrame, num: int, den: int) -
     again = (now.join(lead, "sig").where(F.col("comp") != F.col("lead.comp"))
              .select(F.col("lead.key").alias("a"), F.col("lead.n").alias("na"), F.col("key").alias("b"),
                      F.col("n").alias("nb")).distinct())
-    merged = components(compare(again, "second").where("linked"), merged)
+    compared, before = compare(again, "second"), merged
+    merged = components(compared.where("linked"), merged)
+    discard(now, compared, before)
 
     # What is left: sets that still share a signature with another component. Such a pair can only
     # link if the sets share one of their rarest shingles early enough.
-    now = labelled(merged).select("key", "comp").distinct()
-    left_sets = materialize(sets.join(small_side(materialize(now, "open-keys")), "key"), "open-sets")
+    now = labelled(merged)
+    keys = materialize(now.select("key", "comp").distinct(), "open-keys")
+    left_sets = materialize(sets.join(small_side(keys), "key"), "open-sets")
+    discard(shared, now, keys)
     counts = sum_counts(left_sets.select("s").mapInArrow(_shingle_counts, "counts binary"), SLOTS)
     listed = materialize(left_sets.mapInArrow(_rare_prefixes(counts, num, den),
                                               "key long, comp long, n int, i int, shingle long, "
@@ -251,7 +263,10 @@ def _linked_components(shared: DataFrame, sets: DataFrame, num: int, den: int) -
             .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near & reachable
                    & (differ <= F.col("na") + F.col("nb") - 2 * overlap))
             .select("a", "na", "b", "nb"))
-    return components(compare(rest, "rest").where("linked"), merged).withColumnRenamed("v", "key")
+    compared = compare(rest, "rest")
+    out = components(compared.where("linked"), merged)
+    discard(listed, left_sets, sets, compared, merged)
+    return out.withColumnRenamed("v", "key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80,
@@ -265,6 +280,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = materialize(signed.groupBy("sig").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
                           .where("lo <> hi").select("sig"), "jaccard-several")
     shared = materialize(signed.join(small_side(several), "sig").distinct(), "jaccard-shared")
+    signatures, described = described, materialize(described.select("id", "n", "key"), "jaccard-rows")
+    discard(signatures, several)
 
     # The sets of those that share a signature, each from one row that has it.
     keys = shared.select("key").distinct()
@@ -272,6 +289,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                        .select("rep").distinct(), "jaccard-reps")
     found = d.join(small_side(reps), d["id"].eqNullSafe(F.col("rep")), "left_semi").select("text")
     sets = materialize(found.mapInArrow(_sets(k), "key long, s array<long>").dropDuplicates(["key"]), "jaccard-sets")
+    discard(reps)
     comp = _linked_components(shared, sets, num, den)
 
     classes = described.join(comp, "key", "left").select(
