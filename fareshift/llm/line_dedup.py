@@ -21,8 +21,9 @@ earliest lines under its ``LEAD`` rarest tokens (under all its tokens, where man
 lines share one) and is compared with the closest of them, which settles groups of
 near copies in as many comparisons as lines; the full join is for those left.
 
-Defined results: null and empty texts have no lines to remove; lines of fewer
-than ``min_tokens`` distinct tokens are neither removed nor matched; repeated
+Defined results: null and empty texts have no lines to remove; lines without a word, and those of fewer
+than ``min_tokens`` distinct tokens, are neither removed nor matched; in a script without spaces a run of
+characters is one token, so such lines match where their runs are equal; repeated
 rows of one id are one document, each row losing the same lines; rows
 with a null id lose nothing and match nothing. ``text`` keeps the other lines, in order, with their
 line ends. Other columns are dropped.
@@ -30,6 +31,8 @@ line ends. Other columns are dropped.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,7 +45,7 @@ SLOTS = 1 << 19
 LEAD = 3
 HOT = 16  # lines under a token that make its earliest line worth meeting by all tokens
 HOT_ROWS = 200_000  # rows of about 50 bytes that are broadcast; beyond, the join shuffles
-MIN_TOKENS = 3
+MIN_TOKENS = 1
 U = np.uint64
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
@@ -248,6 +251,16 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
     return removed
 
 
+def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Texts without the lines of the given numbers."""
+    for text, gone in batches:
+        out = []
+        for t, numbers in zip(text.to_pylist(), gone.to_pylist(), strict=True):
+            drop = set(numbers or ())
+            out.append(None if t is None else "\n".join([x for i, x in enumerate(t.split("\n")) if i not in drop]))
+        yield pa.array(out, pa.string())
+
+
 def spark_arrow(schema):
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -262,9 +275,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_doc = removed.groupBy("id").agg(F.collect_set("no").alias("gone"))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep])
     d = d.join(F.broadcast(per_doc) if few else per_doc, "id", "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
-    return d.select(F.col("id").alias(id_col), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+    hit = F.col("gone").isNotNull()
+    kept = F.arrow_udf(_without, "string")(F.when(hit, F.col("text")), F.col("gone"))
+    d = d.withColumn("kept", kept)
+    return d.select(F.col("id").alias(id_col), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
                     F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-                    F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+                    F.when(hit, F.col("kept")).otherwise(F.col("text")).alias("text"),
                     *[F.col(f"k_{c}").alias(c) for c in keep])

@@ -71,7 +71,7 @@ WITH l AS (
 t AS (
   SELECT *, list_sort(list_distinct(regexp_extract_all(translate(line, {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS w
   FROM l),
-f AS (SELECT w, min((doc_id, no)) AS first FROM t WHERE len(w) >= 3 GROUP BY w),
+f AS (SELECT w, min((doc_id, no)) AS first FROM t WHERE len(w) >= 1 GROUP BY w),
 u AS (SELECT first, w, len(w) AS n, unnest(w) AS tok FROM f WHERE len(w) >= 4),
 m AS (
   SELECT y.first

@@ -145,7 +145,7 @@ def test_part_enum_bands_cover_linked_sizes():
             assert mine & {i for i, _ in ngram_join.bands(m, 80, 100)}
 
 
-def brute_lines(num=80, den=100, least=3):
+def brute_lines(num=80, den=100, least=1):
     seen, out = [], {}
     for i, t in sorted({(r[0], r[1]) for r in rows()}, key=lambda x: x[0]):
         kept, gone = [], 0
@@ -168,6 +168,28 @@ def test_line_dedup_equals_all_pairs(docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_short_lines_and_scripts_without_spaces(spark):
+    line = "今天天气很好我们一起去公园散步然后回家吃饭看书睡觉"
+    d = spark.createDataFrame([(1, f"Yes\n{line}\n---"), (2, f"{line}\nyes!\n---\n另一行文字"), (3, "yes no"), (4, "No, yes"), (5, "")],
+                              "doc_id long, text string")
+    assert by_id(line_dedup.dedup_lines(d), "n_removed", "text") == collections.Counter([
+        (1, 0, f"Yes\n{line}\n---"), (2, 2, "---\n另一行文字"), (3, 0, "yes no"), (4, 1, ""), (5, 0, "")])
+    three = line_dedup.dedup_lines(d, min_tokens=3)
+    assert three.agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_line_dedup_output_is_linear_in_a_texts_lines(spark):
+    import time
+    took = {}
+    for n in (20_000, 20_000, 80_000):
+        d = spark.createDataFrame([(1, "the same line of words\n" * n)], "doc_id long, text string")
+        t0 = time.perf_counter()
+        r = line_dedup.dedup_lines(d).first()
+        took[n] = time.perf_counter() - t0
+        assert (r["n_lines"], r["n_removed"], r["text"]) == (n + 1, n - 1, "the same line of words\n")
+    assert took[80_000] < 3 * took[20_000] + 2
+
+
 def brute_hits(t):
     w = TERM.findall((t or "").translate(AZ))
     hit, found = set(), set()
