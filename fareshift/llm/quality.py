@@ -115,9 +115,12 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 150, depth: int = 4, rate: float = 0.1, bins: int = 64,
-              l2: float = 1.0, least: int = 20) -> dict:
+              l2: float = 1.0, least: int | None = None) -> dict:
     """Boosted trees for the logistic loss. Node i has the children 2i+1 and 2i+2; a node that is
-    not split sends all rows left."""
+    not split sends all rows left. A child has at least ``least`` rows: 20, but of a few hundred rows or fewer a
+    sixteenth, 5 at least, as 20 would leave nothing to split."""
+    if least is None:
+        least = min(20, max(5, len(y) // 16))
     inner, leaves = 2**depth - 1, 2**depth
     model = {"feature": np.zeros((trees, inner), np.int32), "cut": np.full((trees, inner), np.inf),
              "leaf": np.zeros((trees, leaves)), "bias": 0.0, "depth": depth}
