@@ -22,7 +22,9 @@ components of the links.
    on their shingles, the rarest first, picks the pairs that can link at all.
    A group of m near copies costs a few times m comparisons, not m^2: what
    merges needs no further ones, and what stays apart has shingles of its own.
-4. Comparisons are exact on the sets of 64-bit shingle hashes of the whole texts.
+4. Comparisons are exact on the sets of 64-bit shingle hashes of the whole texts. A pair first meets by sketches
+   (parities of hashed classes, a 64th of the sets' size), which rule out sets that differ in too much;
+   whole sets move only for the pairs that are left.
 
 Defined results: null texts and texts without words have an empty set and link
 with nothing, also not with each other; a text of fewer than k words is one shingle;
@@ -100,15 +102,44 @@ def _describe(k: int, num: int, den: int):
     return run
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """For each of at least as many classes as a set has elements (a power of two, 64 at least): does it hold an odd
+    number of that class? Sets that differ in d elements differ in d of these bits at most."""
+    bits = 1 << max(6, len(s).bit_length())
+    odd = np.bincount((tokens.mix(s + U(3)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """How many elements two sets differ in at least; the longer sketch is folded to the shorter."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    folded = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)
+    return int(np.bitwise_count(a ^ folded).sum())
+
+
 def _sets(k: int):
     def run(batches):
         for b in sub_batches(batches):
-            key, sets = [], []
+            key, sets, sketches = [], [], []
             for s in shingle_sets(b.column("text"), k):
                 key.append(_key(s))
                 sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                                             names=["key", "s"])
+                sketches.append(sketch(s))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(sets, pa.list_(pa.int64())),
+                                              pa.array(sketches, pa.binary())], names=["key", "s", "m"])
+    return run
+
+
+def _may_link(num: int, den: int):
+    """The pairs (a, na, b, nb, ma, mb) whose sketches don't rule a link out."""
+    def run(batches):
+        for batch in sub_batches(batches):
+            ok = []
+            for m, n, x, y in zip(*[batch.column(c).to_pylist() for c in ("na", "nb", "ma", "mb")], strict=True):
+                overlap = -(-num * (m + n) // (num + den))
+                ok.append(sketch_distance(x, y) <= m + n - 2 * overlap)
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
     return run
 
 
@@ -204,13 +235,19 @@ def components(edges: DataFrame, labels: DataFrame, name: str = "cc") -> DataFra
 
 def _linked_components(shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(key, comp) of the sets in ``shared``. ``shared``: (sig, key, n) of signatures with more
-    than one set; ``sets``: (key, s). Both are written tables, and used up."""
+    than one set; ``sets``: (key, s, m). Both are written tables, and used up."""
     near = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
     a_sets = sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
     b_sets = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
 
+    a_sketch = sets.select(F.col("key").alias("a"), F.col("m").alias("ma"))
+    b_sketch = sets.select(F.col("key").alias("b"), F.col("m").alias("mb"))
+
     def compare(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = materialize(pairs.where(near).select("a", "b").distinct(), f"{name}-pairs")
+        """Whole sets move only for pairs that lengths and sketches leave."""
+        pairs = pairs.where(near).select("a", "na", "b", "nb").distinct()
+        pairs = materialize(pairs.join(a_sketch, "a").join(b_sketch, "b").mapInArrow(_may_link(num, den), "a long, b long"),
+                            f"{name}-pairs")
         out = materialize(pairs.join(a_sets, "a").join(b_sets, "b").select("a", "b", "sa", "sb")
                           .mapInArrow(_compare(num, den), "a long, b long, linked boolean"), f"{name}-compared")
         discard(pairs)
@@ -247,7 +284,7 @@ def _linked_components(shared: DataFrame, sets: DataFrame, num: int, den: int) -
     # link if the sets share one of their rarest shingles early enough.
     now = labelled(merged)
     keys = materialize(now.select("key", "comp").distinct(), "open-keys")
-    left_sets = materialize(sets.join(small_side(keys), "key"), "open-sets")
+    left_sets = materialize(sets.drop("m").join(small_side(keys), "key"), "open-sets")
     discard(shared, now, keys)
     counts = sum_counts(left_sets.select("s").mapInArrow(_shingle_counts, "counts binary"), SLOTS)
     listed = materialize(left_sets.mapInArrow(_rare_prefixes(counts, num, den),
@@ -288,7 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(described.join(keys, "key", "left_semi").groupBy("key").agg(F.min("id").alias("rep"))
                        .select("rep").distinct(), "jaccard-reps")
     found = d.join(small_side(reps), d["id"].eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = materialize(found.mapInArrow(_sets(k), "key long, s array<long>").dropDuplicates(["key"]), "jaccard-sets")
+    sets = materialize(found.mapInArrow(_sets(k), "key long, s array<long>, m binary").dropDuplicates(["key"]), "jaccard-sets")
     discard(reps)
     comp = _linked_components(shared, sets, num, den)
 

@@ -145,6 +145,20 @@ def test_part_enum_bands_cover_linked_sizes():
             assert mine & {i for i, _ in ngram_join.bands(m, 80, 100)}
 
 
+def test_sketches_never_exceed_the_difference():
+    rng = random.Random(2)
+    np = langid.np
+    for _ in range(200):
+        both = [rng.getrandbits(64) for _ in range(rng.choice([0, 1, 5, 60, 400]))]
+        x, y = ([rng.getrandbits(64) for _ in range(rng.choice([0, 1, 3, 50, 300]))] for _ in "xy")
+        a, b = (np.unique(np.array(both + z, dtype=np.uint64)) for z in (x, y))
+        differ = len(set(a.tolist()) ^ set(b.tolist()))
+        got = ngram_join.sketch_distance(ngram_join.sketch(a), ngram_join.sketch(b))
+        assert got <= differ
+        if min(len(x), len(y)) >= 50:
+            assert got > 30
+
+
 def brute_lines(num=80, den=100, least=1):
     seen, out = [], {}
     for i, t in sorted({(r[0], r[1]) for r in rows()}, key=lambda x: x[0]):
