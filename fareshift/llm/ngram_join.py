@@ -187,20 +187,6 @@ def _rare_prefixes(counts: np.ndarray, num: int, den: int):
     return run
 
 
-def _compare(num: int, den: int):
-    """Pairs of sets to (a, b, linked)."""
-    def run(batches):
-        for batch in sub_batches(batches):
-            linked = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.asarray(x.values), np.asarray(y.values)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                linked.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())],
-                                             names=["a", "b", "linked"])
-    return run
-
-
 def components(edges: DataFrame, labels: DataFrame, name: str = "cc") -> DataFrame:
     """``labels`` (v, comp), one row for every vertex, merged along the edges (a, b): each vertex gets
     the smallest label it reaches.
@@ -248,8 +234,9 @@ def _linked_components(shared: DataFrame, sets: DataFrame, num: int, den: int) -
         pairs = pairs.where(near).select("a", "na", "b", "nb").distinct()
         pairs = materialize(pairs.join(a_sketch, "a").join(b_sketch, "b").mapInArrow(_may_link(num, den), "a long, b long"),
                             f"{name}-pairs")
-        out = materialize(pairs.join(a_sets, "a").join(b_sets, "b").select("a", "b", "sa", "sb")
-                          .mapInArrow(_compare(num, den), "a long, b long, linked boolean"), f"{name}-compared")
+        both, all_ = F.size(F.array_intersect("sa", "sb")).cast("long"), F.size("sa").cast("long") + F.size("sb")
+        out = materialize(pairs.join(a_sets, "a").join(b_sets, "b")
+                          .select("a", "b", (den * both >= num * (all_ - both)).alias("linked")), f"{name}-compared")
         discard(pairs)
         return out
 
