@@ -24,20 +24,23 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-#: Spark removes an execution's shuffle files at its end where this is set.
+#: Settings of the executions that write a table: Spark removes their shuffle files at their end, and hands
+#: texts and sets to Python in batches of so many rows, which bounds the buffers on both sides.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+WRITING = {FREE_SHUFFLES: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Executions started inside give back their shuffle files when they end; the session's setting is
-    as before afterwards."""
-    before = spark.conf.get(FREE_SHUFFLES, "false")
-    spark.conf.set(FREE_SHUFFLES, "true")
+def writing(spark: SparkSession) -> Iterator[None]:
+    """``WRITING`` for the executions started inside; the session's settings are as before afterwards."""
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(FREE_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -48,7 +51,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    with shuffles_freed(spark):
+    with writing(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written = path

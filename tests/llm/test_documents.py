@@ -412,9 +412,9 @@ def test_materialized_tables_give_back_their_shuffles(spark):
     import os
 
     from fareshift.llm import common
-    before = spark.conf.get(common.FREE_SHUFFLES, "false")
+    before = {k: spark.conf.get(k) for k in common.WRITING}
     t = common.materialize(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "test")
-    assert t.count() == 7 and spark.conf.get(common.FREE_SHUFFLES) == before
+    assert t.count() == 7 and {k: spark.conf.get(k) for k in common.WRITING} == before
     path = t.written.removeprefix("file:")
     assert os.path.isdir(path)
     common.discard(t)
