@@ -31,8 +31,6 @@ line ends. Other columns are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -251,14 +249,15 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
     return removed
 
 
-def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """Texts without the lines of the given numbers."""
-    for text, gone in batches:
-        out = []
-        for t, numbers in zip(text.to_pylist(), gone.to_pylist(), strict=True):
-            drop = set(numbers or ())
-            out.append(None if t is None else "\n".join([x for i, x in enumerate(t.split("\n")) if i not in drop]))
-        yield pa.array(out, pa.string())
+def _without(lines: Column, gone: Column) -> Column:
+    """``lines`` without the numbers in ``gone`` (ascending): the runs between them, so it is linear in both."""
+    ends = F.concat(gone, F.array(F.size(lines)))
+
+    def run(end: Column, k: Column) -> Column:
+        start = F.when(k == 0, 0).otherwise(F.get(gone, k - 1) + 1)
+        return F.slice(lines, start + 1, end - start)
+
+    return F.flatten(F.transform(ends, run))
 
 
 def spark_arrow(schema):
@@ -272,13 +271,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: id, n_lines, n_removed, text without the removed lines, and the ``keep`` columns."""
     removed = later_matches(docs, id_col, text_col, num, den, min_tokens)
     few = removed.count() <= BROADCAST_ROWS
-    per_doc = removed.groupBy("id").agg(F.collect_set("no").alias("gone"))
+    per_doc = removed.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("gone"))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep])
-    d = d.join(F.broadcast(per_doc) if few else per_doc, "id", "left")
-    hit = F.col("gone").isNotNull()
-    kept = F.arrow_udf(_without, "string")(F.when(hit, F.col("text")), F.col("gone"))
-    d = d.withColumn("kept", kept)
-    return d.select(F.col("id").alias(id_col), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+    d = d.join(F.broadcast(per_doc) if few else per_doc, "id", "left").withColumn("lines", F.split("text", "\n"))
+    kept = F.array_join(_without(F.col("lines"), F.col("gone")), "\n")
+    return d.select(F.col("id").alias(id_col), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
                     F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-                    F.when(hit, F.col("kept")).otherwise(F.col("text")).alias("text"),
+                    F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
                     *[F.col(f"k_{c}").alias(c) for c in keep])
