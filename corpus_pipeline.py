@@ -85,7 +85,8 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
     encoded = encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
                              F.sha2(bpe.ids_text(F.col("ids")).cast("binary"), 256).alias("ids_sha256"))
-    decoded = bpe.decode_documents(encoded, ranks, keep=("ids", "n_tokens", "ids_sha256"))
+    # Written in between: a task then holds one Python worker with a vocabulary, not two.
+    decoded = bpe.decode_documents(materialize(encoded, "pipeline-encoded"), ranks, keep=("ids", "n_tokens", "ids_sha256"))
     return decoded.select("doc_id", "ids", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
