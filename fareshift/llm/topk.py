@@ -17,8 +17,12 @@ group of equal vectors shares one distance and is cut by a hash of the id.
 Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part; vectors meet only vectors of the same length; equal
 scores rank by the smaller id; rows with the query's own id are no candidates;
-a repeated (id, vector) row counts once, so does an id whose vectors score alike; null ids take no part. Scores are exact
-as long as they fit a long.
+a repeated (id, vector) row counts once, so does an id whose vectors score alike; null ids take no part. Every finite
+component counts, as long as ``scale`` times it is finite. Scores are exact whatever the components' size; one that does
+not fit a long is given, and ranked, as +-(2^63 - 1).
+
+Vectors hold whole numbers as doubles, which ``scale`` times a double is without rounding. Distances are doubles too:
+``_slack`` bounds what they can be off by, and the bounds are widened by it.
 """
 
 from __future__ import annotations
@@ -36,24 +40,34 @@ BLOCK_ROWS = 1024
 QUERY_BLOCK = 1024
 
 
+LONGEST = 2**63 - 1
+WIDE = 2.0**20  # vectors with larger components are scored apart, by wider arithmetic
+
+
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
-    """(id, dim, v): components floor(scale * x) as longs, only whole vectors."""
+    """(id, dim, v): components floor(scale * x) as whole doubles, only whole vectors."""
     v = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x"))
-    # |x| is compared with 2^52 / scale, so that the product is a whole double below 2^53.
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= F.lit(float(2**52 // scale)))
+    v = v.withColumn("x", F.transform("x", lambda x: x * F.lit(float(scale))))
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    whole = lambda x: F.when(F.abs(x) < F.lit(2.0**52), F.floor(x).cast("double")).otherwise(x)
     return (v.where(F.col("id").isNotNull() & (F.size("x") > 0) & F.forall("x", fine))
-            .select("id", F.size("x").alias("dim"),
-                    F.transform("x", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"))
-            .distinct())
+            .select("id", F.size("x").alias("dim"), F.transform("x", whole).alias("v")).distinct())
 
 
 def _matrix(column, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.int64).reshape(-1, dim)
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
+
+
+def _slack(total, dim: int, unit: float):
+    """What a sum of ``dim`` rounded products can be off by, if their sizes add up to ``total``; sums of whole
+    numbers below 2^53 are exact."""
+    exact = (unit == 1) & (np.asarray(total) < 2.0**53)
+    return np.where(exact, 0.0, 4 * (dim + 4) * np.finfo(float).eps * total)
 
 
 def _lifted_distances(m: np.ndarray, lift: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances of lifted rows to lifted pivots, by differences (no cancellation)."""
-    x = np.column_stack([m.astype(np.float64), lift])
+    x = np.column_stack([m, lift])
     return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
 
 
@@ -71,16 +85,19 @@ def _choose_pivots(sample: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> dict:
-    """{dim: (M, lifted pivots)} from per-dim norms and a bounded sample."""
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    """{dim: (M^2, lifted pivots, unit)} from per-dim norms and a bounded sample. Distances are taken of the vectors
+    times ``unit``: 1, or a power of two where squares would not be finite."""
+    peak = vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0.0
+    unit = 1.0 if peak <= 2.0**480 else 2.0**-550
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x * F.lit(unit)) * (x * F.lit(unit)))
     by_dim = vectors.groupBy("dim").agg(F.max(norm).alias("m"), F.count("*").alias("n")).collect()
     out = {}
     for dim, m2, n in by_dim:
         top = (vectors.where((F.col("dim") == dim) & (hashed_share(F.col("id"), sample, n) | F.lit(n <= 2 * sample)))
                .orderBy(F.xxhash64("id"), "v").limit(2 * sample).select("v").collect())
-        x = np.array([r["v"] for r in top], dtype=np.float64)
+        x = np.array([r["v"] for r in top], dtype=np.float64) * unit
         lift = np.sqrt(np.maximum(m2 - (x ** 2).sum(axis=1), 0))
-        out[dim] = (m2, _choose_pivots(np.column_stack([x, lift]), pivots))
+        out[dim] = (m2, _choose_pivots(np.column_stack([x, lift]), pivots), unit)
     return out
 
 
@@ -91,16 +108,16 @@ def key_by_pivot(vectors: DataFrame, model: dict) -> DataFrame:
             dims = np.asarray(b.column("dim"))
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
-                m2, pivots = model[int(dim)]
-                x = _matrix(part.column("v"), int(dim))
-                lift = np.sqrt(np.maximum(m2 - (x.astype(np.float64) ** 2).sum(axis=1), 0))
+                m2, pivots, unit = model[int(dim)]
+                x = _matrix(part.column("v"), int(dim)) * unit
+                lift = np.sqrt(np.maximum(m2 - (x ** 2).sum(axis=1), 0))
                 d = _lifted_distances(x, lift, pivots)
                 near = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("dim"), part.column("v"), pa.array(near.astype(np.int32)),
                      pa.array(d[np.arange(len(near)), near])],
                     names=["id", "dim", "v", "pivot", "dist"])
-    return vectors.mapInArrow(assign, "id long, dim int, v array<long>, pivot int, dist double")
+    return vectors.mapInArrow(assign, "id long, dim int, v array<double>, pivot int, dist double")
 
 
 def build_index(vectors: DataFrame, model: dict, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, dict]:
@@ -134,7 +151,7 @@ def build_index(vectors: DataFrame, model: dict, block_rows: int = BLOCK_ROWS) -
                 a[m] = np.clip(np.searchsorted(e, d[m], side="right") - 1, 0, max(0, len(e) - 2))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(a)], names=[*b.schema.names, "annulus"])
 
-    placed = keyed.mapInArrow(annuli, "id long, dim int, v array<long>, pivot int, dist double, annulus int")
+    placed = keyed.mapInArrow(annuli, "id long, dim int, v array<double>, pivot int, dist double, annulus int")
     sizes = placed.groupBy("dim", "pivot", "annulus").agg(F.count("*").alias("n"))
     salted = (placed.join(sizes, ["dim", "pivot", "annulus"])
               .withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block_rows)).cast("int")))
@@ -146,12 +163,28 @@ def build_index(vectors: DataFrame, model: dict, block_rows: int = BLOCK_ROWS) -
     return materialize(blocks, "topk-blocks"), edges
 
 
-def _exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products; by floating point while every sum stays exact."""
+def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Integer inner products: by floating point, long or Python's integers, whichever holds every sum."""
     top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
     if top < 2**53:
-        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q @ x.T
+        return (q @ x.T).astype(np.int64)
+    if top < 2**62 and max(np.abs(q).max(), np.abs(x).max()) < 2**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    rows, columns = ([[int(c) for c in v] for v in m.tolist()] for m in (q, x))
+    return np.array([[min(max(sum(map(int.__mul__, a, b)), -LONGEST), LONGEST) for b in columns] for a in rows], dtype=np.int64)
+
+
+def _exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Scores of all rows of ``q`` and ``x``; those with large components meet the others apart."""
+    def parts(m: np.ndarray) -> list[np.ndarray]:
+        wide = np.abs(m).max(axis=1) > WIDE
+        return [p for p in (np.flatnonzero(~wide), np.flatnonzero(wide)) if len(p)]
+
+    out = np.empty((len(q), len(x)), dtype=np.int64)
+    for i in parts(q):
+        for j in parts(x):
+            out[np.ix_(i, j)] = _scores(q[i], x[j])
+    return out
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, least: np.ndarray, k: int):
@@ -214,14 +247,15 @@ def _visits(queries: DataFrame, model: dict, edges: dict, k: int, home: bool) ->
             dims = np.asarray(b.column("dim"))
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
-                m2, pivots = model[int(dim)]
-                x = _matrix(part.column("v"), int(dim))
+                m2, pivots, unit = model[int(dim)]
+                x = _matrix(part.column("v"), int(dim)) * unit
                 d = _lifted_distances(x, np.zeros(len(x)), pivots)
-                least = np.asarray(part.column("least").fill_null(-2**62))
-                known = ~np.asarray(part.column("least").is_null())
-                radius = np.sqrt(np.maximum((x.astype(np.float64) ** 2).sum(axis=1) + m2
-                                            - 2 * least.astype(np.float64), 0))
+                least = np.asarray(part.column("least").fill_null(-LONGEST))
+                known = least > -LONGEST
+                own, score = (x ** 2).sum(axis=1), 2 * least.astype(np.float64) * unit * unit
+                radius = np.sqrt(np.maximum(own + m2 - score, 0) + _slack(own + m2 + np.abs(score), int(dim), unit))
                 radius = np.where(known, radius * (1 + 1e-9) + 1e-6, np.inf)
+                off = np.sqrt(_slack(m2, int(dim), unit))  # of a lift, the root of a difference
                 rows, piv, ann = [], [], []
                 for p in range(len(pivots)):
                     e = edges.get((int(dim), p))
@@ -233,7 +267,7 @@ def _visits(queries: DataFrame, model: dict, edges: dict, k: int, home: bool) ->
                         a = np.clip(np.searchsorted(e, d[r, p], side="right") - 1, 0, last)
                         lo, hi = a, a
                     else:
-                        slack = 1e-9 * (1 + d[:, p])
+                        slack = 1e-9 * (1 + d[:, p]) + off
                         low, high = d[:, p] - radius - slack, d[:, p] + radius + slack
                         r = np.flatnonzero((high >= e[0]) & (low <= e[-1]))
                         lo = np.clip(np.searchsorted(e, low[r], side="left") - 1, 0, last)
@@ -249,7 +283,7 @@ def _visits(queries: DataFrame, model: dict, edges: dict, k: int, home: bool) ->
                          pa.array(np.concatenate(ann).astype(np.int32)), part.column("id").take(take),
                          part.column("v").take(take), pa.array(least).take(take)],
                         names=["dim", "pivot", "annulus", "q_id", "v", "least"])
-    return queries.mapInArrow(plan, "dim int, pivot int, annulus int, q_id long, v array<long>, least long")
+    return queries.mapInArrow(plan, "dim int, pivot int, annulus int, q_id long, v array<double>, least long")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS,

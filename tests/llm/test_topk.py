@@ -59,3 +59,21 @@ def test_vectors_of_one_id_with_equal_scores_are_one_candidate(spark, block):
 def test_top_k_of_nothing(spark):
     vectors = topk.quantised(spark.createDataFrame([], SCHEMA), "vec_id", "embedding")
     assert topk.top_k(vectors, vectors).count() == 0
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_large_components_take_part(spark, block):
+    rows = [(0, [1.0, 0.0]), (10, [0.0, 1.0]), (20, [2.0**60, 3.0]), (1, [2e13, 1.0]), (2, [5.0, 2.0]), (3, [-3e18, 2.5]),
+            (4, [1e200, 7.0]), (5, [-1e300, 0.5]), (6, [0.25, 2.0**52 + 1]), (7, [4.0, 2.0]), (8, [2e13, 1.0]), (9, [math.inf, 1.0])]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    out = topk.top_k(vectors, vectors.where(F.col("id") % 10 == 0), 20, 3, block)
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i != 9]
+    want = set()
+    for i, q in whole:
+        if i % 10 == 0:
+            score = lambda x, q=q: max(-topk.LONGEST, min(topk.LONGEST, sum(a * b for a, b in zip(q, x, strict=True))))
+            found = sorted((-score(x), j) for j, x in whole if j != i)
+            want |= {(i, r + 1, j, -t) for r, (t, j) in enumerate(found)}
+    assert {tuple(r) for r in out.collect()} == want
+    best = topk.top_k(vectors.where("id < 4"), vectors.where("id = 0"), 1, 2, block).first()
+    assert tuple(best) == (0, 1, 1, 256 * math.floor(256 * 2e13))
