@@ -8,7 +8,8 @@ cut into chunks of ``CHUNK`` characters that overlap by ``OVERLAP``:
 2. neighbours are stitched at the first position in their overlap where both
    have a pre-token boundary. A match of the pattern depends only on what
    follows its start, so from a shared boundary both go on alike. The last
-   pre-tokens of a chunk may depend on text beyond its end and are not trusted;
+   pre-tokens of a chunk may depend on text beyond its end and are not trusted, nor is a
+   boundary after white space, whose run would be taken as one where a piece ends in it;
 3. each piece between two stitches is encoded in parallel, and the ids are
    joined in order.
 
@@ -82,7 +83,7 @@ def _edges(pattern: str):
                 trusted = len(text) - MARGIN
                 heads.append([at + s for s in starts if at and s < OVERLAP])
                 tails.append([] if last else [at + s for s, e in zip(starts, starts[1:], strict=False)
-                                              if CHUNK <= s and e <= trusted])
+                                              if CHUNK <= s and e <= trusted and not text[s - 1].isspace()])
             yield pa.RecordBatch.from_arrays(
                 [b.column("row"), b.column("no"), b.column("last"), pa.array(heads, pa.list_(pa.int64())),
                  pa.array(tails, pa.list_(pa.int64()))], names=["row", "no", "last", "head", "tail"])
@@ -92,7 +93,7 @@ def _edges(pattern: str):
 def _encode_piece(path: str, pattern: str):
     """Ids of a chunk from its own stitch up to the next one. Cut at a boundary,
     a piece has the pre-tokens it has within the whole text: its last one can't
-    reach further, and white space at its end is one run to the end."""
+    reach further, and it does not end in white space."""
     def encode(batches):
         ids_of = _encoder(path, pattern)
         for b in sub_batches(batches, 2 << 20):
@@ -127,8 +128,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
             .withColumn("lost", F.max(~F.col("last") & F.col("hi").isNull()).over(Window.partitionBy("row")))
             .select("row", "no", "lo", "hi", "lost"))
     cuts = materialize(cuts, "bpe-cuts")
-    # A row of cuts has about 100 bytes; up to 200,000 of them are broadcast, beyond that the join shuffles.
-    pieces = (chunks.join(small_side(cuts.where(~F.col("lost")), 200_000), ["row", "no"]).select("row", "no", "at", "chunk", "lo", "hi")
+    pieces = (chunks.join(small_side(cuts.where(~F.col("lost"))), ["row", "no"]).select("row", "no", "at", "chunk", "lo", "hi")
               .mapInArrow(_encode_piece(rank_path, pattern), "row string, no int, ids array<int>"))
     stitched = (pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("parts"))
                 .select("row", F.flatten("parts.ids").alias("ids")))
@@ -136,7 +136,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
 
     # Rare: texts with a run longer than the overlap. Known by their digests, so the texts stay where they are.
     lost = materialize(cuts.where("lost").select("row").distinct(), "bpe-lost")
-    lost_ids = (d_long.join(small_side(lost, 200_000), "row", "left_semi").select("id", "text")
+    lost_ids = (d_long.join(small_side(lost), "row", "left_semi").select("id", "text")
                 .mapInArrow(_encode_whole(rank_path, pattern), f"id {kind}, ids array<int>"))
     return short_ids.unionByName(long_ids).unionByName(lost_ids).withColumnRenamed("id", id_col)
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fareshift.session import ensure_checkpoint_dir
 
@@ -93,16 +94,34 @@ def sub_batches(batches, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
             lo += piece.num_rows
 
 
-#: A table of fixed-width rows is broadcast up to this many rows (at most 24 bytes each, so 24 MB).
-BROADCAST_ROWS = 1_000_000
+#: A table is broadcast up to so many bytes of values, with ``ROW_BYTES`` added for each row and collection.
+BROADCAST_BYTES = 32 << 20
+ROW_BYTES = 16
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; beyond that the join shuffles.
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """The bytes of a value: its own length for text, 8 for a number, sums for structs and arrays."""
+    if isinstance(kind, T.StructType):
+        size = sum((value_bytes(value[f.name], f.dataType) for f in kind), F.lit(0).cast("long"))
+    elif isinstance(kind, T.ArrayType):
+        size = F.aggregate(value, F.lit(ROW_BYTES).cast("long"), lambda n, x: n + value_bytes(x, kind.elementType))
+    elif isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value).cast("long") + 8
+    else:
+        size = F.lit(8).cast("long")
+    return F.coalesce(size, F.lit(8).cast("long"))
 
-    For written tables of a few fixed-width columns, whose count is read from the file footers.
-    """
-    return F.broadcast(df) if df.count() <= rows else df
+
+def is_small(df: DataFrame, most: int | None = None) -> bool:
+    """Whether the values of ``df``, measured, take ``most`` bytes or less (``BROADCAST_BYTES`` unless given)."""
+    row = sum((value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(ROW_BYTES).cast("long"))
+    return (df.agg(F.sum(row)).first()[0] or 0) <= (BROADCAST_BYTES if most is None else most)
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it ``is_small``; beyond that the join shuffles. For written tables, as they are read
+    for the measurement."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def count_bytes(total: np.ndarray) -> bytes:

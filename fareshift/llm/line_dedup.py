@@ -37,12 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareshift.llm import tokens
-from fareshift.llm.common import BROADCAST_ROWS, count_bytes, discard, materialize, small_side, sub_batches, sum_counts
+from fareshift.llm.common import count_bytes, discard, is_small, materialize, small_side, sub_batches, sum_counts
 
 SLOTS = 1 << 19
 LEAD = 3
 HOT = 16  # lines under a token that make its earliest line worth meeting by all tokens
-HOT_ROWS = 200_000  # rows of about 50 bytes that are broadcast; beyond, the join shuffles
 MIN_TOKENS = 1
 U = np.uint64
 _WORD = np.zeros(256, dtype=bool)
@@ -200,7 +199,7 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
         """The lines (id, no) of the pairs with (x_id, x_no) whose sets do match."""
         pairs = materialize(pairs, f"{name}-pairs")
         wanted = materialize(pairs.select("id", "no").union(pairs.select("x_id", "x_no")).distinct(), f"{name}-wanted")
-        few = wanted.count() <= BROADCAST_ROWS
+        few = is_small(wanted)
         per_doc = wanted.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("nos"))
         sets = (d.join(F.broadcast(per_doc) if few else per_doc, "id").select("id", "text", "nos")
                 .mapInArrow(_token_sets, f"id {kind}, no int, s array<long>").dropDuplicates(["id", "no"]))
@@ -224,7 +223,7 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
                        "lines-lead")
     # The earliest line under a token that many share is met by every token of a line's list.
     hot = lead.where(F.col("c") >= HOT)
-    hot = F.broadcast(as_x(hot)) if hot.count() <= HOT_ROWS else as_x(hot)
+    hot = small_side(as_x(hot))
     met = front.join(as_x(lead), "token").where(earlier & near)
     met_hot = listed.join(hot, "token").where(earlier & near)
     best = (met.select(met_columns := ["id", "no", "x_id", "x_no", _distance().alias("off")])
@@ -270,7 +269,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 min_tokens: int = MIN_TOKENS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id, n_lines, n_removed, text without the removed lines, and the ``keep`` columns."""
     removed = later_matches(docs, id_col, text_col, num, den, min_tokens)
-    few = removed.count() <= BROADCAST_ROWS
+    few = is_small(removed)
     per_doc = removed.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("gone"))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep])
     d = d.join(F.broadcast(per_doc) if few else per_doc, "id", "left").withColumn("lines", F.split("text", "\n"))
