@@ -24,7 +24,8 @@ near copies in as many comparisons as lines; the full join is for those left.
 Defined results: null and empty texts have no lines to remove; lines without a word, and those of fewer
 than ``min_tokens`` distinct tokens, are neither removed nor matched; in a script without spaces a run of
 characters is one token, so such lines match where their runs are equal; repeated
-rows of one id are one document, each row losing the same lines; rows
+rows of one id are one document, each row losing the same lines (of different texts of an id, lines of one number
+are one line, so what goes from one goes from all; give such texts ids of their own, as the pipeline does); rows
 with a null id lose nothing and match nothing. ``text`` keeps the other lines, in order, with their
 line ends. Other columns are dropped.
 """
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +60,7 @@ class Lines:
         ws, we, _ = tokens.word_spans(raw, off, _WORD)
         h = tokens.hash_spans(raw, ws, we)
         line = np.searchsorted(starts, ws, side="right") - 1
-        order = np.lexsort((h, line))
+        order = tokens.order_within(line, h, 44)
         h, line = h[order], line[order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -104,19 +106,26 @@ def _digests(kind: pa.DataType, least: int):
 
 
 def _prefixes(counts: np.ndarray, num: int, den: int, least: int):
-    """Rows (id, no, n, parity, parity2, i, token): a line under each token of its prefix."""
+    """Rows (id, no, n, parity, parity2, i, token): a line under each token of its prefix, but for the lines ``gone``."""
+    # Rarity in steps of a 512th of a doubling, 14 bits: any common order is exact, and this one sorts in one key.
+    rarity = (np.log2(counts + 1.0) * 512).astype(U) << U(50)
+
     def run(batches):
         for b in sub_batches(batches):
             for lo, hi, raw, off in tokens.slices(b.column("text")):
                 x = Lines(raw, off)
                 size = x.n - (x.n * num + den - 1) // den + 1
+                gone = b.column("gone").slice(lo, hi - lo)
+                of = np.repeat(np.arange(hi - lo), pc.list_value_length(gone).fill_null(0).to_numpy())
+                at = x.first[of] + gone.flatten().to_numpy()
+                size[at[at < x.first[of + 1]]] = 0  # another text of the id may have more lines
                 # Sets so small that only equal ones match need no list.
                 size[(x.n < least) | (x.n * den < num * (x.n + 1)) & ((x.n - 1) * den < num * x.n)] = 0
                 m = tokens.mix(x.h + U(2))  # one bit says which word, six say which place
                 parity = [x.reduce(np.bitwise_xor, (m & U(1) == U(k)).astype(U) << (m >> U(58))) for k in (0, 1)]
-                # By count, then by hash: the sort is stable and x.h ascends within a line.
-                rank = counts[(x.h & U(SLOTS - 1)).astype(np.int64)].astype(U) << U(32) | x.h >> U(32)
-                order = np.lexsort((rank, x.line))
+                # By rarity, then by hash.
+                rank = rarity[(x.h & U(SLOTS - 1)).astype(np.int64)] | x.h >> U(14)
+                order = tokens.order_within(x.line, rank, 46)
                 at = np.arange(len(order)) - x.bounds[:-1][x.line]  # the order keeps each line's place
                 take = at < size[x.line]
                 line, i, h = x.line[take], at[take], x.h[order][take]
@@ -135,8 +144,8 @@ def _token_sets(batches):
         nos = b.column("nos").to_pylist()
         picked = []
         for text, own in zip(b.column("text").to_pylist(), nos, strict=True):
-            lines = text.split("\n")
-            picked.append("\n".join([lines[j] for j in own]))
+            lines = dict(enumerate(text.split("\n")))
+            picked.append("\n".join([lines.get(j, "") for j in own]))
         for lo, hi, raw, off in tokens.slices(pa.array(picked, pa.large_string())):
             x = Lines(raw, off)
             sets = [x.h[x.bounds[j]:x.bounds[j + 1]].view(np.int64) for j in range(x.count)]
@@ -190,9 +199,11 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
                         .distinct(), "lines-equal")
     discard(digests, first)
 
-    listed = (d.mapInArrow(_prefixes(counts, num, den, min_tokens),
-                           f"id {kind}, no int, n int, parity long, parity2 long, i int, token int")
-              .join(small_side(equal), ["id", "no"], "left_anti"))
+    # Lines that are gone already are not listed.
+    skip = equal.groupBy("id").agg(F.collect_set("no").alias("gone"))
+    listed = (d.join(F.broadcast(skip) if is_small(equal) else skip, "id", "left").select("id", "text", "gone")
+              .mapInArrow(_prefixes(counts, num, den, min_tokens),
+                          f"id {kind}, no int, n int, parity long, parity2 long, i int, token int"))
     listed = materialize(listed, "lines-listed")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -202,7 +213,7 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
         few = is_small(wanted)
         per_doc = wanted.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("nos"))
         sets = (d.join(F.broadcast(per_doc) if few else per_doc, "id").select("id", "text", "nos")
-                .mapInArrow(_token_sets, f"id {kind}, no int, s array<long>").dropDuplicates(["id", "no"]))
+                .mapInArrow(_token_sets, f"id {kind}, no int, s array<long>").groupBy("id", "no").agg(F.max("s").alias("s")))
         sets = materialize(sets, f"{name}-sets")
         both = (pairs.join(sets.withColumnRenamed("s", "sy"), ["id", "no"])
                 .join(sets.select(F.col("id").alias("x_id"), F.col("no").alias("x_no"), F.col("s").alias("sx")),
@@ -273,6 +284,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_doc = removed.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("gone"))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep])
     d = d.join(F.broadcast(per_doc) if few else per_doc, "id", "left").withColumn("lines", F.split("text", "\n"))
+    d = d.withColumn("gone", F.filter("gone", lambda no: no < F.size("lines")))
     kept = F.array_join(_without(F.col("lines"), F.col("gone")), "\n")
     return d.select(F.col("id").alias(id_col), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
                     F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),

@@ -20,7 +20,7 @@ _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U)[_LOWER]
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(int(_BASE), -1, 2**64))
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def _table(separators) -> np.ndarray:
@@ -104,7 +104,7 @@ def word_spans(raw: np.ndarray, off: np.ndarray, word: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, off)
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 4 << 20) -> np.ndarray:
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
     """Hashes of the given spans, block by block."""
     if len(raw) <= block or not len(starts):
         return _hash_block(raw, starts, ends)
@@ -136,3 +136,15 @@ def shingle_hashes(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarra
         ok = width > i
         s[ok] = mix(s[ok] * _BASE + h[at[ok] + i])
     return s, out_bounds
+
+
+def order_within(group: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
+    """``np.lexsort((key, group))`` for ascending groups, up to the order of equal keys: one sort of group and the
+    upper ``bits`` of the 64-bit key, where the groups fit beside them and no two different keys of a group share them."""
+    if len(group) and int(group[-1]) >> (64 - bits) == 0:
+        joined = group.astype(U) << U(bits) | key >> U(64 - bits)
+        order = np.argsort(joined)
+        joined, sorted_keys = joined[order], key[order]
+        if not ((joined[1:] == joined[:-1]) & (sorted_keys[1:] != sorted_keys[:-1])).any():
+            return order
+    return np.lexsort((key, group))

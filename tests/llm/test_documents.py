@@ -8,12 +8,14 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from fareshift.llm import bpe, decontam, kneser_ney, langid, line_dedup, ngram_join, quality, queries, secrets, sharding
+from fareshift.llm import bpe, decontam, kneser_ney, langid, line_dedup, ngram_join, quality, queries, secrets, sharding, tokens
+from fareshift.llm.common import is_small
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, id string, score double, ids int, key int"
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -100,6 +102,43 @@ def test_bpe_stitching_takes_both_ways(docs):
     assert bpe.boundaries(pattern, run[bpe.CHUNK:2 * bpe.CHUNK + bpe.OVERLAP])[:-1] == [0]
 
 
+def test_bpe_does_not_cut_after_white_space(spark, tmp_path):
+    with open(public_tokenizers.path(queries.RANKS), "rb") as f:
+        lines = f.read().splitlines()
+    assert base64.b64encode(b"\n\n") not in {x.split()[0] for x in lines}
+    own = tmp_path / "ranks"
+    own.write_bytes(b"\n".join([*lines, base64.b64encode(b"\n\n") + f" {len(lines)}".encode()]) + b"\n")
+    tail = "\n\nA" + " word" * 600
+    texts = ["w" * 7 + " abc" * ((bpe.CHUNK - 7) // 4) + "x" * pad + tail + " word" * 4000 for pad in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe._ranks(str(own)), special_tokens={})
+    out = bpe.encode_documents(df, str(own), public_tokenizers.PATTERN).collect()
+    assert {r["doc_id"]: r["ids"] for r in out} == {i: lib.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_broadcasts_are_by_measured_bytes(spark):
+    df = spark.createDataFrame([(1, "é" * 50, [1, 2], (1, "ab")), (2, None, None, None)],
+                               "id long, s string, a array<int>, t struct<x: int, y: string>")
+    size = (16 + 8 + 108 + 16 + 2 * 8 + 8 + 10) + (16 + 5 * 8)
+    assert is_small(df, size) and not is_small(df, size - 1) and is_small(df.where("false"), 0)
+
+
+@pytest.mark.parametrize("bits", [44, 4])
+def test_order_within_groups(bits):
+    rng = np.random.default_rng(1)
+    group, key = np.sort(rng.integers(0, 50, 3000)), rng.integers(0, 2**63, 3000).astype(np.uint64) >> np.uint64(20)
+    order = tokens.order_within(group, key, bits)
+    assert list(zip(group[order], key[order], strict=True)) == sorted(zip(group, key, strict=True))
+
+
+def test_lines_of_different_texts_of_one_id(spark):
+    line = "the quick brown fox jumps over the lazy dog today"
+    rows = [(1, line), (2, f"{line}\nalpha beta\n{line}"), (2, "alpha beta"), (3, f"{line} again")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in out} == {
+        (1, 1, 0, line), (2, 3, 3, ""), (2, 1, 1, ""), (3, 1, 1, "")}
+
+
 def brute_groups(k, num, den):
     """Links of all pairs, components by repeated relabelling."""
     sets = []
