@@ -78,6 +78,7 @@ def sub_batches(batches, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     (a single row may be larger). Python work then has bounded memory whatever
     the length of the texts."""
     for batch in batches:
+        pa.default_memory_pool().release_unused()  # workers live on; what the last batch took is given back
         n = batch.num_rows
         if n == 0:
             continue
