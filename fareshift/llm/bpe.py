@@ -26,7 +26,6 @@ vocabulary lacks is an error.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +42,12 @@ OVERLAP = 1_024
 MARGIN = 64  # characters at a chunk's end whose pre-tokens are not trusted
 
 
-@lru_cache(maxsize=2)
 def _ranks(path: str) -> dict[bytes, int]:
+    """Read once a task and not kept: a worker lives on, and other stages need its memory."""
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str):
     """Encodes each pre-token of a text separately, without special tokens."""
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_ranks(path),
