@@ -141,6 +141,29 @@ def test_resampling_ranks_ranges_ties_and_null_ids(spark, none, monkeypatch):  #
     assert resample.resample(d, empty, percent=0, min_words=0).where("rank is null").count() == 1000
 
 
+def test_gain_is_the_share_in_the_target_over_the_share_in_the_source():
+    """floor(1000 ln((t+1)(S+n) / ((s+1)(T+n)))) with S and T of different size."""
+    assert resample.bucket_gains(np.array([3, 0, 0]), np.array([0, 1, 0])).tolist() == [
+        math.floor(1000 * math.log(x)) for x in (1 * 6 / (4 * 4), 2 * 6 / (1 * 4), 1 * 6 / (1 * 4))]
+    same = np.array([5, 0, 11, 2])
+    assert resample.bucket_gains(same, same).tolist() == [0, 0, 0, 0]
+
+
+def test_weights_and_scores_follow_the_shares(spark):
+    """One text of 21 words and one of 20 against a target of two words, worked out by hand."""
+    data = [(7, "Word " * 20 + "other"), (8, "straße " * 20), (9, None)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    out = resample.resample(d, spark.createDataFrame([("word, other",)], "text string"), percent=50)
+    # S = 41, T = 2; s is 20, 1 and 20, t is 1, 1 and 0.
+    gain = {k: math.floor(1000 * math.log((t + 1) * 10_041 / ((s + 1) * 10_002)))
+            for k, s, t in (("word", 20, 1), ("other", 1, 1), ("straße", 20, 0))}
+    weight = {7: 20 * gain["word"] + gain["other"], 8: 20 * gain["straße"], 9: 0}
+    noise = {i: math.floor(-1000 * math.log(-math.log(
+        (int(hashlib.sha256(f"2024:{i}".encode()).hexdigest()[:8], 16) + 0.5) / 4294967296))) for i, _ in data}
+    got = {r["doc_id"]: (r["weight"], r["score"], r["rank"]) for r in out.collect()}
+    assert got == {i: (w, w + noise[i], 1 if i == 7 else None) for i, w in weight.items()}
+
+
 def test_features_go_on_over_pieces(monkeypatch):
     raw = ("alpha beta, gamma " * 50).encode()
     whole = [resample.features(raw, 3)]
