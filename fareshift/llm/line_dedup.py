@@ -226,6 +226,7 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
     def as_x(df: DataFrame, *more: str) -> DataFrame:
         return df.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "no", "n", "parity", "parity2", "i", *more)])
 
+    # Asked first of each pair: cheap, and few pass. Ids may be structs, which are dear to compare.
     near = _may_match(num, den)
     earlier = F.struct("x_id", "x_no") < F.struct("id", "no")
     front = listed.where(F.col("i") < LEAD)
@@ -235,8 +236,8 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
     # The earliest line under a token that many share is met by every token of a line's list.
     hot = lead.where(F.col("c") >= HOT)
     hot = small_side(as_x(hot))
-    met = front.join(as_x(lead), "token").where(earlier & near)
-    met_hot = listed.join(hot, "token").where(earlier & near)
+    met = front.join(as_x(lead), "token").where(near & earlier)
+    met_hot = listed.join(hot, "token").where(near & earlier)
     best = (met.select(met_columns := ["id", "no", "x_id", "x_no", _distance().alias("off")])
             .union(met_hot.select(met_columns))
             .groupBy("id", "no").agg(F.min(F.struct("off", "x_id", "x_no")).alias("x")).select("id", "no", "x.x_id", "x.x_no"))
@@ -249,7 +250,7 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
     shorter = marked.where(F.col("i") <= F.col("n") - F.ceil(2 * num * F.col("n") / F.lit(float(num + den))))
     later_open = F.when(earlier, F.col("done")).otherwise(F.col("x_done")).isNull()
     both_ways = (F.col("x_id") != F.col("id")) | (F.col("x_no") != F.col("no"))
-    found = shorter.join(as_x(marked, "done"), "token").where((F.col("n") <= F.col("x_n")) & both_ways & later_open & near)
+    found = shorter.join(as_x(marked, "done"), "token").where((F.col("n") <= F.col("x_n")) & near & both_ways & later_open)
     one, two = F.struct("id", "no"), F.struct(F.col("x_id").alias("id"), F.col("x_no").alias("no"))
     rest = found.select(F.when(earlier, one).otherwise(two).alias("y"), F.when(earlier, two).otherwise(one).alias("x")) \
         .select("y.id", "y.no", F.col("x.id").alias("x_id"), F.col("x.no").alias("x_no")).distinct()
@@ -270,6 +271,25 @@ def _without(lines: Column, gone: Column) -> Column:
     return F.flatten(F.transform(ends, run))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once a row. A filter on the result is moved to where its columns come from,
+    with their expressions in place of their names; within another lambda they would run once an element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _rebuilt(text: Column, gone: Column) -> Column:
+    """(n_lines, n_removed, text) of a text that loses the lines ``gone``, as far as it has them."""
+    def own(b: Column) -> Column:
+        return F.struct(b["lines"].alias("lines"), F.filter(b["gone"], lambda no: no < F.size(b["lines"])).alias("gone"))
+
+    def out(b: Column) -> Column:
+        kept = F.array_join(_without(b["lines"], b["gone"]), "\n")
+        return F.struct(F.coalesce(F.size(b["lines"]), F.lit(0)).cast("long").alias("n_lines"),
+                        F.coalesce(F.size(b["gone"]), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
+
+    return _bound(F.struct(F.split(text, "\n").alias("lines"), gone.alias("gone")), lambda b: _bound(own(b), out))
+
+
 def spark_arrow(schema):
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -283,10 +303,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = is_small(removed)
     per_doc = removed.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("gone"))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k_{c}") for c in keep])
-    d = d.join(F.broadcast(per_doc) if few else per_doc, "id", "left").withColumn("lines", F.split("text", "\n"))
-    d = d.withColumn("gone", F.filter("gone", lambda no: no < F.size("lines")))
-    kept = F.array_join(_without(F.col("lines"), F.col("gone")), "\n")
-    return d.select(F.col("id").alias(id_col), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
-                    F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-                    F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
+    d = d.join(F.broadcast(per_doc) if few else per_doc, "id", "left") \
+        .withColumn("out", _rebuilt(F.col("text"), F.col("gone")))
+    return d.select(F.col("id").alias(id_col), "out.n_lines", "out.n_removed",
+                    F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.col("out.kept")).alias("text"),
                     *[F.col(f"k_{c}").alias(c) for c in keep])

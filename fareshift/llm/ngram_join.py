@@ -271,12 +271,15 @@ def _linked_components(shared: DataFrame, sets: DataFrame, num: int, den: int) -
     # link if the sets share one of their rarest shingles early enough.
     now = labelled(merged)
     keys = materialize(now.select("key", "comp").distinct(), "open-keys")
-    left_sets = materialize(sets.drop("m").join(small_side(keys), "key"), "open-sets")
-    discard(shared, now, keys)
-    counts = sum_counts(left_sets.select("s").mapInArrow(_shingle_counts, "counts binary"), SLOTS)
+    discard(shared, now)
+    # The sets are listed as they are joined, no second copy of them is written. Any common order is exact, so
+    # the counts are over all sets, without that join.
+    counts = sum_counts(sets.select("s").mapInArrow(_shingle_counts, "counts binary"), SLOTS)
+    left_sets = sets.select("key", "s").join(small_side(keys), "key")
     listed = materialize(left_sets.mapInArrow(_rare_prefixes(counts, num, den),
                                               "key long, comp long, n int, i int, shingle long, "
                                               + ", ".join(f"{c} long" for c in PARITY)), "open-listed")
+    discard(keys)
     as_of = lambda x: listed.select("shingle", F.col("key").alias(x), F.col("n").alias(f"n{x}"),
                                     F.col("i").alias(f"i{x}"), F.col("comp").alias(f"c{x}"),
                                     *[F.col(c).alias(f"{c}{x}") for c in PARITY])
@@ -289,7 +292,7 @@ def _linked_components(shared: DataFrame, sets: DataFrame, num: int, den: int) -
             .select("a", "na", "b", "nb"))
     compared = compare(rest, "rest")
     out = components(compared.where("linked"), merged)
-    discard(listed, left_sets, sets, compared, merged)
+    discard(listed, sets, compared, merged)
     return out.withColumnRenamed("v", "key")
 
 
