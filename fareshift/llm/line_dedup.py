@@ -51,16 +51,17 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 
 
 class Lines:
-    """The lines of a run of texts and their distinct tokens, sorted by line."""
+    """The lines of a run of texts and their distinct tokens, sorted by line and by hash, or by ``rank`` of the hash: numbers
+    that differ, as good as always, where the hashes do, within their upper ``bits``."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray):
+    def __init__(self, raw: np.ndarray, off: np.ndarray, rank=None, bits: int = 44):
         ends = np.flatnonzero(raw == 10)
         starts = np.sort(np.concatenate([off[:-1], ends + 1]))
         self.first = np.arange(len(off)) + np.searchsorted(ends, off)  # each text's first line
         ws, we, _ = tokens.word_spans(raw, off, _WORD)
         h = tokens.hash_spans(raw, ws, we)
         line = np.searchsorted(starts, ws, side="right") - 1
-        order = tokens.order_within(line, h, 44)
+        order = tokens.order_within(line, h if rank is None else rank(h), bits)
         h, line = h[order], line[order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -90,7 +91,7 @@ def _digests(kind: pa.DataType, least: int):
         for b in sub_batches(batches):
             for lo, hi, raw, off in tokens.slices(b.column("text")):
                 x = Lines(raw, off)
-                total += np.bincount((x.h & U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                np.add.at(total, (x.h & U(SLOTS - 1)).view(np.int64), 1)
                 keep = np.flatnonzero(x.n >= least)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id").slice(lo, hi - lo).take(pa.array(x.text[keep])),
@@ -106,14 +107,18 @@ def _digests(kind: pa.DataType, least: int):
 
 
 def _prefixes(counts: np.ndarray, num: int, den: int, least: int):
-    """Rows (id, no, n, parity, parity2, i, token): a line under each token of its prefix, but for the lines ``gone``."""
+    """Rows (id, no, n, parity, parity2, tokens): a line and the tokens of its prefix, but for the lines ``gone``."""
     # Rarity in steps of a 512th of a doubling, 14 bits: any common order is exact, and this one sorts in one key.
     rarity = (np.log2(counts + 1.0) * 512).astype(U) << U(50)
 
+    def rank(h: np.ndarray) -> np.ndarray:
+        """By rarity, then by hash."""
+        return rarity[(h & U(SLOTS - 1)).view(np.int64)] | h >> U(14)
+
     def run(batches):
         for b in sub_batches(batches):
             for lo, hi, raw, off in tokens.slices(b.column("text")):
-                x = Lines(raw, off)
+                x = Lines(raw, off, rank, 46)
                 size = x.n - (x.n * num + den - 1) // den + 1
                 gone = b.column("gone").slice(lo, hi - lo)
                 of = np.repeat(np.arange(hi - lo), pc.list_value_length(gone).fill_null(0).to_numpy())
@@ -123,18 +128,17 @@ def _prefixes(counts: np.ndarray, num: int, den: int, least: int):
                 size[(x.n < least) | (x.n * den < num * (x.n + 1)) & ((x.n - 1) * den < num * x.n)] = 0
                 m = tokens.mix(x.h + U(2))  # one bit says which word, six say which place
                 parity = [x.reduce(np.bitwise_xor, (m & U(1) == U(k)).astype(U) << (m >> U(58))) for k in (0, 1)]
-                # By rarity, then by hash.
-                rank = rarity[(x.h & U(SLOTS - 1)).astype(np.int64)] | x.h >> U(14)
-                order = tokens.order_within(x.line, rank, 46)
-                at = np.arange(len(order)) - x.bounds[:-1][x.line]  # the order keeps each line's place
+                at = np.arange(len(x.h)) - x.bounds[:-1][x.line]
                 take = at < size[x.line]
-                line, i, h = x.line[take], at[take], x.h[order][take]
+                token = (x.h[take] >> U(32)).astype(np.uint32).view(np.int32)
+                own = np.bincount(x.line[take], minlength=x.count)
+                line = np.flatnonzero(own)
+                ends = np.concatenate([[0], np.cumsum(own[line])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id").slice(lo, hi - lo).take(pa.array(x.text[line])),
                      pa.array(x.no[line].astype(np.int32)), pa.array(x.n[line].astype(np.int32)),
-                     *[pa.array(p[line].view(np.int64)) for p in parity], pa.array(i.astype(np.int32)),
-                     pa.array((h >> U(32)).astype(np.uint32).view(np.int32))],
-                    names=["id", "no", "n", "parity", "parity2", "i", "token"])
+                     *[pa.array(p[line].view(np.int64)) for p in parity], pa.ListArray.from_arrays(ends, token)],
+                    names=["id", "no", "n", "parity", "parity2", "tokens"])
     return run
 
 
@@ -203,9 +207,13 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
     skip = equal.groupBy("id").agg(F.collect_set("no").alias("gone"))
     listed = (d.join(F.broadcast(skip) if is_small(equal) else skip, "id", "left").select("id", "text", "gone")
               .mapInArrow(_prefixes(counts, num, den, min_tokens),
-                          f"id {kind}, no int, n int, parity long, parity2 long, i int, token int"))
+                          f"id {kind}, no int, n int, parity long, parity2 long, tokens array<int>"))
     listed = materialize(listed, "lines-listed")
 
+    def under(lines: DataFrame, tokens: Column, *more: str) -> DataFrame:
+        """A row for each of a line's ``tokens``, with its place ``i``."""
+        return lines.select("id", "no", "n", "parity", "parity2", *more, F.posexplode(tokens).alias("i", "token"))
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The lines (id, no) of the pairs with (x_id, x_no) whose sets do match."""
         pairs = materialize(pairs, f"{name}-pairs")
@@ -229,7 +237,7 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
     # Asked first of each pair: cheap, and few pass. Ids may be structs, which are dear to compare.
     near = _may_match(num, den)
     earlier = F.struct("x_id", "x_no") < F.struct("id", "no")
-    front = listed.where(F.col("i") < LEAD)
+    front = under(listed, F.slice("tokens", 1, LEAD))
     lead = materialize(front.groupBy("token").agg(F.min(F.struct("id", "no", "n", "parity", "parity2", "i")).alias("x"),
                                                   F.count("*").alias("c")).where("c > 1").select("token", "x.*", "c"),
                        "lines-lead")
@@ -237,7 +245,8 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
     hot = lead.where(F.col("c") >= HOT)
     hot = small_side(as_x(hot))
     met = front.join(as_x(lead), "token").where(near & earlier)
-    met_hot = listed.join(hot, "token").where(near & earlier)
+    deeper = F.slice("tokens", LEAD + 1, F.greatest(F.size("tokens") - LEAD, F.lit(0)))  # the first have met it
+    met_hot = under(listed, deeper).join(hot, "token").where(near & earlier)
     best = (met.select(met_columns := ["id", "no", "x_id", "x_no", _distance().alias("off")])
             .union(met_hot.select(met_columns))
             .groupBy("id", "no").agg(F.min(F.struct("off", "x_id", "x_no")).alias("x")).select("id", "no", "x.x_id", "x.x_no"))
@@ -247,10 +256,12 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, num: int, den: in
     # All pairs that still matter: the shorter line by the tokens it must share with one at least as
     # long, the longer one by its whole list; the later of the two must not be settled.
     marked = listed.join(small_side(settled.withColumn("done", F.lit(True))), ["id", "no"], "left")
-    shorter = marked.where(F.col("i") <= F.col("n") - F.ceil(2 * num * F.col("n") / F.lit(float(num + den))))
+    must = (F.col("n") - F.ceil(2 * num * F.col("n") / F.lit(float(num + den))) + 1).cast("int")
+    shorter = under(marked, F.slice("tokens", F.lit(1), must), "done")
+    longer = as_x(under(marked, F.col("tokens"), "done"), "done")
     later_open = F.when(earlier, F.col("done")).otherwise(F.col("x_done")).isNull()
     both_ways = (F.col("x_id") != F.col("id")) | (F.col("x_no") != F.col("no"))
-    found = shorter.join(as_x(marked, "done"), "token").where((F.col("n") <= F.col("x_n")) & near & both_ways & later_open)
+    found = shorter.join(longer, "token").where((F.col("n") <= F.col("x_n")) & near & both_ways & later_open)
     one, two = F.struct("id", "no"), F.struct(F.col("x_id").alias("id"), F.col("x_no").alias("no"))
     rest = found.select(F.when(earlier, one).otherwise(two).alias("y"), F.when(earlier, two).otherwise(one).alias("x")) \
         .select("y.id", "y.no", F.col("x.id").alias("x_id"), F.col("x.no").alias("x_no")).distinct()

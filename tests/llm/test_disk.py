@@ -61,3 +61,23 @@ def test_a_document_of_many_repeated_lines(spark):
     out = line_dedup.dedup_lines(docs, id_col="key").where(F.length("text") > 0)
     got = {r["key"]["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in out.collect()}
     assert got == {1: (3000, 1500, "\n".join(lines[:1500])), 2: (1001, 1000, "last")}
+
+
+def test_a_line_is_listed_in_one_row(spark, monkeypatch):
+    rng = random.Random(5)
+    lines = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(20, 60))) for _ in range(60)]
+    near = [" ".join(["new", *t.split()[1:]]) for t in lines[:20]]
+    docs = spark.createDataFrame([(i, "\n".join(part)) for i, part in enumerate((lines[:30], lines[30:], near))],
+                                 "doc_id long, text string")
+    listed = []
+
+    def record(df, name, write=line_dedup.materialize):
+        out = write(df, name)
+        if name == "lines-listed":
+            listed.extend(out.select("id", "no").collect())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", record)
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert sorted(listed) == [(i, no) for i, n in enumerate((30, 30, 20)) for no in range(n)]
+    assert got == {0: 0, 1: 0, 2: 20}
